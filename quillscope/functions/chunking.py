@@ -9,7 +9,7 @@ and every file is chunked in whichever task reads it (no shuffle).
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .constants import MINIMUM_TAIL_CHARS, TARGET_CHARS
@@ -51,35 +51,57 @@ def chunk_starts(lengths: Column, target_chars: int = TARGET_CHARS) -> Column:
     return F.aggregate(lengths, init, step, lambda acc: acc["starts"])
 
 
-def chunk_code(
-    code: Column,
+def with_chunks(
+    df: DataFrame,
+    code: str = "code",
+    out: str = "chunks",
     target_chars: int = TARGET_CHARS,
     minimum_tail_chars: int = MINIMUM_TAIL_CHARS,
-) -> Column:
-    """``ARRAY<STRING>`` of chunks: greedy fill, ``\\n``-strip, tail merge,
-    blank-chunk drop, never empty (falls back to ``[code]``)."""
-    starts = chunk_starts(line_lengths_keepends(code), target_chars)
-    total = F.length(code)
-    n = F.size(starts)
-    ends = F.concat(F.slice(starts, 2, n - 1), F.array(total))
-    raw = F.transform(
-        F.arrays_zip(starts.alias("s"), ends.alias("e")),
-        lambda p: F.regexp_replace(
-            F.substring(code, p["s"] + 1, p["e"] - p["s"]), F.lit("^\n+|\n+\\z"), F.lit("")
-        ),
-    )
-    return _finish_chunks(raw, code, minimum_tail_chars)
+    enabled: Column | None = None,
+) -> DataFrame:
+    """Adds ``out``: the chunks of column ``code`` (greedy fill, ``\\n``-strip,
+    tail merge, blank-chunk drop, never empty — falls back to ``[code]``).
 
-
-def _finish_chunks(raw: Column, code: Column, minimum_tail_chars: int) -> Column:
-    n = F.size(raw)
+    Built as staged projections: each intermediate array is its own column,
+    so Catalyst evaluates it once per row instead of once per reference.
+    Rows where ``enabled`` is false get ``['']`` without any work."""
+    src = F.col(code)
+    on = F.lit(True) if enabled is None else F.coalesce(enabled, F.lit(False))
+    cols = df.columns
+    s1 = df.select(*cols, F.when(on, chunk_starts(line_lengths_keepends(src), target_chars)).alias("_starts"))
+    n = F.size("_starts")
+    ends = F.concat(F.slice("_starts", 2, n - 1), F.array(F.length(src)))
+    s2 = s1.select(
+        *cols,
+        F.transform(
+            F.arrays_zip(F.col("_starts").alias("s"), ends.alias("e")),
+            lambda p: F.struct(p["s"].alias("s"), (p["e"] - p["s"]).alias("n")),
+        ).alias("_spans"),
+    )
+    # substring needs the text: keep the lambda free of anything but its
+    # argument by cutting pieces from the zipped (text, span) pairs
+    s3 = s2.select(
+        *cols,
+        F.transform(
+            F.arrays_zip(F.array_repeat(src, F.size("_spans")).alias("t"), F.col("_spans").alias("p")),
+            lambda z: F.regexp_replace(
+                F.substring(z["t"], z["p"]["s"] + 1, z["p"]["n"]), F.lit("^\n+|\n+\\z"), F.lit("")
+            ),
+        ).alias("_raw"),
+    )
+    raw = F.col("_raw")
+    m = F.size(raw)
     last = F.element_at(raw, -1)
     merged = F.when(
-        (n > 1) & (F.length(last) < minimum_tail_chars),
+        (m > 1) & (F.length(last) < minimum_tail_chars),
         F.concat(
-            F.slice(raw, 1, F.greatest(n - 2, F.lit(0))),
-            F.array(F.concat(F.element_at(raw, F.greatest(n - 1, F.lit(1))), F.lit("\n"), last)),
+            F.slice(raw, 1, F.greatest(m - 2, F.lit(0))),
+            F.array(F.concat(F.element_at(raw, F.greatest(m - 1, F.lit(1))), F.lit("\n"), last)),
         ),
     ).otherwise(raw)
-    kept = F.filter(merged, lambda c: c.rlike(PY_NON_WS_CLASS))
-    return F.when(F.size(kept) == 0, F.array(code)).otherwise(kept)
+    s4 = s3.select(*cols, F.filter(merged, lambda c: c.rlike(PY_NON_WS_CLASS)).alias("_kept"))
+    kept = F.col("_kept")
+    return s4.select(
+        *cols,
+        F.when(~on, F.array(F.lit(""))).when(F.size(kept) == 0, F.array(src)).otherwise(kept).alias(out),
+    )

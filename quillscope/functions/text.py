@@ -71,30 +71,34 @@ def dominant_ratio(*counts) -> Column:
     return F.when(total <= 0, F.lit(0.0)).otherwise(F.greatest(*pos) / total)
 
 
-def _run_fold(sorted_arr: Column, on_run) -> Column:
-    """Fold over a sorted array; ``on_run(acc, run_length)`` is applied at the
-    end of every run of equal values.  Returns the final accumulator."""
+def _run_fold(sorted_arr: Column, on_run, param=None) -> Column:
+    """Fold over a sorted array; ``on_run(acc, run_length, param)`` is applied
+    at the end of every run of equal values.  ``param`` is evaluated once and
+    carried in the accumulator: a lambda body must never reference an outer
+    expression, or Spark re-evaluates that expression for every element."""
     init = F.struct(
         F.lit(None).cast("string").alias("prev"),
         F.lit(0).cast("long").alias("run"),
         F.lit(0.0).alias("acc"),
+        (F.lit(0.0) if param is None else param.cast("double")).alias("p"),
     )
 
     def step(s, x):
         same = s["prev"].eqNullSafe(x) & (s["run"] > 0)
         return F.when(
             same,
-            F.struct(x.alias("prev"), (s["run"] + 1).alias("run"), s["acc"].alias("acc")),
+            F.struct(x.alias("prev"), (s["run"] + 1).alias("run"), s["acc"].alias("acc"), s["p"].alias("p")),
         ).otherwise(
             F.struct(
                 x.alias("prev"),
                 F.lit(1).cast("long").alias("run"),
-                F.when(s["run"] > 0, on_run(s["acc"], s["run"])).otherwise(s["acc"]).alias("acc"),
+                F.when(s["run"] > 0, on_run(s["acc"], s["run"], s["p"])).otherwise(s["acc"]).alias("acc"),
+                s["p"].alias("p"),
             )
         )
 
     def finish(s):
-        return F.when(s["run"] > 0, on_run(s["acc"], s["run"])).otherwise(s["acc"])
+        return F.when(s["run"] > 0, on_run(s["acc"], s["run"], s["p"])).otherwise(s["acc"])
 
     return F.aggregate(sorted_arr, init, step, finish)
 
@@ -102,10 +106,10 @@ def _run_fold(sorted_arr: Column, on_run) -> Column:
 def entropy(tokens) -> Column:
     """Shannon entropy (base 2) of the value frequencies of an array."""
     arr = _c(tokens)
-    n = F.size(arr).cast("double")
     plogp = _run_fold(
         F.array_sort(arr),
-        lambda acc, run: acc - (run / n) * F.log2(run / n),
+        lambda acc, run, n: acc - (run / n) * F.log2(run / n),
+        F.size(arr),
     )
     return F.when(F.size(arr) == 0, F.lit(0.0)).otherwise(plogp)
 
@@ -114,7 +118,7 @@ def max_run(values) -> Column:
     """Largest multiplicity of a value in an array (0 for an empty array)."""
     return _run_fold(
         F.array_sort(_c(values)),
-        lambda acc, run: F.greatest(acc, run.cast("double")),
+        lambda acc, run, _: F.greatest(acc, run.cast("double")),
     )
 
 
@@ -122,10 +126,10 @@ def pattern_repetition(seq, window: int = 3) -> Column:
     """Most frequent sliding ``window``-gram / number of windows; 0 if short."""
     arr = _c(seq)
     n = F.size(arr)
-    grams = F.transform(
-        F.slice(arr, 1, F.greatest(n - (window - 1), F.lit(0))),
-        lambda x, i: F.concat_ws("\u0001", *[F.get(arr, i + k) for k in range(window)]),
-    )
+    shifted = [F.slice(arr, k + 1, F.greatest(n - k, F.lit(0))) for k in range(window)]
+    zipped = F.arrays_zip(*[s.alias(f"g{k}") for k, s in enumerate(shifted)])
+    full = F.filter(zipped, lambda z: z[f"g{window - 1}"].isNotNull())
+    grams = F.transform(full, lambda z: F.concat_ws("\u0001", *[z[f"g{k}"] for k in range(window)]))
     windows = (n - (window - 1)).cast("double")
     return F.when(n < window, F.lit(0.0)).otherwise(max_run(grams) / windows)
 
@@ -152,9 +156,15 @@ def sum_of(arr, fn=None) -> Column:
 
 
 def stddev_pop_of(arr) -> Column:
-    """Population std-dev (two-pass), 0 when fewer than two values."""
+    """Population std-dev (two-pass, the mean carried in the accumulator),
+    0 when fewer than two values."""
     a = _c(arr)
     n = F.size(a).cast("double")
-    mean = sum_of(a) / n
-    var = F.aggregate(a, F.lit(0.0), lambda acc, x: acc + (x.cast("double") - mean) * (x.cast("double") - mean)) / n
-    return F.when(F.size(a) < 2, F.lit(0.0)).otherwise(F.sqrt(var))
+    init = F.struct((sum_of(a) / n).alias("m"), F.lit(0.0).alias("ss"))
+    ss = F.aggregate(
+        a,
+        init,
+        lambda s, x: F.struct(s["m"].alias("m"), (s["ss"] + (x.cast("double") - s["m"]) * (x.cast("double") - s["m"])).alias("ss")),
+        lambda s: s["ss"],
+    )
+    return F.when(F.size(a) < 2, F.lit(0.0)).otherwise(F.sqrt(ss / n))

@@ -142,13 +142,23 @@ def prepare_chunk_arrays(chunks: DataFrame) -> DataFrame:
 # Common text metrics
 # ---------------------------------------------------------------------------
 
+def _common_arrays() -> dict:
+    """Intermediate arrays shared by both languages (stage 2)."""
+    lines = F.col("lines")
+    nonblank = F.filter(lines, lambda l: l.rlike(PY_NON_WS_CLASS))
+    return {
+        "_nb_len": F.transform(nonblank, lambda l: F.length(py_rstrip(l))),
+        "_indents": F.filter(F.transform(nonblank, lambda l: leading_spaces(l)), lambda n: n > 0),
+        "_long_n": _long_lines(lines),
+    }
+
+
 def _text_metrics(comment_lines: Column) -> dict:
     lines = F.col("lines")
     tokens = F.col("tokens")
     total = F.size(lines)
-    nonblank = F.filter(lines, lambda l: l.rlike(PY_NON_WS_CLASS))
-    n_nonblank = F.size(nonblank)
-    lengths = F.transform(nonblank, lambda l: F.length(py_rstrip(l)))
+    lengths = F.col("_nb_len")
+    n_nonblank = F.size(lengths)
     avg_len = safe_ratio(sum_of(lengths), n_nonblank)
     std_len = stddev_pop_of(lengths)
     return {
@@ -168,11 +178,8 @@ def _divisible_by(width: int):
     return lambda x: x % F.lit(width) == 0
 
 
-def indentation_consistency(lines: Column, widths) -> Column:
-    indents = F.filter(
-        F.transform(F.filter(lines, lambda l: l.rlike(PY_NON_WS_CLASS)), lambda l: leading_spaces(l)),
-        lambda n: n > 0,
-    )
+def indentation_consistency(indents: Column, widths) -> Column:
+    """Share of space indents divisible by the best of ``widths``."""
     n = F.size(indents)
     shares = [count_where(indents, _divisible_by(w)) / n for w in widths]
     best = shares[0] if len(shares) == 1 else F.greatest(*shares)
@@ -263,25 +270,43 @@ def _naming(names: Column, counts, stop_names, exempt: str, order) -> dict:
     return out
 
 
+def python_arrays() -> dict:
+    """Stage-2 intermediates of a Python chunk."""
+    lines = F.col("lines")
+    nodes = F.coalesce(F.col("syn.nodes"), F.array())
+    fns = F.filter(nodes, lambda n: n["kind"].isin("FunctionDef", "AsyncFunctionDef"))
+    arrays = _common_arrays()
+    arrays.update(
+        {
+            "_comments": F.transform(F.filter(lines, lambda l: _starts_with(l, "#")), lambda l: F.length(py_strip(l))),
+            "_nodes": nodes,
+            "_fns": fns,
+            "_names": _py_names(nodes),
+            "_strings": F.filter(F.col("tokens"), lambda t: F.substring(t, 1, 1).isin("'", '"')),
+            "_trailing_n": count_where(lines, lambda l: l.rlike(f"{PY_WS_CLASS}\\z")),
+            "_imports": F.when(F.col("syn.parseable"), import_organization(lines)).otherwise(F.lit(0.0)),
+        }
+    )
+    return arrays
+
+
 def python_features() -> dict:
     code = F.col("chunk")
-    lines = F.col("lines")
     syn = F.col("syn")
-    nodes = F.coalesce(syn["nodes"], F.array())
+    nodes = F.col("_nodes")
     parseable = F.coalesce(syn["parseable"], F.lit(False))
     kind_in = lambda *ks: (lambda n: n["kind"].isin(*ks))
 
-    comment_lines = F.filter(lines, lambda l: _starts_with(l, "#"))
-    n_comment = F.size(comment_lines)
+    comments = F.col("_comments")
+    n_comment = F.size(comments)
     f = _text_metrics(n_comment)
 
-    fns = F.filter(nodes, kind_in("FunctionDef", "AsyncFunctionDef"))
+    fns = F.col("_fns")
     n_fns = F.size(fns)
     documented = count_where(fns, lambda n: n["has_doc"])
-    fn_lengths = F.transform(fns, lambda n: F.greatest(n["end_lineno"] - n["lineno"] + 1, F.lit(1)))
-    fn_std = stddev_pop_of(fn_lengths)
+    fn_std = stddev_pop_of(F.transform(fns, lambda n: F.greatest(n["end_lineno"] - n["lineno"] + 1, F.lit(1))))
     stmt_kinds = F.transform(F.filter(nodes, lambda n: n["is_stmt"]), lambda n: n["kind"])
-    names = _py_names(nodes)
+    names = F.col("_names")
     snake = count_where(names, lambda x: x.rlike(SNAKE))
     lower = count_where(names, lambda x: _islower(x) & ~x.contains("_"))
     upper = count_where(names, lambda x: _isupper(x))
@@ -289,18 +314,14 @@ def python_features() -> dict:
                      K.PY_EXEMPT_LETTERS, ["snake", "lower", "upper"])
     n_names = F.size(names)
 
-    def when_parsed(expr, default):
-        return F.when(parseable, expr).otherwise(F.lit(default))
-
     todo = _count("todo", K.PY_PATTERNS, code)
     debug = _count("debug", K.PY_PATTERNS, code)
     ccode = _count("commented_code", K.PY_PATTERNS, code)
-    trailing = count_where(lines, lambda l: l.rlike(f"{PY_WS_CLASS}\\z"))
-    long_n = _long_lines(lines)
+    trailing = F.col("_trailing_n")
+    long_n = F.col("_long_n")
     magic = count_where(nodes, lambda n: F.coalesce(n["magic"], F.lit(False)))
     bare = count_where(nodes, lambda n: F.coalesce(n["bare_except"], F.lit(False)))
-    comment_len = sum_of(comment_lines, lambda l: F.length(py_strip(l)))
-    avg_comment = F.when(n_comment == 0, F.lit(0.0)).otherwise(comment_len / n_comment)
+    avg_comment = F.when(n_comment == 0, F.lit(0.0)).otherwise(sum_of(comments) / n_comment)
 
     f.update(
         {
@@ -316,7 +337,7 @@ def python_features() -> dict:
             "uses_walrus_operator": F.exists(nodes, kind_in("NamedExpr")),
             "uses_f_strings": F.exists(nodes, kind_in("JoinedStr")),
             "uses_type_hints": F.exists(nodes, lambda n: F.coalesce(n["annotated"], F.lit(False))),
-            "import_organization_score": when_parsed(import_organization(lines), 0.0),
+            "import_organization_score": F.coalesce(F.col("_imports"), F.lit(0.0)),
             "nested_function_depth": F.coalesce(F.array_max(F.transform(fns, lambda n: n["fn_depth"])), F.lit(0)).cast("double"),
             "function_length_variance": fn_std,
             "function_length_variance_score": saturate(fn_std, 10.0),
@@ -326,10 +347,8 @@ def python_features() -> dict:
             "single_letter_var_ratio": naming["single_letter_var_ratio"],
             "avg_name_length": naming["avg_name_length"],
             "pattern_repetition_score": pattern_repetition(stmt_kinds),
-            "indentation_consistency": indentation_consistency(lines, K.PY_INDENT_WIDTHS),
-            "quote_consistency": quote_consistency(
-                F.filter(F.col("tokens"), lambda t: F.substring(t, 1, 1).isin("'", '"'))
-            ),
+            "indentation_consistency": indentation_consistency(F.col("_indents"), K.PY_INDENT_WIDTHS),
+            "quote_consistency": quote_consistency(F.col("_strings")),
             "has_todo_comments": todo > 0,
             "has_debug_prints": debug > 0,
             "has_commented_code": ccode > 0,
@@ -399,14 +418,36 @@ def js_names(code: Column) -> Column:
     )
 
 
-def javascript_features() -> dict:
+def javascript_arrays() -> dict:
+    """Stage-2 intermediates of a JavaScript chunk."""
     code = F.col("chunk")
     lines = F.col("lines")
+    arrays = _common_arrays()
+    arrays.update(
+        {
+            "_comment_n": js_comment_lines(lines),
+            "_names": js_names(code),
+            "_strings": F.regexp_extract_all(code, F.lit(java_regex(K.JS_STRING)), 0),
+            "_keywords": F.regexp_extract_all(code, F.lit(java_regex(K.JS_KEYWORDS)), 1),
+            "_line_comments": count_where(lines, lambda l: _starts_with(l, "//")),
+            "_candidates": F.exists(
+                lines,
+                lambda l: l.rlike(PY_NON_WS_CLASS)
+                & ~_starts_with(l, "//|/\\*|\\*")
+                & ~l.rlike(f"[{{}},:;]{PY_WS_CLASS}*\\z"),
+            ),
+            "_depth": brace_depth(code),
+        }
+    )
+    return arrays
+
+
+def javascript_features() -> dict:
+    code = F.col("chunk")
     P = K.JS_PATTERNS
-    comment_n = js_comment_lines(lines)
-    f = _text_metrics(comment_n)
+    f = _text_metrics(F.col("_comment_n"))
 
-    names = js_names(code)
+    names = F.col("_names")
     n_names = F.size(names)
     camel = count_where(names, lambda x: x.rlike(CAMEL))
     snake = count_where(names, lambda x: x.rlike(SNAKE))
@@ -417,25 +458,18 @@ def javascript_features() -> dict:
     named = _count("function_named", P, code)
     anonymous = _count("function_anonymous", P, code) - named
     arrows = _count("arrow", P, code)
-
-    candidates = F.exists(
-        lines,
-        lambda l: l.rlike(PY_NON_WS_CLASS)
-        & ~_starts_with(l, "//|/\\*|\\*")
-        & ~l.rlike(f"[{{}},:;]{PY_WS_CLASS}*\\z"),
-    )
-    line_comments = count_where(lines, lambda l: _starts_with(l, "//"))
+    line_comments = F.col("_line_comments")
     counts = {k: _count(k, P, code) for k in (
         "console", "debugger", "todo", "commented_code", "alert", "eval", "var", "callback_hell")}
     jquery = _count("jquery_call", P, code) + _count("jquery_require", P, code)
-    long_n = _long_lines(lines)
+    long_n = F.col("_long_n")
 
     f.update(
         {
             "function_count": (_count("function_word", P, code) + arrows).cast("long"),
             "loop_count": _count("loop", P, code).cast("long"),
             "try_except_count": _count("try", P, code).cast("long"),
-            "max_ast_depth": brace_depth(code).cast("long"),
+            "max_ast_depth": F.col("_depth").cast("long"),
             "uses_arrow_functions": code.contains("=>"),
             "uses_async_await": _has("async_await", P, code),
             "uses_destructuring": _has("destructuring", P, code),
@@ -446,18 +480,16 @@ def javascript_features() -> dict:
             "import_export_usage": _has("import_export", P, code),
             "uses_strict_mode": _has("strict_mode", P, code),
             "function_style_consistency": dominant_ratio(named, anonymous, arrows),
-            "pattern_repetition_score": pattern_repetition(
-                F.regexp_extract_all(code, F.lit(java_regex(K.JS_KEYWORDS)), 1)
-            ),
+            "pattern_repetition_score": pattern_repetition(F.col("_keywords")),
             "uses_camel_case_ratio": F.when(n_names == 0, F.lit(0.0)).otherwise(camel / n_names),
             "uses_snake_case_ratio": F.when(n_names == 0, F.lit(0.0)).otherwise(snake / n_names),
             "meaningful_name_ratio": naming["meaningful_name_ratio"],
             "single_letter_var_ratio": naming["single_letter_var_ratio"],
             "avg_name_length": naming["avg_name_length"],
             "naming_consistency_score": naming["naming_consistency_score"],
-            "semicolon_consistency": F.when(candidates, F.lit(1.0)).otherwise(F.lit(0.0)),
-            "quote_consistency": quote_consistency(F.regexp_extract_all(code, F.lit(java_regex(K.JS_STRING)), 0)),
-            "indentation_consistency": indentation_consistency(lines, K.JS_INDENT_WIDTHS),
+            "semicolon_consistency": F.when(F.col("_candidates"), F.lit(1.0)).otherwise(F.lit(0.0)),
+            "quote_consistency": quote_consistency(F.col("_strings")),
+            "indentation_consistency": indentation_consistency(F.col("_indents"), K.JS_INDENT_WIDTHS),
             "has_console_log": counts["console"] > 0,
             "has_debugger": counts["debugger"] > 0,
             "has_todo_comments": counts["todo"] > 0,
@@ -482,7 +514,7 @@ def javascript_features() -> dict:
             "example_usage_score": saturate(_count("example_usage", P, code), 4.0),
             "placeholder_score": saturate(_count("placeholder", P, code), 3.0),
             "excessive_comments_ratio": saturate(line_comments, 5.0)
-            * saturate(line_comments, F.greatest(F.size(lines), F.lit(1))),
+            * saturate(line_comments, F.greatest(F.size(F.col("lines")), F.lit(1))),
             "uses_react_patterns": _has("react", P, code),
             "uses_node_patterns": _has("node", P, code),
             "uses_typescript_patterns": _has("typescript", P, code),
@@ -506,11 +538,27 @@ def _typed(name: str, col: Column) -> Column:
 
 def chunk_features(arrays: DataFrame) -> DataFrame:
     """One wide row per chunk: language-specific columns NULL for the other
-    language (B4 routing as a conditional projection, one pass)."""
-    py = python_features()
-    js = javascript_features()
+    language (B4 routing as a conditional projection, one pass).
+
+    Two projections: intermediates first (each evaluated once per chunk),
+    then the scalar features that read them."""
     is_py = F.col("language") == F.lit(PY)
     is_js = F.col("language") == F.lit(JS)
+    py_arr = python_arrays()
+    js_arr = javascript_arrays()
+    inter = []
+    for name in _dedupe(list(py_arr) + list(js_arr)):
+        expr = None
+        if name in py_arr:
+            expr = F.when(is_py, py_arr[name])
+        if name in js_arr:
+            expr = (expr if expr is not None else F).when(is_js, js_arr[name])
+        inter.append(expr.alias(name))
+    staged = arrays.select("*", *inter)
+    inter_names = _dedupe(list(py_arr) + list(js_arr))
+
+    py = python_features()
+    js = javascript_features()
     cols = []
     for name in ALL_FEATURES:
         expr = None
@@ -520,5 +568,6 @@ def chunk_features(arrays: DataFrame) -> DataFrame:
             expr = (expr if expr is not None else F).when(is_js, _typed(name, js[name]))
         cols.append(expr.alias(name))
     error = F.when(is_py, F.coalesce(F.col("lex_error"), F.col("syn.error")))
-    keep = [c for c in arrays.columns if c not in ("lines", "tokens", "syn", "lex_error")]
-    return arrays.select(*keep, *cols, error.alias("chunk_error"))
+    drop = {"lines", "tokens", "syn", "lex_error", *inter_names}
+    keep = [c for c in staged.columns if c not in drop]
+    return staged.select(*keep, *cols, error.alias("chunk_error"))

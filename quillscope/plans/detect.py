@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import constants as K
-from ..functions.chunking import chunk_code
+from ..functions.chunking import with_chunks
 from ..functions.language import SUPPORTED, language_error, resolve_language
 from ..functions.regex import LINE_WITH_END
 from ..operators.aggregate import aggregate_files
@@ -47,14 +47,18 @@ def explode_chunks(routed: DataFrame, target_chars: int = K.TARGET_CHARS,
                    minimum_tail_chars: int = K.MINIMUM_TAIL_CHARS) -> DataFrame:
     """One row per chunk with ``chunk_id`` (0-based) and ``chunk_count``."""
     ok = F.col("language").isin(*SUPPORTED)
-    staged = routed.select(
-        "file_id",
-        "path",
-        "language",
-        "language_error",
-        F.regexp_count(F.col("code"), F.lit(LINE_WITH_END)).alias("file_total_lines"),
-        F.when(ok, chunk_code(F.col("code"), target_chars, minimum_tail_chars))
-        .otherwise(F.array(F.lit(""))).alias("chunks"),
+    staged = with_chunks(
+        routed.select(
+            "file_id",
+            "path",
+            "language",
+            "language_error",
+            F.regexp_count(F.col("code"), F.lit(LINE_WITH_END)).alias("file_total_lines"),
+            "code",
+        ),
+        target_chars=target_chars,
+        minimum_tail_chars=minimum_tail_chars,
+        enabled=ok,
     )
     return staged.select(
         "file_id",
@@ -63,7 +67,9 @@ def explode_chunks(routed: DataFrame, target_chars: int = K.TARGET_CHARS,
         "language_error",
         "file_total_lines",
         F.size("chunks").alias("chunk_count"),
-        F.posexplode("chunks").alias("chunk_id", "chunk"),
+        # outer: chunks are never empty, and an inner explode would make
+        # Catalyst infer size(chunks) > 0 and inline the chunk fold into it
+        F.posexplode_outer("chunks").alias("chunk_id", "chunk"),
     )
 
 
