@@ -1,9 +1,10 @@
 """The ``detect`` job: code files → chunk rows → features → scores → files.
 
-Plan shape (one pass over the input, one exchange):
+Plan shape (one pass over the input, two exchanges):
 
-    scan ─ resolve language ─ chunk fold ─ posexplode ─ Python UDFs (Arrow)
-         ─ features (row-local) ─ scores (row-local)
+    scan ─ resolve language ─ chunk fold ─ posexplode
+         ─ Exchange hash(file_id, chunk_id div 64)          (balance)
+         ─ Python UDFs (Arrow) ─ features ─ scores          (row-local)
          ─ partial agg by file_id ─ Exchange(file_id) ─ final agg
 
 Files with an unresolvable language still flow through as one empty chunk
@@ -73,10 +74,33 @@ def explode_chunks(routed: DataFrame, target_chars: int = K.TARGET_CHARS,
     )
 
 
-def chunk_results(code_files: DataFrame, **kw) -> DataFrame:
+# Chunks of one file stay together in blocks of this many (~140 KB of text):
+# ordinary files are never split (so the map-side partial aggregate still
+# folds them to one row), while one huge file is spread over many tasks.
+CHUNK_BLOCK = 64
+
+
+def balance(chunks: DataFrame, partitions: int | None = None) -> DataFrame:
+    """Hash-distribute chunk rows on ``(file_id, chunk_id div CHUNK_BLOCK)``.
+
+    Input splits can be few or uneven (one file, row group or source may
+    hold a third of all bytes); feature extraction is the costly step, so it
+    runs on evenly sized tasks.  Hash partitioning (not round-robin) keeps
+    the exchange deterministic when a lost executor's tasks are recomputed.
+    An explicit count keeps AQE from coalescing the CPU-bound stage into a
+    few large tasks."""
+    spark = chunks.sparkSession
+    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+    block = F.floor(F.col("chunk_id") / F.lit(CHUNK_BLOCK))
+    return chunks.repartition(n, F.col("file_id"), block)
+
+
+def chunk_results(code_files: DataFrame, balanced: bool = True, partitions: int | None = None, **kw) -> DataFrame:
     """Scored chunk rows (features + K1-K8) before file aggregation."""
     score_kw = {k: kw.pop(k) for k in list(kw) if k.startswith("minimum_") and k != "minimum_tail_chars"}
     chunks = explode_chunks(route(code_files), **kw)
+    if balanced:
+        chunks = balance(chunks, partitions)
     return score_chunks(chunk_features(prepare_chunk_arrays(chunks)), **score_kw)
 
 

@@ -29,6 +29,8 @@ import zlib
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..session import ensure_checkpoint_dir
+
 # Identifiers: 'v_' + ASCII letters of a word, padded/truncated to 12 chars
 # so that template lengths (and so chunk boundaries) do not depend on words.
 NAME_LEN = 12
@@ -206,9 +208,18 @@ def render(dialect: str = "spark", source: str = "documents") -> str:
     )
 
 
-def code_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The derived corpus as a DataFrame (reads ``documents`` at ``sf_dir``)."""
+def code_files(spark: SparkSession, sf_dir: str, materialize: bool = True) -> DataFrame:
+    """The derived corpus as a DataFrame (reads ``documents`` at ``sf_dir``).
+
+    ``materialize`` checkpoints it into the session's shared checkpoint
+    folder.  Without that cut, a filter on a derived column (say
+    ``language``) is pushed down through the projections and inlines the
+    whole template expression into the filter once per reference."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     view = f"qs_documents_{zlib.crc32(sf_dir.encode()):08x}"
     docs.createOrReplaceTempView(view)
-    return spark.sql(render("spark", view))
+    df = spark.sql(render("spark", view))
+    if materialize:
+        ensure_checkpoint_dir(spark)
+        df = df.checkpoint(eager=True)
+    return df
