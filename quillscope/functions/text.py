@@ -6,7 +6,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .regex import LINE_BREAK, PY_NON_WS_CLASS, PY_WS_CLASS
+from .constants import PY_WHITESPACE
+from .regex import LINE_BREAK
 
 
 def _c(x) -> Column:
@@ -35,17 +36,37 @@ def sigmoid(value) -> Column:
 
 # --- Python str semantics --------------------------------------------------
 
+# Native trims take a character set: exact Python str.strip semantics,
+# without a regex per line.
+def py_strip(line) -> Column:
+    return F.trim(_c(line), F.lit(PY_WHITESPACE))
+
+
+def py_rstrip(line) -> Column:
+    return F.rtrim(_c(line), F.lit(PY_WHITESPACE))
+
+
+def py_lstrip(line) -> Column:
+    return F.ltrim(_c(line), F.lit(PY_WHITESPACE))
+
+
 def py_is_blank(line) -> Column:
     """``not line.strip()``."""
-    return ~_c(line).rlike(PY_NON_WS_CLASS)
+    return F.length(py_lstrip(line)) == 0
 
 
-def py_strip(line) -> Column:
-    return F.regexp_replace(_c(line), F.lit(f"^{PY_WS_CLASS}+|{PY_WS_CLASS}+\\z"), F.lit(""))
+def py_nonblank(line) -> Column:
+    return F.length(py_lstrip(line)) > 0
 
 
-def py_rstrip(line) -> Column:
-    return F.regexp_replace(_c(line), F.lit(f"{PY_WS_CLASS}+\\z"), F.lit(""))
+def stripped_startswith(line, *prefixes: str) -> Column:
+    """``line.strip().startswith(prefixes)``."""
+    head = py_lstrip(line)
+    out = None
+    for p in prefixes:
+        t = F.startswith(head, F.lit(p))
+        out = t if out is None else (out | t)
+    return out
 
 
 def split_lines(text) -> Column:
@@ -57,7 +78,7 @@ def split_lines(text) -> Column:
 
 def leading_spaces(line) -> Column:
     """``len(line) - len(line.lstrip(' '))``."""
-    return F.length(F.regexp_extract(_c(line), "^ *", 0))
+    return F.length(_c(line)) - F.length(F.ltrim(_c(line), F.lit(" ")))
 
 
 # --- sequence statistics over arrays (F7-F9, D4) ---------------------------

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import constants as K
 from ..functions.pysyntax import python_syntax, python_tokens
-from ..functions.regex import PY_NON_WS_CLASS, PY_WS_CLASS, java_regex
+from ..functions.regex import java_regex
 from ..functions.text import (
     clamp,
     count_where,
@@ -22,8 +22,10 @@ from ..functions.text import (
     entropy,
     leading_spaces,
     pattern_repetition,
+    py_nonblank,
     py_rstrip,
     py_strip,
+    stripped_startswith,
     quote_consistency,
     safe_ratio,
     saturate,
@@ -107,9 +109,9 @@ def _has(pattern_key, table, text: Column) -> Column:
     return text.rlike(java_regex(pattern, flags))
 
 
-def _starts_with(line: Column, prefix_regex: str) -> Column:
-    """``line.strip().startswith(...)`` as a regex test."""
-    return line.rlike(f"^{PY_WS_CLASS}*(?:{prefix_regex})")
+def _starts_with(line: Column, *prefixes: str) -> Column:
+    """``line.strip().startswith(prefixes)``."""
+    return stripped_startswith(line, *prefixes)
 
 
 # ---------------------------------------------------------------------------
@@ -145,7 +147,7 @@ def prepare_chunk_arrays(chunks: DataFrame) -> DataFrame:
 def _common_arrays() -> dict:
     """Intermediate arrays shared by both languages (stage 2)."""
     lines = F.col("lines")
-    nonblank = F.filter(lines, lambda l: l.rlike(PY_NON_WS_CLASS))
+    nonblank = F.filter(lines, lambda l: py_nonblank(l))
     return {
         "_nb_len": F.transform(nonblank, lambda l: F.length(py_rstrip(l))),
         "_indents": F.filter(F.transform(nonblank, lambda l: leading_spaces(l)), lambda n: n > 0),
@@ -198,7 +200,7 @@ def import_organization(lines: Column) -> Column:
     """Share of islands of adjacent import lines that are in code-point order."""
     imports = F.filter(
         F.transform(lines, lambda l, i: F.struct(i.alias("i"), l.alias("l"))),
-        lambda s: _starts_with(s["l"], "import |from "),
+        lambda s: _starts_with(s["l"], "import ", "from "),
     )
     imports = F.transform(imports, lambda s: F.struct(s["i"].alias("i"), py_strip(s["l"]).alias("s")))
     init = F.struct(
@@ -273,7 +275,7 @@ def _naming(names: Column, counts, stop_names, exempt: str, order) -> dict:
 def python_arrays() -> dict:
     """Stage-2 intermediates of a Python chunk."""
     lines = F.col("lines")
-    nodes = F.coalesce(F.col("syn.nodes"), F.array())
+    nodes = F.col("syn.nodes")
     fns = F.filter(nodes, lambda n: n["kind"].isin("FunctionDef", "AsyncFunctionDef"))
     arrays = _common_arrays()
     arrays.update(
@@ -283,7 +285,7 @@ def python_arrays() -> dict:
             "_fns": fns,
             "_names": _py_names(nodes),
             "_strings": F.filter(F.col("tokens"), lambda t: F.substring(t, 1, 1).isin("'", '"')),
-            "_trailing_n": count_where(lines, lambda l: l.rlike(f"{PY_WS_CLASS}\\z")),
+            "_trailing_n": count_where(lines, lambda l: F.length(py_rstrip(l)) < F.length(l)),
             "_imports": F.when(F.col("syn.parseable"), import_organization(lines)).otherwise(F.lit(0.0)),
         }
     )
@@ -380,13 +382,13 @@ def js_comment_lines(lines: Column) -> Column:
     init = F.struct(F.lit(0).alias("n"), F.lit(False).alias("open"))
 
     def step(acc, l):
-        blank = ~l.rlike(PY_NON_WS_CLASS)
+        blank = ~py_nonblank(l)
         closes = l.contains("*/")
         return (
             F.when(blank, acc)
             .when(acc["open"], F.struct((acc["n"] + 1).alias("n"), (~closes).alias("open")))
             .when(_starts_with(l, "//"), F.struct((acc["n"] + 1).alias("n"), F.lit(False).alias("open")))
-            .when(_starts_with(l, "/\\*"), F.struct((acc["n"] + 1).alias("n"), (~closes).alias("open")))
+            .when(_starts_with(l, "/*"), F.struct((acc["n"] + 1).alias("n"), (~closes).alias("open")))
             .otherwise(acc)
         )
 
@@ -432,9 +434,9 @@ def javascript_arrays() -> dict:
             "_line_comments": count_where(lines, lambda l: _starts_with(l, "//")),
             "_candidates": F.exists(
                 lines,
-                lambda l: l.rlike(PY_NON_WS_CLASS)
-                & ~_starts_with(l, "//|/\\*|\\*")
-                & ~l.rlike(f"[{{}},:;]{PY_WS_CLASS}*\\z"),
+                lambda l: py_nonblank(l)
+                & ~_starts_with(l, "//", "/*", "*")
+                & ~F.substring(py_rstrip(l), -1, 1).isin("{", "}", ",", ":", ";"),
             ),
             "_depth": brace_depth(code),
         }

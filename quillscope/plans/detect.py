@@ -95,9 +95,23 @@ def balance(chunks: DataFrame, partitions: int | None = None) -> DataFrame:
     return chunks.repartition(n, F.col("file_id"), block)
 
 
+def spread_files(code_files: DataFrame) -> DataFrame:
+    """Inputs read as fewer splits than the cluster has cores (one big row
+    group, a single file) are hash-spread by ``file_id`` so that language
+    detection and chunking run in parallel.  Only the split count is
+    inspected (no data is read); large inputs are left as they are."""
+    spark = code_files.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    if code_files.rdd.getNumPartitions() >= cores:
+        return code_files
+    return code_files.repartition(cores, "file_id")
+
+
 def chunk_results(code_files: DataFrame, balanced: bool = True, partitions: int | None = None, **kw) -> DataFrame:
     """Scored chunk rows (features + K1-K8) before file aggregation."""
     score_kw = {k: kw.pop(k) for k in list(kw) if k.startswith("minimum_") and k != "minimum_tail_chars"}
+    if balanced:
+        code_files = spread_files(code_files)
     chunks = explode_chunks(route(code_files), **kw)
     if balanced:
         chunks = balance(chunks, partitions)
