@@ -24,6 +24,7 @@ def get_session(master: str | None = None, app: str = "quillscope", shuffle_part
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", os.environ.get("QS_DRIVER_MEMORY", "16g"))
+        .config("spark.sql.codegen.wholeStage", os.environ.get("QS_WHOLE_STAGE", "true"))
     )
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
