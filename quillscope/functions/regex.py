@@ -24,8 +24,24 @@ _ECMA_LINE_TERMINATORS = "\n\r\u2028\u2029"
 
 
 def _escape_chars(chars: str) -> str:
-    """Characters as ``\\uXXXX`` escapes, usable inside a Java class."""
-    return "".join(f"\\u{ord(ch):04X}" for ch in chars)
+    """Class body for ``chars`` with consecutive code points merged into
+    ranges: Java tests a class as a chain of members, one per listed
+    character or range, so fewer members is measurably faster."""
+    points = sorted({ord(ch) for ch in chars})
+    parts, i = [], 0
+    while i < len(points):
+        j = i
+        while j + 1 < len(points) and points[j + 1] == points[j] + 1:
+            j += 1
+        lo, hi = points[i], points[j]
+        parts.append(f"\\u{lo:04X}" if lo == hi else f"\\u{lo:04X}-\\u{hi:04X}")
+        i = j + 1
+    return "".join(parts)
+
+
+# Python's str.isspace set is exactly Unicode White_Space plus U+001C..U+001F;
+# under (?U) Java's \s is that property, a single fast predicate.
+_PY_WS_UNICODE_INNER = "\\s\\x1C-\\x1F"
 
 
 PY_WS_CLASS = "[" + _escape_chars(PY_WHITESPACE) + "]"
@@ -124,7 +140,7 @@ def java_regex(pattern: str, flags: str = "") -> str:
         prefix += "(?m)"
     if "S" in flags:
         prefix += "(?s)"
-    return prefix + _rewrite(pattern, _escape_chars(PY_WHITESPACE), None, None)
+    return prefix + _rewrite(pattern, _PY_WS_UNICODE_INNER, None, None)
 
 
 @lru_cache(maxsize=None)
