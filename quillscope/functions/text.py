@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .constants import PY_WHITESPACE
+from .constants import LINE_BREAKS, PY_WHITESPACE
 from .regex import LINE_BREAK
 
 
@@ -76,6 +76,15 @@ def split_lines(text) -> Column:
     return F.when(F.element_at(parts, -1) == F.lit(""), F.slice(parts, 1, n - 1)).otherwise(parts)
 
 
+def line_count(text) -> Column:
+    """``len(text.splitlines())`` without materialising the lines: the
+    number of terminators, plus one if the text does not end in one."""
+    t = _c(text)
+    last = F.substring(t, -1, 1)
+    open_tail = (F.length(t) > 0) & ~last.isin(*list(LINE_BREAKS))
+    return F.regexp_count(t, F.lit(LINE_BREAK)) + F.when(open_tail, 1).otherwise(0)
+
+
 def leading_spaces(line) -> Column:
     """``len(line) - len(line.lstrip(' '))``."""
     return F.length(_c(line)) - F.length(F.ltrim(_c(line), F.lit(" ")))

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from ..functions import constants as K
 from ..functions.chunking import with_chunks
 from ..functions.language import SUPPORTED, language_error, resolve_language
-from ..functions.regex import LINE_WITH_END
+from ..functions.text import line_count
 from ..operators.aggregate import aggregate_files
 from ..operators.features import chunk_features, prepare_chunk_arrays
 from ..operators.scoring import score_chunks
@@ -54,7 +54,7 @@ def explode_chunks(routed: DataFrame, target_chars: int = K.TARGET_CHARS,
             "path",
             "language",
             "language_error",
-            F.regexp_count(F.col("code"), F.lit(LINE_WITH_END)).alias("file_total_lines"),
+            line_count(F.col("code")).alias("file_total_lines"),
             "code",
         ),
         target_chars=target_chars,

@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 from ..functions.chunking import with_chunks
 from ..operators.features import JS_BOOL, JS_DOUBLE, PY_BOOL, PY_DOUBLE
 from ..sources.corpus import code_files
-from .detect import chunk_results, detect
+from .detect import chunk_results, detect, spread_files
 from .outputs import to_basic, to_report
 
 JS_CHUNK_COLUMNS = [
@@ -76,7 +76,7 @@ def _language_is(language: str) -> Column:
 def q_chunk_code(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(
         F.col("doc_id").alias("file_id"), F.col("text").alias("code"))
-    chunks = with_chunks(docs)
+    chunks = with_chunks(spread_files(docs))
     return chunks.select(
         "file_id",
         F.size("chunks").alias("chunk_count"),

@@ -10,7 +10,7 @@ import plain
 from quillscope.functions import constants as K
 from quillscope.functions.chunking import with_chunks
 from quillscope.functions.regex import java_regex
-from quillscope.functions.text import entropy, pattern_repetition, split_lines
+from quillscope.functions.text import entropy, line_count, pattern_repetition, split_lines
 from quillscope.operators.features import brace_depth, js_comment_lines
 
 EDGE = [
@@ -40,8 +40,9 @@ def test_split_lines_matches_str_splitlines(spark):
     rng = random.Random(3)
     texts = EDGE + [_random_text(rng, rng.randint(0, 80)) for _ in range(200)]
     df = spark.createDataFrame([(t,) for t in texts], "t string")
-    got = [list(r.l) for r in df.select(split_lines(F.col("t")).alias("l")).collect()]
-    assert got == [t.splitlines() for t in texts]
+    rows = df.select(split_lines(F.col("t")).alias("l"), line_count(F.col("t")).alias("n")).collect()
+    assert [list(r.l) for r in rows] == [t.splitlines() for t in texts]
+    assert [r.n for r in rows] == [len(t.splitlines()) for t in texts]
 
 
 def test_brace_depth_and_comment_lines(spark):
