@@ -99,14 +99,48 @@ STRING_FEATURES = JS_STRING
 ALL_FEATURES = LONG_FEATURES + BOOL_FEATURES + DOUBLE_FEATURES + STRING_FEATURES
 
 
+# Literals every match of a pattern contains (any one of them).  A native
+# substring test skips the regex scan on chunks that cannot match; only
+# case-sensitive patterns are listed.
+REQUIRED_LITERALS = {
+    id(K.JS_PATTERNS): {
+        "function_word": ["function"], "arrow": ["=>"], "try": ["try"], "loop": ["for", "while", "do"],
+        "async_await": ["async", "await"], "destructuring": ["const", "let"], "template_literal": ["`"],
+        "iife": ["function"], "import_export": ["import", "export"], "strict_mode": ["use strict"],
+        "function_named": ["function"], "function_anonymous": ["function"], "console": ["console."],
+        "debugger": ["debugger"], "todo": ["//"], "commented_code": ["//"], "alert": ["alert"], "eval": ["eval"],
+        "var": ["var"], "jquery_call": ["$", "jQuery"], "jquery_require": ["require"],
+        "callback_hell": ["function"], "commonjs": ["exports."], "es6": ["export", "import"],
+        "react": ["useState", "useEffect", "React.", "jsx", "className="],
+        "node": ["require", "module.exports", "process.", "__dirname", "__filename"],
+    },
+    id(K.PY_PATTERNS): {"todo": ["#"], "commented_code": ["#"], "debug": ["print", "breakpoint"]},
+}
+
+
+def _may_match(pattern_key, table, text: Column):
+    literals = REQUIRED_LITERALS.get(id(table), {}).get(pattern_key)
+    if not literals:
+        return None
+    test = None
+    for lit in literals:
+        t = text.contains(lit)
+        test = t if test is None else (test | t)
+    return test
+
+
 def _count(pattern_key, table, text: Column) -> Column:
     pattern, flags = table[pattern_key]
-    return F.regexp_count(text, F.lit(java_regex(pattern, flags)))
+    n = F.regexp_count(text, F.lit(java_regex(pattern, flags)))
+    gate = _may_match(pattern_key, table, text)
+    return n if gate is None else F.when(gate, n).otherwise(F.lit(0))
 
 
 def _has(pattern_key, table, text: Column) -> Column:
     pattern, flags = table[pattern_key]
-    return text.rlike(java_regex(pattern, flags))
+    hit = text.rlike(java_regex(pattern, flags))
+    gate = _may_match(pattern_key, table, text)
+    return hit if gate is None else (gate & hit)
 
 
 def _starts_with(line: Column, *prefixes: str) -> Column:
