@@ -110,7 +110,7 @@ REQUIRED_LITERALS = {
         "function_named": ["function"], "function_anonymous": ["function"], "console": ["console."],
         "debugger": ["debugger"], "todo": ["//"], "commented_code": ["//"], "alert": ["alert"], "eval": ["eval"],
         "var": ["var"], "jquery_call": ["$", "jQuery"], "jquery_require": ["require"],
-        "callback_hell": ["function"], "commonjs": ["exports."], "es6": ["export", "import"],
+        "callback_hell": ["function"], "commonjs": ["exports"], "es6": ["export", "import"],
         "react": ["useState", "useEffect", "React.", "jsx", "className="],
         "node": ["require", "module.exports", "process.", "__dirname", "__filename"],
     },
