@@ -74,7 +74,10 @@ def test_translated_patterns_count_like_python_re(spark, table):
              "// var", "function (", "function f (", "=>", "$(", "jQuery (", "console.log(", "alert(", "eval (",
              "var  ", "debugger", "your-", "my_", "mock", "exampleData", "module.exports", "import x from y",
              "export default", "{", "}", "\n", " ", " ", "\t", "@param {", ": string", "interface X", "`a${b}`",
-             "const [a] =", "(function () {", "use strict", "'", '"', "require('jquery')", "\x1c", "ſ", "K"]
+             "const [a] =", "(function () {", "use strict", "'", '"', "require('jquery')", "\x1c", "ſ", "K",
+             "module.exports", "exports.x", "process.env", "__dirname", "useState(", "className=", "await ",
+             "async", "let {a} =", "`", "do", "while", "for", "try", "print(", "breakpoint (", "#", "React.x",
+             "import a from 'b'", "export const", "jsx", "@returns {"]
     texts = ["".join(rng.choice(words) for _ in range(rng.randint(0, 25))) for _ in range(300)]
     df = spark.createDataFrame([(t,) for t in texts], "t string")
     names = list(patterns)

@@ -33,3 +33,25 @@ def test_stream_equals_batch(spark):
     assert sorted(map(tuple, streamed.select(cols).collect())) == sorted(map(tuple, batch.select(cols).collect()))
     langs = {r.file_id: r.language for r in batch.collect()}
     assert langs[1] == "python" and langs[4] == "python"
+
+
+def test_read_code_files_detects_by_extension_and_content(spark):
+    from quillscope.sources.files import read_code_files
+
+    base = tempfile.mkdtemp(prefix="qs-files-")
+    os.makedirs(os.path.join(base, "sub"))
+    files = {
+        "a.py": AI_PYTHON,
+        "b.JS": AI_JAVASCRIPT,
+        "sub/c.tsx": AI_JAVASCRIPT,
+        "sub/noext": HUMAN_PYTHON,
+        "d.rb": "puts 'hello'\n",
+    }
+    for name, text in files.items():
+        with open(os.path.join(base, name), "w") as fh:
+            fh.write(text)
+    res = {os.path.basename(r.path): r for r in detect(read_code_files(spark, base)).collect()}
+    assert res["a.py"].language == "python" and res["b.JS"].language == "javascript"
+    assert res["c.tsx"].language == "javascript" and res["noext"].language == "python"
+    assert res["d.rb"].error is not None and res["a.py"].file_total_lines == len(AI_PYTHON.splitlines())
+    assert len({r.file_id for r in res.values()}) == len(files)
