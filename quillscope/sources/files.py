@@ -18,12 +18,13 @@ def read_code_files(spark: SparkSession, paths, recursive: bool = True, glob: st
 
     ``file_id`` is the 64-bit hash of the path: stable across runs and task
     retries, so results can be joined back and streams de-duplicated."""
-    reader = spark.read.option("wholetext", True)
+    reader = spark.read
     if recursive:
         reader = reader.option("recursiveFileLookup", True)
     if glob:
         reader = reader.option("pathGlobFilter", glob)
-    df = reader.text(paths)
+    # text()'s own wholetext argument defaults to False and wins over options
+    df = reader.text(paths, wholetext=True)
     path = F.col("_metadata.file_path")
     return df.select(
         F.xxhash64(path).alias("file_id"),
