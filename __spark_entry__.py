@@ -56,6 +56,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "py_text_features": Q.q_py_text_features,
         "py_file_results": Q.q_py_file_results,
         "basic": Q.q_basic,
+        "detailed": Q.q_detailed,
         "report": Q.q_report,
         "errors": Q.q_errors,
         "evaluate": Q.q_evaluate,

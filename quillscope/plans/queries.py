@@ -15,7 +15,7 @@ from ..functions.chunking import with_chunks
 from ..operators.features import JS_BOOL, JS_DOUBLE, PY_BOOL, PY_DOUBLE
 from ..sources.corpus import code_files
 from .detect import chunk_results, detect, spread_files
-from .outputs import to_basic, to_report
+from .outputs import to_basic, to_detailed, to_report
 
 JS_CHUNK_COLUMNS = [
     "total_lines", "non_empty_lines", "blank_line_ratio", "token_count", "token_entropy", "comment_ratio",
@@ -185,6 +185,11 @@ def q_basic(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(to_basic(detect(files), files))
 
 
+def q_detailed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A5: every feature of every file, as JSON."""
+    return to_detailed(detect(code_files(spark, sf_dir)), as_json=True)
+
+
 def q_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return to_report(detect(code_files(spark, sf_dir)), detailed=True)
 
