@@ -132,3 +132,16 @@ def test_flagship_against_oracle(spark):
     norm = lambda d: sorted(tuple("" if v is None or (isinstance(v, float) and math.isnan(v)) else str(v) for v in row)
                             for row in d[cols].itertuples(index=False))
     assert norm(got) == norm(want)
+
+
+def test_tunable_arguments(spark):
+    from snippets import AI_PYTHON, LOW_SIGNAL_PYTHON
+
+    df = spark.createDataFrame([(1, "python", AI_PYTHON), (2, "python", LOW_SIGNAL_PYTHON)],
+                               "file_id long, language string, code string")
+    default = {r.file_id: r for r in detect(df).collect()}
+    small = {r.file_id: r for r in detect(df, target_chars=300, minimum_tail_chars=50).collect()}
+    assert default[1].chunk_count == 1 and small[1].chunk_count > 1
+    lenient = {r.file_id: r for r in detect(df, minimum_lines=1, minimum_tokens=1, minimum_signal=0.0,
+                                              minimum_margin=0.0).collect()}
+    assert default[2].decision_basis == K.BASIS_LOW and lenient[2].decision_basis == K.BASIS_CLEAR
