@@ -40,8 +40,14 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     conf_dir = spark.conf.get("spark.checkpoint.dir", None)
     if not conf_dir:
         conf_dir = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    if not conf_dir:
+        conf_dir = spark.sparkContext.getCheckpointDir()
     if not conf_dir:
         conf_dir = tempfile.mkdtemp(prefix="quillscope-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", conf_dir)
-    spark.sparkContext.setCheckpointDir(conf_dir)
+        try:  # some sessions refuse runtime changes of core settings
+            spark.conf.set("spark.checkpoint.dir", conf_dir)
+        except Exception:
+            pass
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(conf_dir)
     return conf_dir
