@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.chunking import with_chunks
-from ..operators.features import JS_BOOL, JS_DOUBLE, PY_BOOL, PY_DOUBLE
 from ..sources.corpus import code_files
 from .detect import chunk_results, detect, spread_files
 from .outputs import to_basic, to_detailed, to_report

@@ -5,7 +5,7 @@ import os
 import tempfile
 
 from quillscope import detect
-from quillscope.sources.files import SNIPPET_SCHEMA, read_snippets, snippets_from
+from quillscope.sources.files import SNIPPET_SCHEMA, read_snippets
 from quillscope.streaming.stream import detect_stream
 from snippets import AI_JAVASCRIPT, AI_PYTHON, HUMAN_PYTHON, LOW_SIGNAL_PYTHON
 
