@@ -43,7 +43,7 @@ def conversation_stream(spark: SparkSession, sf_dir: str, output_dir: str, check
         .option("maxFilesPerTrigger", 1).parquet(sf_dir)
     )
     snippets = src.select(
-        (F.col("conv_id") * 1000 + F.col("turn")).alias("file_id"), F.col("text").alias("code"))
+        F.xxhash64("conv_id", "turn").alias("file_id"), F.col("text").alias("code"))
     q = detect_stream(snippets, output_dir, checkpoint, trigger_once=True)
     q.awaitTermination()
     return spark.read.parquet(output_dir)
