@@ -24,6 +24,13 @@ from quillscope.functions import constants as K  # noqa: E402
 from quillscope.oracle import duck as D  # noqa: E402
 from quillscope.plans import queries as Q  # noqa: E402
 
+try:  # the training-data operators can be left out as a whole
+    import quillscope.llm.queries as LLM
+except ModuleNotFoundError as missing:
+    if missing.name not in ("quillscope.llm", "corpus_pipeline"):
+        raise
+    LLM = None
+
 SF_SMOKE = "/root/testdata/sf0.001"
 
 
@@ -62,7 +69,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "evaluate": Q.q_evaluate,
         "benchmark_snippets": Q.q_benchmark_snippets,
         "conversation_stream": _conversation_stream,
-    }
+    } | (LLM.queries() if LLM else {})
 
 
 # ---------------------------------------------------------------------------
@@ -194,4 +201,4 @@ def oracle_sql() -> dict[str, str]:
             f"FROM ({D.resolved_corpus_sql()})"
         ),
         "py_text_features": _py_text_sql(),
-    }
+    } | (LLM.oracle_sql() if LLM else {})
