@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillscope.llm import decontaminate, hilbert_pack, kd_shards, language_id, quality_knn, simhash, syncmers, token_counts
+from quillscope.llm import chat_rotation, decontaminate, hilbert_pack, kd_shards, language_id, quality_knn, simhash, syncmers, token_counts, warc_merkle
 from quillscope.llm.sampling import held_out_bucket
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -38,6 +38,14 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op4_warc_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc_merkle.audit_damaged(table(spark, sf_dir, "pages"))
+
+
+def op5_chat_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat_rotation.digest(chat_rotation.rotate(table(spark, sf_dir, "conversations")))
+
+
 def op6_quality_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = quality_knn.fit(docs, quality_knn.training_labels(table(spark, sf_dir, "labels")))
@@ -63,8 +71,8 @@ def op10_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_token_counts, op2_language_id, op3_simhash, op6_quality_knn, op7_decontamination, op8_syncmers, op9_hilbert_pack, op10_kd_shards)}
+    return {f.__name__: f for f in (op1_token_counts, op2_language_id, op3_simhash, op4_warc_merkle, op5_chat_rotation, op6_quality_knn, op7_decontamination, op8_syncmers, op9_hilbert_pack, op10_kd_shards)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_decontamination": decontaminate.REPORT_SQL}
+    return {"op4_warc_merkle": warc_merkle.AUDIT_SQL, "op5_chat_rotation": chat_rotation.DIGEST_SQL, "op7_decontamination": decontaminate.REPORT_SQL}
