@@ -24,10 +24,11 @@ from quillscope.functions import constants as K  # noqa: E402
 from quillscope.oracle import duck as D  # noqa: E402
 from quillscope.plans import queries as Q  # noqa: E402
 
-try:  # the training-data operators can be left out as a whole
+try:  # the training-data operators and their pipeline can be left out as a whole
+    import corpus_pipeline
     import quillscope.llm.queries as LLM
 except ModuleNotFoundError as missing:
-    if missing.name not in ("quillscope.llm", "corpus_pipeline"):
+    if missing.name not in ("corpus_pipeline", "quillscope.llm"):
         raise
     LLM = None
 
@@ -69,7 +70,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "evaluate": Q.q_evaluate,
         "benchmark_snippets": Q.q_benchmark_snippets,
         "conversation_stream": _conversation_stream,
-    } | (LLM.queries() if LLM else {})
+    } | (LLM.queries() | {"pipeline": corpus_pipeline.run} if LLM else {})
 
 
 # ---------------------------------------------------------------------------
