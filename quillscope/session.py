@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import zipfile
 
 from pyspark.sql import SparkSession
 
@@ -32,17 +33,37 @@ def get_session(master: str | None = None, app: str = "quillscope", shuffle_part
     return spark
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Lets Python workers import this package where it is not installed: once per
+    application, the package's sources go to the executors through Spark."""
+    context = spark.sparkContext
+    if getattr(context, "_quillscope_shipped", False):
+        return
+    root = os.path.dirname(os.path.abspath(__file__))
+    target = os.path.join(tempfile.mkdtemp(prefix="quillscope-src-"), "quillscope_src.zip")
+    with zipfile.ZipFile(target, "w") as z:
+        for folder, _, names in os.walk(root):
+            for name in names:
+                if name.endswith(".py"):
+                    path = os.path.join(folder, name)
+                    z.write(path, os.path.relpath(path, os.path.dirname(root)))
+    context.addPyFile(target)
+    context._quillscope_shipped = True
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The shared checkpoint folder named by ``spark.checkpoint.dir``.
+    """The shared folder named by ``spark.checkpoint.dir``.
 
-    A cluster names it; only when it is unset (local tests) do we point it
-    at a fresh scratch folder."""
+    A cluster must name it.  Only a local session, whose executors share the
+    driver's disk, gets a scratch folder where none is set."""
     conf_dir = spark.conf.get("spark.checkpoint.dir", None)
     if not conf_dir:
         conf_dir = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not conf_dir:
         conf_dir = spark.sparkContext.getCheckpointDir()
     if not conf_dir:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         conf_dir = tempfile.mkdtemp(prefix="quillscope-ckpt-")
         try:  # some sessions refuse runtime changes of core settings
             spark.conf.set("spark.checkpoint.dir", conf_dir)
