@@ -13,21 +13,25 @@ from pyspark.sql import DataFrame, SparkSession
 
 from quillscope.llm import decontaminate, hilbert_pack, language_id, quality_knn, simhash
 from quillscope.llm.components import checkpoint_folder
+from quillscope.session import ship_package
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects documents without letters or without a likely language."""
+    ship_package(spark)
     return language_id.keep_identified(docs, language_id.fit(language_id.training_rows(docs)))
 
 
 def classify_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects documents whose labelled neighbours vote for low quality."""
+    ship_package(spark)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     return quality_knn.keep_good(docs, quality_knn.fit(docs, quality_knn.training_labels(labels)))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates stays, the one with the least id."""
+    ship_package(spark)
     return simhash.drop_near_duplicates(docs)
 
 
@@ -38,6 +42,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of documents in sequences of at most 1024 tokens."""
+    ship_package(spark)
     return hilbert_pack.pack(docs)
 
 

@@ -6,6 +6,7 @@ and derives the contract's columns from the operator's result.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,6 +14,7 @@ from pyspark.sql import functions as F
 
 from quillscope.llm import chat_rotation, decontaminate, hilbert_pack, kd_shards, language_id, quality_knn, simhash, syncmers, token_counts, warc_merkle
 from quillscope.llm.sampling import held_out_bucket
+from quillscope.session import ship_package
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -70,8 +72,17 @@ def op10_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def _shipped(query: Query) -> Query:
+    @functools.wraps(query)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        ship_package(spark)
+        return query(spark, sf_dir)
+
+    return run
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_token_counts, op2_language_id, op3_simhash, op4_warc_merkle, op5_chat_rotation, op6_quality_knn, op7_decontamination, op8_syncmers, op9_hilbert_pack, op10_kd_shards)}
+    return {f.__name__: _shipped(f) for f in (op1_token_counts, op2_language_id, op3_simhash, op4_warc_merkle, op5_chat_rotation, op6_quality_knn, op7_decontamination, op8_syncmers, op9_hilbert_pack, op10_kd_shards)}
 
 
 def oracle_sql() -> dict[str, str]:
