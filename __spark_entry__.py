@@ -47,7 +47,8 @@ def _conversation_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quillscope.streaming.stream import conversation_stream
 
     base = os.path.join(ensure_checkpoint_dir(spark), f"conversation-stream-{uuid.uuid4().hex}")
-    return conversation_stream(spark, sf_dir, os.path.join(base, "out"), os.path.join(base, "ckpt"))
+    results = conversation_stream(spark, sf_dir, os.path.join(base, "out"), os.path.join(base, "ckpt"))
+    return Q.file_digest(results)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -59,6 +60,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "js_chunk_features": Q.q_js_chunk_features,
         "js_chunk_scores": Q.q_js_chunk_scores,
         "js_file_results": Q.q_js_file_results,
+        "js_file_features": Q.q_js_file_features,
+        "js_report": Q.q_js_report,
+        "js_basic": Q.q_js_basic,
+        "js_tuned": Q.q_js_tuned,
+        "input_errors": Q.q_input_errors,
         "page_scripts": Q.q_page_scripts,
         "detect_language": Q.q_detect_language,
         "py_text_features": Q.q_py_text_features,
@@ -69,6 +75,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "errors": Q.q_errors,
         "evaluate": Q.q_evaluate,
         "benchmark_snippets": Q.q_benchmark_snippets,
+        "benchmark_snippets_js": Q.q_benchmark_snippets_js,
         "conversation_stream": _conversation_stream,
     } | (LLM.queries() | {"pipeline": corpus_pipeline.run} if LLM else {})
 
@@ -84,6 +91,9 @@ def _r(col: str) -> str:
 DOC_SRC = "SELECT doc_id AS file_id, text AS code FROM documents"
 JS_CORPUS_SRC = f"SELECT file_id, code FROM ({D.resolved_corpus_sql()}) WHERE language = 'javascript'"
 PY_CORPUS_SRC = f"SELECT file_id, code FROM ({D.resolved_corpus_sql()}) WHERE language = 'python'"
+BENCHMARK_SRC = "SELECT item_id AS file_id, text AS code FROM benchmark"
+TURNS_SRC = "SELECT conv_id * 1048576 + turn AS file_id, text AS code FROM conversations"
+INPUTS_SRC = "SELECT doc_id AS file_id, text AS code FROM documents WHERE doc_id % 5 <> 0 AND doc_id % 7 <> 0 AND doc_id % 11 <> 0"
 PAGES_SRC = (
     "SELECT page_id AS file_id, array_to_string(regexp_extract_all(html, '(?is)<script[^>]*>(.*?)</script>', 1), chr(10)) AS code "
     "FROM pages"
@@ -97,8 +107,17 @@ JS_DOUBLES = set(K.JS_AI_WEIGHTS) | set(K.JS_HUMAN_WEIGHTS) | {
 }
 
 
-def _js(select: str, src: str, extra: str = "") -> str:
-    return f"WITH RECURSIVE {D.chunks_ctes(src)}{D.js_feature_ctes()}{extra}\n{select}"
+def _js(select: str, src: str, extra: str = "", **chunking: int) -> str:
+    return f"WITH RECURSIVE {D.chunks_ctes(src, **chunking)}{D.js_feature_ctes()}{extra}\n{select}"
+
+
+def _tuned(extra: str) -> str:
+    """The abstention thresholds of the tuned query in place of the defaults."""
+    for default, tuned in (("non_empty_lines < 5 ", "non_empty_lines < 2 "), ("token_count < 24 ", "token_count < 10 "), ("ai + hu < 1.2 ", "ai + hu < 0.4 "), ("abs(ai - hu) < 0.8 ", "abs(ai - hu) < 0.1 ")):
+        if default not in extra:
+            raise ValueError(default)
+        extra = extra.replace(default, tuned)
+    return extra
 
 
 def _cols(cols) -> str:
@@ -173,6 +192,18 @@ def oracle_sql() -> dict[str, str]:
         + ", decision_basis, CAST(token_count AS BIGINT) AS token_count, CAST(function_count AS BIGINT) AS function_count, "
         "CAST(max_ast_depth AS BIGINT) AS max_ast_depth, CAST(total_lines AS BIGINT) AS total_lines FROM files"
     )
+    basic_select = (
+        "SELECT file_id, CASE WHEN classification = 'AI-Generated Code' THEN 1 ELSE 0 END AS result, classification, 'javascript' AS language, "
+        "round(token_entropy, 6) AS token_entropy, round(comment_ratio, 6) AS comment_ratio, "
+        f"CAST(len(parts) AS INT) AS total_lines, CAST(NULL AS VARCHAR) AS error FROM files JOIN lk USING (file_id)"
+    )
+    # A file's number in the chunk tables is doc_id; its id is shared by two.
+    errors_select = f"""SELECT CAST(floor(doc_id / 2) AS BIGINT) AS file_id, lower(language) AS language, error,
+      CASE WHEN error IS NULL THEN 0 ELSE -1 END AS result, CAST(coalesce(sum(js.total_lines) FILTER (error IS NULL), -1) AS BIGINT) AS total_lines
+    FROM (SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN 'Ruby' ELSE 'JavaScript' END AS language,
+            CASE WHEN doc_id % 11 = 0 THEN 'Malformed record' WHEN doc_id % 5 = 0 THEN 'No code provided'
+                 WHEN doc_id % 7 = 0 THEN 'Unsupported language: ruby' END AS error FROM documents) d
+    LEFT JOIN js ON js.file_id = d.doc_id GROUP BY doc_id, language, error"""
     supported = "('python', 'javascript')"
     return {
         "chunk_code": (
@@ -195,6 +226,15 @@ def oracle_sql() -> dict[str, str]:
             "classification, decision_basis, top_ai AS top_ai_signals, top_human AS top_human_signals FROM js_scored",
             JS_CORPUS_SRC, D.js_score_ctes()),
         "js_file_results": _js(file_select, JS_CORPUS_SRC, D.js_score_ctes() + D.js_file_ctes()),
+        "js_file_features": _js("SELECT file_id, " + ", ".join(D.JS_BOOL) + ", " + ", ".join(f"round({c}, 6) AS {c}" for c in D.JS_DOUBLE) + " FROM files",
+                                JS_CORPUS_SRC, D.js_score_ctes() + D.js_file_ctes()),
+        "js_report": _js(D.js_report_sql(), JS_CORPUS_SRC, D.js_score_ctes() + D.js_file_ctes()),
+        "js_basic": _js(basic_select, JS_CORPUS_SRC, D.js_score_ctes() + D.js_file_ctes()),
+        "benchmark_snippets_js": _js(basic_select, BENCHMARK_SRC, D.js_score_ctes() + D.js_file_ctes()),
+        "conversation_stream": _js(file_select, TURNS_SRC, D.js_score_ctes() + D.js_file_ctes()),
+        "js_tuned": _js("SELECT file_id, chunk_id, total_lines, token_count, classification, decision_basis FROM js_scored",
+                        DOC_SRC, _tuned(D.js_score_ctes()), target=900, tail=200),
+        "input_errors": _js(errors_select, INPUTS_SRC),
         "page_scripts": _js(page_select, PAGES_SRC, D.js_score_ctes() + D.js_file_ctes()),
         "detect_language": (
             f"SELECT file_id, language, CASE WHEN language IS NULL THEN {D.q(K.ERR_UNDETECTED)} "

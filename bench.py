@@ -3,11 +3,11 @@
 Prints ONE JSON line:
 {"metric": "total_sec", "value": N, "unit": "sec", "queries": {...}, "sf": ...}
 
-Every query is fully computed with the ``noop`` sink (all columns, no
-collect to the driver), twice: ``queries`` holds the warm (second) run,
-``cold_queries`` the first run, which also pays planning, code generation
-and Python worker start-up.  The derived code corpus is built (and checkpointed)
-once before the timers start; ``detect_files_per_sec`` / ``detect_mb_per_sec``
+Every registered query is timed end to end, building its plan included, and
+fully computed with the ``noop`` sink (all columns, no collect to the driver),
+twice: ``queries`` holds the warm (second) run, ``cold_queries`` the first,
+which also compiles code and starts Python workers.  The derived corpus is
+rendered anew in every run.  ``detect_files_per_sec`` / ``detect_mb_per_sec``
 report the throughput of full detection over it.
 """
 
@@ -29,22 +29,25 @@ from quillscope.session import get_session  # noqa: E402
 from quillscope.sources.corpus import code_files  # noqa: E402
 
 
-def _once(df) -> float:
+def _once(query, spark, sf_dir: str) -> float:
+    """Seconds of a registered query end to end: building its plan and running it."""
     t = time.perf_counter()
-    df.write.format("noop").mode("overwrite").save()
+    query(spark, sf_dir).write.format("noop").mode("overwrite").save()
     return time.perf_counter() - t
 
 
 COLD: dict = {}
 
 
-def _run(df, name: str | None = None) -> float:
-    """Cold run (plans, generates and compiles code, starts Python workers),
-    then the timed warm run.  Both are reported."""
-    cold = _once(df)
-    if name:
-        COLD[name] = cold
-    return _once(df)
+def _run(query, spark, sf_dir: str) -> float:
+    """A cold run (compiles code, starts Python workers), then the timed warm run.  Both are reported."""
+    COLD[query.__name__] = _once(query, spark, sf_dir)
+    return _once(query, spark, sf_dir)
+
+
+def detect_all(spark, sf_dir):
+    """The whole corpus, both languages."""
+    return detect(code_files(spark, sf_dir), spread=True)
 
 
 def main() -> None:
@@ -54,23 +57,13 @@ def main() -> None:
     sf = float(m.group(1)) if m else None
     spark = get_session(master=f"local[{cpus}]", shuffle_partitions=cpus * 2)
 
-    # warm-up: JVM codegen paths and Python workers (small input)
-    warm = os.path.join(os.path.dirname(sf_dir.rstrip("/")), "sf0.001")
-    if os.path.isdir(warm):
-        _once(detect(code_files(spark, warm)))
-
-    corpus = code_files(spark, sf_dir)
-    stats = corpus.select(F.count("*").alias("n"), F.sum(F.length("code")).alias("chars")).collect()[0]
-
-    timings = {}
-    timings["chunk_code"] = _run(Q.q_chunk_code(spark, sf_dir), "chunk_code")
-    timings["text_metrics"] = _run(Q.q_text_metrics(spark, sf_dir), "text_metrics")
-    timings["token_entropy"] = _run(Q.q_token_entropy(spark, sf_dir), "token_entropy")
-    timings["detect_all"] = _run(detect(corpus), "detect_all")
-    timings["js_file_results"] = _run(detect(corpus).where(F.col("language") == "javascript"), "js_file_results")
-    timings["py_file_results"] = _run(detect(corpus).where(F.col("language") == "python"), "py_file_results")
-    timings["page_scripts"] = _run(Q.q_page_scripts(spark, sf_dir), "page_scripts")
-    timings["detect_language"] = _run(Q.q_detect_language(spark, sf_dir), "detect_language")
+    # sizes of the derived corpus; this also starts the JVM's threads
+    stats = code_files(spark, sf_dir).select(F.count("*").alias("n"), F.sum(F.length("code")).alias("chars")).collect()[0]
+    entries = (
+        Q.q_chunk_code, Q.q_text_metrics, Q.q_token_entropy, detect_all, Q.q_js_file_results, Q.q_py_file_results,
+        Q.q_page_scripts, Q.q_detect_language,
+    )
+    timings = {q.__name__.removeprefix("q_"): _run(q, spark, sf_dir) for q in entries}
 
     total = sum(timings.values())
     out = {
@@ -79,7 +72,7 @@ def main() -> None:
         "unit": "sec",
         "queries": {k: round(v, 3) for k, v in timings.items()},
         "cold_sec": round(sum(COLD.values()), 3),
-        "cold_queries": {k: round(v, 3) for k, v in COLD.items()},
+        "cold_queries": {k.removeprefix("q_"): round(v, 3) for k, v in COLD.items()},
         "sf": sf,
         "cpus": cpus,
         "corpus_files": int(stats["n"]),

@@ -25,6 +25,16 @@ BASIS_CHUNKS = "chunk-level aggregation"
 
 ERR_UNDETECTED = "Unable to detect language. Please specify the language explicitly."
 ERR_UNSUPPORTED = "Unsupported language: {}"
+ERR_NO_CODE = "No code provided"
+ERR_MALFORMED = "Malformed record"
+ERR_TOO_DEEP = "RecursionError: maximum recursion depth exceeded"
+
+# Trees this deep exceed the default recursion limit of a recursive depth walk.
+MAX_TREE_DEPTH = 990
+
+# FIXED VALUES: token kinds (names in the standard ``tokenize`` module) that
+# are layout or comments and are not counted
+PY_LAYOUT_TOKENS = ("INDENT", "DEDENT", "NEWLINE", "NL", "COMMENT", "ENCODING")
 
 # --------------------------------------------------------------------------
 # FIXED VALUES: chunking and abstention thresholds (keyword arguments)

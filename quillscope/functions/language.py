@@ -36,13 +36,6 @@ def language_by_content(code: Column) -> Column:
     return F.when(py > js, F.lit("python")).when(js > py, F.lit("javascript"))
 
 
-def detect_language(code: Column, path: Column | None = None) -> Column:
-    by_content = language_by_content(code)
-    if path is None:
-        return by_content
-    return F.coalesce(language_by_extension(path), by_content)
-
-
 def resolve_language(explicit: Column, path: Column, code: Column) -> Column:
     """explicit > extension > content."""
     return F.coalesce(F.lower(explicit), language_by_extension(path), language_by_content(code))

@@ -1,9 +1,10 @@
-"""The two Python-side helpers: stdlib tokens and a flattened syntax tree.
+"""The Python-side helper: tokens and syntax-tree counts of a chunk.
 
-Both are Arrow-batched Python UDFs over chunk strings (chunks are at most a
-few KB).  They call the interpreter's own ``tokenize`` / ``ast``; no lexer or
-parser is written here.  Every feature derived from their output is a
-Catalyst expression over the returned arrays (see ``operators/py_features``).
+One Arrow UDF over chunk strings calls the interpreter's own ``tokenize`` and
+``ast`` once per chunk; no lexer or parser is written here.  It returns the
+tokens and names, which features need as lists, and counts; the tree itself
+stays in the worker.  Features are Catalyst expressions over the result (see
+``operators/features``).
 """
 
 from __future__ import annotations
@@ -13,159 +14,116 @@ import io
 import sys
 import tokenize
 from collections import deque
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
-from .constants import PY_COMMON_NUMBERS
-
-_SKIPPED_TOKENS = frozenset(
-    {tokenize.INDENT, tokenize.DEDENT, tokenize.NEWLINE, tokenize.NL, tokenize.COMMENT, tokenize.ENCODING}
-)
-
-LEX_TYPE = T.StructType(
-    [
-        T.StructField("tokens", T.ArrayType(T.StringType())),
-        T.StructField("error", T.StringType()),
-    ]
-)
-
-NODE_TYPE = T.StructType(
-    [
-        T.StructField("kind", T.StringType()),
-        T.StructField("is_stmt", T.BooleanType()),
-        T.StructField("name", T.StringType()),
-        T.StructField("lineno", T.IntegerType()),
-        T.StructField("end_lineno", T.IntegerType()),
-        T.StructField("fn_depth", T.IntegerType()),
-        T.StructField("has_doc", T.BooleanType()),
-        T.StructField("annotated", T.BooleanType()),
-        T.StructField("magic", T.BooleanType()),
-        T.StructField("main_guard", T.BooleanType()),
-        T.StructField("bare_except", T.BooleanType()),
-    ]
-)
+from .constants import ERR_TOO_DEEP, MAX_TREE_DEPTH, PY_COMMON_NUMBERS, PY_LAYOUT_TOKENS
 
+COUNTS = ("functions", "documented", "loops", "tries", "magic_numbers", "bare_excepts", "nested_depth", "max_depth")
+FLAGS = ("parseable", "main_guard", "comprehensions", "walrus", "f_strings", "annotated")
+LISTS = ("tokens", "statements", "names")
 SYNTAX_TYPE = T.StructType(
-    [
-        T.StructField("parseable", T.BooleanType()),
-        T.StructField("max_depth", T.IntegerType()),
-        T.StructField("nodes", T.ArrayType(NODE_TYPE)),
-        T.StructField("error", T.StringType()),
-    ]
-)
-
-_FUNCTIONS = (ast.FunctionDef, ast.AsyncFunctionDef)
-# Expression kinds some feature looks at; all statements are kept as well.
-_KEPT_EXPRESSIONS = (
-    ast.Name,
-    ast.arg,
-    ast.ExceptHandler,
-    ast.ListComp,
-    ast.DictComp,
-    ast.SetComp,
-    ast.GeneratorExp,
-    ast.NamedExpr,
-    ast.JoinedStr,
+    [T.StructField(n, T.IntegerType()) for n in COUNTS]
+    + [T.StructField(n, T.BooleanType()) for n in FLAGS]
+    + [T.StructField(n, T.ArrayType(T.StringType())) for n in LISTS]
+    + [T.StructField("function_lengths", T.ArrayType(T.IntegerType())), T.StructField("error", T.StringType()),
+       T.StructField("python_version", T.StringType())]
 )
-
-
-def lex_python(code):
-    """Tokens as strings without layout/comment tokens; TokenError → []."""
+_ARROW_TYPE = to_arrow_type(SYNTAX_TYPE)
+_LAYOUT = tuple(getattr(tokenize, name) for name in PY_LAYOUT_TOKENS)
+_VERSION = f"{sys.version_info.major}.{sys.version_info.minor}"
+
+
+def _message(exc: Exception) -> str:
+    return f"{type(exc).__name__}: {exc}"
+
+
+def token_strings(code: str) -> list[str]:
+    stream = tokenize.generate_tokens(io.StringIO(code).readline)
+    return [t.string for t in stream if t.type not in _LAYOUT and t.string]
+
+
+def _guards_main(test: ast.expr) -> bool:
+    match test:
+        case ast.Compare(left=ast.Name(id="__name__"), ops=ops, comparators=sides):
+            values = [side.value for side in sides if isinstance(side, ast.Constant)]
+            return "__main__" in values and ast.Eq in map(type, ops)
+    return False
+
+
+def _look_at(node: ast.AST, fn_depth: int, out: dict) -> None:
+    """Adds one node to the counts."""
+    match node:
+        case ast.FunctionDef(name=name) | ast.AsyncFunctionDef(name=name):
+            out["functions"] += 1
+            out["documented"] += bool(ast.get_docstring(node))
+            out["annotated"] |= node.returns is not None
+            out["nested_depth"] = max(out["nested_depth"], fn_depth)
+            out["function_lengths"].append(max(1, (node.end_lineno or node.lineno) - node.lineno + 1))
+            out["names"].append(name)
+        case ast.ClassDef(name=name) | ast.Name(id=name):
+            out["names"].append(name)
+        case ast.arg(arg=name):
+            out["names"].append(name)
+            out["annotated"] |= node.annotation is not None
+        case ast.Constant(value=int() | float() as value):
+            out["magic_numbers"] += value not in PY_COMMON_NUMBERS
+        case ast.For() | ast.While() | ast.AsyncFor():
+            out["loops"] += 1
+        case ast.Try():
+            out["tries"] += 1
+        case ast.ExceptHandler(type=None):
+            out["bare_excepts"] += 1
+        case ast.If(test=test):
+            out["main_guard"] |= _guards_main(test)
+        case ast.ListComp() | ast.DictComp() | ast.SetComp() | ast.GeneratorExp():
+            out["comprehensions"] = True
+        case ast.NamedExpr():
+            out["walrus"] = True
+        case ast.JoinedStr():
+            out["f_strings"] = True
+    if isinstance(node, ast.stmt):
+        out["statements"].append(type(node).__name__)
+
+
+def examine(code: str | None) -> dict | None:
+    """Tokens and tree counts of one chunk.
+
+    A tokeniser that runs into the end of the chunk leaves it without tokens,
+    and a syntax error without a tree; any other failure is its ``error``."""
     if code is None:
         return None
-    tokens = []
+    out = dict.fromkeys(COUNTS, 0) | dict.fromkeys(FLAGS, False) | {n: [] for n in (*LISTS, "function_lengths")}
+    out |= {"error": None, "python_version": _VERSION}
     try:
-        for tok in tokenize.generate_tokens(io.StringIO(code).readline):
-            if tok.type in _SKIPPED_TOKENS or not tok.string:
-                continue
-            tokens.append(tok.string)
+        out["tokens"] = token_strings(code)
     except tokenize.TokenError:
-        return {"tokens": [], "error": None}
+        pass
     except Exception as exc:  # IndentationError and friends fail the file
-        return {"tokens": [], "error": f"{type(exc).__name__}: {exc}"}
-    return {"tokens": tokens, "error": None}
-
-
-def _is_main_guard(node: ast.If) -> bool:
-    test = node.test
-    if not isinstance(test, ast.Compare):
-        return False
-    if not isinstance(test.left, ast.Name) or test.left.id != "__name__":
-        return False
-    if not any(isinstance(op, ast.Eq) for op in test.ops):
-        return False
-    return any(isinstance(c, ast.Constant) and c.value == "__main__" for c in test.comparators)
-
-
-def _node_row(node, fn_depth):
-    row = {
-        "kind": type(node).__name__,
-        "is_stmt": isinstance(node, ast.stmt),
-        "name": None,
-        "lineno": None,
-        "end_lineno": None,
-        "fn_depth": None,
-        "has_doc": None,
-        "annotated": None,
-        "magic": None,
-        "main_guard": None,
-        "bare_except": None,
-    }
-    if isinstance(node, _FUNCTIONS):
-        row.update(
-            name=node.name,
-            lineno=node.lineno,
-            end_lineno=getattr(node, "end_lineno", None),
-            fn_depth=fn_depth,
-            has_doc=bool(ast.get_docstring(node)),
-            annotated=node.returns is not None,
-        )
-    elif isinstance(node, ast.ClassDef):
-        row["name"] = node.name
-    elif isinstance(node, ast.Name):
-        row["name"] = node.id
-    elif isinstance(node, ast.arg):
-        row.update(name=node.arg, annotated=node.annotation is not None)
-    elif isinstance(node, ast.Constant):
-        row["magic"] = node.value not in PY_COMMON_NUMBERS
-    elif isinstance(node, ast.ExceptHandler):
-        row["bare_except"] = node.type is None
-    elif isinstance(node, ast.If):
-        row["main_guard"] = _is_main_guard(node)
-    return row
-
-
-def parse_python(code):
-    """Breadth-first (``ast.walk`` order) node rows + tree depth.
-
-    A ``SyntaxError`` leaves the chunk unparseable with no rows; any other
-    failure (recursion, memory, encoding) is reported in ``error``."""
-    if code is None:
-        return None
+        out["error"] = _message(exc)
     try:
         tree = ast.parse(code)
     except SyntaxError:
-        return {"parseable": False, "max_depth": 0, "nodes": [], "error": None}
+        return out
     except Exception as exc:
-        return {"parseable": False, "max_depth": 0, "nodes": [], "error": f"{type(exc).__name__}: {exc}"}
-
-    rows = []
-    max_depth = 0
+        out["error"] = out["error"] or _message(exc)
+        return out
+    out["parseable"] = True
     queue = deque([(tree, 0, 0)])
     while queue:
         node, depth, fn_depth = queue.popleft()
-        if depth > max_depth:
-            max_depth = depth
-        keep = isinstance(node, (ast.stmt,) + _KEPT_EXPRESSIONS) or (
-            isinstance(node, ast.Constant) and isinstance(node.value, (int, float))
-        )
-        if keep:
-            rows.append(_node_row(node, fn_depth))
+        out["max_depth"] = depth  # breadth first: the last node is a deepest one
+        _look_at(node, fn_depth, out)
         for child in ast.iter_child_nodes(node):
-            queue.append((child, depth + 1, fn_depth + (1 if isinstance(child, _FUNCTIONS) else 0)))
-    return {"parseable": True, "max_depth": max_depth, "nodes": rows, "error": None}
+            queue.append((child, depth + 1, fn_depth + isinstance(child, ast.FunctionDef | ast.AsyncFunctionDef)))
+    if out["max_depth"] > MAX_TREE_DEPTH:
+        out["error"] = out["error"] or ERR_TOO_DEEP
+    return out
 
 
 # Ship these helpers by value: executors need not have this package installed.
@@ -176,13 +134,12 @@ try:
 except Exception:  # pragma: no cover - older cloudpickle without the hook
     pass
 
-py_lex = F.udf(lex_python, LEX_TYPE, useArrow=True)
-py_parse = F.udf(parse_python, SYNTAX_TYPE, useArrow=True)
-
 
-def python_tokens(chunk: Column) -> Column:
-    return py_lex(chunk)
+@F.arrow_udf(SYNTAX_TYPE)
+def _examine_batches(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    for batch in batches:
+        yield pa.array(map(examine, batch.to_pylist()), type=_ARROW_TYPE)
 
 
 def python_syntax(chunk: Column) -> Column:
-    return py_parse(chunk)
+    return _examine_batches(chunk)

@@ -17,7 +17,9 @@ def _c(x) -> Column:
 # --- F1-F6 -----------------------------------------------------------------
 
 def clamp(value, minimum: float = 0.0, maximum: float = 1.0) -> Column:
-    return F.greatest(F.lit(float(minimum)), F.least(F.lit(float(maximum)), _c(value).cast("double")))
+    """``value`` within the bounds; null stays null (greatest and least would skip it)."""
+    v = _c(value).cast("double")
+    return F.when(v.isNotNull(), F.greatest(F.lit(float(minimum)), F.least(F.lit(float(maximum)), v)))
 
 
 def safe_ratio(numerator, denominator) -> Column:
@@ -50,11 +52,6 @@ def py_lstrip(line) -> Column:
     return F.ltrim(_c(line), F.lit(PY_WHITESPACE))
 
 
-def py_is_blank(line) -> Column:
-    """``not line.strip()``."""
-    return F.length(py_lstrip(line)) == 0
-
-
 def py_nonblank(line) -> Column:
     return F.length(py_lstrip(line)) > 0
 

@@ -1,6 +1,6 @@
 """File-level aggregation over chunks.
 
-One ``groupBy(file_id)``.  All chunks of a file are generated by the task
+One ``groupBy`` on the file's id and input row, so files that share an id stay apart.  All chunks of a file are generated by the task
 that read the file, so the partial (map-side) aggregate already combines
 them and the exchange carries one buffer row per file.  Every aggregate is
 fixed-width except ``chunk_classifications``, which is itself the output
@@ -55,7 +55,7 @@ def _signal_top(names, prefix: str) -> Column:
     return F.transform(F.slice(ranked, 1, K.TOP_SIGNALS), lambda e: e["s"])
 
 
-def aggregate_files(scored: DataFrame, carry=("path", "file_total_lines", "language_error")) -> DataFrame:
+def aggregate_files(scored: DataFrame, carry=("path", "file_total_lines", "language_error", "python_version")) -> DataFrame:
     weight = F.greatest(F.col("signal_strength"), F.lit(0.5)) * F.greatest(
         F.coalesce(F.col("non_empty_lines"), F.lit(0)).cast("double"), F.lit(1.0)
     )
@@ -82,7 +82,7 @@ def aggregate_files(scored: DataFrame, carry=("path", "file_total_lines", "langu
     aggs += _signal_aggs("top_ai_signals", AI_SIGNALS, "a")
     aggs += _signal_aggs("top_human_signals", HUMAN_SIGNALS, "h")
 
-    g = scored.groupBy("file_id", "language").agg(*aggs)
+    g = scored.groupBy("file_id", "_row", "language").agg(*aggs)
 
     single = F.col("chunk_count") == 1
     means = {
@@ -112,7 +112,7 @@ def aggregate_files(scored: DataFrame, carry=("path", "file_total_lines", "langu
         F.col("path"),
         F.col("language"),
         guard(classification).alias("classification"),
-        guard(F.when(classification == F.lit(K.AI_LABEL), 1).otherwise(0)).alias("result"),
+        guard((classification == F.lit(K.AI_LABEL)).cast("int")).alias("result"),
         *[guard(means[c]).alias(c) for c in SCORE_FIELDS],
         guard(basis).alias("decision_basis"),
         guard(top_ai).alias("top_ai_signals"),
@@ -126,5 +126,5 @@ def aggregate_files(scored: DataFrame, carry=("path", "file_total_lines", "langu
     out += [guard(F.col(c)).alias(c) for c in BOOL_FEATURES]
     out += [guard(means[c]).alias(c) for c in DOUBLE_FEATURES]
     out += [guard(F.when(single, F.col(c))).alias(c) for c in STRING_FEATURES]
-    out.append(error.alias("error"))
+    out += [F.col("python_version"), error.alias("error")]
     return g.select(*out)

@@ -3,7 +3,7 @@ Catalyst expressions over one chunk row.
 
 Inputs prepared by :func:`prepare_chunk_arrays`:
 ``lines`` (``str.splitlines``), ``tokens`` (language tokens) and, for Python
-chunks, ``syn`` (flattened syntax tree) and ``lex_error``/``syn_error``.
+chunks, ``syn`` (counts and names of the syntax tree, and errors).
 Nothing here shuffles: a chunk's features depend on that chunk only.
 """
 
@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import constants as K
-from ..functions.pysyntax import python_syntax, python_tokens
+from ..functions.pysyntax import SYNTAX_TYPE, python_syntax
 from ..functions.regex import java_regex
 from ..functions.text import (
     clamp,
@@ -152,26 +152,18 @@ def _starts_with(line: Column, *prefixes: str) -> Column:
 # Stage 1: per-chunk arrays (materialised once, reused by every feature)
 # ---------------------------------------------------------------------------
 
-def prepare_chunk_arrays(chunks: DataFrame) -> DataFrame:
-    """Adds ``lines``, ``tokens`` and the Python syntax columns.
+def prepare_chunk_arrays(chunks: DataFrame, languages=(PY, JS)) -> DataFrame:
+    """Adds ``lines``, ``tokens`` and the Python syntax column.
 
-    The Python UDFs receive NULL for JavaScript chunks, so they do no work
-    there (Python UDFs are evaluated for every row of their input)."""
+    The Python UDF receives NULL for JavaScript chunks, so it does no work
+    there, and is left out where no Python is asked for."""
     chunk = F.col("chunk")
     is_py = F.col("language") == F.lit(PY)
     is_js = F.col("language") == F.lit(JS)
-    staged = chunks.select(
-        "*",
-        split_lines(chunk).alias("lines"),
-        python_tokens(F.when(is_py, chunk)).alias("lex"),
-        python_syntax(F.when(is_py, chunk)).alias("syn"),
-    )
+    syn = python_syntax(F.when(is_py, chunk)) if PY in languages else F.lit(None).cast(SYNTAX_TYPE)
+    staged = chunks.select("*", split_lines(chunk).alias("lines"), syn.alias("syn"))
     js_tokens = F.regexp_extract_all(chunk, F.lit(java_regex(K.JS_TOKEN)), 0)
-    return staged.select(
-        *[c for c in staged.columns if c not in ("lex",)],
-        F.when(is_py, F.col("lex.tokens")).when(is_js, js_tokens).alias("tokens"),
-        F.col("lex.error").alias("lex_error"),
-    )
+    return staged.select("*", F.when(is_py, F.col("syn.tokens")).when(is_js, js_tokens).alias("tokens"))
 
 
 # ---------------------------------------------------------------------------
@@ -275,10 +267,6 @@ def import_organization(lines: Column) -> Column:
     return F.when(F.size(imports) < 2, F.lit(0.0)).otherwise(F.aggregate(imports, init, step, finish))
 
 
-def _py_names(nodes: Column) -> Column:
-    return F.transform(F.filter(nodes, lambda n: n["name"].isNotNull()), lambda n: n["name"])
-
-
 def _islower(x: Column) -> Column:
     return (F.lower(x) == x) & (F.upper(x) != x)
 
@@ -309,15 +297,10 @@ def _naming(names: Column, counts, stop_names, exempt: str, order) -> dict:
 def python_arrays() -> dict:
     """Stage-2 intermediates of a Python chunk."""
     lines = F.col("lines")
-    nodes = F.col("syn.nodes")
-    fns = F.filter(nodes, lambda n: n["kind"].isin("FunctionDef", "AsyncFunctionDef"))
     arrays = _common_arrays()
     arrays.update(
         {
             "_comments": F.transform(F.filter(lines, lambda l: _starts_with(l, "#")), lambda l: F.length(py_strip(l))),
-            "_nodes": nodes,
-            "_fns": fns,
-            "_names": _py_names(nodes),
             "_strings": F.filter(F.col("tokens"), lambda t: F.substring(t, 1, 1).isin("'", '"')),
             "_trailing_n": count_where(lines, lambda l: F.length(py_rstrip(l)) < F.length(l)),
             "_imports": F.when(F.col("syn.parseable"), import_organization(lines)).otherwise(F.lit(0.0)),
@@ -329,20 +312,16 @@ def python_arrays() -> dict:
 def python_features() -> dict:
     code = F.col("chunk")
     syn = F.col("syn")
-    nodes = F.col("_nodes")
     parseable = F.coalesce(syn["parseable"], F.lit(False))
-    kind_in = lambda *ks: (lambda n: n["kind"].isin(*ks))
 
     comments = F.col("_comments")
     n_comment = F.size(comments)
     f = _text_metrics(n_comment)
 
-    fns = F.col("_fns")
-    n_fns = F.size(fns)
-    documented = count_where(fns, lambda n: n["has_doc"])
-    fn_std = stddev_pop_of(F.transform(fns, lambda n: F.greatest(n["end_lineno"] - n["lineno"] + 1, F.lit(1))))
-    stmt_kinds = F.transform(F.filter(nodes, lambda n: n["is_stmt"]), lambda n: n["kind"])
-    names = F.col("_names")
+    n_fns = syn["functions"]
+    documented = syn["documented"]
+    fn_std = stddev_pop_of(syn["function_lengths"])
+    names = syn["names"]
     snake = count_where(names, lambda x: x.rlike(SNAKE))
     lower = count_where(names, lambda x: _islower(x) & ~x.contains("_"))
     upper = count_where(names, lambda x: _isupper(x))
@@ -355,26 +334,26 @@ def python_features() -> dict:
     ccode = _count("commented_code", K.PY_PATTERNS, code)
     trailing = F.col("_trailing_n")
     long_n = F.col("_long_n")
-    magic = count_where(nodes, lambda n: F.coalesce(n["magic"], F.lit(False)))
-    bare = count_where(nodes, lambda n: F.coalesce(n["bare_except"], F.lit(False)))
+    magic = syn["magic_numbers"]
+    bare = syn["bare_excepts"]
     avg_comment = F.when(n_comment == 0, F.lit(0.0)).otherwise(sum_of(comments) / n_comment)
 
     f.update(
         {
             "parseable": parseable,
             "function_count": n_fns.cast("long"),
-            "loop_count": count_where(nodes, kind_in("For", "While", "AsyncFor")).cast("long"),
-            "try_except_count": count_where(nodes, kind_in("Try")).cast("long"),
+            "loop_count": syn["loops"].cast("long"),
+            "try_except_count": syn["tries"].cast("long"),
             "max_ast_depth": F.coalesce(syn["max_depth"], F.lit(0)).cast("long"),
-            "has_main_guard": F.exists(nodes, lambda n: F.coalesce(n["main_guard"], F.lit(False))),
+            "has_main_guard": syn["main_guard"],
             "has_docstrings": documented > 0,
             "docstring_coverage": F.when(n_fns == 0, F.lit(0.0)).otherwise(documented / n_fns),
-            "uses_comprehensions": F.exists(nodes, kind_in("ListComp", "DictComp", "SetComp", "GeneratorExp")),
-            "uses_walrus_operator": F.exists(nodes, kind_in("NamedExpr")),
-            "uses_f_strings": F.exists(nodes, kind_in("JoinedStr")),
-            "uses_type_hints": F.exists(nodes, lambda n: F.coalesce(n["annotated"], F.lit(False))),
+            "uses_comprehensions": syn["comprehensions"],
+            "uses_walrus_operator": syn["walrus"],
+            "uses_f_strings": syn["f_strings"],
+            "uses_type_hints": syn["annotated"],
             "import_organization_score": F.coalesce(F.col("_imports"), F.lit(0.0)),
-            "nested_function_depth": F.coalesce(F.array_max(F.transform(fns, lambda n: n["fn_depth"])), F.lit(0)).cast("double"),
+            "nested_function_depth": syn["nested_depth"].cast("double"),
             "function_length_variance": fn_std,
             "function_length_variance_score": saturate(fn_std, 10.0),
             "naming_consistency_score": naming["naming_consistency_score"],
@@ -382,7 +361,7 @@ def python_features() -> dict:
             "meaningful_name_ratio": naming["meaningful_name_ratio"],
             "single_letter_var_ratio": naming["single_letter_var_ratio"],
             "avg_name_length": naming["avg_name_length"],
-            "pattern_repetition_score": pattern_repetition(stmt_kinds),
+            "pattern_repetition_score": pattern_repetition(syn["statements"]),
             "indentation_consistency": indentation_consistency(F.col("_indents"), K.PY_INDENT_WIDTHS),
             "quote_consistency": quote_consistency(F.col("_strings")),
             "has_todo_comments": todo > 0,
@@ -572,7 +551,7 @@ def _typed(name: str, col: Column) -> Column:
     return col.cast("string")
 
 
-def chunk_features(arrays: DataFrame) -> DataFrame:
+def chunk_features(arrays: DataFrame, languages=(PY, JS)) -> DataFrame:
     """One wide row per chunk: language-specific columns NULL for the other
     language (B4 routing as a conditional projection, one pass).
 
@@ -580,8 +559,8 @@ def chunk_features(arrays: DataFrame) -> DataFrame:
     then the scalar features that read them."""
     is_py = F.col("language") == F.lit(PY)
     is_js = F.col("language") == F.lit(JS)
-    py_arr = python_arrays()
-    js_arr = javascript_arrays()
+    py_arr = python_arrays() if PY in languages else {}
+    js_arr = javascript_arrays() if JS in languages else {}
     inter = []
     for name in _dedupe(list(py_arr) + list(js_arr)):
         expr = None
@@ -593,8 +572,8 @@ def chunk_features(arrays: DataFrame) -> DataFrame:
     staged = arrays.select("*", *inter)
     inter_names = _dedupe(list(py_arr) + list(js_arr))
 
-    py = python_features()
-    js = javascript_features()
+    py = python_features() if PY in languages else {}
+    js = javascript_features() if JS in languages else {}
     cols = []
     for name in ALL_FEATURES:
         expr = None
@@ -602,8 +581,8 @@ def chunk_features(arrays: DataFrame) -> DataFrame:
             expr = F.when(is_py, _typed(name, py[name]))
         if name in js:
             expr = (expr if expr is not None else F).when(is_js, _typed(name, js[name]))
-        cols.append(expr.alias(name))
-    error = F.when(is_py, F.coalesce(F.col("lex_error"), F.col("syn.error")))
-    drop = {"lines", "tokens", "syn", "lex_error", *inter_names}
+        cols.append((expr if expr is not None else _typed(name, F.lit(None))).alias(name))
+    drop = {"lines", "tokens", "syn", *inter_names}
     keep = [c for c in staged.columns if c not in drop]
-    return staged.select(*keep, *cols, error.alias("chunk_error"))
+    return staged.select(
+        *keep, *cols, F.col("syn.error").alias("chunk_error"), F.col("syn.python_version").alias("python_version"))

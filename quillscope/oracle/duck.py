@@ -12,6 +12,7 @@ from __future__ import annotations
 
 from ..functions import constants as K
 from ..functions.regex import _is_quantifier
+from ..operators.features import JS_BOOL, JS_DOUBLE
 from ..sources.corpus import render
 
 WS = r"\t\n\x0B\x0C\r\x1C-\x1F \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
@@ -133,7 +134,8 @@ def resolved_corpus_sql() -> str:
 # chunking (C1-C6) as a recursive CTE; src has (file_id, code)
 # ---------------------------------------------------------------------------
 
-def chunks_ctes(src: str) -> str:
+def chunks_ctes(src: str, target: int = 2200, tail: int = 500) -> str:
+    """Defaults are written out here, not taken from the engine's constants."""
     return f"""
 src AS ({src}),
 lk AS (SELECT file_id, regexp_extract_all(code, {q(LWE)}) AS parts FROM src),
@@ -142,19 +144,19 @@ rec AS (
   SELECT file_id, i, line, 0 AS c, length(line) AS cur FROM ln WHERE i = 1
   UNION ALL
   SELECT n.file_id, n.i, n.line,
-         CASE WHEN r.cur + length(n.line) > {K.TARGET_CHARS} THEN r.c + 1 ELSE r.c END,
-         CASE WHEN r.cur + length(n.line) > {K.TARGET_CHARS} THEN length(n.line) ELSE r.cur + length(n.line) END
+         CASE WHEN r.cur + length(n.line) > {target} THEN r.c + 1 ELSE r.c END,
+         CASE WHEN r.cur + length(n.line) > {target} THEN length(n.line) ELSE r.cur + length(n.line) END
   FROM rec r JOIN ln n ON n.file_id = r.file_id AND n.i = r.i + 1
 ),
 raw AS (SELECT file_id, c, trim(string_agg(line, '' ORDER BY i), chr(10)) AS chunk FROM rec GROUP BY file_id, c),
 lastc AS (SELECT file_id, max(c) AS last_c FROM raw GROUP BY file_id),
 merged AS (
   SELECT r.file_id, r.c,
-         CASE WHEN k.last_c > 0 AND r.c = k.last_c - 1 AND length(l.chunk) < {K.MINIMUM_TAIL_CHARS}
+         CASE WHEN k.last_c > 0 AND r.c = k.last_c - 1 AND length(l.chunk) < {tail}
               THEN r.chunk || chr(10) || l.chunk ELSE r.chunk END AS chunk
   FROM raw r JOIN lastc k ON k.file_id = r.file_id
   LEFT JOIN raw l ON l.file_id = r.file_id AND l.c = k.last_c
-  WHERE NOT (k.last_c > 0 AND r.c = k.last_c AND length(r.chunk) < {K.MINIMUM_TAIL_CHARS})
+  WHERE NOT (k.last_c > 0 AND r.c = k.last_c AND length(r.chunk) < {tail})
 ),
 kept AS (SELECT file_id, c, chunk FROM merged WHERE regexp_matches(chunk, {q(NONWS)})),
 numbered AS (SELECT file_id, CAST(row_number() OVER (PARTITION BY file_id ORDER BY c) - 1 AS INT) AS chunk_id, chunk FROM kept),
@@ -355,6 +357,9 @@ js_scored AS (
   FROM js_raw)"""
 
 
+JS_MEANS = ("ai_score", "human_score", "score_gap", "signal_strength", "ai_probability", "confidence", *JS_DOUBLE)
+
+
 def js_file_ctes() -> str:
     """L1-L10 over js_scored."""
     sig_ai = ", ".join(q(n.replace("_", " ")) for n in K.JS_AI_WEIGHTS)
@@ -367,14 +372,15 @@ fagg AS (
     sum(total_lines) AS total_lines, sum(non_empty_lines) AS non_empty_lines, sum(token_count) AS token_count,
     sum(function_count) AS function_count, sum(loop_count) AS loop_count, sum(try_except_count) AS try_except_count,
     max(max_ast_depth) AS max_ast_depth,
-    {", ".join(f"max({c}) AS {c}_1, sum({c} * wt) AS {c}_w" for c in ("ai_score", "human_score", "score_gap", "signal_strength", "ai_probability", "confidence", "token_entropy", "comment_ratio"))},
+    {", ".join(f"bool_or({c}) AS {c}" for c in JS_BOOL)},
+    {", ".join(f"max({c}) AS {c}_1, sum({c} * wt) AS {c}_w" for c in JS_MEANS)},
     arg_min(classification, chunk_id) AS class1, arg_min(decision_basis, chunk_id) AS basis1,
     arg_min(top_ai, chunk_id) AS top_ai1, arg_min(top_human, chunk_id) AS top_human1,
     string_agg(classification, '|' ORDER BY chunk_id) AS chunk_classes
   FROM w GROUP BY file_id),
 fmean AS (
   SELECT *,
-    {", ".join(f"CASE WHEN n = 1 THEN {c}_1 ELSE round({c}_w / wsum, 4) END AS {c}" for c in ("ai_score", "human_score", "score_gap", "signal_strength", "ai_probability", "confidence", "token_entropy", "comment_ratio"))}
+    {", ".join(f"CASE WHEN n = 1 THEN {c}_1 ELSE round({c}_w / wsum, 4) END AS {c}" for c in JS_MEANS)}
   FROM fagg),
 sig AS (
   SELECT file_id, side, s, count(*) AS cnt, min(chunk_id * 8 + pos) AS first_seen FROM (
@@ -401,3 +407,21 @@ files AS (
     CASE WHEN n = 1 THEN top_ai1 ELSE coalesce(t.top_ai_m, '') END AS top_ai_signals,
     CASE WHEN n = 1 THEN top_human1 ELSE coalesce(t.top_human_m, '') END AS top_human_signals
   FROM fmean f LEFT JOIN sig_top t ON t.file_id = f.file_id)"""
+
+
+def to_fixed(value: str, digits: int) -> str:
+    """C's printf rounds the exact binary value but takes ties to even; ties (odd multiples of 1/4 or 1/8) go up."""
+    step = {1: 4, 2: 8}[digits]
+    tie = f"({value}) * {step} = floor(({value}) * {step}) AND CAST(floor(({value}) * {step}) AS BIGINT) % 2 = 1"
+    up = f"printf('%.{digits}f', (floor(({value}) * {10**digits}) + 1) / {10**digits})"
+    return f"CASE WHEN {tie} THEN {up} ELSE printf('%.{digits}f', {value}) END"
+
+
+def js_report_sql() -> str:
+    rows = [
+        ("Classification", "classification"), ("Language", "'javascript'"), ("Confidence", to_fixed("confidence * 100", 1) + " || '%'"), ("", "''"),
+        ("Token Entropy", to_fixed("token_entropy", 2)), ("Comment Ratio", to_fixed("comment_ratio * 100", 1) + " || '%'"),
+        ("Total Lines", "CAST(total_lines AS VARCHAR)"), ("Functions", "CAST(function_count AS VARCHAR)"), ("Loops", "CAST(loop_count AS VARCHAR)"),
+        ("Try/Except Blocks", "CAST(try_except_count AS VARCHAR)"), ("Max AST Depth", "CAST(max_ast_depth AS VARCHAR)"),
+    ]
+    return " UNION ALL ".join(f"SELECT file_id, {i} AS position, {q(name)} AS property, {value} AS value FROM files" for i, (name, value) in enumerate(rows))

@@ -1,14 +1,19 @@
 """The ``detect`` job: code files → chunk rows → features → scores → files.
 
-Plan shape (one pass over the input, two exchanges):
+Plan shape (one pass over the input, one exchange):
 
     scan ─ resolve language ─ chunk fold ─ posexplode
-         ─ Exchange hash(file_id, chunk_id div 64)          (balance)
-         ─ Python UDFs (Arrow) ─ features ─ scores          (row-local)
-         ─ partial agg by file_id ─ Exchange(file_id) ─ final agg
+         ─ one Arrow UDF for Python chunks ─ features ─ scores   (row-local)
+         ─ partial agg by file ─ Exchange(file_id) ─ final agg
 
-Files with an unresolvable language still flow through as one empty chunk
-so the input is read once; their row carries ``error`` and NULL scores.
+Parallelism is that of the scan's splits.  For an input in few splits,
+``spread=True`` deals the *files* out by ``file_id`` first; without Python
+chunks the aggregation then needs no exchange of its own.
+
+Every input row is one file and one result row, whatever its ``file_id``.
+Rows without code, malformed records and files with an unresolvable language
+flow through as one empty chunk, so the input is read once; their row carries
+``error`` and NULL scores.
 """
 
 from __future__ import annotations
@@ -30,26 +35,34 @@ def _col_or_null(df: DataFrame, name: str, dtype: str):
 
 
 def route(code_files: DataFrame) -> DataFrame:
-    """Adds the resolved ``language`` and ``language_error``."""
+    """Adds the resolved ``language``, ``language_error`` and a row number ``_row``."""
+    code = F.col("code")
     lang = resolve_language(
         _col_or_null(code_files, "language", "string"),
         _col_or_null(code_files, "path", "string"),
-        F.col("code"),
+        code,
     )
-    return code_files.select(
+    routed = code_files.select(
         F.col("file_id"),
         _col_or_null(code_files, "path", "string").alias("path"),
-        F.col("code"),
+        code,
         lang.alias("language"),
-    ).withColumn("language_error", language_error(F.col("language")))
+        _col_or_null(code_files, "input_error", "string").alias("_input_error"),
+        F.col("_row") if "_row" in code_files.columns else F.monotonically_increasing_id().alias("_row"),
+    )
+    error = F.coalesce(
+        F.col("_input_error"), F.when(code.isNull(), F.lit(K.ERR_NO_CODE)), language_error(F.col("language"))
+    )
+    return routed.withColumn("language_error", error).drop("_input_error")
 
 
 def explode_chunks(routed: DataFrame, target_chars: int = K.TARGET_CHARS,
                    minimum_tail_chars: int = K.MINIMUM_TAIL_CHARS) -> DataFrame:
     """One row per chunk with ``chunk_id`` (0-based) and ``chunk_count``."""
-    ok = F.col("language").isin(*SUPPORTED)
+    ok = F.col("language_error").isNull()
     staged = with_chunks(
         routed.select(
+            "_row",
             "file_id",
             "path",
             "language",
@@ -62,6 +75,7 @@ def explode_chunks(routed: DataFrame, target_chars: int = K.TARGET_CHARS,
         enabled=ok,
     )
     return staged.select(
+        "_row",
         "file_id",
         "path",
         "language",
@@ -74,50 +88,23 @@ def explode_chunks(routed: DataFrame, target_chars: int = K.TARGET_CHARS,
     )
 
 
-# Chunks of one file stay together in blocks of this many (~140 KB of text):
-# ordinary files are never split (so the map-side partial aggregate still
-# folds them to one row), while one huge file is spread over many tasks.
-CHUNK_BLOCK = 64
-
-
-def balance(chunks: DataFrame, partitions: int | None = None) -> DataFrame:
-    """Hash-distribute chunk rows on ``(file_id, chunk_id div CHUNK_BLOCK)``.
-
-    Input splits can be few or uneven (one file, row group or source may
-    hold a third of all bytes); feature extraction is the costly step, so it
-    runs on evenly sized tasks.  Hash partitioning (not round-robin) keeps
-    the exchange deterministic when a lost executor's tasks are recomputed.
-    An explicit count keeps AQE from coalescing the CPU-bound stage into a
-    few large tasks."""
-    spark = chunks.sparkSession
-    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
-    block = F.floor(F.col("chunk_id") / F.lit(CHUNK_BLOCK))
-    return chunks.repartition(n, F.col("file_id"), block)
-
-
-def spread_files(code_files: DataFrame) -> DataFrame:
-    """Inputs read as fewer splits than the cluster has cores (one big row
-    group, a single file) are hash-spread by ``file_id`` so that language
-    detection and chunking run in parallel.  Only the split count is
-    inspected (no data is read); large inputs are left as they are."""
-    spark = code_files.sparkSession
-    cores = spark.sparkContext.defaultParallelism
-    if code_files.rdd.getNumPartitions() >= cores:
-        return code_files
-    return code_files.repartition(cores, "file_id")
-
+def chunk_results(code_files: DataFrame, spread: bool = False, languages: tuple[str, ...] = SUPPORTED, **kw) -> DataFrame:
+    """Scored chunk rows (features + K1-K8) before file aggregation.
 
-def chunk_results(code_files: DataFrame, balanced: bool = True, partitions: int | None = None, **kw) -> DataFrame:
-    """Scored chunk rows (features + K1-K8) before file aggregation."""
+    ``languages`` restricts the job to files of these languages (and, if it
+    names all that are supported, error rows); with ``("javascript",)`` no
+    Python worker is part of the plan."""
     score_kw = {k: kw.pop(k) for k in list(kw) if k.startswith("minimum_") and k != "minimum_tail_chars"}
-    if balanced:
-        code_files = spread_files(code_files)
-    chunks = explode_chunks(route(code_files), **kw)
-    if balanced:
-        chunks = balance(chunks, partitions)
-    return score_chunks(chunk_features(prepare_chunk_arrays(chunks)), **score_kw)
+    if spread:
+        # Rows are numbered where they are read: the same number in every attempt of a task.
+        code_files = code_files.withColumn("_row", F.monotonically_increasing_id()).repartition("file_id")
+    routed = route(code_files)
+    if set(languages) != set(SUPPORTED):
+        routed = routed.where(F.col("language").isin(*languages) & F.col("language_error").isNull())
+    chunks = explode_chunks(routed, **kw)
+    return score_chunks(chunk_features(prepare_chunk_arrays(chunks, languages), languages), **score_kw)
 
 
 def detect(code_files: DataFrame, **kw) -> DataFrame:
-    """``code_files(file_id, [path], [language], code)`` → one row per file."""
+    """``code_files(file_id, [path], [language], code, [input_error])`` → one row per input row."""
     return aggregate_files(chunk_results(code_files, **kw))

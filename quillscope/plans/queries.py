@@ -7,13 +7,15 @@ projections only, so that results compare across engines."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.chunking import with_chunks
+from ..operators.features import JS_BOOL, JS_DOUBLE
 from ..sources.corpus import code_files
-from .detect import chunk_results, detect, spread_files
+from ..sources.files import snippets_from
+from .detect import chunk_results, detect
 from .outputs import to_basic, to_detailed, to_report
 
 JS_CHUNK_COLUMNS = [
@@ -66,16 +68,12 @@ def documents_as(spark: SparkSession, sf_dir: str, language: str) -> DataFrame:
     )
 
 
-def _language_is(language: str) -> Column:
-    return F.col("language") == F.lit(language)
-
-
 # --- C: chunking ------------------------------------------------------------
 
 def q_chunk_code(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(
         F.col("doc_id").alias("file_id"), F.col("text").alias("code"))
-    chunks = with_chunks(spread_files(docs))
+    chunks = with_chunks(docs.repartition("file_id"))
     return chunks.select(
         "file_id",
         F.size("chunks").alias("chunk_count"),
@@ -92,7 +90,7 @@ def q_chunk_code(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- D/E/F on documents (language-neutral operators) -------------------------
 
 def _doc_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chunk_results(documents_as(spark, sf_dir, "javascript"))
+    return chunk_results(documents_as(spark, sf_dir, "javascript"), spread=True, languages=("javascript",))
 
 
 def q_text_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -116,7 +114,7 @@ def q_keyword_trigrams(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- J/K/L on the JavaScript part of the corpus ------------------------------
 
 def _js_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chunk_results(code_files(spark, sf_dir)).where(_language_is("javascript"))
+    return chunk_results(code_files(spark, sf_dir), spread=True, languages=("javascript",))
 
 
 def q_js_chunk_features(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -132,17 +130,56 @@ def q_js_chunk_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def js_file_results(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return detect(code_files(spark, sf_dir)).where(_language_is("javascript"))
+    return detect(code_files(spark, sf_dir), spread=True, languages=("javascript",))
 
 
-def q_js_file_results(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rounded(js_file_results(spark, sf_dir).select(
+def file_digest(results: DataFrame) -> DataFrame:
+    return _rounded(results.select(
         "file_id", "classification", "result", *SCORE_COLUMNS, "decision_basis", "top_ai_signals",
         "top_human_signals", "chunk_count", "clear_chunk_count", "chunk_classifications", "total_lines",
         "non_empty_lines", "token_count", "function_count", "loop_count", "try_except_count", "max_ast_depth",
         "token_entropy", "comment_ratio"))
 
 
+def q_js_file_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return file_digest(js_file_results(spark, sf_dir))
+
+
+def q_js_file_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every boolean and double feature of the JavaScript files."""
+    return _rounded(js_file_results(spark, sf_dir).select("file_id", *JS_BOOL, *JS_DOUBLE))
+
+
+def q_js_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return to_report(js_file_results(spark, sf_dir), detailed=True)
+
+
+def q_js_basic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(to_basic(js_file_results(spark, sf_dir)))
+
+
+def q_js_tuned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Smaller chunks, tails and abstention thresholds."""
+    chunks = chunk_results(
+        documents_as(spark, sf_dir, "javascript"), spread=True, languages=("javascript",), target_chars=900,
+        minimum_tail_chars=200, minimum_lines=2, minimum_tokens=10, minimum_signal=0.4, minimum_margin=0.1)
+    return _rounded(chunks.select(
+        "file_id", F.col("chunk_id").cast("int").alias("chunk_id"), "total_lines", "token_count", "classification", "decision_basis"))
+
+
+def q_input_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Snippets of which some have no code, share an id, name an unsupported language or are malformed."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    given = docs.select(
+        F.floor(F.col("doc_id") / 2).alias("file_id"),
+        F.when(F.col("doc_id") % 5 != 0, F.col("text")).alias("code"),
+        F.when(F.col("doc_id") % 7 == 0, "Ruby").otherwise("JavaScript").alias("language"),
+        F.when(F.col("doc_id") % 11 == 0, F.col("text")).alias("_corrupt_record"),
+    )
+    found = detect(snippets_from(given), spread=True)
+    return found.select("file_id", "language", "error", F.coalesce("result", F.lit(-1)).alias("result"), F.coalesce("total_lines", F.lit(-1)).alias("total_lines"))
+
+
 def q_page_scripts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """JavaScript of every page's <script> elements, classified per page."""
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "html")
@@ -152,7 +189,7 @@ def q_page_scripts(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit("javascript").alias("language"),
         F.array_join(F.regexp_extract_all(F.col("html"), F.lit("(?is)<script[^>]*>(.*?)</script>"), 1), "\n").alias("code"),
     )
-    return _rounded(detect(scripts).select(
+    return _rounded(detect(scripts, spread=True, languages=("javascript",)).select(
         "file_id", "classification", *SCORE_COLUMNS, "decision_basis", "token_count", "function_count",
         "max_ast_depth", "total_lines"))
 
@@ -168,7 +205,7 @@ def q_detect_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- Python text features (no syntax tree) ------------------------------------
 
 def q_py_text_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    chunks = chunk_results(code_files(spark, sf_dir)).where(_language_is("python"))
+    chunks = chunk_results(code_files(spark, sf_dir), spread=True, languages=("python",))
     return _rounded(chunks.select(
         "file_id", F.col("chunk_id").cast("int").alias("chunk_id"), *PY_TEXT_COLUMNS))
 
@@ -176,36 +213,42 @@ def q_py_text_features(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- rows-only (syntax-tree features, outputs, evaluation, streaming) ---------
 
 def q_py_file_results(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rounded(detect(code_files(spark, sf_dir)).where(_language_is("python")))
+    return _rounded(detect(code_files(spark, sf_dir), spread=True, languages=("python",)))
 
 
 def q_basic(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = code_files(spark, sf_dir)
-    return _rounded(to_basic(detect(files), files))
+    return _rounded(to_basic(detect(files, spread=True)))
 
 
 def q_detailed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A5: every feature of every file, as JSON."""
-    return to_detailed(detect(code_files(spark, sf_dir)), as_json=True)
+    return to_detailed(detect(code_files(spark, sf_dir), spread=True), as_json=True)
 
 
 def q_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return to_report(detect(code_files(spark, sf_dir)), detailed=True)
+    return to_report(detect(code_files(spark, sf_dir), spread=True), detailed=True)
 
 
 def q_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return detect(code_files(spark, sf_dir)).where(F.col("error").isNotNull()).select("file_id", "language", "error")
+    return detect(code_files(spark, sf_dir), spread=True).where(F.col("error").isNotNull()).select("file_id", "language", "error")
 
 
 def q_evaluate(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..operators.evaluate import evaluate, expected_from_templates
     files = code_files(spark, sf_dir)
-    return evaluate(detect(files), expected_from_templates(files))
+    return evaluate(detect(files, spread=True), expected_from_templates(files))
+
+
+def q_benchmark_snippets_js(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Short benchmark texts submitted as JavaScript snippets."""
+    bench = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    snippets = snippets_from(bench.select(F.col("item_id").alias("file_id"), F.col("text").alias("code"), F.lit("JavaScript").alias("language")))
+    return _rounded(to_basic(detect(snippets, spread=True, languages=("javascript",))))
 
 
 def q_benchmark_snippets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Short benchmark texts submitted as snippets (language defaults to python)."""
-    from ..sources.files import snippets_from
     bench = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     snippets = snippets_from(bench.select(F.col("item_id").alias("file_id"), F.col("text").alias("code")))
-    return _rounded(to_basic(detect(snippets), snippets))
+    return _rounded(to_basic(detect(snippets, spread=True)))

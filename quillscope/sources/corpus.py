@@ -1,11 +1,12 @@
 """Derived code corpus: ``code_files`` built from the ``documents`` table.
 
 The driver tables hold prose, not programs.  Each document becomes one
-source file through template ``k = doc_id % 12``; three words of the
-document become identifiers and its first line a comment, so the corpus
-grows with ``documents`` and every file differs.  The same SQL expression
-text is used by Spark and by the DuckDB oracle (``render(dialect)``), so
-both engines see byte-identical inputs.
+source file: template ``k = doc_id % 12``, in which three words of the
+document become identifiers and its first line a comment, followed by the whole
+text, line by line, as comments, identifiers and strings, under the text's
+digest.  So the corpus grows with ``documents``, and any change to a text
+changes its file.  The same SQL expression text is used by Spark and by the
+DuckDB oracle (``render(dialect)``), so both engines see byte-identical inputs.
 
 | k | path | content |
 |---|------|---------|
@@ -13,14 +14,14 @@ both engines see byte-identical inputs.
 | 1 | .py  | TODO, bare except, prints, commented code, odd numbers, trailing blanks (human-like) |
 | 2 | .js  | const / arrow / template literal, example names (AI-like) |
 | 3 | .jsx | var, jQuery, alert, nested callbacks, block comment (human-like) |
-| 4 | .py  | two lines (low signal) |
+| 4 | .py  | two lines |
 | 5 | .py  | one 275-char top-level function repeated 8 + doc_id % 5 times (multi-chunk, parseable) |
-| 6 | .py  | one long function, evenly indented (later chunk does not parse) |
-| 7 | .py  | syntax error but tokenisable (parseable = false) |
+| 6 | .py  | one long function, evenly indented (a chunk that starts in it does not parse) |
+| 7 | .py  | syntax error but tokenisable (first chunk: parseable = false) |
 | 8 | .ts  | templates 2 and 3 repeated (multi-chunk, mixed classes) |
 | 9 | .py  | later chunk starts deeper than it ends (tokenizer IndentationError → error row) |
 | 10 | NULL | template 0 or 2 by parity of doc_id div 12 (content detection) |
-| 11 | .rb | prose or empty text (undetectable language → error row) |
+| 11 | .rb | the text itself (unsupported language → error row) |
 """
 
 from __future__ import annotations
@@ -28,8 +29,7 @@ from __future__ import annotations
 import zlib
 
 from pyspark.sql import DataFrame, SparkSession
-
-from ..session import ensure_checkpoint_dir
+from pyspark.sql import functions as F
 
 # Identifiers: 'v_' + ASCII letters of a word, padded/truncated to 12 chars
 # so that template lengths (and so chunk boundaries) do not depend on words.
@@ -178,13 +178,25 @@ def render(dialect: str = "spark", source: str = "documents") -> str:
         letters = f"regexp_replace(split_part(lower(text), ' ', {n}), '[^a-z]', ''{g})"
         return f"rpad(concat('v_', {letters}), {NAME_LEN}, 'x')"
 
+    def whole(mark: str, declare: str, end: str) -> str:
+        """The document's lines: each a comment, an identifier of all its words, and a string."""
+        clean = f"regexp_replace(line, '[^A-Za-z0-9 ]', ''{g})"
+        name = f"concat('v_', regexp_replace(lower({clean}), '[^a-z0-9]+', '_'{g}))"
+        each = f"concat('{mark} ', {clean}, chr(10), '{declare}', {name}, ' = \"', {clean}, '\"{end}', chr(10))"
+        if dialect == "duckdb":
+            lines = f"array_to_string(list_transform(string_split(text, chr(10)), lambda line: {each}), '')"
+        else:
+            lines = f"array_join(transform(split(text, '\\n'), line -> {each}), '')"
+        return f"concat(chr(10), '{mark} ', md5(text), chr(10), {lines})"
+
+    in_py, in_js = whole("#", "", ""), whole("//", "const ", ";")
     a, b, c = word(1), word(2), word(3)
     m = f"regexp_replace(split_part(text, chr(10), 1), '[^A-Za-z ]', ''{g})"
     k = "(doc_id % 12)"
     ai_py = _fill(_lit(T_AI_PY), a, b, c, m)
     ai_js = _fill(_lit(T_AI_JS), a, b, c, m)
     human_js = _fill(_lit(T_HUMAN_JS), a, b, c, m)
-    code = f"""CASE {k}
+    head = f"""CASE {k}
       WHEN 0 THEN {ai_py}
       WHEN 1 THEN {_fill(_lit(T_HUMAN_PY), a, b, c, m)}
       WHEN 2 THEN {ai_js}
@@ -196,8 +208,10 @@ def render(dialect: str = "spark", source: str = "documents") -> str:
       WHEN 8 THEN repeat(concat({ai_js}, {human_js}), 3)
       WHEN 9 THEN concat({_fill(_lit(T_DEEP_HEAD), a, b, c, m)}, repeat({_fill(_lit(T_DEEP_LINE), a, b, c, m)}, 60), {_fill(_lit(T_DEEP_TAIL), a, b, c, m)})
       WHEN 10 THEN CASE WHEN CAST(FLOOR(doc_id / 12) AS BIGINT) % 2 = 0 THEN {ai_py} ELSE {ai_js} END
-      ELSE CASE WHEN doc_id % 24 = 11 THEN '' ELSE text END
+      ELSE text
     END"""
+    is_js = f"{k} IN (2, 3, 8) OR ({k} = 10 AND CAST(FLOOR(doc_id / 12) AS BIGINT) % 2 <> 0)"
+    code = f"concat({head}, CASE WHEN {k} = 11 THEN '' WHEN {is_js} THEN {in_js} ELSE {in_py} END)"
     ext = f"""CASE {k}
       WHEN 2 THEN '.js' WHEN 3 THEN '.jsx' WHEN 8 THEN '.ts' WHEN 10 THEN NULL WHEN 11 THEN '.rb'
       ELSE '.py' END"""
@@ -208,18 +222,15 @@ def render(dialect: str = "spark", source: str = "documents") -> str:
     )
 
 
-def code_files(spark: SparkSession, sf_dir: str, materialize: bool = True) -> DataFrame:
-    """The derived corpus as a DataFrame (reads ``documents`` at ``sf_dir``).
+def code_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The derived corpus as a lazy DataFrame (reads ``documents`` at ``sf_dir``).
 
-    ``materialize`` checkpoints it into the session's shared checkpoint
-    folder.  Without that cut, a filter on a derived column (say
-    ``language``) is pushed down through the projections and inlines the
-    whole template expression into the filter once per reference."""
+    The columns come out of a one-element array that is generated again:
+    filters on them cannot move below that, so the template expression is
+    evaluated once per row and never copied into a filter."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     view = f"qs_documents_{zlib.crc32(sf_dir.encode()):08x}"
     docs.createOrReplaceTempView(view)
     df = spark.sql(render("spark", view))
-    if materialize:
-        ensure_checkpoint_dir(spark)
-        df = df.checkpoint(eager=True)
-    return df
+    once = F.explode_outer(F.array(F.struct(*df.columns))).alias("file")
+    return df.select(once).select("file.*")

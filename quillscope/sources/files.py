@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions import constants as K
+
 SNIPPET_SCHEMA = T.StructType([
     T.StructField("file_id", T.LongType()),
     T.StructField("code", T.StringType()),
@@ -16,8 +18,8 @@ SNIPPET_SCHEMA = T.StructType([
 def read_code_files(spark: SparkSession, paths, recursive: bool = True, glob: str | None = None) -> DataFrame:
     """A1: one row per file (UTF-8 text), ``path`` feeds language detection.
 
-    ``file_id`` is the 64-bit hash of the path: stable across runs and task
-    retries, so results can be joined back and streams de-duplicated."""
+    ``file_id`` is the path itself: stable across runs and task retries, and
+    no two files share it."""
     reader = spark.read
     if recursive:
         reader = reader.option("recursiveFileLookup", True)
@@ -27,7 +29,7 @@ def read_code_files(spark: SparkSession, paths, recursive: bool = True, glob: st
     df = reader.text(paths, wholetext=True)
     path = F.col("_metadata.file_path")
     return df.select(
-        F.xxhash64(path).alias("file_id"),
+        path.alias("file_id"),
         path.alias("path"),
         F.lit(None).cast("string").alias("language"),
         F.col("value").alias("code"),
@@ -35,17 +37,23 @@ def read_code_files(spark: SparkSession, paths, recursive: bool = True, glob: st
 
 
 def snippets_from(df: DataFrame) -> DataFrame:
-    """A2: language lower-cased, default ``python``; no path."""
-    lang = F.col("language") if "language" in df.columns else F.lit(None).cast("string")
+    """A2: language lower-cased, default ``python``; no path.  Records that could
+    not be read (column ``_corrupt_record``) keep their row, with an error."""
+    has = set(df.columns)
+    lang = F.col("language") if "language" in has else F.lit(None).cast("string")
+    error = F.when(F.col("_corrupt_record").isNotNull(), F.lit(K.ERR_MALFORMED)) if "_corrupt_record" in has else F.lit(None).cast("string")
     return df.select(
         F.col("file_id").cast("long").alias("file_id"),
         F.lit(None).cast("string").alias("path"),
         F.lower(F.coalesce(lang, F.lit("python"))).alias("language"),
         F.col("code"),
+        error.alias("input_error"),
     )
 
 
 def read_snippets(spark: SparkSession, path: str, fmt: str = "json") -> DataFrame:
     """A2: JSON lines / parquet of ``(file_id, code, language)``."""
-    df = spark.read.schema(SNIPPET_SCHEMA).format(fmt).load(path)
-    return snippets_from(df)
+    schema = SNIPPET_SCHEMA
+    if fmt == "json":
+        schema = T.StructType([*SNIPPET_SCHEMA, T.StructField("_corrupt_record", T.StringType())])
+    return snippets_from(spark.read.schema(schema).format(fmt).load(path))

@@ -13,7 +13,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.detect import detect
-from ..session import ensure_checkpoint_dir
 from ..sources.files import snippets_from
 
 
@@ -24,11 +23,9 @@ def _writer(output_dir: str):
     return write
 
 
-def detect_stream(stream: DataFrame, output_dir: str, checkpoint: str | None = None, trigger_once: bool = False):
+def detect_stream(stream: DataFrame, output_dir: str, checkpoint: str, trigger_once: bool = False):
     """Start the streaming job over a streaming DataFrame of
     ``(file_id, code[, language])`` rows; returns the StreamingQuery."""
-    spark = stream.sparkSession
-    checkpoint = checkpoint or os.path.join(ensure_checkpoint_dir(spark), "detect_stream")
     writer = stream.writeStream.foreachBatch(_writer(output_dir)).option("checkpointLocation", checkpoint)
     if trigger_once:
         writer = writer.trigger(availableNow=True)
@@ -36,14 +33,15 @@ def detect_stream(stream: DataFrame, output_dir: str, checkpoint: str | None = N
 
 
 def conversation_stream(spark: SparkSession, sf_dir: str, output_dir: str, checkpoint: str) -> DataFrame:
-    """Conversation turns as a snippet stream (key: conv_id, turn)."""
+    """Conversation turns as a stream of JavaScript snippets (key: conv_id * 2^20 + turn)."""
     schema = "conv_id BIGINT, turn BIGINT, role STRING, text STRING"
     src = (
-        spark.readStream.schema(schema).option("pathGlobFilter", "conversations.parquet")
-        .option("maxFilesPerTrigger", 1).parquet(sf_dir)
+        spark.readStream.schema(schema).option("maxFilesPerTrigger", 64)
+        .parquet(f"{sf_dir}/conversations.parque[t]")  # a file or a folder of files
     )
     snippets = src.select(
-        F.xxhash64("conv_id", "turn").alias("file_id"), F.col("text").alias("code"))
+        (F.col("conv_id") * 2**20 + F.col("turn")).alias("file_id"), F.col("text").alias("code"),
+        F.lit("javascript").alias("language"))
     q = detect_stream(snippets, output_dir, checkpoint, trigger_once=True)
     q.awaitTermination()
     return spark.read.parquet(output_dir)

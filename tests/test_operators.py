@@ -33,7 +33,7 @@ def test_chunking_matches_greedy_model(spark):
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "file_id long, code string")
     got = {r.file_id: list(r.chunks) for r in with_chunks(df).collect()}
     for i, t in enumerate(texts):
-        assert got[i] == plain.greedy_chunks(t), i
+        assert got[i] == plain.chunks_by_sums(t), i
 
 
 def test_split_lines_matches_str_splitlines(spark):
@@ -52,8 +52,8 @@ def test_brace_depth_and_comment_lines(spark):
     df = spark.createDataFrame([(t,) for t in texts], "t string")
     rows = df.select(brace_depth(F.col("t")).alias("d"), js_comment_lines(split_lines(F.col("t"))).alias("c")).collect()
     for t, r in zip(texts, rows):
-        assert r.d == plain.brace_depth(t), t
-        assert r.c == plain.js_comment_lines(t), t
+        assert r.d == plain.deepest_brace(t), t
+        assert r.c == plain.comment_line_count(t), t
 
 
 def test_entropy_and_trigrams(spark):
@@ -101,3 +101,45 @@ def test_js_tokens_like_python_re(spark):
     rows = df.select(F.regexp_extract_all(F.col("t"), F.lit(java_regex(K.JS_TOKEN)), 0).alias("k")).collect()
     for t, r in zip(texts, rows):
         assert list(r.k) == re.findall(K.JS_TOKEN, t)
+
+
+def test_chunking_over_fold_blocks(spark):
+    """Files of several fold blocks, and lines longer than a chunk."""
+    rng = random.Random(23)
+    texts = ["".join("y" * rng.choice([0, 1, 3, 40, 90, 2500]) + "\n" for _ in range(n)) for n in (1023, 1024, 1025, 2048, 3000)]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "file_id long, code string")
+    got = {r.file_id: list(r.chunks) for r in with_chunks(df).collect()}
+    for i, t in enumerate(texts):
+        assert got[i] == plain.chunks_by_sums(t), i
+
+
+def test_chunking_time_grows_with_the_file(spark):
+    """Twice the file, about twice the time; four times would be 4."""
+    import time
+
+    line = "some words of a line of code that is not too short\n"
+    took = []
+    for mb in (1, 4, 16):
+        df = spark.createDataFrame([(line * (mb * 20_000),)], "code string").cache()
+        df.count()
+        with_chunks(df).select(F.size("chunks")).collect()
+        start = time.perf_counter()
+        assert with_chunks(df).select(F.size("chunks").alias("n")).first().n > mb * 400
+        took.append(time.perf_counter() - start)
+    assert took[2] < 3 * 4 * max(took[1], 0.3), took
+
+
+def test_fixed_rounds_exact_values(spark):
+    from decimal import ROUND_HALF_UP, Decimal
+
+    from quillscope.plans.outputs import fixed
+
+    rng = random.Random(29)
+    values = [0.0, 0.05, 0.15, 0.25, 0.35, 12.25, 12.75, 88.85, 15.25, 99.95, 100.0, 1.005, 2.675, 0.125, 0.375, 4.0, 3.999, 7.95]
+    values += [round(rng.random(), 4) * 100 for _ in range(500)] + [rng.random() * 6 for _ in range(300)]
+    rows = spark.createDataFrame([(v,) for v in [*values, None]], "v double").select("v", fixed(F.col("v"), 1).alias("a"), fixed(F.col("v"), 2).alias("b")).collect()
+    for r in rows:
+        if r.v is None:
+            assert r.a is None and r.b is None
+        else:
+            assert r.a == str(Decimal(r.v).quantize(Decimal("0.1"), ROUND_HALF_UP)) and r.b == str(Decimal(r.v).quantize(Decimal("0.01"), ROUND_HALF_UP))

@@ -2,30 +2,38 @@
 
 import re
 
+import pytest
+
 from quillscope import detect
+from quillscope.plans import queries as Q
 from quillscope.plans.queries import documents_as
 
+SF = "/root/testdata/sf0.001"
+
+
+def plan_of(df) -> str:
+    return df._jdf.queryExecution().executedPlan().toString()
 
-def test_detect_plan_shape(spark):
-    files = documents_as(spark, "/root/testdata/sf0.1", "javascript")
-    plan = detect(files)._jdf.queryExecution().executedPlan().toString()
+
+@pytest.mark.parametrize("spread", [False, True])
+def test_detect_has_one_exchange(spark, spread):
+    languages = ("javascript",) if spread else ("python", "javascript")
+    plan = plan_of(detect(documents_as(spark, "/root/testdata/sf0.1", "javascript"), spread=spread, languages=languages))
     exchanges = re.findall(r"Exchange (\w+)\(([^)]*)", plan)
-    kinds = [args.split(",")[0].strip() for _, args in exchanges]
-    # balance on (file_id, chunk block) and the final aggregate on file_id;
-    # at most one more to spread an input that has fewer splits than cores
-    assert 2 <= len(exchanges) <= 3, plan
-    assert any("FLOOR" in args for _, args in exchanges)
-    assert "BroadcastExchange" not in plan and "BroadcastHashJoin" not in plan
-    assert "SortMergeJoin" not in plan and "CartesianProduct" not in plan
+    assert len(exchanges) == 1 and exchanges[0][1].startswith("file_id#"), plan
+    assert "BroadcastExchange" not in plan and "Join" not in plan and "CartesianProduct" not in plan
     # the scan reads only the two columns the job needs
     scan = re.search(r"FileScan parquet \[([^\]]*)\]", plan).group(1)
     assert sorted(c.split("#")[0] for c in scan.split(",")) == ["doc_id", "text"]
-    # partial aggregation happens before the file_id exchange
-    assert plan.count("partial_count(1)") == 1
-    assert any(k.startswith("file_id#") for k in kinds)
 
 
-def test_python_udfs_only_once(spark):
-    files = documents_as(spark, "/root/testdata/sf0.001", "python")
-    plan = detect(files)._jdf.queryExecution().executedPlan().toString()
-    assert plan.count("ArrowEvalPython") == 1
+def test_python_stage_once_or_not_at_all(spark):
+    assert plan_of(detect(documents_as(spark, SF, "python"))).count("ArrowEvalPython") == 1
+    for query in (Q.q_js_file_results, Q.q_js_chunk_scores, Q.q_page_scripts, Q.q_text_metrics):
+        assert "Python" not in plan_of(query(spark, SF))
+
+
+def test_corpus_is_lazy(spark):
+    plan = plan_of(Q.q_js_file_results(spark, SF))
+    assert "ExistingRDD" not in plan and plan.count("FileScan parquet") == 1
+    assert plan.count("md5(") <= 2  # each branch of the template expression stands once

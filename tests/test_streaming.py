@@ -75,3 +75,12 @@ def test_stream_restart_is_idempotent(spark):
     detect_stream(schema_stream(), out, ckpt, trigger_once=True).awaitTermination()
     ids = sorted(r.file_id for r in spark.read.parquet(out).select("file_id").collect())
     assert ids == [1, 2]
+
+
+def test_malformed_lines_keep_their_rows(spark):
+    src = tempfile.mkdtemp(prefix="qs-bad-")
+    with open(os.path.join(src, "a.json"), "w") as fh:
+        fh.write('{"file_id": 1, "code": "a = 1"}\n{"file_id": 2, "code": \nnot json at all\n{"file_id": 3, "code": 3\n')
+    out = detect(read_snippets(spark, src)).collect()
+    assert len(out) == 4
+    assert sorted(str(r.error) for r in out) == ["Malformed record"] * 3 + ["None"]
