@@ -49,9 +49,6 @@ PY_NON_WS_CLASS = "[^" + _escape_chars(PY_WHITESPACE) + "]"
 LINE_BREAK_CLASS = "[" + _escape_chars(LINE_BREAKS) + "]"
 # One line terminator as str.splitlines sees it (\r\n counts as one).
 LINE_BREAK = "\\r\\n|" + LINE_BREAK_CLASS
-    "[^" + _escape_chars(LINE_BREAKS) + "]*(?:\\r\\n|" + LINE_BREAK_CLASS + ")"
-    "|[^" + _escape_chars(LINE_BREAKS) + "]+"
-)
 
 
 def _is_quantifier(pattern: str, i: int) -> int:
