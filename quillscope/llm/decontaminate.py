@@ -8,8 +8,9 @@ table in one scan without a shuffle; a hit is verified word by word.  Only
 hits, and one header row per document, are grouped afterwards.
 
 The window table is broadcast while it has at most ``MAX_BROADCAST_WINDOWS``
-rows; beyond that the same join is left to Spark, which shuffles both sides by
-the hash.
+rows and names at most as many items; beyond that, positions and windows are
+joined by a shuffle of two hashes a position (128 bits, which then stand for
+the words), without the documents' words.
 
 Cases: null or wordless texts have no words and are clean; equal windows of
 several items count for each of those items; repeated items count once per id;
@@ -24,7 +25,7 @@ from pyspark.sql import functions as F
 WINDOW = 10
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-MAX_BROADCAST_WINDOWS = 2_000_000
+MAX_BROADCAST_WINDOWS = 300_000
 
 
 def words(text: Column) -> Column:
@@ -46,23 +47,26 @@ def _hits(rows: DataFrame, table: DataFrame) -> DataFrame:
 
     Every row also comes once with pos equal to its number of words and no hit.
     """
-    sizes = sorted(r["size"] for r in table.select("size").distinct().collect())  # at most WINDOW values
+    known = table.agg(F.array_sort(F.collect_set("size")).alias("sizes"), F.count("*").alias("n"), F.coalesce(F.sum(F.size("items")), F.lit(0)).alias("named")).first()
+    sizes = known["sizes"]  # at most WINDOW values
     at = rows.select("*", F.explode(F.sequence(F.lit(0), F.size("w"))).alias("pos"))
-    if len(sizes) > 1:
-        at = at.select("*", F.explode(F.array(*map(F.lit, sizes))).alias("gram_size"))
-    else:
-        at = at.withColumn("gram_size", F.lit(sizes[0] if sizes else 0))
     if not sizes:
         return at.where("pos = size(w)").select("*", F.lit(None).cast("int").alias("size"), F.lit(None).cast("array<string>").alias("items"))
+    gram_size = F.explode(F.array(*map(F.lit, sizes))) if len(sizes) > 1 else F.lit(sizes[0])
+    at = at.withColumn("gram_size", gram_size)
     here = F.slice("w", F.col("pos") + 1, F.col("gram_size"))
     fits = F.col("pos") + F.col("gram_size") <= F.size("w")
-    at = at.withColumn("here_hash", F.when(fits, F.xxhash64(here)))
-    grams = table.select("size", F.col("hash"), "gram", "items")
-    if table.count() <= MAX_BROADCAST_WINDOWS:
-        grams = F.broadcast(grams)
     header = (F.col("pos") == F.size("w")) & (F.col("gram_size") == sizes[0])
-    verified = F.col("items").isNotNull() & (F.col("gram_size") == F.col("size")) & (here == F.col("gram"))
-    return at.join(grams, F.col("here_hash") == F.col("hash"), "left").where(verified | header).drop("here_hash", "hash", "gram", "gram_size")
+    at = at.withColumn("here_hash", F.when(fits, F.xxhash64(here)))
+    if max(known["n"], known["named"]) <= MAX_BROADCAST_WINDOWS:
+        joined = at.join(F.broadcast(table), F.col("here_hash") == F.col("hash"), "left")
+        verified = F.col("items").isNotNull() & (F.col("gram_size") == F.col("size")) & (here == F.col("gram"))
+        return joined.where(verified | header).drop("here_hash", "hash", "gram", "gram_size")
+    other = lambda gram: F.xxhash64(F.lit("other"), gram)
+    narrow = at.withColumns({"here_other": F.when(fits, other(here)), "header": header}).drop("w")
+    named = table.select("size", "hash", other(F.col("gram")).alias("other"), "items")
+    joined = narrow.join(named, (F.col("here_hash") == F.col("hash")) & (F.col("here_other") == F.col("other")) & (F.col("gram_size") == F.col("size")), "left")
+    return joined.where(F.col("items").isNotNull() | F.col("header")).drop("here_hash", "here_other", "header", "hash", "other", "gram_size")
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -104,13 +108,13 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, remove: str = "document
     if remove not in ("documents", "spans"):
         raise ValueError("remove is 'documents' or 'spans'")
     digest = lambda c: F.sha2(c.cast("binary"), 256)
-    bodies = docs.select(F.col(text).alias("body"), words(F.col(text)).alias("w"))
+    bodies = docs.select(digest(F.col(text)).alias("__digest"), words(F.col(text)).alias("w"))
     found = _hits(bodies, windows(benchmark, n)).where("items is not null")
     marked = docs.withColumn("__digest", digest(F.col(text)))
     if remove == "documents":
-        return marked.join(found.select(digest(F.col("body")).alias("__digest")).distinct(), "__digest", "left_anti").select(*docs.columns)
+        return marked.join(found.select("__digest").distinct(), "__digest", "left_anti").select(*docs.columns)
     # The positions of hit words, at most as many as the document has words.
-    hit = found.select(digest(F.col("body")).alias("__digest"), F.explode(F.sequence("pos", F.col("pos") + F.col("size") - 1)).alias("at")).groupBy("__digest").agg(F.collect_set("at").alias("at"))
+    hit = found.select("__digest", F.explode(F.sequence("pos", F.col("pos") + F.col("size") - 1)).alias("at")).groupBy("__digest").agg(F.collect_set("at").alias("at"))
     parts = F.regexp_extract_all(F.col(text), F.lit(r"[0-9A-Za-z\x{80}-\x{10FFFF}]+|[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"), F.lit(0))
     first_is_word = F.col(text).rlike(r"^[0-9A-Za-z\x{80}-\x{10FFFF}]").cast("int")
     is_hit = F.map_from_arrays("at", F.transform("at", lambda _: F.lit(True)))

@@ -35,6 +35,7 @@ BITS, ROUND_BITS = 60, 10
 COORDINATE_BITS = 20  # then 20 of the text's hash, then 20 of the row's
 TOLERANCE = 0.002  # of a shard's bytes
 SLOT_BUCKET_ROWS = 50_000
+MAX_SLOT_BUCKETS = 4096  # a shard's; their row counts are broadcast
 
 
 @dataclass
@@ -145,7 +146,7 @@ def assign(docs: DataFrame, shards: int = SHARDS, doc_id: str = "doc_id", text:
         step = F.when(F.col("position") >= F.col("low"), F.col("half")).otherwise(0)
         rows = _along(rows, nodes, low="low", half="half").withColumn("node", (F.col("node") + F.coalesce(step, F.lit(0))).cast("int")).drop("position", "low", "half")
         level = {c.first: c for n in level.values() for c in ([Node(n.first, n.shards // 2), Node(n.first + n.shards // 2, n.shards - n.shards // 2)] if n.shards > 1 else [n])}
-    return _with_slots(rows.withColumnRenamed("node", "shard"), max(1, -(-(whole["n"] or 0) // (shards * SLOT_BUCKET_ROWS))))
+    return _with_slots(rows.withColumnRenamed("node", "shard"), min(MAX_SLOT_BUCKETS, -(-(whole["n"] or 0) // (shards * SLOT_BUCKET_ROWS))))
 
 
 def _with_slots(rows: DataFrame, buckets: int) -> DataFrame:
