@@ -86,8 +86,8 @@ def _along(rows: DataFrame, nodes: dict[int, Node], **values: str) -> DataFrame:
 
     The joined table has a row per node, at most as many as there are shards.
     """
-    schema = "at_node int, dimension int, " + ", ".join(f"{v} long" for v in values)
-    table = rows.sparkSession.createDataFrame([(k, DIMENSIONS.index(n.dimension), *(getattr(n, f) for f in values.values())) for k, n in nodes.items()], schema)
+    fields = lambda k, n: F.struct(F.lit(k).alias("at_node"), F.lit(DIMENSIONS.index(n.dimension)).alias("dimension"), *(F.lit(getattr(n, f)).cast("long").alias(v) for v, f in values.items()))
+    table = rows.sparkSession.range(1).select(F.inline(F.array(*(fields(k, n) for k, n in nodes.items()))))
     joined = rows.join(F.broadcast(table), F.col("node") == F.col("at_node"), "left").drop("at_node")
     position = F.when(F.col("dimension") == 0, F.col(DIMENSIONS[0])).when(F.col("dimension") == 1, F.col(DIMENSIONS[1])).when(F.col("dimension") == 2, F.col(DIMENSIONS[2]))
     return joined.withColumn("position", position).drop("dimension")
