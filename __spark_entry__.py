@@ -199,11 +199,12 @@ def oracle_sql() -> dict[str, str]:
     )
     # A file's number in the chunk tables is doc_id; its id is shared by two.
     errors_select = f"""SELECT CAST(floor(doc_id / 2) AS BIGINT) AS file_id, lower(language) AS language, error,
-      CASE WHEN error IS NULL THEN 0 ELSE -1 END AS result, CAST(coalesce(sum(js.total_lines) FILTER (error IS NULL), -1) AS BIGINT) AS total_lines
+      CASE WHEN error IS NOT NULL THEN -1 WHEN classification = 'AI-Generated Code' THEN 1 ELSE 0 END AS result,
+      CAST(CASE WHEN error IS NULL THEN total_lines ELSE -1 END AS BIGINT) AS total_lines
     FROM (SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN 'Ruby' ELSE 'JavaScript' END AS language,
             CASE WHEN doc_id % 11 = 0 THEN 'Malformed record' WHEN doc_id % 5 = 0 THEN 'No code provided'
                  WHEN doc_id % 7 = 0 THEN 'Unsupported language: ruby' END AS error FROM documents) d
-    LEFT JOIN js ON js.file_id = d.doc_id GROUP BY doc_id, language, error"""
+    LEFT JOIN files ON files.file_id = d.doc_id"""
     supported = "('python', 'javascript')"
     return {
         "chunk_code": (
@@ -234,7 +235,7 @@ def oracle_sql() -> dict[str, str]:
         "conversation_stream": _js(file_select, TURNS_SRC, D.js_score_ctes() + D.js_file_ctes()),
         "js_tuned": _js("SELECT file_id, chunk_id, total_lines, token_count, classification, decision_basis FROM js_scored",
                         DOC_SRC, _tuned(D.js_score_ctes()), target=900, tail=200),
-        "input_errors": _js(errors_select, INPUTS_SRC),
+        "input_errors": _js(errors_select, INPUTS_SRC, D.js_score_ctes() + D.js_file_ctes()),
         "page_scripts": _js(page_select, PAGES_SRC, D.js_score_ctes() + D.js_file_ctes()),
         "detect_language": (
             f"SELECT file_id, language, CASE WHEN language IS NULL THEN {D.q(K.ERR_UNDETECTED)} "
