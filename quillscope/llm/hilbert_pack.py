@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillscope.llm.pieces import split_pieces, texts_of
+from quillscope.llm.pieces import held, split_pieces, text_slices, texts_of
 from quillscope.llm.token_counts import Vocabulary, default_tokenizer
 
 SEQUENCE = 1024
@@ -41,7 +41,7 @@ BUCKETS, DIMENSIONS, LEVEL_BITS = 512, 3, 10
 SAMPLE_DOCS = 20_000
 RANGE_BYTES = 16 << 20
 MAX_RANGES = 16_384
-MAX_CACHED_PIECES = 700_000
+MAX_CACHED_PIECES = 400_000
 LONGEST_CACHED = 64
 SLICE_BYTES = 1 << 21
 OUT_ROWS = 20_000
@@ -174,9 +174,8 @@ class Encoder:
         return list(itertools.chain.from_iterable((x, mark) for x in ids))[:-1]
 
 
-@functools.lru_cache(maxsize=2)
 def encoder(path: str) -> Encoder:
-    return Encoder(path)
+    return held(("ids by", path), lambda: Encoder(path))
 
 
 def _packer(path: str | None, schema: pa.Schema, with_ids: bool):
@@ -193,13 +192,10 @@ def _packer(path: str | None, schema: pa.Schema, with_ids: bool):
 
         for batch in batches:
             ids_of, ranges = batch.column("doc_id").to_pylist(), batch.column("__range").to_pylist()
-            texts = texts_of(batch.column("body"))
-            a, held = 0, 0
-            for b, text in enumerate(texts, 1):
-                held += len(text)
-                if held < SLICE_BYTES and b < len(texts):
-                    continue
-                for doc, at_range, ids in zip(ids_of[a:b], ranges[a:b], encode(texts[a:b]), strict=True):
+            a = 0
+            for texts in text_slices(batch.column("body"), SLICE_BYTES):
+                b = a + len(texts)
+                for doc, at_range, ids in zip(ids_of[a:b], ranges[a:b], encode(texts), strict=True):
                     if at_range != here:
                         here, sequence, fill = at_range, at_range << 32, 0
                     ids += end
@@ -214,7 +210,7 @@ def _packer(path: str | None, schema: pa.Schema, with_ids: bool):
                             sequence, fill = sequence + 1, 0
                         if len(rows) >= OUT_ROWS:
                             yield out()
-                a, held = b, 0
+                a = b
         if rows:
             yield out()
 

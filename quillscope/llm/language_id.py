@@ -24,7 +24,6 @@ all: ``und`` for all rows.  Rows are kept as they are, repeated ones too.
 
 from __future__ import annotations
 
-import functools
 from collections import Counter
 from itertools import chain
 
@@ -34,6 +33,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillscope.llm.pieces import held, text_slices
 from quillscope.llm.sampling import held_out_bucket, per_class_sample
 
 UNDETERMINED = "und"
@@ -41,7 +41,7 @@ MARK = "▁".encode()
 DOCS_PER_LANGUAGE = 500
 EM_ROUNDS = 3
 SMOOTHING = 0.05
-MAX_CACHED_WORDS = 800_000
+MAX_CACHED_WORDS = 400_000
 MAX_CACHED_NUMBERS = 8_000_000
 SLICE = 5_000
 LONGEST_TOGETHER = 64
@@ -80,9 +80,17 @@ class PieceTrie:
         self.pieces = len(pieces)
         self.piece_at = np.array(piece_at)
         self.longest = max(map(len, pieces))
-        self.child = np.zeros((len(piece_at), 256), np.int32)
+        # A row for every node that has children, and a row of zeros, the last, for all others.
         keys = np.fromiter(child, np.int64, len(child))
-        self.child[keys >> 8, keys & 255] = np.fromiter(child.values(), np.int64, len(child))
+        inner = np.unique(keys >> 8)
+        self.row = np.full(len(piece_at), len(inner), np.int32)
+        self.row[inner] = np.arange(len(inner))
+        self.child = np.zeros((len(inner) + 1, 256), np.int32)
+        self.child[self.row[keys >> 8], keys & 255] = np.fromiter(child.values(), np.int64, len(child))
+
+    def step(self, node, byte):
+        """The child nodes; 0 where there is none."""
+        return self.child[self.row[node], byte]
 
     def arcs(self, words: list[bytes]) -> list[list[tuple[np.ndarray, int, np.ndarray]]]:
         """Per end position j, (word numbers, start i, pieces) of all occurrences of pieces."""
@@ -95,7 +103,7 @@ class PieceTrie:
             which = np.flatnonzero(length > i)
             node = np.zeros(len(which), np.int64)
             for j in range(i, min(longest, i + self.longest)):
-                node = self.child[node, chars[which, j]]
+                node = self.step(node, chars[which, j])
                 alive = (node > 0) & (length[which] > j)
                 which, node = which[alive], node[alive]
                 if not len(which):
@@ -107,9 +115,8 @@ class PieceTrie:
         return ends
 
 
-@functools.lru_cache(maxsize=2)
 def trie(path: str) -> PieceTrie:
-    return PieceTrie(path)
+    return held(("pieces of", path), lambda: PieceTrie(path))
 
 
 def forward(arcs: list, n: int, p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -181,7 +188,7 @@ def _one_long(word: bytes, p: np.ndarray, of: PieceTrie) -> np.ndarray:
     for b in word:
         ring = np.roll(ring, 1, axis=0)
         ring[0] = 0
-        pending = [(int(of.child[node, b]), age + 1) for node, age in [*pending, (0, 0)]]
+        pending = [(int(of.step(node, b)), age + 1) for node, age in [*pending, (0, 0)]]
         pending = [(node, age) for node, age in pending if node]
         for node, age in pending:
             if (piece := of.piece_at[node]) >= 0:
@@ -243,9 +250,9 @@ class LanguageModel:
     def log_text(self, texts: list[str | None]) -> np.ndarray:
         """texts x languages."""
         out = np.zeros((len(texts), len(self.languages)))
-        split = [t.split() if t else [] for t in texts]
-        for a, b in _groups([len(x) for x in split], 400_000):
-            words = list(chain.from_iterable(split[a:b]))
+        for a, b in _groups([len(t) if t else 0 for t in texts], 1 << 21):
+            split = [t.split() if t else [] for t in texts[a:b]]
+            words = list(chain.from_iterable(split))
             rows = list(map(self.known.get, words))
             if None in rows:
                 fresh = {w for w, r in zip(words, rows, strict=True) if r is None}
@@ -253,7 +260,7 @@ class LanguageModel:
                     fresh = set(words)
                 self._learn_rows(fresh)
                 rows = list(map(self.known.__getitem__, words))
-            sizes = np.array([len(x) for x in split[a:b]])
+            sizes = np.array([len(x) for x in split])
             some = np.flatnonzero(sizes)
             if len(some):
                 starts = (np.cumsum(sizes) - sizes)[some]
@@ -317,10 +324,12 @@ def identify(df: DataFrame, model: LanguageModel, text: str = "text") -> DataFra
 
     @F.arrow_udf("lang_pred string, score double")
     def guess(column: pa.Array) -> pa.Array:
-        from quillscope.llm.pieces import texts_of
-
-        names, score = shared.value.predict([t.decode() for t in texts_of(column)])
-        return pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(score, pa.float64())], ["lang_pred", "score"])
+        names, scores = [], [np.zeros(0)]
+        for texts in text_slices(column):
+            found, score = shared.value.predict([t.decode() for t in texts])
+            names += found
+            scores.append(score)
+        return pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(np.concatenate(scores), pa.float64())], ["lang_pred", "score"])
 
     return df.withColumn("__guess", guess(F.col(text))).withColumns({"lang_pred": F.col("__guess.lang_pred"), "score": F.col("__guess.score")}).drop("__guess")
 

@@ -17,6 +17,7 @@ outputs are read off, again in lock step.
 from __future__ import annotations
 
 import functools
+import gc
 from collections.abc import Iterator
 
 import numpy as np
@@ -235,6 +236,21 @@ def split_pieces(texts: list[bytes]) -> Iterator[tuple[list[bytes], np.ndarray,
             yield pieces, np.diff(cut), np.asarray(index)
 
 
+_HELD: dict = {}
+
+
+def held(key, make):
+    """What a Python worker keeps for the operator it runs, made once; that of another operator is let go.
+
+    Workers live on from stage to stage, and tables of several operators together would not fit beside each other.
+    """
+    if key not in _HELD:
+        _HELD.clear()
+        gc.collect()
+        _HELD[key] = make()
+    return _HELD[key]
+
+
 def utf8(text) -> bytes:
     """Valid UTF-8 of an Arrow string scalar's bytes or None; invalid bytes become U+FFFD."""
     if text is None:
@@ -251,3 +267,15 @@ def texts_of(column) -> list[bytes]:
     import pyarrow as pa
 
     return [utf8(x) for x in column.cast(pa.large_binary()).to_pylist()]
+
+
+def text_slices(column, most: int = WINDOW) -> Iterator[list[bytes]]:
+    """The texts of an Arrow column in runs of about ``most`` bytes, so that a large batch is never copied as a whole."""
+    import pyarrow.compute as pc
+
+    ends = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    a = 0
+    while a < len(column):
+        b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + most, "right")))
+        yield texts_of(column.slice(a, b - a))
+        a = b

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillscope.llm.pieces import texts_of
+from quillscope.llm.pieces import text_slices
 from quillscope.llm.sampling import held_out_bucket, per_class_sample
 
 DOCS_PER_LABEL = 2048
@@ -156,7 +156,7 @@ def rate(df: DataFrame, model: LatentNeighbours, text: str = "text") -> DataFram
 
     @F.arrow_udf("double")
     def vote(column: pa.Array) -> pa.Array:
-        return pa.array(shared.value.score(texts_of(column)), pa.float64())
+        return pa.array(np.concatenate([np.zeros(0), *map(shared.value.score, text_slices(column))]), pa.float64())
 
     return df.withColumn("score", vote(F.col(text))).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 

@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillscope.llm.components import checkpoint_folder, components
-from quillscope.llm.pieces import texts_of
+from quillscope.llm.pieces import text_slices
 
 SEED = 42
 SHINGLE = 3
@@ -74,7 +74,8 @@ def simhash(text: Column, shingle: int = SHINGLE) -> Column:
 
     @F.arrow_udf("long")
     def fingerprint(column: pa.Array) -> pa.Array:
-        return pa.array(fingerprints(texts_of(column), shingle).view(np.int64))
+        found = [fingerprints(texts, shingle) for texts in text_slices(column)]
+        return pa.array(np.concatenate([np.zeros(0, np.uint64), *found]).view(np.int64))
 
     return fingerprint(text)
 

@@ -26,7 +26,6 @@ text of any length is read window by window.
 
 from __future__ import annotations
 
-import functools
 import json
 from collections import defaultdict
 
@@ -35,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillscope.llm.pieces import split_pieces, texts_of
+from quillscope.llm.pieces import held, split_pieces, texts_of
 
 MAX_STATES = 400_000
 MAX_CACHED_PIECES = 500_000
@@ -269,9 +268,8 @@ class TokenCounter:
         return out
 
 
-@functools.lru_cache(maxsize=2)
 def counter(path: str) -> TokenCounter:
-    return TokenCounter(path)
+    return held(("counts by", path), lambda: TokenCounter(path))
 
 
 def token_count(text: Column | str, tokenizer: str | None = None) -> Column:

@@ -19,7 +19,7 @@ def test_forward_sums_all_segmentations():
     def piece(part):
         node = 0
         for b in part:
-            node = of.child[node, b]
+            node = of.step(node, b)
             if not node:
                 return -1
         return of.piece_at[node]
