@@ -85,7 +85,8 @@ def audit(master: list[DataFrame], replica: list[DataFrame]) -> DataFrame:
     depth = min(len(master), len(replica)) - 1
     bad = _differing(master[depth], replica[depth])
     for level in range(depth - 1, -1, -1):
-        parents = bad.select(F.col("node").alias("parent"))
+        # Both replicas' children are looked up by them: kept, lest every level doubles the plan.
+        parents = bad.select(F.col("node").alias("parent")).checkpoint()
         children = [t[level].withColumn("parent", F.floor(F.col("node") / FANOUT)).join(parents, "parent", "left_semi").drop("parent") for t in (master, replica)]
         bad = _differing(*children)
     status = F.when(F.col("b").isNull(), "missing").when(F.col("a").isNull(), "extra").otherwise("changed")
