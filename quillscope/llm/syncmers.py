@@ -7,9 +7,9 @@ symbol), the least stands first or last.  Whether a k-mer is chosen depends on
 the k-mer alone, so equal passages choose equal k-mers wherever they stand.
 
 A text's fingerprint is the ``SKETCH`` least distinct 32-bit hashes of its
-syncmers, as eight hexadecimal digits each; a text of fewer symbols than a
-k-mer has the hash of all its symbols, and a text without symbols the empty
-string.  The likeness of two fingerprints is the estimated Jaccard similarity:
+syncmers, as eight hexadecimal digits each.  A text with no syncmer has the
+hashes of all its k-mers, a text of fewer symbols than a k-mer the hash of all
+its symbols, and only a text without symbols the empty string.  The likeness of two fingerprints is the estimated Jaccard similarity:
 of the least ``SKETCH`` hashes of the union, the share that both have (1 for
 two empty ones).
 
@@ -55,9 +55,9 @@ def with_fingerprint(df: DataFrame, text: str, to: str, k: int = K, sketch: int
     h, m = f"__{to}_h", f"__{to}_m"
     hashed = df.withColumn(h, F.transform(symbols(F.coalesce(F.col(text), F.lit(""))), lambda w: F.xxhash64(w)))
     zipped = hashed.withColumn(m, F.filter(_kmers(F.col(h), k), lambda x: _is_closed(x, k)))
-    chosen = F.slice(F.array_sort(F.array_distinct(F.transform(m, lambda x: _hash32(x, k)))), 1, sketch)
+    least = lambda kmers: F.slice(F.array_sort(F.array_distinct(F.transform(kmers, lambda x: _hash32(x, k)))), 1, sketch)
     short = F.array(F.xxhash64(h).bitwiseAND(F.lit(0xFFFFFFFF)))
-    value = F.when(F.size(h) == 0, F.array().cast("array<bigint>")).when(F.size(h) < k, short).otherwise(chosen)
+    value = F.when(F.size(h) == 0, F.array().cast("array<bigint>")).when(F.size(h) < k, short).when(F.size(m) == 0, least(_kmers(F.col(h), k))).otherwise(least(F.col(m)))
     return zipped.withColumn(to, value).drop(h, m)
 
 

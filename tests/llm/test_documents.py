@@ -134,6 +134,14 @@ def test_edited_texts(spark, table):
     assert sum(r["near_edited"] for r in rows.values()) / len(rows) > 0.4
 
 
+def test_only_texts_without_symbols_have_empty_fingerprints(spark):
+    texts = [" ".join(f"w{n}x{i}x{j}" for j in range(n)) for n in (5, 6, 7) for i in range(40)]
+    docs = spark.createDataFrame(list(enumerate([*texts, "", None, " \n"])), "doc_id long, text string")
+    found = [r["fp"] for r in syncmers.with_fingerprint(docs, "text", "fp").orderBy("doc_id").collect()]
+    assert all(found[:120]) and found[120:] == [[], [], []]
+    assert len(set(map(tuple, found[:120]))) == 120
+
+
 def test_edited_edge_rows(spark, monkeypatch):
     docs = brute.edge_rows(spark).withColumn("body", F.lit(2)).withColumn("fp", F.lit("taken"))
     monkeypatch.setattr(syncmers, "ROWS_PER_BUCKET", 1)
