@@ -1,19 +1,22 @@
 """Operator 8: document fingerprints of closed syncmers.
 
-DataFrame functions only.  Symbols are white-space separated strings, longer
-ones in pieces of ``SYMBOL`` characters.  A k-mer is ``K`` consecutive symbols;
-it is a *closed syncmer* if, of the hashes of its inner s-mers (``S`` = 1
-symbol), the least stands first or last.  Whether a k-mer is chosen depends on
-the k-mer alone, so equal passages choose equal k-mers wherever they stand.
+DataFrame functions only.  Runs of white space count as one space.  An s-mer is
+``S`` consecutive code points, a k-mer ``K`` consecutive s-mers (K + S - 1 code
+points); it is a *closed syncmer* if, of the hashes of its s-mers, the least
+stands first or last.  Whether a k-mer is chosen depends on the k-mer alone, so
+equal passages choose equal k-mers wherever they stand, in texts without white
+space too.
 
 A text's fingerprint is the ``SKETCH`` least distinct 32-bit hashes of its
 syncmers, as eight hexadecimal digits each.  A text with no syncmer has the
-hashes of all its k-mers, a text of fewer symbols than a k-mer the hash of all
-its symbols, and only a text without symbols the empty string.  The likeness of two fingerprints is the estimated Jaccard similarity:
+hashes of all its k-mers, a text shorter than a k-mer the hashes of its s-mers
+(under S code points: of itself), and only a text without symbols the empty
+string.  The likeness of two fingerprints is the estimated Jaccard similarity:
 of the least ``SKETCH`` hashes of the union, the share that both have (1 for
 two empty ones).
 
-:func:`anchors` keeps every syncmer with its position, for positional matching.
+:func:`anchors` keeps every syncmer of words, K consecutive ones (longer words in
+pieces of ``SYMBOL`` characters), with its position, for positional matching.
 
 Cases: null is an empty text; equal texts have equal fingerprints; repeated
 ids or rows keep a row each; rows with a null id stand after all others.
@@ -25,6 +28,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 K = 5
+S = 4
 SYMBOL = 12
 SKETCH = 64
 ROWS_PER_BUCKET = 512
@@ -35,6 +39,12 @@ def symbols(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(rf"\S{{1,{SYMBOL}}}"), F.lit(0))
 
 
+def smers(text: Column, s: int = S) -> Column:
+    """All s consecutive code points of a text with single spaces; a shorter text whole.  Matches never start inside a surrogate pair."""
+    even = F.trim(F.regexp_replace(text, r"\s+", " "))
+    return F.regexp_extract_all(even, F.lit(rf"(?s)(?![\x{{DC00}}-\x{{DFFF}}])(?=(.{{{s}}}|\A.{{1,{s - 1}}}\z))"), F.lit(1))
+
+
 def _kmers(h: Column, k: int) -> Column:
     """Array of structs of k consecutive hashes (s0, s1, ...), one per k-mer."""
     shifted = [F.slice(h, i + 1, F.greatest(F.lit(0), F.size(h) - (k - 1))) for i in range(k)]
@@ -53,11 +63,12 @@ def _hash32(m: Column, k: int) -> Column:
 def with_fingerprint(df: DataFrame, text: str, to: str, k: int = K, sketch: int = SKETCH) -> DataFrame:
     """Adds ``to``: the sketch of a text column as an ascending array of longs below 2^32."""
     h, m = f"__{to}_h", f"__{to}_m"
-    hashed = df.withColumn(h, F.transform(symbols(F.coalesce(F.col(text), F.lit(""))), lambda w: F.xxhash64(w)))
+    hashed = df.withColumn(h, F.transform(smers(F.coalesce(F.col(text), F.lit(""))), lambda w: F.xxhash64(w)))
     zipped = hashed.withColumn(m, F.filter(_kmers(F.col(h), k), lambda x: _is_closed(x, k)))
-    least = lambda kmers: F.slice(F.array_sort(F.array_distinct(F.transform(kmers, lambda x: _hash32(x, k)))), 1, sketch)
-    short = F.array(F.xxhash64(h).bitwiseAND(F.lit(0xFFFFFFFF)))
-    value = F.when(F.size(h) == 0, F.array().cast("array<bigint>")).when(F.size(h) < k, short).when(F.size(m) == 0, least(_kmers(F.col(h), k))).otherwise(least(F.col(m)))
+    least = lambda hashes: F.slice(F.sort_array(F.array_distinct(hashes)), 1, sketch)
+    of = lambda kmers: least(F.transform(kmers, lambda x: _hash32(x, k)))
+    short = least(F.transform(h, lambda x: x.bitwiseAND(F.lit(0xFFFFFFFF))))
+    value = F.when(F.size(h) < k, short).when(F.size(m) == 0, of(_kmers(F.col(h), k))).otherwise(of(F.col(m)))
     return zipped.withColumn(to, value).drop(h, m)
 
 

@@ -1,6 +1,7 @@
 """Operators 3, 7, 8 and 10 against plain versions."""
 
 import hashlib
+import re
 import zlib
 
 import brute
@@ -142,6 +143,48 @@ def test_only_texts_without_symbols_have_empty_fingerprints(spark):
     assert len(set(map(tuple, found[:120]))) == 120
 
 
+def test_short_and_unspaced_texts_are_told_apart(spark):
+    import random
+
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(4, 9)))
+    docs = spark.createDataFrame([(i, " ".join(word() for _ in range(5 + i % 8))) for i in range(80)], "doc_id long, text string")
+    rows = syncmers.compare_with_edited(docs).collect()
+    assert len(rows) == 80 and all(r["near_edited"] > r["near_next"] for r in rows)
+    chars = [rng.choice([*map(chr, range(0x4E00, 0x4F00)), *"abc", "😀"]) for _ in range(1500)]
+    pairs = [("".join(chars), "".join([*chars[:3], "x", *chars[3:]])), ("猫が鳴く", "犬が吠える"), ("😀", "😃")]
+    texts = spark.createDataFrame(pairs, "a string, b string")
+    both = syncmers.with_fingerprint(syncmers.with_fingerprint(texts, "a", "fa"), "b", "fb")
+    near = [r[0] for r in both.select(syncmers.likeness(F.col("fa"), F.col("fb"))).collect()]
+    assert near[0] > 0.8 and near[1:] == [0, 0]
+
+
+def test_code_point_syncmers_equal_a_plain_version(spark):
+    import xxhash
+
+    h64 = lambda b: (lambda x: x - (1 << 64) if x >> 63 else x)(xxhash.xxh64_intdigest(b, 42))
+
+    def plain(text):
+        text = re.sub(r"[ \t\n\x0b\f\r]+", " ", text).strip(" ")
+        s, k = syncmers.S, syncmers.K
+        h = [h64(text[i : i + s].encode()) for i in range(max(1, len(text) - s + 1))] if text else []
+        kmers = [h[i : i + k] for i in range(len(h) - k + 1)]
+        closed = [x for x in kmers if min(x) in (x[0], x[-1])] or kmers
+
+        def of(kmer):
+            seed = 42
+            for x in kmer:
+                seed = xxhash.xxh64_intdigest((x % (1 << 64)).to_bytes(8, "little"), seed)
+            return seed & 0xFFFFFFFF
+
+        return sorted({of(x) for x in closed} or {x & 0xFFFFFFFF for x in h})[: syncmers.SKETCH]
+
+    texts = [*brute.random_texts(150), "", " \n", "a", "ab\n", "\n a\u3000b", "😀😀a😀bcd😀efg", "one  two\tthree"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["fp"] for r in syncmers.with_fingerprint(docs, "text", "fp").collect()}
+    assert got == {i: plain(t) for i, t in enumerate(texts)}
+
+
 def test_edited_edge_rows(spark, monkeypatch):
     docs = brute.edge_rows(spark).withColumn("body", F.lit(2)).withColumn("fp", F.lit("taken"))
     monkeypatch.setattr(syncmers, "ROWS_PER_BUCKET", 1)
