@@ -15,7 +15,8 @@ lattice together; languages are one axis of the arrays.
 Piece probabilities are fitted by expectation maximisation on a bounded sample
 of labelled rows (``docs_per_language``): expected piece counts over all
 segmentations, from forward and backward sums.  Every byte is a piece too, so
-every word has a segmentation.
+every word has a segmentation.  Words of any length are counted, those over
+``WINDOW`` bytes by windows that each see ``CONTEXT`` bytes more on both sides.
 
 Cases: null text, or text without a letter: ``und`` with score 0; several
 equally likely languages: the first in alphabetical order; no labelled row at
@@ -45,6 +46,8 @@ MAX_CACHED_WORDS = 400_000
 MAX_CACHED_NUMBERS = 8_000_000
 SLICE = 5_000
 LONGEST_TOGETHER = 64
+LATTICE = 320_000  # words x positions of a batch in fitting
+WINDOW, CONTEXT = 4096, 256
 SHORT = 28  # probabilities are over 1e-9, so products of so many over 1e-252
 LETTER = regex.compile(r"\p{L}")
 
@@ -199,23 +202,40 @@ def _one_long(word: bytes, p: np.ndarray, of: PieceTrie) -> np.ndarray:
     return np.log(np.maximum(ring[0], 1e-300)) + logs
 
 
+def _windows(words: list[bytes], weights: np.ndarray):
+    """(part, weight, first, end) of every word: the pieces that start at first:end of the part are to be counted."""
+    for word, weight in zip(words, weights, strict=True):
+        n = len(word)
+        for a in range(0, n, WINDOW):
+            b, low = min(n, a + WINDOW), max(0, a - CONTEXT)
+            yield word[low : b + CONTEXT], weight, a - low, b - low
+
+
 def expected_counts(words: list[bytes], weights: np.ndarray, p: np.ndarray, of: PieceTrie) -> np.ndarray:
     """Expected piece counts of one language: each occurrence's posterior, alpha * p * beta / total."""
     out = np.zeros(of.pieces)
-    for at in range(0, len(words), SLICE):
-        part, w = words[at : at + SLICE], weights[at : at + SLICE]
-        arcs, n = of.arcs(part), len(part)
+    log_p = np.log(p)
+    rows = sorted(_windows(words, weights), key=lambda x: len(x[0]))
+    size = np.array([len(x[0]) for x in rows])
+    at = 0
+    while at < len(rows):
+        # Words of like length together, few of them if they are long.
+        some = size[at : at + SLICE]
+        n = max(1, int(np.count_nonzero(some * np.arange(1, len(some) + 1) <= LATTICE)))
+        part = [x[0] for x in rows[at : at + n]]
+        w, first, end = (np.array([x[k] for x in rows[at : at + n]]) for k in (1, 2, 3))
+        arcs, last = of.arcs(part), size[at : at + n]
+        at += n
         alpha, scale = forward(arcs, n, p[:, None])
         log_alpha = np.log(np.maximum(alpha[:, :, 0], 1e-300)) + scale
-        last = np.fromiter(map(len, part), np.int64, n)
         log_beta = np.full((len(arcs), n), -np.inf)
         log_beta[last, np.arange(n)] = 0
         total = log_alpha[last, np.arange(n)]
-        log_p = np.log(p)
         for j in range(len(arcs) - 1, 0, -1):
             for which, i, piece in arcs[j]:
                 through = log_p[piece] + log_beta[j, which]
-                np.add.at(out, piece, w[which] * np.exp(log_alpha[i, which] + through - total[which]))
+                counted = w[which] * ((first[which] <= i) & (i < end[which]))
+                np.add.at(out, piece, counted * np.exp(log_alpha[i, which] + through - total[which]))
                 log_beta[i, which] = np.logaddexp(log_beta[i, which], through)
     return out
 
@@ -302,8 +322,7 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", salt: str =
     def em(key, frame):
         of = trie(path)
         part = [MARK + w.encode(errors="replace") for w in frame["word"]]
-        short = [k for k, w in enumerate(part) if len(w) <= LONGEST_TOGETHER]
-        part, weights = [part[k] for k in short], frame["count"].to_numpy(float)[short]
+        weights = frame["count"].to_numpy(float)
         p = np.full(of.pieces, 1 / of.pieces)
         for _ in range(EM_ROUNDS):
             counts = expected_counts(part, weights, p, of) + SMOOTHING

@@ -75,6 +75,30 @@ def test_language_without_labels(spark):
     assert {r["lang_pred"] for r in language_id.identify(docs, empty).collect()} == {"und"}
 
 
+def test_languages_of_long_words_are_learned(spark):
+    rng = np.random.default_rng(4)
+    letters = {"aa": "กขคงจฉชซ", "bb": "ดตถทธนบป", "cc": "abcdefgh"}
+    rows = [(i, "".join(rng.choice(list(letters[x]), 90)), x) for i, x in enumerate(["aa", "bb", "cc"] * 20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert all(len(r[1].encode()) > language_id.LONGEST_TOGETHER and " " not in r[1] for r in rows)
+    model = language_id.fit(docs.where("doc_id < 45"))
+    names, scores = model.predict([r[1] for r in rows if r[0] >= 45])
+    assert names == [r[2] for r in rows if r[0] >= 45] and scores.min() > 0.99
+
+
+def test_expected_counts_of_long_words(monkeypatch):
+    of = language_id.trie(language_id.default_vocabulary())
+    p = np.full(of.pieces, 1 / of.pieces)
+    words = [b"thecatsatonthemat" * 180, "猫が鳴く".encode() * 90, b"the", b"cat"]
+    weights = np.array([1.0, 2.0, 3.0, 4.0])
+    assert max(map(len, words)) < language_id.WINDOW
+    whole = language_id.expected_counts(words, weights, p, of)
+    single = sum(language_id.expected_counts([w], weights[k : k + 1], p, of) for k, w in enumerate(words))
+    assert np.allclose(whole, single)
+    monkeypatch.setattr(language_id, "WINDOW", 500)
+    assert np.allclose(language_id.expected_counts(words, weights, p, of), whole, rtol=1e-4, atol=1e-6)
+
+
 def test_language_repeated_fit_is_equal(spark, model):
     again = language_id.fit(language_id.training_rows(spark.read.parquet(f"{brute.SF_CHECK}/documents.parquet")), docs_per_language=60)
     assert again.languages == model.languages and np.allclose(again.p, model.p)
