@@ -26,6 +26,12 @@ def checkpoint_folder(spark: SparkSession) -> str:
     return os.fspath(folder)
 
 
+def remove_folder(spark: SparkSession, folder: str) -> None:
+    """Removes a folder of the shared file system once nothing reads it any more."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def _least(links: DataFrame) -> DataFrame:
     """Of every u, itself and its neighbours: the least."""
     return links.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))

@@ -7,12 +7,14 @@ and derives the contract's columns from the operator's result.
 from __future__ import annotations
 
 import functools
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillscope.llm import chat_rotation, decontaminate, hilbert_pack, kd_shards, language_id, quality_knn, simhash, syncmers, token_counts, warc_merkle
+from quillscope.llm import binary_codes, chat_rotation, decontaminate, divergence, hilbert_pack, kd_shards, language_id, lexical_search, quality_knn, simhash, syncmers, token_counts, warc_merkle
+from quillscope.llm.components import checkpoint_folder, remove_folder
 from quillscope.llm.sampling import held_out_bucket
 from quillscope.session import ship_package
 
@@ -72,6 +74,23 @@ def op10_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op11_blockmax_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The index is a table in the shared folder; the few results are kept there apart from it, so it can go."""
+    folder = f"{checkpoint_folder(spark)}/lexical-index-{uuid.uuid4().hex}"
+    index = lexical_search.build_index(table(spark, sf_dir, "documents"), folder)
+    found = lexical_search.search(index, table(spark, sf_dir, "benchmark")).checkpoint()
+    remove_folder(spark, folder)
+    return found
+
+
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
+def op13_binary_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return binary_codes.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def _shipped(query: Query) -> Query:
     @functools.wraps(query)
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -82,8 +101,8 @@ def _shipped(query: Query) -> Query:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: _shipped(f) for f in (op1_token_counts, op2_language_id, op3_simhash, op4_warc_merkle, op5_chat_rotation, op6_quality_knn, op7_decontamination, op8_syncmers, op9_hilbert_pack, op10_kd_shards)}
+    return {f.__name__: _shipped(f) for f in (op1_token_counts, op2_language_id, op3_simhash, op4_warc_merkle, op5_chat_rotation, op6_quality_knn, op7_decontamination, op8_syncmers, op9_hilbert_pack, op10_kd_shards, op11_blockmax_search, op12_source_divergence, op13_binary_codes)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_warc_merkle": warc_merkle.AUDIT_SQL, "op5_chat_rotation": chat_rotation.DIGEST_SQL, "op7_decontamination": decontaminate.REPORT_SQL}
+    return {"op4_warc_merkle": warc_merkle.AUDIT_SQL, "op5_chat_rotation": chat_rotation.DIGEST_SQL, "op7_decontamination": decontaminate.REPORT_SQL, "op11_blockmax_search": lexical_search.SEARCH_SQL, "op12_source_divergence": divergence.AUDIT_SQL, "op13_binary_codes": binary_codes.LINKS_SQL}
