@@ -51,7 +51,7 @@ TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: A-Z become a-z, other ASCII that is neither letter nor digit a blank.
 FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
-SHARD_BYTES = 32 << 20
+SHARD_BYTES = 12 << 20
 BLOCK = 128
 #: Queries of a block: each (shard, block) is a task's group.
 QUERIES = 256
@@ -115,16 +115,16 @@ class _Shard:
             "shard": pa.array([shard], pa.int64()), "term": none(1, pa.string()), "docs": pa.array([len(lengths)], pa.int32()), "total": pa.array([int(lengths.sum())], pa.int64()),
             "lasts": none(1, pa.binary()), "ends": none(1, pa.binary()), "best": none(1, pa.binary()), "postings": pa.array([lengths.tobytes()], pa.binary()), "ids": pa.array([self.ids], pa.list_(id_type)),
         })
-        doc = np.repeat(np.arange(len(lengths), dtype=np.int64), np.array(self.sizes, np.int64))
-        term, tf = np.array(self.terms, np.int64), np.array(self.tf, np.int64)
-        order = np.argsort(term, kind="stable")
-        term, doc, tf = term[order], doc[order], tf[order]
+        doc = np.repeat(np.arange(len(lengths), dtype=np.int32), np.array(self.sizes, np.int32))
+        order = np.argsort(np.frombuffer(self.terms, np.int32), kind="stable")
+        term, doc, tf = np.frombuffer(self.terms, np.int32)[order], doc[order], np.frombuffer(self.tf, np.int32)[order]
         n = len(self.vocabulary)
         df = np.bincount(term, minlength=n)
         first = np.cumsum(df) - df
         place = np.arange(len(term)) - first[term]
         blocks = -(-df // BLOCK)
         block = (np.cumsum(blocks) - blocks)[term] + place // BLOCK
+        del order, place
         gap = np.diff(doc, prepend=-1)
         gap[first] = doc[first] + 1
         data, ends = pack(np.stack([gap, tf], axis=1).ravel())
@@ -137,6 +137,7 @@ class _Shard:
         length = lengths[doc][falling] - block[falling] * (int(lengths.max()) + 1)
         before = np.minimum.accumulate(length)
         good = falling[np.concatenate([[True], length[1:] < before[:-1]])]
+        del falling, length, before
         best = np.stack([(block[good] - (np.cumsum(blocks) - blocks)[term[good]]), tf[good], lengths[doc[good]]], axis=1).astype(np.int64)
         several = lambda values, number: _slices(np.ascontiguousarray(values).view(np.uint8).ravel(), np.cumsum(number) * values.dtype.itemsize * (values.shape[1] if values.ndim > 1 else 1))
         whole = pa.record_batch({
