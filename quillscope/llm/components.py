@@ -32,6 +32,12 @@ def remove_folder(spark: SparkSession, folder: str) -> None:
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def hint_small(df: DataFrame, limit: int = 8 << 20) -> DataFrame:
+    """A broadcast hint where all of ``df``, a stored table, is at most ``limit`` bytes as JSON; else ``df`` as it is."""
+    size = df.agg(F.sum(F.octet_length(F.to_json(F.struct("*"))))).first()[0] or 0
+    return F.broadcast(df) if size <= limit else df
+
+
 def _least(links: DataFrame) -> DataFrame:
     """Of every u, itself and its neighbours: the least."""
     return links.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))

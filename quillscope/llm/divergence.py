@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillscope.llm.components import checkpoint_folder
+from quillscope.llm.components import checkpoint_folder, hint_small
 from quillscope.llm.pieces import text_slices
 
 MIN_DOCS = 10
@@ -122,7 +122,8 @@ def bitmaps(counts: DataFrame, chunks: DataFrame) -> DataFrame:
     """(lang, chunk, source, n, word, bits): of every group and count, the words of its terms' bitmap that are not zero."""
     in_chunk = Window.partitionBy("lang", "chunk").orderBy(F.col("lang_n").desc(), "term")
     dealt = counts.join(chunks, "lang").withColumn("chunk", F.pmod(F.xxhash64("term"), F.col("chunks")).cast("int"))
-    numbered = dealt.withColumn("id", F.dense_rank().over(in_chunk) - 1)
+    # Dealt by both: a join by language must not leave a language in one task.
+    numbered = dealt.repartition("lang", "chunk").withColumn("id", F.dense_rank().over(in_chunk) - 1)
     return numbered.groupBy("lang", "chunk", "source", "n", F.floor(F.col("id") / 64).cast("int").alias("word")).agg(F.expr("bit_or(shiftleft(1L, id % 64))").alias("bits"))
 
 
@@ -186,12 +187,12 @@ def audit(docs: DataFrame, min_docs: int = MIN_DOCS, top: int = TOP, lang: str =
     checkpoint_folder(docs.sparkSession)
     counts = term_counts(docs, min_docs, lang, source, text).checkpoint()
     every = _empty_for_null(docs, lang, source, source).select("lang", "source").distinct()
-    langs = counts.groupBy("lang").agg(F.sum("n").alias("lang_total"), F.count_if("first").alias("terms"), F.greatest(F.lit(1), F.ceil(F.count("*") / CHUNK_ROWS)).cast("int").alias("chunks"))
+    langs = counts.groupBy("lang").agg(F.sum("n").alias("lang_total"), F.count_if("first").alias("terms"), F.greatest(F.lit(1), F.ceil(F.count("*") / CHUNK_ROWS)).cast("int").alias("chunks")).checkpoint()
     totals = counts.groupBy("lang", "source").agg(F.sum("n").alias("total"))
     number = every.groupBy("lang").agg(F.ceil(F.count("*") / TILE).cast("int").alias("tiles"))
     groups = every.join(totals, ["lang", "source"], "left").join(langs, "lang", "left").join(number, "lang")
     groups = groups.select("lang", "source", "tiles", *(F.coalesce(c, F.lit(d)).alias(c) for c, d in (("total", 0), ("terms", 0), ("lang_total", 0), ("chunks", 1)))).checkpoint()
-    summed = pair_sums(bitmaps(counts, langs.select("lang", "chunks")), groups).checkpoint()
+    summed = pair_sums(bitmaps(counts, hint_small(langs.select("lang", "chunks"))), hint_small(groups)).checkpoint()
 
     p0 = share(F.lit(0), F.col("total"), F.col("terms"))
     one = groups.select("lang", "source", "terms", p0.alias("p0"))
@@ -204,7 +205,7 @@ def audit(docs: DataFrame, min_docs: int = MIN_DOCS, top: int = TOP, lang: str =
 
     p = share(F.col("n"), F.col("total"), F.col("terms"))
     q = share(F.col("lang_n"), F.col("lang_total"), F.col("terms"))
-    own = counts.join(groups, ["lang", "source"]).select("lang", "source", F.col("term").alias("item"), p.alias("p"), q.alias("q")).where("p > q")
+    own = counts.join(hint_small(groups), ["lang", "source"]).select("lang", "source", F.col("term").alias("item"), p.alias("p"), q.alias("q")).where("p > q")
     terms = own.select("lang", "source", F.lit("term").alias("part"), "item", f(F.col("p"), F.col("q")).alias("value"))
     nth = F.row_number().over(Window.partitionBy("lang", "source").orderBy(F.col("value").desc(), "item"))
     return pairs.withColumn("rank", nth).unionByName(terms.withColumn("rank", nth).where(F.col("rank") <= top))
