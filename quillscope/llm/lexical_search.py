@@ -44,7 +44,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, IntegerType, LongType, StringType, StructType
 
-from quillscope.llm.components import checkpoint_folder
+from quillscope.llm.components import checkpoint_folder, hint_small
 from quillscope.llm.pieces import text_slices
 
 TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
@@ -298,16 +298,16 @@ def search(index: DataFrame, items: DataFrame, k: int = 10, item_id: str = "item
     asked = asked.withColumn("q", F.monotonically_increasing_id()).checkpoint()
     blocks = max(1, -(-asked.count() // QUERIES))
     words = F.explode(F.regexp_extract_all(F.translate("text", UPPER, LOWER), F.lit(TERM), F.lit(0)))
-    terms = asked.select("q", words.alias("term")).groupBy("q", "term").agg(F.count("*").alias("times"))
+    terms = asked.select("q", words.alias("term")).groupBy("q", "term").agg(F.count("*").alias("times")).checkpoint()
     held = index.where("term is not null")
-    df = held.select("term", "docs").join(terms.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.sum("docs").cast("long").alias("df"))
+    df = held.select("term", "docs").join(hint_small(terms.select("term").distinct()), "term", "left_semi").groupBy("term").agg(F.sum("docs").cast("long").alias("df"))
     docs = known["docs"] or 0
     weight = F.floor(1000 * F.log(F.lit(float(2 * docs + 2)) / (2 * F.col("df") + 1).cast("double")))
     block = F.pmod(F.xxhash64("q"), F.lit(blocks)).cast("int")
     used = terms.join(df.withColumn("weight", weight), "term").groupBy(block.alias("block"), "term").agg(F.first("weight").alias("weight"), F.collect_list(F.struct("q", "times")).alias("uses"))
     used = used.select("block", "term", "weight", F.col("uses.q").alias("queries"), F.col("uses.times").alias("times")).checkpoint()
     columns = ["shard", "block", "term", "lasts", "ends", "best", "postings", "ids", "weight", "queries", "times"]
-    lists = held.join(used, "term").select(columns)
+    lists = held.join(hint_small(used), "term").select(columns)
     heads = index.where("term is null").withColumns({"block": F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))), "weight": F.lit(None).cast("long"), "queries": F.lit(None).cast("array<long>"), "times": F.lit(None).cast("array<long>")})
     schema = StructType().add("q", LongType()).add("doc_id", id_type).add("score", LongType())
     found = lists.unionByName(heads.select(columns)).groupBy("shard", "block").applyInPandas(_search(_Statistics(docs, known["total"] or 0), k), schema)
