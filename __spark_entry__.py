@@ -111,15 +111,6 @@ def _js(select: str, src: str, extra: str = "", **chunking: int) -> str:
     return f"WITH RECURSIVE {D.chunks_ctes(src, **chunking)}{D.js_feature_ctes()}{extra}\n{select}"
 
 
-def _tuned(extra: str) -> str:
-    """The abstention thresholds of the tuned query in place of the defaults."""
-    for default, tuned in (("non_empty_lines < 5 ", "non_empty_lines < 2 "), ("token_count < 24 ", "token_count < 10 "), ("ai + hu < 1.2 ", "ai + hu < 0.4 "), ("abs(ai - hu) < 0.8 ", "abs(ai - hu) < 0.1 ")):
-        if default not in extra:
-            raise ValueError(default)
-        extra = extra.replace(default, tuned)
-    return extra
-
-
 def _cols(cols) -> str:
     return ", ".join(_r(c) if c in JS_DOUBLES else c for c in cols)
 
@@ -234,7 +225,7 @@ def oracle_sql() -> dict[str, str]:
         "benchmark_snippets_js": _js(basic_select, BENCHMARK_SRC, D.js_score_ctes() + D.js_file_ctes()),
         "conversation_stream": _js(file_select, TURNS_SRC, D.js_score_ctes() + D.js_file_ctes()),
         "js_tuned": _js("SELECT file_id, chunk_id, total_lines, token_count, classification, decision_basis FROM js_scored",
-                        DOC_SRC, _tuned(D.js_score_ctes()), target=900, tail=200),
+                        DOC_SRC, D.js_score_ctes(lines=2, tokens=10, signal=0.4, margin=0.1), target=900, tail=200),
         "input_errors": _js(errors_select, INPUTS_SRC, D.js_score_ctes() + D.js_file_ctes()),
         "page_scripts": _js(page_select, PAGES_SRC, D.js_score_ctes() + D.js_file_ctes()),
         "detect_language": (

@@ -1,6 +1,6 @@
 """The Python-side helper: tokens and syntax-tree counts of a chunk.
 
-One Arrow UDF over chunk strings calls the interpreter's own ``tokenize`` and
+One Arrow UDF over a file's chunks calls the interpreter's own ``tokenize`` and
 ``ast`` once per chunk; no lexer or parser is written here.  It returns the
 tokens and names, which features need as lists, and counts; the tree itself
 stays in the worker.  Features are Catalyst expressions over the result (see
@@ -34,7 +34,7 @@ SYNTAX_TYPE = T.StructType(
     + [T.StructField("function_lengths", T.ArrayType(T.IntegerType())), T.StructField("error", T.StringType()),
        T.StructField("python_version", T.StringType())]
 )
-_ARROW_TYPE = to_arrow_type(SYNTAX_TYPE)
+_ARROW_TYPE = to_arrow_type(T.ArrayType(SYNTAX_TYPE))
 _LAYOUT = tuple(getattr(tokenize, name) for name in PY_LAYOUT_TOKENS)
 _VERSION = f"{sys.version_info.major}.{sys.version_info.minor}"
 
@@ -135,11 +135,14 @@ except Exception:  # pragma: no cover - older cloudpickle without the hook
     pass
 
 
-@F.arrow_udf(SYNTAX_TYPE)
+@F.arrow_udf(T.ArrayType(SYNTAX_TYPE))
 def _examine_batches(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
     for batch in batches:
-        yield pa.array(map(examine, batch.to_pylist()), type=_ARROW_TYPE)
+        # Chunks of one file at a time are Python strings.
+        rows = (file.as_py() for file in batch)
+        yield pa.array((None if chunks is None else [examine(c) for c in chunks] for chunks in rows), type=_ARROW_TYPE)
 
 
-def python_syntax(chunk: Column) -> Column:
-    return _examine_batches(chunk)
+def python_syntax(chunks: Column) -> Column:
+    """What the interpreter says of every chunk of an array."""
+    return _examine_batches(chunks)

@@ -36,6 +36,23 @@ def sigmoid(value) -> Column:
     return F.lit(1.0) / (F.lit(1.0) + F.exp(-_c(value)))
 
 
+def round_even(value: Column, digits: int = 4) -> Column:
+    """``round(value, digits)`` of Python: by the double's binary value, ties to even, for magnitudes under 2^38.
+
+    The product with 10^digits is taken exactly, as a double and its error: the
+    value is split in two halves of at most 26 bits, whose products are exact.
+    Only a product that lies on a tie can be on another side than it seems."""
+    scale = F.lit(float(10**digits))
+    high = value * 134217729.0 - (value * 134217729.0 - value)
+    product = value * scale
+    error = (high * scale - product) + (value - high) * scale
+    whole = F.floor(product).cast("double")
+    part = product - whole
+    odd = whole % 2 != 0
+    up = (part > 0.5) | ((part == 0.5) & ((error > 0) | ((error == 0) & odd)))
+    return F.when(F.abs(value) >= 2.0**38, value).otherwise((whole + up.cast("double")) / scale)
+
+
 # --- Python str semantics --------------------------------------------------
 
 # Native trims take a character set: exact Python str.strip semantics,

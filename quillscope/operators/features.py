@@ -1,10 +1,10 @@
-"""Chunk features (sections E, G, H, J of the inventory) as row-local
-Catalyst expressions over one chunk row.
+"""Chunk features (sections E, G, H, J of the inventory) as Catalyst expressions
+over the structs of a file's chunk array.
 
-Inputs prepared by :func:`prepare_chunk_arrays`:
-``lines`` (``str.splitlines``), ``tokens`` (language tokens) and, for Python
-chunks, ``syn`` (counts and names of the syntax tree, and errors).
-Nothing here shuffles: a chunk's features depend on that chunk only.
+Every function takes ``row``, the struct of one chunk: ``chunk``, ``lines``
+(``str.splitlines``), ``tokens`` (language tokens) and, for Python chunks,
+``syn`` (counts and names of the syntax tree, and errors).  All chunks of a
+file stay in the file's row, so nothing here shuffles.
 """
 
 from __future__ import annotations
@@ -148,31 +148,13 @@ def _starts_with(line: Column, *prefixes: str) -> Column:
     return stripped_startswith(line, *prefixes)
 
 
-# ---------------------------------------------------------------------------
-# Stage 1: per-chunk arrays (materialised once, reused by every feature)
-# ---------------------------------------------------------------------------
-
-def prepare_chunk_arrays(chunks: DataFrame, languages=(PY, JS)) -> DataFrame:
-    """Adds ``lines``, ``tokens`` and the Python syntax column.
-
-    The Python UDF receives NULL for JavaScript chunks, so it does no work
-    there, and is left out where no Python is asked for."""
-    chunk = F.col("chunk")
-    is_py = F.col("language") == F.lit(PY)
-    is_js = F.col("language") == F.lit(JS)
-    syn = python_syntax(F.when(is_py, chunk)) if PY in languages else F.lit(None).cast(SYNTAX_TYPE)
-    staged = chunks.select("*", split_lines(chunk).alias("lines"), syn.alias("syn"))
-    js_tokens = F.regexp_extract_all(chunk, F.lit(java_regex(K.JS_TOKEN)), 0)
-    return staged.select("*", F.when(is_py, F.col("syn.tokens")).when(is_js, js_tokens).alias("tokens"))
-
-
 # ---------------------------------------------------------------------------
 # Common text metrics
 # ---------------------------------------------------------------------------
 
-def _common_arrays() -> dict:
+def _common_arrays(row: Column) -> dict:
     """Intermediate arrays shared by both languages (stage 2)."""
-    lines = F.col("lines")
+    lines = row["lines"]
     nonblank = F.filter(lines, lambda l: py_nonblank(l))
     return {
         "_nb_len": F.transform(nonblank, lambda l: F.length(py_rstrip(l))),
@@ -181,11 +163,11 @@ def _common_arrays() -> dict:
     }
 
 
-def _text_metrics(comment_lines: Column) -> dict:
-    lines = F.col("lines")
-    tokens = F.col("tokens")
+def _text_metrics(row: Column, comment_lines: Column) -> dict:
+    lines = row["lines"]
+    tokens = row["tokens"]
     total = F.size(lines)
-    lengths = F.col("_nb_len")
+    lengths = row["_nb_len"]
     n_nonblank = F.size(lengths)
     avg_len = safe_ratio(sum_of(lengths), n_nonblank)
     std_len = stddev_pop_of(lengths)
@@ -294,29 +276,29 @@ def _naming(names: Column, counts, stop_names, exempt: str, order) -> dict:
     return out
 
 
-def python_arrays() -> dict:
+def python_arrays(row: Column) -> dict:
     """Stage-2 intermediates of a Python chunk."""
-    lines = F.col("lines")
-    arrays = _common_arrays()
+    lines = row["lines"]
+    arrays = _common_arrays(row)
     arrays.update(
         {
             "_comments": F.transform(F.filter(lines, lambda l: _starts_with(l, "#")), lambda l: F.length(py_strip(l))),
-            "_strings": F.filter(F.col("tokens"), lambda t: F.substring(t, 1, 1).isin("'", '"')),
+            "_strings": F.filter(row["tokens"], lambda t: F.substring(t, 1, 1).isin("'", '"')),
             "_trailing_n": count_where(lines, lambda l: F.length(py_rstrip(l)) < F.length(l)),
-            "_imports": F.when(F.col("syn.parseable"), import_organization(lines)).otherwise(F.lit(0.0)),
+            "_imports": F.when(row["syn"]["parseable"], import_organization(lines)).otherwise(F.lit(0.0)),
         }
     )
     return arrays
 
 
-def python_features() -> dict:
-    code = F.col("chunk")
-    syn = F.col("syn")
+def python_features(row: Column) -> dict:
+    code = row["chunk"]
+    syn = row["syn"]
     parseable = F.coalesce(syn["parseable"], F.lit(False))
 
-    comments = F.col("_comments")
+    comments = row["_comments"]
     n_comment = F.size(comments)
-    f = _text_metrics(n_comment)
+    f = _text_metrics(row, n_comment)
 
     n_fns = syn["functions"]
     documented = syn["documented"]
@@ -332,8 +314,8 @@ def python_features() -> dict:
     todo = _count("todo", K.PY_PATTERNS, code)
     debug = _count("debug", K.PY_PATTERNS, code)
     ccode = _count("commented_code", K.PY_PATTERNS, code)
-    trailing = F.col("_trailing_n")
-    long_n = F.col("_long_n")
+    trailing = row["_trailing_n"]
+    long_n = row["_long_n"]
     magic = syn["magic_numbers"]
     bare = syn["bare_excepts"]
     avg_comment = F.when(n_comment == 0, F.lit(0.0)).otherwise(sum_of(comments) / n_comment)
@@ -352,7 +334,7 @@ def python_features() -> dict:
             "uses_walrus_operator": syn["walrus"],
             "uses_f_strings": syn["f_strings"],
             "uses_type_hints": syn["annotated"],
-            "import_organization_score": F.coalesce(F.col("_imports"), F.lit(0.0)),
+            "import_organization_score": F.coalesce(row["_imports"], F.lit(0.0)),
             "nested_function_depth": syn["nested_depth"].cast("double"),
             "function_length_variance": fn_std,
             "function_length_variance_score": saturate(fn_std, 10.0),
@@ -362,8 +344,8 @@ def python_features() -> dict:
             "single_letter_var_ratio": naming["single_letter_var_ratio"],
             "avg_name_length": naming["avg_name_length"],
             "pattern_repetition_score": pattern_repetition(syn["statements"]),
-            "indentation_consistency": indentation_consistency(F.col("_indents"), K.PY_INDENT_WIDTHS),
-            "quote_consistency": quote_consistency(F.col("_strings")),
+            "indentation_consistency": indentation_consistency(row["_indents"], K.PY_INDENT_WIDTHS),
+            "quote_consistency": quote_consistency(row["_strings"]),
             "has_todo_comments": todo > 0,
             "has_debug_prints": debug > 0,
             "has_commented_code": ccode > 0,
@@ -433,11 +415,11 @@ def js_names(code: Column) -> Column:
     )
 
 
-def javascript_arrays() -> dict:
+def javascript_arrays(row: Column) -> dict:
     """Stage-2 intermediates of a JavaScript chunk."""
-    code = F.col("chunk")
-    lines = F.col("lines")
-    arrays = _common_arrays()
+    code = row["chunk"]
+    lines = row["lines"]
+    arrays = _common_arrays(row)
     arrays.update(
         {
             "_comment_n": js_comment_lines(lines),
@@ -457,12 +439,12 @@ def javascript_arrays() -> dict:
     return arrays
 
 
-def javascript_features() -> dict:
-    code = F.col("chunk")
+def javascript_features(row: Column) -> dict:
+    code = row["chunk"]
     P = K.JS_PATTERNS
-    f = _text_metrics(F.col("_comment_n"))
+    f = _text_metrics(row, row["_comment_n"])
 
-    names = F.col("_names")
+    names = row["_names"]
     n_names = F.size(names)
     camel = count_where(names, lambda x: x.rlike(CAMEL))
     snake = count_where(names, lambda x: x.rlike(SNAKE))
@@ -473,18 +455,18 @@ def javascript_features() -> dict:
     named = _count("function_named", P, code)
     anonymous = _count("function_anonymous", P, code) - named
     arrows = _count("arrow", P, code)
-    line_comments = F.col("_line_comments")
+    line_comments = row["_line_comments"]
     counts = {k: _count(k, P, code) for k in (
         "console", "debugger", "todo", "commented_code", "alert", "eval", "var", "callback_hell")}
     jquery = _count("jquery_call", P, code) + _count("jquery_require", P, code)
-    long_n = F.col("_long_n")
+    long_n = row["_long_n"]
 
     f.update(
         {
             "function_count": (_count("function_word", P, code) + arrows).cast("long"),
             "loop_count": _count("loop", P, code).cast("long"),
             "try_except_count": _count("try", P, code).cast("long"),
-            "max_ast_depth": F.col("_depth").cast("long"),
+            "max_ast_depth": row["_depth"].cast("long"),
             "uses_arrow_functions": code.contains("=>"),
             "uses_async_await": _has("async_await", P, code),
             "uses_destructuring": _has("destructuring", P, code),
@@ -495,16 +477,16 @@ def javascript_features() -> dict:
             "import_export_usage": _has("import_export", P, code),
             "uses_strict_mode": _has("strict_mode", P, code),
             "function_style_consistency": dominant_ratio(named, anonymous, arrows),
-            "pattern_repetition_score": pattern_repetition(F.col("_keywords")),
+            "pattern_repetition_score": pattern_repetition(row["_keywords"]),
             "uses_camel_case_ratio": F.when(n_names == 0, F.lit(0.0)).otherwise(camel / n_names),
             "uses_snake_case_ratio": F.when(n_names == 0, F.lit(0.0)).otherwise(snake / n_names),
             "meaningful_name_ratio": naming["meaningful_name_ratio"],
             "single_letter_var_ratio": naming["single_letter_var_ratio"],
             "avg_name_length": naming["avg_name_length"],
             "naming_consistency_score": naming["naming_consistency_score"],
-            "semicolon_consistency": F.when(F.col("_candidates"), F.lit(1.0)).otherwise(F.lit(0.0)),
-            "quote_consistency": quote_consistency(F.col("_strings")),
-            "indentation_consistency": indentation_consistency(F.col("_indents"), K.JS_INDENT_WIDTHS),
+            "semicolon_consistency": F.when(row["_candidates"], F.lit(1.0)).otherwise(F.lit(0.0)),
+            "quote_consistency": quote_consistency(row["_strings"]),
+            "indentation_consistency": indentation_consistency(row["_indents"], K.JS_INDENT_WIDTHS),
             "has_console_log": counts["console"] > 0,
             "has_debugger": counts["debugger"] > 0,
             "has_todo_comments": counts["todo"] > 0,
@@ -529,7 +511,7 @@ def javascript_features() -> dict:
             "example_usage_score": saturate(_count("example_usage", P, code), 4.0),
             "placeholder_score": saturate(_count("placeholder", P, code), 3.0),
             "excessive_comments_ratio": saturate(line_comments, 5.0)
-            * saturate(line_comments, F.greatest(F.size(F.col("lines")), F.lit(1))),
+            * saturate(line_comments, F.greatest(F.size(row["lines"]), F.lit(1))),
             "uses_react_patterns": _has("react", P, code),
             "uses_node_patterns": _has("node", P, code),
             "uses_typescript_patterns": _has("typescript", P, code),
@@ -551,38 +533,52 @@ def _typed(name: str, col: Column) -> Column:
     return col.cast("string")
 
 
-def chunk_features(arrays: DataFrame, languages=(PY, JS)) -> DataFrame:
-    """One wide row per chunk: language-specific columns NULL for the other
-    language (B4 routing as a conditional projection, one pass).
-
-    Two projections: intermediates first (each evaluated once per chunk),
-    then the scalar features that read them."""
-    is_py = F.col("language") == F.lit(PY)
-    is_js = F.col("language") == F.lit(JS)
-    py_arr = python_arrays() if PY in languages else {}
-    js_arr = javascript_arrays() if JS in languages else {}
-    inter = []
-    for name in _dedupe(list(py_arr) + list(js_arr)):
-        expr = None
-        if name in py_arr:
-            expr = F.when(is_py, py_arr[name])
-        if name in js_arr:
-            expr = (expr if expr is not None else F).when(is_js, js_arr[name])
-        inter.append(expr.alias(name))
-    staged = arrays.select("*", *inter)
-    inter_names = _dedupe(list(py_arr) + list(js_arr))
-
-    py = python_features() if PY in languages else {}
-    js = javascript_features() if JS in languages else {}
-    cols = []
-    for name in ALL_FEATURES:
-        expr = None
-        if name in py:
-            expr = F.when(is_py, _typed(name, py[name]))
-        if name in js:
-            expr = (expr if expr is not None else F).when(is_js, _typed(name, js[name]))
-        cols.append((expr if expr is not None else _typed(name, F.lit(None))).alias(name))
-    drop = {"lines", "tokens", "syn", *inter_names}
-    keep = [c for c in staged.columns if c not in drop]
-    return staged.select(
-        *keep, *cols, F.col("syn.error").alias("chunk_error"), F.col("syn.python_version").alias("python_version"))
+def _bind(fields: Column, body) -> Column:
+    """``body`` of a struct that is evaluated once."""
+    return F.transform(F.array(fields), body)[0]
+
+
+def _chunk_struct(chunk: Column, syn: Column, tokens: Column, arrays, features) -> Column:
+    """Features of one chunk: intermediates first, each evaluated once, then what reads them."""
+    base = F.struct(chunk.alias("chunk"), split_lines(chunk).alias("lines"), syn.alias("syn"), tokens.alias("tokens"))
+
+    def with_arrays(row: Column) -> Column:
+        staged = F.struct(*(row[c].alias(c) for c in ("chunk", "lines", "syn", "tokens")), *(c.alias(n) for n, c in arrays(row).items()))
+        return _bind(staged, with_features)
+
+    def with_features(row: Column) -> Column:
+        own = features(row)
+        cols = [_typed(name, own.get(name, F.lit(None))).alias(name) for name in ALL_FEATURES]
+        return F.struct(*cols, row["syn"]["error"].alias("chunk_error"), row["syn"]["python_version"].alias("python_version"))
+
+    return _bind(base, with_arrays)
+
+
+def with_syntax(files: DataFrame, languages=(PY, JS)) -> DataFrame:
+    """Adds ``_syntax``, the interpreter's view of every chunk of a Python file.
+
+    The Python UDF receives NULL for other files, so it does no work there,
+    and is left out where no Python is asked for."""
+    if PY not in languages:
+        return files
+    return files.withColumn("_syntax", python_syntax(F.when(F.col("language") == F.lit(PY), F.col("chunks"))))
+
+
+def chunk_features(languages=(PY, JS)) -> Column:
+    """The array of feature structs of column ``chunks`` (and ``_syntax``), one path per language.
+
+    A chunk's features never leave its file's row: no row per chunk, no shuffle."""
+    out = None
+    if PY in languages:
+        of_python = F.transform(
+            F.arrays_zip("chunks", "_syntax"),
+            lambda z: _chunk_struct(z["chunks"], z["_syntax"], z["_syntax"]["tokens"], python_arrays, python_features),
+        )
+        out = F.when(F.col("language") == F.lit(PY), of_python)
+    if JS in languages:
+        of_javascript = F.transform(
+            F.col("chunks"),
+            lambda c: _chunk_struct(c, F.lit(None).cast(SYNTAX_TYPE), F.regexp_extract_all(c, F.lit(java_regex(K.JS_TOKEN)), 0), javascript_arrays, javascript_features),
+        )
+        out = (F if out is None else out).when(F.col("language") == F.lit(JS), of_javascript)
+    return out

@@ -337,7 +337,16 @@ def _top(weights: dict, alias: str) -> str:
     )
 
 
-def js_score_ctes() -> str:
+def round4(value: str) -> str:
+    """round(value, 4) of Python, ties to even by the double's binary value: the exact product with 10^4 as a double and its error."""
+    high = "(v * 134217729.0::DOUBLE - (v * 134217729.0::DOUBLE - v))"
+    error = f"(({high} * 10000.0::DOUBLE - p) + (v - {high}) * 10000.0::DOUBLE)"
+    up = f"p - floor(p) > 0.5 OR (p - floor(p) = 0.5 AND ({error} > 0 OR ({error} = 0 AND floor(p) % 2 <> 0)))"
+    inner = f"list_transform([v * 10000.0::DOUBLE], lambda p: (floor(p) + CASE WHEN {up} THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) / 10000.0::DOUBLE)[1]"
+    return f"list_transform([CAST({value} AS DOUBLE)], lambda v: {inner})[1]"
+
+
+def js_score_ctes(lines: int = K.MINIMUM_LINES, tokens: int = K.MINIMUM_TOKENS, signal: float = K.MINIMUM_SIGNAL, margin: float = K.MINIMUM_MARGIN) -> str:
     return f""",
 js_raw AS (
   SELECT *, ({_weighted(K.JS_AI_WEIGHTS)}) AS ai, ({_weighted(K.JS_HUMAN_WEIGHTS)}) AS hu,
@@ -345,14 +354,14 @@ js_raw AS (
   FROM js),
 js_scored AS (
   SELECT *,
-    round(ai, 4) AS ai_score, round(hu, 4) AS human_score, round(ai - hu, 4) AS score_gap,
-    round(ai + hu, 4) AS signal_strength, round(1.0 / (1.0 + exp(-(ai - hu))), 4) AS ai_probability,
-    round(0.5 + 0.5 * least(1.0, greatest(0.0, (abs(ai - hu) / 3.0) * least((ai + hu) / 4.0, 1.0))), 4) AS confidence,
-    CASE WHEN non_empty_lines < {K.MINIMUM_LINES} OR token_count < {K.MINIMUM_TOKENS}
-              OR ai + hu < {K.MINIMUM_SIGNAL} OR abs(ai - hu) < {K.MINIMUM_MARGIN} THEN {q(K.UNCERTAIN_LABEL)}
+    {round4('ai')} AS ai_score, {round4('hu')} AS human_score, {round4('ai - hu')} AS score_gap,
+    {round4('ai + hu')} AS signal_strength, {round4('1.0 / (1.0 + exp(-(ai - hu)))')} AS ai_probability,
+    {round4('0.5 + 0.5 * least(1.0, greatest(0.0, (abs(ai - hu) / 3.0) * least((ai + hu) / 4.0, 1.0)))')} AS confidence,
+    CASE WHEN non_empty_lines < {lines} OR token_count < {tokens}
+              OR ai + hu < {signal} OR abs(ai - hu) < {margin} THEN {q(K.UNCERTAIN_LABEL)}
          WHEN ai - hu > 0 THEN {q(K.AI_LABEL)} ELSE {q(K.HUMAN_LABEL)} END AS classification,
-    CASE WHEN non_empty_lines < {K.MINIMUM_LINES} OR token_count < {K.MINIMUM_TOKENS} THEN {q(K.BASIS_LOW)}
-         WHEN ai + hu < {K.MINIMUM_SIGNAL} OR abs(ai - hu) < {K.MINIMUM_MARGIN} THEN {q(K.BASIS_CONFLICT)}
+    CASE WHEN non_empty_lines < {lines} OR token_count < {tokens} THEN {q(K.BASIS_LOW)}
+         WHEN ai + hu < {signal} OR abs(ai - hu) < {margin} THEN {q(K.BASIS_CONFLICT)}
          ELSE {q(K.BASIS_CLEAR)} END AS decision_basis
   FROM js_raw)"""
 
@@ -367,20 +376,20 @@ def js_file_ctes() -> str:
     return f""",
 w AS (SELECT *, greatest(signal_strength, 0.5) * greatest(CAST(non_empty_lines AS DOUBLE), 1.0) AS wt FROM js_scored),
 fagg AS (
-  SELECT file_id, count(*) AS n, sum(wt) AS wsum,
+  SELECT file_id, count(*) AS n, sum(wt ORDER BY chunk_id) AS wsum,
     sum(CASE WHEN decision_basis = {q(K.BASIS_CLEAR)} THEN 1 ELSE 0 END) AS clear_chunk_count,
     sum(total_lines) AS total_lines, sum(non_empty_lines) AS non_empty_lines, sum(token_count) AS token_count,
     sum(function_count) AS function_count, sum(loop_count) AS loop_count, sum(try_except_count) AS try_except_count,
     max(max_ast_depth) AS max_ast_depth,
     {", ".join(f"bool_or({c}) AS {c}" for c in JS_BOOL)},
-    {", ".join(f"max({c}) AS {c}_1, sum({c} * wt) AS {c}_w" for c in JS_MEANS)},
+    {", ".join(f"max({c}) AS {c}_1, sum({c} * wt ORDER BY chunk_id) AS {c}_w" for c in JS_MEANS)},
     arg_min(classification, chunk_id) AS class1, arg_min(decision_basis, chunk_id) AS basis1,
     arg_min(top_ai, chunk_id) AS top_ai1, arg_min(top_human, chunk_id) AS top_human1,
     string_agg(classification, '|' ORDER BY chunk_id) AS chunk_classes
   FROM w GROUP BY file_id),
 fmean AS (
   SELECT *,
-    {", ".join(f"CASE WHEN n = 1 THEN {c}_1 ELSE round({c}_w / wsum, 4) END AS {c}" for c in JS_MEANS)}
+    {", ".join(f"CASE WHEN n = 1 THEN {c}_1 ELSE {round4(c + '_w / wsum')} END AS {c}" for c in JS_MEANS)}
   FROM fagg),
 sig AS (
   SELECT file_id, side, s, count(*) AS cnt, min(chunk_id * 8 + pos) AS first_seen FROM (

@@ -1,19 +1,19 @@
-"""The ``detect`` job: code files → chunk rows → features → scores → files.
+"""The ``detect`` job: code files → chunks → features → scores → file results.
 
-Plan shape (one pass over the input, one exchange):
+Plan shape (one pass over the input, no exchange):
 
-    scan ─ resolve language ─ chunk fold ─ posexplode
-         ─ one Arrow UDF for Python chunks ─ features ─ scores   (row-local)
-         ─ partial agg by file ─ Exchange(file_id) ─ final agg
+    scan ─ resolve language ─ chunk fold ─ one Arrow UDF for Python files
+         ─ features ─ scores ─ fold over chunks      (all in the file's row)
 
 Parallelism is that of the scan's splits.  For an input in few splits,
-``spread=True`` deals the *files* out by ``file_id`` first; without Python
-chunks the aggregation then needs no exchange of its own.
-
-Every input row is one file and one result row, whatever its ``file_id``.
-Rows without code, malformed records and files with an unresolvable language
-flow through as one empty chunk, so the input is read once; their row carries
-``error`` and NULL scores.
+``spread=True`` deals the files out by row number first, the one exchange it
+can have; equal ids are not brought together.
+
+Every input row is one file and one result row (one per weight set, where
+weights are given as data), whatever its ``file_id``.  Rows without code,
+malformed records and files with an unresolvable language flow through as one
+empty chunk, so the input is read once; their row carries ``error`` and NULL
+scores.  Without an aggregation the job runs unchanged on a stream.
 """
 
 from __future__ import annotations
@@ -26,8 +26,8 @@ from ..functions.chunking import with_chunks
 from ..functions.language import SUPPORTED, language_error, resolve_language
 from ..functions.text import line_count
 from ..operators.aggregate import aggregate_files
-from ..operators.features import chunk_features, prepare_chunk_arrays
-from ..operators.scoring import score_chunks
+from ..operators.features import chunk_features, with_syntax
+from ..operators.scoring import chunk_scores, join_weights
 
 
 def _col_or_null(df: DataFrame, name: str, dtype: str):
@@ -35,7 +35,7 @@ def _col_or_null(df: DataFrame, name: str, dtype: str):
 
 
 def route(code_files: DataFrame) -> DataFrame:
-    """Adds the resolved ``language``, ``language_error`` and a row number ``_row``."""
+    """Adds the resolved ``language`` and ``language_error``."""
     code = F.col("code")
     lang = resolve_language(
         _col_or_null(code_files, "language", "string"),
@@ -48,7 +48,6 @@ def route(code_files: DataFrame) -> DataFrame:
         code,
         lang.alias("language"),
         _col_or_null(code_files, "input_error", "string").alias("_input_error"),
-        F.col("_row") if "_row" in code_files.columns else F.monotonically_increasing_id().alias("_row"),
     )
     error = F.coalesce(
         F.col("_input_error"), F.when(code.isNull(), F.lit(K.ERR_NO_CODE)), language_error(F.col("language"))
@@ -56,55 +55,62 @@ def route(code_files: DataFrame) -> DataFrame:
     return routed.withColumn("language_error", error).drop("_input_error")
 
 
-def explode_chunks(routed: DataFrame, target_chars: int = K.TARGET_CHARS,
-                   minimum_tail_chars: int = K.MINIMUM_TAIL_CHARS) -> DataFrame:
+def file_chunks(routed: DataFrame, target_chars: int = K.TARGET_CHARS, minimum_tail_chars: int = K.MINIMUM_TAIL_CHARS) -> DataFrame:
+    """Adds ``chunks``, the array of a file's chunks, in place of its code, and ``file_total_lines``."""
+    staged = routed.select("file_id", "path", "language", "language_error", line_count(F.col("code")).alias("file_total_lines"), "code")
+    return with_chunks(staged, target_chars=target_chars, minimum_tail_chars=minimum_tail_chars, enabled=F.col("language_error").isNull()).drop("code")
+
+
+def explode_chunks(routed: DataFrame, **chunking) -> DataFrame:
     """One row per chunk with ``chunk_id`` (0-based) and ``chunk_count``."""
-    ok = F.col("language_error").isNull()
-    staged = with_chunks(
-        routed.select(
-            "_row",
-            "file_id",
-            "path",
-            "language",
-            "language_error",
-            line_count(F.col("code")).alias("file_total_lines"),
-            "code",
-        ),
-        target_chars=target_chars,
-        minimum_tail_chars=minimum_tail_chars,
-        enabled=ok,
-    )
-    return staged.select(
-        "_row",
-        "file_id",
-        "path",
-        "language",
-        "language_error",
-        "file_total_lines",
-        F.size("chunks").alias("chunk_count"),
-        # outer: chunks are never empty, and an inner explode would make
-        # Catalyst infer size(chunks) > 0 and inline the chunk fold into it
-        F.posexplode_outer("chunks").alias("chunk_id", "chunk"),
-    )
+    files = file_chunks(routed, **chunking)
+    # outer: chunks are never empty, and an inner explode would make
+    # Catalyst infer size(chunks) > 0 and inline the chunk fold into it
+    return files.select("*", F.size("chunks").alias("chunk_count"), F.posexplode_outer("chunks").alias("chunk_id", "chunk")).drop("chunks")
 
 
-def chunk_results(code_files: DataFrame, spread: bool = False, languages: tuple[str, ...] = SUPPORTED, **kw) -> DataFrame:
-    """Scored chunk rows (features + K1-K8) before file aggregation.
+def scored_files(
+    code_files: DataFrame, spread: bool = False, languages: tuple[str, ...] = SUPPORTED, weights: DataFrame | None = None,
+    target_chars: int = K.TARGET_CHARS, minimum_tail_chars: int = K.MINIMUM_TAIL_CHARS, **thresholds,
+) -> DataFrame:
+    """A row per file with its arrays ``chunks``, ``_features`` and ``_scores`` (K1-K8).
 
     ``languages`` restricts the job to files of these languages (and, if it
     names all that are supported, error rows); with ``("javascript",)`` no
-    Python worker is part of the plan."""
-    score_kw = {k: kw.pop(k) for k in list(kw) if k.startswith("minimum_") and k != "minimum_tail_chars"}
+    Python worker is part of the plan.  ``weights`` is a table of weight sets
+    (see :func:`operators.scoring.weight_sets`); rows then carry ``weight_set``.
+    ``thresholds`` are those of :func:`operators.scoring.chunk_scores`."""
     if spread:
         # Rows are numbered where they are read: the same number in every attempt of a task.
-        code_files = code_files.withColumn("_row", F.monotonically_increasing_id()).repartition("file_id")
+        code_files = code_files.withColumn("_row", F.monotonically_increasing_id()).repartition("_row").drop("_row")
     routed = route(code_files)
     if set(languages) != set(SUPPORTED):
         routed = routed.where(F.col("language").isin(*languages) & F.col("language_error").isNull())
-    chunks = explode_chunks(routed, **kw)
-    return score_chunks(chunk_features(prepare_chunk_arrays(chunks, languages), languages), **score_kw)
-
-
-def detect(code_files: DataFrame, **kw) -> DataFrame:
-    """``code_files(file_id, [path], [language], code, [input_error])`` → one row per input row."""
-    return aggregate_files(chunk_results(code_files, **kw))
+    files = with_syntax(file_chunks(routed, target_chars, minimum_tail_chars), languages)
+    featured = files.withColumn("_features", built(code_files, ("features", languages), lambda: chunk_features(languages))).drop("_syntax")
+    if weights is not None:
+        featured = join_weights(featured, weights, languages)
+    how = (weights is not None, *sorted(thresholds.items()))
+    return featured.withColumn("_scores", built(code_files, ("scores", how), lambda: chunk_scores(weights is not None, **thresholds))).drop("_ai", "_human")
+
+
+def built(df: DataFrame, key: tuple, build):
+    """An expression that is the same for every input, built once per application: its many parts each cost a call to the JVM."""
+    context = df.sparkSession.sparkContext
+    kept = context.__dict__.setdefault("_quillscope_expressions", {})
+    if key not in kept:
+        kept[key] = build()
+    return kept[key]
+
+
+def chunk_results(code_files: DataFrame, **kw) -> DataFrame:
+    """Scored chunk rows (features + K1-K8), one per chunk and weight set."""
+    files = scored_files(code_files, **kw)
+    keep = [c for c in files.columns if c not in ("chunks", "_features", "_scores")]
+    rows = files.select(*keep, F.size("chunks").alias("chunk_count"), F.posexplode_outer(F.arrays_zip("chunks", "_features", "_scores")).alias("chunk_id", "_c"))
+    return rows.select(*keep, "chunk_count", "chunk_id", F.col("_c.chunks").alias("chunk"), "_c._features.*", "_c._scores.*")
+
+
+def detect(code_files: DataFrame, weights: DataFrame | None = None, **kw) -> DataFrame:
+    """``code_files(file_id, [path], [language], code, [input_error])`` → one row per input row (and weight set)."""
+    return aggregate_files(scored_files(code_files, weights=weights, **kw), () if weights is None else ("weight_set",))

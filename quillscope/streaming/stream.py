@@ -1,14 +1,11 @@
 """A3: snippets arriving over time, each classified independently.
 
-A snippet is one input row and all aggregation is within its own file_id,
-so no state outlives a micro-batch: ``foreachBatch`` runs the batch plan of
-``detect`` and writes each epoch to its own folder (idempotent on replay),
-with the checkpoint in the shared checkpoint folder of the cluster."""
+``detect`` keeps a file in its row and aggregates nothing, so it runs on the
+streaming plan itself, in append mode and without state: planned once, and
+committed once per batch by the file sink's own log in ``output_dir``."""
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,17 +13,13 @@ from ..plans.detect import detect
 from ..sources.files import snippets_from
 
 
-def _writer(output_dir: str):
-    def write(batch: DataFrame, epoch_id: int) -> None:
-        out = detect(snippets_from(batch))
-        out.write.mode("overwrite").parquet(os.path.join(output_dir, f"epoch={epoch_id}"))
-    return write
-
-
-def detect_stream(stream: DataFrame, output_dir: str, checkpoint: str, trigger_once: bool = False):
+def detect_stream(stream: DataFrame, output_dir: str, checkpoint: str, trigger_once: bool = False, **kw):
     """Start the streaming job over a streaming DataFrame of
-    ``(file_id, code[, language])`` rows; returns the StreamingQuery."""
-    writer = stream.writeStream.foreachBatch(_writer(output_dir)).option("checkpointLocation", checkpoint)
+    ``(file_id, code[, language])`` rows; returns the StreamingQuery.
+
+    Results are Parquet in ``output_dir``; a reader of the folder sees the
+    batches that were committed, each once, also after a restart."""
+    writer = detect(snippets_from(stream), **kw).writeStream.format("parquet").outputMode("append").option("path", output_dir).option("checkpointLocation", checkpoint)
     if trigger_once:
         writer = writer.trigger(availableNow=True)
     return writer.start()

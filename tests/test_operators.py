@@ -10,7 +10,7 @@ import plain
 from quillscope.functions import constants as K
 from quillscope.functions.chunking import with_chunks
 from quillscope.functions.regex import java_regex
-from quillscope.functions.text import entropy, line_count, pattern_repetition, split_lines
+from quillscope.functions.text import entropy, line_count, pattern_repetition, round_even, split_lines
 from quillscope.operators.features import _count, brace_depth, js_comment_lines
 
 EDGE = [
@@ -143,3 +143,29 @@ def test_fixed_rounds_exact_values(spark):
             assert r.a is None and r.b is None
         else:
             assert r.a == str(Decimal(r.v).quantize(Decimal("0.1"), ROUND_HALF_UP)) and r.b == str(Decimal(r.v).quantize(Decimal("0.01"), ROUND_HALF_UP))
+
+
+def test_round_even_is_python_round(spark):
+    """10^6 doubles: of all sizes, planted ties, and their neighbours."""
+    import numpy as np
+    import pandas as pd
+
+    rng = np.random.default_rng(3)
+    n = 250_000
+    ties = (rng.integers(-(10**8), 10**8, n) * 2 + 1) / 32.0  # five binary places: many exact ties at four digits
+    near = np.nextafter((rng.integers(-(10**9), 10**9, n) + 0.5) / 1e4, rng.choice([-np.inf, np.inf], n))
+    values = np.concatenate([rng.standard_normal(n) * 10.0 ** rng.integers(-8, 10, n), ties, near, (rng.integers(-(10**6), 10**6, n) + 0.5) / 1e4, [3.6062499999999997, 3.60625, 0.0, 2.0**38, -1e300]])
+    df = spark.createDataFrame(pd.DataFrame({"v": values}))
+    got = np.array([r[0] for r in df.select(round_even(F.col("v"))).collect()])
+    want = np.array([round(float(v), 4) for v in values])
+    assert (got == want).all(), values[got != want][:5]
+
+
+def test_sql_rounding_is_the_same():
+    import duckdb
+
+    from quillscope.oracle.duck import round4
+
+    values = [3.6062499999999997, 3.60625, 3.60635, -0.00005, 0.00015, 1.00005, 2.00015, 0.03125, 0.09375, -3.60625]
+    con = duckdb.connect()
+    assert [con.execute(f"SELECT {round4('?')}", [v]).fetchone()[0] for v in values] == [round(v, 4) for v in values]
