@@ -64,6 +64,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "js_report": Q.q_js_report,
         "js_basic": Q.q_js_basic,
         "js_tuned": Q.q_js_tuned,
+        "js_weight_sets": Q.q_js_weight_sets,
         "input_errors": Q.q_input_errors,
         "page_scripts": Q.q_page_scripts,
         "detect_language": Q.q_detect_language,
@@ -226,6 +227,10 @@ def oracle_sql() -> dict[str, str]:
         "conversation_stream": _js(file_select, TURNS_SRC, D.js_score_ctes() + D.js_file_ctes()),
         "js_tuned": _js("SELECT file_id, chunk_id, total_lines, token_count, classification, decision_basis FROM js_scored",
                         DOC_SRC, D.js_score_ctes(lines=2, tokens=10, signal=0.4, margin=0.1), target=900, tail=200),
+        "js_weight_sets": _js(
+            f"SELECT weight_set, file_id, chunk_id, {', '.join(f'round({c}, 6) AS {c}' for c in score_cols.split(', '))}, "
+            "classification, decision_basis, top_ai AS top_ai_signals, top_human AS top_human_signals FROM js_scored",
+            DOC_SRC, D.weight_set_ctes(Q.weight_rows(), [c for c in D.JS_FEATURE_COLUMNS if c != "module_pattern"])),
         "input_errors": _js(errors_select, INPUTS_SRC, D.js_score_ctes() + D.js_file_ctes()),
         "page_scripts": _js(page_select, PAGES_SRC, D.js_score_ctes() + D.js_file_ctes()),
         "detect_language": (

@@ -9,6 +9,8 @@ file stay in the file's row, so nothing here shuffles.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -554,6 +556,38 @@ def _chunk_struct(chunk: Column, syn: Column, tokens: Column, arrays, features)
     return _bind(base, with_arrays)
 
 
+def _read_by(features, names, candidates) -> list[str]:
+    """Of the candidate intermediates those that the named features read."""
+    built = features(F.col("row"))
+    text = " ".join(str(built[n]) for n in names)
+    return [c for c in candidates if re.search(rf"\b{c}\b", text)]
+
+
+def chunk_metrics(language: str, names) -> Column:
+    """The array of structs of the named features only, of column ``chunks`` of files of one language.
+
+    Intermediates that they do not read are left out.  Features of the syntax
+    tree and of Python tokens are not among them: they need the Python worker."""
+    features, arrays = (python_features, python_arrays) if language == PY else (javascript_features, javascript_arrays)
+    staged = _read_by(features, names, arrays(F.col("row")))
+    inputs = _read_by(lambda row: features(row) | arrays(row), [*names, *staged], ["tokens", "syn"])
+    if language == PY and inputs:
+        raise ValueError("these features need the syntax tree")
+
+    def named(own: dict) -> Column:
+        return F.struct(*(_typed(n, own[n]).alias(n) for n in names))
+
+    def of(c: Column) -> Column:
+        found = F.regexp_extract_all(c, F.lit(java_regex(K.JS_TOKEN)), 0) if "tokens" in inputs else F.lit(None).cast("array<string>")
+        base = F.struct(c.alias("chunk"), split_lines(c).alias("lines"), found.alias("tokens"), F.lit(None).cast(SYNTAX_TYPE).alias("syn"))
+        return _bind(base, lambda row: _bind(
+            F.struct(*(row[x].alias(x) for x in ("chunk", "lines", "tokens", "syn")), *(e.alias(n) for n, e in arrays(row).items() if n in staged)),
+            lambda row: named(features(row)),
+        ))
+
+    return F.transform(F.col("chunks"), of)
+
+
 def with_syntax(files: DataFrame, languages=(PY, JS)) -> DataFrame:
     """Adds ``_syntax``, the interpreter's view of every chunk of a Python file.
 

@@ -366,6 +366,24 @@ js_scored AS (
   FROM js_raw)"""
 
 
+def weight_set_ctes(rows, features, **thresholds) -> str:
+    """js_scored under every set of a table of weights: chunk features unpivoted, joined by name, summed in the table's order."""
+    values = ", ".join(f"({q(s)}, {q(side)}, {q(f)}, CAST({w!r} AS DOUBLE), {i})" for s, _, side, f, w, i in rows)
+    numbers = ", ".join(f"CAST({f} AS DOUBLE) AS {f}" for f in features)
+    top = lambda side: f"array_to_string(list_transform(list_sort(list({{'c': c, 'n': feature}}) FILTER (WHERE side = {q(side)} AND c > 0), 'DESC')[1:3], lambda e: replace(e.n, '_', ' ')), ', ')"
+    total = lambda side: f"coalesce(list_reduce(list_prepend(0.0::DOUBLE, list(c ORDER BY position) FILTER (WHERE side = {q(side)})), lambda a, b: a + b), 0.0)"
+    scored = js_score_ctes(**thresholds)
+    return f""",
+weight (weight_set, side, feature, weight, position) AS (VALUES {values}),
+every AS (SELECT file_id, chunk_id, non_empty_lines, token_count, weight_set FROM js, (SELECT DISTINCT weight_set FROM weight)),
+valued AS (UNPIVOT (SELECT file_id, chunk_id, {numbers} FROM js) ON {", ".join(features)} INTO NAME feature VALUE value),
+part AS (SELECT file_id, chunk_id, weight_set, side, feature, position, coalesce(value, 0.0) * weight AS c FROM valued JOIN weight USING (feature)),
+summed AS (SELECT file_id, chunk_id, weight_set, {total('ai')} AS ai, {total('human')} AS hu, coalesce({top('ai')}, '') AS top_ai, coalesce({top('human')}, '') AS top_human FROM part GROUP BY ALL),
+js_raw AS (SELECT e.*, coalesce(ai, 0.0) AS ai, coalesce(hu, 0.0) AS hu, coalesce(top_ai, '') AS top_ai, coalesce(top_human, '') AS top_human
+  FROM every e LEFT JOIN summed s ON s.file_id = e.file_id AND s.chunk_id = e.chunk_id AND s.weight_set = e.weight_set),
+{scored[scored.index("js_scored AS ("):]}"""
+
+
 JS_MEANS = ("ai_score", "human_score", "score_gap", "signal_strength", "ai_probability", "confidence", *JS_DOUBLE)
 
 

@@ -26,7 +26,7 @@ from ..functions.chunking import with_chunks
 from ..functions.language import SUPPORTED, language_error, resolve_language
 from ..functions.text import line_count
 from ..operators.aggregate import aggregate_files
-from ..operators.features import chunk_features, with_syntax
+from ..operators.features import chunk_features, chunk_metrics, with_syntax
 from ..operators.scoring import chunk_scores, join_weights
 
 
@@ -69,6 +69,16 @@ def explode_chunks(routed: DataFrame, **chunking) -> DataFrame:
     return files.select("*", F.size("chunks").alias("chunk_count"), F.posexplode_outer("chunks").alias("chunk_id", "chunk")).drop("chunks")
 
 
+def _routed(code_files: DataFrame, spread: bool, languages: tuple[str, ...]) -> DataFrame:
+    if spread:
+        # Rows are numbered where they are read: the same number in every attempt of a task.
+        code_files = code_files.withColumn("_row", F.monotonically_increasing_id()).repartition("_row").drop("_row")
+    routed = route(code_files)
+    if set(languages) != set(SUPPORTED):
+        routed = routed.where(F.col("language").isin(*languages) & F.col("language_error").isNull())
+    return routed
+
+
 def scored_files(
     code_files: DataFrame, spread: bool = False, languages: tuple[str, ...] = SUPPORTED, weights: DataFrame | None = None,
     target_chars: int = K.TARGET_CHARS, minimum_tail_chars: int = K.MINIMUM_TAIL_CHARS, **thresholds,
@@ -80,12 +90,7 @@ def scored_files(
     Python worker is part of the plan.  ``weights`` is a table of weight sets
     (see :func:`operators.scoring.weight_sets`); rows then carry ``weight_set``.
     ``thresholds`` are those of :func:`operators.scoring.chunk_scores`."""
-    if spread:
-        # Rows are numbered where they are read: the same number in every attempt of a task.
-        code_files = code_files.withColumn("_row", F.monotonically_increasing_id()).repartition("_row").drop("_row")
-    routed = route(code_files)
-    if set(languages) != set(SUPPORTED):
-        routed = routed.where(F.col("language").isin(*languages) & F.col("language_error").isNull())
+    routed = _routed(code_files, spread, languages)
     files = with_syntax(file_chunks(routed, target_chars, minimum_tail_chars), languages)
     featured = files.withColumn("_features", built(code_files, ("features", languages), lambda: chunk_features(languages))).drop("_syntax")
     if weights is not None:
@@ -111,6 +116,16 @@ def chunk_results(code_files: DataFrame, **kw) -> DataFrame:
     return rows.select(*keep, "chunk_count", "chunk_id", F.col("_c.chunks").alias("chunk"), "_c._features.*", "_c._scores.*")
 
 
+def metrics(code_files: DataFrame, names: list[str], language: str, spread: bool = False, **chunking) -> DataFrame:
+    """One row per chunk of the files of one language, with the named features and nothing else computed.
+
+    Features of the Python syntax tree or tokens are those of :func:`chunk_results`."""
+    files = file_chunks(_routed(code_files, spread, (language,)), **chunking)
+    found = built(code_files, ("metrics", language, *names), lambda: chunk_metrics(language, names))
+    rows = files.select("file_id", F.size("chunks").alias("chunk_count"), F.posexplode_outer(found).alias("chunk_id", "_c"))
+    return rows.select("file_id", "chunk_id", "chunk_count", "_c.*")
+
+
 def detect(code_files: DataFrame, weights: DataFrame | None = None, **kw) -> DataFrame:
     """``code_files(file_id, [path], [language], code, [input_error])`` → one row per input row (and weight set)."""
     return aggregate_files(scored_files(code_files, weights=weights, **kw), () if weights is None else ("weight_set",))

@@ -11,11 +11,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions import constants as K
 from ..functions.chunking import with_chunks
 from ..operators.features import JS_BOOL, JS_DOUBLE
 from ..sources.corpus import code_files
 from ..sources.files import snippets_from
-from .detect import chunk_results, detect
+from .detect import chunk_results, detect, metrics
 from .outputs import to_basic, to_detailed, to_report
 
 JS_CHUNK_COLUMNS = [
@@ -89,26 +90,22 @@ def q_chunk_code(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # --- D/E/F on documents (language-neutral operators) -------------------------
 
-def _doc_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chunk_results(documents_as(spark, sf_dir, "javascript"), spread=True, languages=("javascript",))
+def _doc_metrics(spark: SparkSession, sf_dir: str, names: list[str]) -> DataFrame:
+    return _rounded(metrics(documents_as(spark, sf_dir, "javascript"), names, "javascript", spread=True).drop("chunk_count"))
 
 
 def q_text_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rounded(_doc_chunks(spark, sf_dir).select(
-        "file_id", F.col("chunk_id").cast("int").alias("chunk_id"),
+    return _doc_metrics(spark, sf_dir, [
         "total_lines", "non_empty_lines", "blank_line_ratio", "comment_ratio", "avg_line_length",
-        "line_length_variance", "line_length_uniformity", "indentation_consistency", "long_line_score",
-    ))
+        "line_length_variance", "line_length_uniformity", "indentation_consistency", "long_line_score"])
 
 
 def q_token_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rounded(_doc_chunks(spark, sf_dir).select(
-        "file_id", F.col("chunk_id").cast("int").alias("chunk_id"), "token_count", "token_entropy", "quote_consistency"))
+    return _doc_metrics(spark, sf_dir, ["token_count", "token_entropy", "quote_consistency"])
 
 
 def q_keyword_trigrams(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rounded(_doc_chunks(spark, sf_dir).select(
-        "file_id", F.col("chunk_id").cast("int").alias("chunk_id"), "pattern_repetition_score"))
+    return _doc_metrics(spark, sf_dir, ["pattern_repetition_score"])
 
 
 # --- J/K/L on the JavaScript part of the corpus ------------------------------
@@ -167,6 +164,28 @@ def q_js_tuned(spark: SparkSession, sf_dir: str) -> DataFrame:
         "file_id", F.col("chunk_id").cast("int").alias("chunk_id"), "total_lines", "token_count", "classification", "decision_basis"))
 
 
+# A second set of weights beside the default one: flags and plain metrics count too, one feature on both sides.
+HOUSE_WEIGHTS = {
+    "ai": {"generic_example_score": 2.0, "uses_arrow_functions": 0.75, "comment_ratio": 1.25, "quote_consistency": 0.5, "no_such_feature": 9.0, "line_length_uniformity": 0.8, "uses_template_literals": 0.35},
+    "human": {"has_var_declarations": 1.1, "long_line_score": 0.9, "token_entropy": 0.15, "comment_ratio": 0.4, "non_empty_lines": 0.01},
+}
+
+
+def weight_rows() -> list[tuple[str, str, str, str, float, int]]:
+    """(weight_set, language, side, feature, weight, position) of both sets, JavaScript."""
+    sets = {"default": {"ai": K.JS_AI_WEIGHTS, "human": K.JS_HUMAN_WEIGHTS}, "house": HOUSE_WEIGHTS}
+    return [(name, "javascript", side, f, w, i) for name, sides in sets.items() for side, ws in sides.items() for i, (f, w) in enumerate(ws.items())]
+
+
+def q_js_weight_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's chunks scored under two sets of weights in one pass."""
+    weights = spark.createDataFrame(weight_rows(), "weight_set string, language string, side string, feature string, weight double, position int")
+    chunks = chunk_results(documents_as(spark, sf_dir, "javascript"), spread=True, languages=("javascript",), weights=weights)
+    return _rounded(chunks.select(
+        "weight_set", "file_id", F.col("chunk_id").cast("int").alias("chunk_id"), *SCORE_COLUMNS,
+        "classification", "decision_basis", "top_ai_signals", "top_human_signals"))
+
+
 def q_input_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Snippets of which some have no code, share an id, name an unsupported language or are malformed."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
@@ -205,9 +224,8 @@ def q_detect_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- Python text features (no syntax tree) ------------------------------------
 
 def q_py_text_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    chunks = chunk_results(code_files(spark, sf_dir), spread=True, languages=("python",))
-    return _rounded(chunks.select(
-        "file_id", F.col("chunk_id").cast("int").alias("chunk_id"), *PY_TEXT_COLUMNS))
+    """No syntax tree, so no Python worker."""
+    return _rounded(metrics(code_files(spark, sf_dir), PY_TEXT_COLUMNS, "python", spread=True).drop("chunk_count"))
 
 
 # --- rows-only (syntax-tree features, outputs, evaluation, streaming) ---------
