@@ -101,20 +101,50 @@ def test_spans_are_merged_and_removed(spark):
     assert texts == {1: "One ,  . five", 2: "nothing"}
 
 
+def plain_anchors(text):
+    """(hash, position) of a text's anchors."""
+    import xxhash
+
+    h64 = lambda t: (lambda x: x - (1 << 64) if x >> 63 else x)(xxhash.xxh64_intdigest(t.encode("utf-32-be"), 42))
+    s, k = syncmers.S, syncmers.K
+    size, text = k + s - 1, text or ""
+    h = [h64(text[i : i + s]) for i in range(len(text) - s + 1)]
+    kmers = range(len(text) - size + 1)
+    closed = [i for i in kmers if min(h[i : i + k]) in (h[i], h[i + k - 1])]
+    if closed or (size <= len(text) < syncmers.WHOLE):
+        return [(h64(text[i : i + size]) & 0xFFFFFFFF, i) for i in closed or kmers]
+    if s <= len(text) < size:
+        return [(x & 0xFFFFFFFF, i) for i, x in enumerate(h)]
+    return [(h64(text) & 0xFFFFFFFF, 0)] if text else []
+
+
+def plain_sketch(text):
+    first = {}
+    for x, i in plain_anchors(text):
+        first.setdefault(x, i)
+    return "".join(f"{x:08x}{i:08x}" for x, i in sorted(first.items())[: syncmers.SKETCH])
+
+
+def plain_likeness(a, b):
+    a, b = ({int(f[i : i + 8], 16): int(f[i + 8 : i + 16], 16) for i in range(0, len(f), 16)} for f in (a, b))
+    union = sorted({*a, *b})[: syncmers.SKETCH]
+    shifts = [a[x] - b[x] for x in union if x in a and x in b]
+    return sum(d == 0 or shifts.count(d) > 1 for d in shifts) / len(union) if union else 1.0
+
+
 def test_syncmers_are_closed_and_context_free(spark):
-    words = [f"w{i * i % 37}" for i in range(60)]
-    docs = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(["other", "start", *words[10:40]]))], "doc_id long, text string")
+    import random
+
+    rng = random.Random(7)
+    passage = "".join(rng.choice("abcdefgh 中é😀") for _ in range(300))
+    docs = spark.createDataFrame([(1, passage), (2, "other start" + passage[40:260])], "doc_id long, text string")
     found = {1: {}, 2: {}}
     for r in syncmers.anchors(docs).collect():
         found[r["doc_id"]][r["position"]] = r["hash"]
-    shared = {p - 10 + 2: h for p, h in found[1].items() if 10 <= p <= 40 - syncmers.K}
-    assert shared and all(found[2].get(p) == h for p, h in shared.items())
-    import xxhash
-
-    h = [xxhash.xxh64_intdigest(w.encode(), 42) for w in words]
-    h = [x - (1 << 64) if x >> 63 else x for x in h]
-    k = syncmers.K
-    assert sorted(found[1]) == [i for i in range(len(h) - k + 1) if min(h[i : i + k]) in (h[i], h[i + k - 1])]
+    assert found[1] == {i: x for x, i in plain_anchors(passage)}
+    size = syncmers.K + syncmers.S - 1
+    shared = {p - 40 + 11: x for p, x in found[1].items() if 40 <= p <= 260 - size}
+    assert len(shared) > 50 and {p: x for p, x in found[2].items() if p >= 11} == shared
 
 
 def test_edited_texts(spark, table):
@@ -135,12 +165,27 @@ def test_edited_texts(spark, table):
     assert sum(r["near_edited"] for r in rows.values()) / len(rows) > 0.4
 
 
-def test_only_texts_without_symbols_have_empty_fingerprints(spark):
-    texts = [" ".join(f"w{n}x{i}x{j}" for j in range(n)) for n in (5, 6, 7) for i in range(40)]
-    docs = spark.createDataFrame(list(enumerate([*texts, "", None, " \n"])), "doc_id long, text string")
-    found = [r["fp"] for r in syncmers.with_fingerprint(docs, "text", "fp").orderBy("doc_id").collect()]
-    assert all(found[:120]) and found[120:] == [[], [], []]
-    assert len(set(map(tuple, found[:120]))) == 120
+def test_fingerprints_and_likeness_equal_a_plain_version(spark, monkeypatch):
+    """All cases of short texts, long and repetitive ones, edited texts read from the joint only."""
+    import random
+
+    monkeypatch.setattr(syncmers, "MANY", 100)
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(4, 9)))
+    texts = [*brute.random_texts(100), None, "", " \n", "a", "ab\n", "\n a\u3000b", "😀😀a😀bcd😀efg", "one  two\tthree", "a" * 5000, "ab" * 300, "long words " * 400]
+    texts += [" ".join(word() for _ in range(rng.choice([5, 12, 40, 200, 800]))) for _ in range(60)]
+    docs = [(i, t) for i, t in enumerate(texts)]
+    rows = {r["doc_id"]: r for r in syncmers.compare_with_edited(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    docs.sort(reverse=True)
+    for i, (doc, text) in enumerate(docs):
+        text, after = text or "", docs[(i + 1) % len(docs)][1] or ""
+        third = len(text) // 3
+        edited = text[: len(text) - third] + after[:third]
+        r = rows[doc]
+        assert r["fingerprint"] == plain_sketch(text) and r["edited_fingerprint"] == plain_sketch(edited), doc
+        assert r["near_edited"] == pytest.approx(plain_likeness(r["fingerprint"], r["edited_fingerprint"]))
+        assert r["near_next"] == pytest.approx(plain_likeness(r["fingerprint"], plain_sketch(after)))
+        assert bool(r["fingerprint"]) == bool(text)
 
 
 def test_short_and_unspaced_texts_are_told_apart(spark):
@@ -154,35 +199,35 @@ def test_short_and_unspaced_texts_are_told_apart(spark):
     chars = [rng.choice([*map(chr, range(0x4E00, 0x4F00)), *"abc", "😀"]) for _ in range(1500)]
     pairs = [("".join(chars), "".join([*chars[:3], "x", *chars[3:]])), ("猫が鳴く", "犬が吠える"), ("😀", "😃")]
     texts = spark.createDataFrame(pairs, "a string, b string")
-    both = syncmers.with_fingerprint(syncmers.with_fingerprint(texts, "a", "fa"), "b", "fb")
-    near = [r[0] for r in both.select(syncmers.likeness(F.col("fa"), F.col("fb"))).collect()]
+    both = syncmers.with_likeness(syncmers.with_fingerprint(syncmers.with_fingerprint(texts, "a", "fa"), "b", "fb"), "fa", "fb", "near")
+    near = [r["near"] for r in both.collect()]
     assert near[0] > 0.8 and near[1:] == [0, 0]
 
 
-def test_code_point_syncmers_equal_a_plain_version(spark):
-    import xxhash
-
-    h64 = lambda b: (lambda x: x - (1 << 64) if x >> 63 else x)(xxhash.xxh64_intdigest(b, 42))
-
-    def plain(text):
-        text = re.sub(r"[ \t\n\x0b\f\r]+", " ", text).strip(" ")
-        s, k = syncmers.S, syncmers.K
-        h = [h64(text[i : i + s].encode()) for i in range(max(1, len(text) - s + 1))] if text else []
-        kmers = [h[i : i + k] for i in range(len(h) - k + 1)]
-        closed = [x for x in kmers if min(x) in (x[0], x[-1])] or kmers
-
-        def of(kmer):
-            seed = 42
-            for x in kmer:
-                seed = xxhash.xxh64_intdigest((x % (1 << 64)).to_bytes(8, "little"), seed)
-            return seed & 0xFFFFFFFF
-
-        return sorted({of(x) for x in closed} or {x & 0xFFFFFFFF for x in h})[: syncmers.SKETCH]
-
-    texts = [*brute.random_texts(150), "", " \n", "a", "ab\n", "\n a\u3000b", "😀😀a😀bcd😀efg", "one  two\tthree"]
-    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    got = {r["doc_id"]: r["fp"] for r in syncmers.with_fingerprint(docs, "text", "fp").collect()}
-    assert got == {i: plain(t) for i, t in enumerate(texts)}
+@pytest.mark.parametrize("ids", [[1] * 300, [*range(200), 10**12], [None] * 150 + [5] * 100 + [*range(50)], [-3, 2**62, 0] * 60, [1.5, None, float(2**40)] * 50])
+def test_next_rows_of_skewed_ids(spark, monkeypatch, ids):
+    """Every row has one next row, by falling id, and no bucket has much more than its share."""
+    monkeypatch.setattr(syncmers, "ROWS_PER_BUCKET", 10)
+    kind = "double" if any(isinstance(i, float) for i in ids) else "long"
+    df = spark.createDataFrame(list(zip(ids, range(len(ids)), strict=True)), f"doc_id {kind}, row long")
+    rows = syncmers.with_next(df.withColumn("id", F.col("doc_id")), "doc_id", ["row", "id"]).collect()
+    follows = {r["row"]: r["next_row"] for r in rows}
+    assert len(rows) == len(follows) == len(set(follows.values())) == len(ids)
+    high = max(range(len(ids)), key=lambda i: -1e300 if ids[i] is None else ids[i])
+    at, seen = high, []
+    for _ in ids:
+        seen.append(-1e300 if ids[at] is None else ids[at])
+        at = follows[at]
+    falls = [a >= b for a, b in zip(seen, seen[1:], strict=False)]
+    assert at == high and falls.count(False) <= 1  # the walk may start inside the highest id's rows
+    tied = df.withColumn("__row", F.monotonically_increasing_id()).withColumn("__tie", F.pmod(F.xxhash64("__row"), F.lit(syncmers.TIES)))
+    sizes = [r["count"] for r in tied.withColumn("b", syncmers._bucket(tied, "doc_id")).groupBy("b").count().collect()]
+    assert max(sizes) <= 60
+
+
+def test_ids_without_quantiles_are_refused(spark):
+    with pytest.raises(TypeError):
+        syncmers.compare_with_edited(spark.createDataFrame([("a", "x")], "doc_id string, text string"))
 
 
 def test_edited_edge_rows(spark, monkeypatch):
