@@ -52,8 +52,13 @@ PLACES = 1 << 31
 TIES = 1 << 20
 
 
-def _slice(code_points: str, at: Column, n: int) -> Column:
-    return F.substring(F.col(code_points), at * 4 + 1, F.lit(4 * n))
+def _slice(code_points: Column, at: Column, n: int) -> Column:
+    return F.substring(code_points, at * 4 + 1, F.lit(4 * n))
+
+
+def _each(values: Column, held: Column, what, of=F.transform) -> Column:
+    """``of(values, x -> what(held, x))`` with ``held`` read from the row once: a lambda that names a column copies its bytes for every element."""
+    return F.transform(F.array(held), lambda one: of(values, lambda x: what(one, x)))[0]
 
 
 def _anchor(hash64: Column, at: Column) -> Column:
@@ -78,16 +83,15 @@ def with_anchors(df: DataFrame, text: str, to: str, base: Column | None = None,
     points = df.withColumn(b, F.encode(F.coalesce(F.col(text), F.lit("")), "UTF-32"))
     points = points.withColumns({n: (F.octet_length(b) / 4).cast("int"), f"{h}_0": at0.cast("long")})
     upto = lambda last: F.when(last >= 0, F.sequence(F.lit(0), F.greatest(last, F.lit(0)))).otherwise(F.array().cast("array<int>"))
-    hashed = points.withColumn(h, F.transform(upto(F.col(n) - s), lambda i: F.xxhash64(_slice(b, i, s))))
-    here = lambda i, j: F.get(F.col(h), i + j)
-    closed = lambda i: F.least(*(here(i, j) for j in range(1, k - 1))) >= F.least(here(i, 0), here(i, k - 1))
-    chosen = hashed.withColumn(f"{h}_c", F.filter(upto(F.col(n) - size), closed))
-    kmer = lambda i: _anchor(F.xxhash64(_slice(b, i, size)), i + F.col(f"{h}_0"))
-    anchored = chosen.withColumn(to, F.transform(f"{h}_c", kmer))
+    hashed = points.withColumn(h, _each(upto(F.col(n) - s), F.col(b), lambda points, i: F.xxhash64(_slice(points, i, s))))
+    closed = lambda hs, i: F.least(*(F.get(hs, i + j) for j in range(1, k - 1))) >= F.least(F.get(hs, i), F.get(hs, i + (k - 1)))
+    chosen = hashed.withColumn(f"{h}_c", _each(upto(F.col(n) - size), F.col(h), closed, F.filter))
+    kmer = lambda points, i: _anchor(F.xxhash64(_slice(points, i, size)), i + F.col(f"{h}_0"))
+    anchored = chosen.withColumn(to, _each(F.col(f"{h}_c"), F.col(b), kmer))
     whole = F.array(_anchor(F.xxhash64(F.col(b)), F.lit(0)))
     short = F.transform(F.col(h), lambda x, i: _anchor(x, i))
     rest = F.when(F.size(to) > 0, F.array()).when(F.col(n) == 0, F.array()).when((F.col(n) < s) | (F.col(n) >= WHOLE), whole)
-    rest = rest.when(F.col(n) < size, short).otherwise(F.transform(upto(F.col(n) - size), kmer))
+    rest = rest.when(F.col(n) < size, short).otherwise(_each(upto(F.col(n) - size), F.col(b), kmer))
     return anchored.withColumn(f"{to}_else", rest.cast("array<bigint>")).drop(b, h, n, f"{h}_c", f"{h}_0")
 
 
@@ -104,9 +108,9 @@ def with_sketch(df: DataFrame, anchors: str, to: str, sketch: int = SKETCH) -> D
     few, all_ = f"__{to}_few", F.col(anchors)
     bound = F.when(F.size(all_) > MANY, (F.least(F.lit(1.0), 8.0 * sketch / F.size(all_)) * float((1 << 63) - 1024)).cast("long")).otherwise(F.lit((1 << 63) - 1))
     staged = df.withColumn(f"{few}_b", bound)
-    staged = staged.withColumn(few, F.array_sort(F.filter(all_, lambda x: x < F.col(f"{few}_b"))))
+    staged = staged.withColumn(few, F.sort_array(F.filter(all_, lambda x: x < F.col(f"{few}_b"))))
     staged = staged.withColumn(few, F.slice(_first_of_each(few), 1, sketch))
-    hashes = F.slice(F.array_sort(F.array_distinct(F.transform(all_, hash_of))), 1, sketch)
+    hashes = F.slice(F.sort_array(F.array_distinct(F.transform(all_, hash_of))), 1, sketch)
     searched = F.transform(hashes, lambda h: F.array_min(F.filter(all_, lambda x: hash_of(x) == h)))
     return staged.withColumn(to, F.when((F.size(few) >= sketch) | (F.size(all_) <= MANY), F.col(few)).otherwise(searched)).drop(few, f"{few}_b")
 
@@ -126,7 +130,7 @@ def with_likeness(df: DataFrame, a: str, b: str, to: str, sketch: int = SKETCH)
     """Adds ``to``: the likeness of two sketches by matched anchors at consistent places."""
     union, of_b, shift = f"__{to}_u", f"__{to}_b", f"__{to}_o"
     hashes = lambda c: F.transform(c, hash_of)
-    staged = df.withColumn(union, F.slice(F.array_sort(F.array_union(hashes(a), hashes(b))), 1, sketch))
+    staged = df.withColumn(union, F.slice(F.sort_array(F.array_union(hashes(a), hashes(b))), 1, sketch))
     staged = staged.withColumns({f"{union}_last": F.get(union, F.size(union) - 1), of_b: F.map_from_arrays(hashes(b), F.transform(b, place_of))})
     shared = F.filter(F.col(a), lambda x: (hash_of(x) <= F.col(f"{union}_last")) & F.map_contains_key(F.col(of_b), hash_of(x)))
     staged = staged.withColumn(shift, F.transform(shared, lambda x: place_of(x) - F.element_at(F.col(of_b), hash_of(x))))
