@@ -94,7 +94,6 @@ JS_CORPUS_SRC = f"SELECT file_id, code FROM ({D.resolved_corpus_sql()}) WHERE la
 PY_CORPUS_SRC = f"SELECT file_id, code FROM ({D.resolved_corpus_sql()}) WHERE language = 'python'"
 BENCHMARK_SRC = "SELECT item_id AS file_id, text AS code FROM benchmark"
 TURNS_SRC = "SELECT conv_id * 1048576 + turn AS file_id, text AS code FROM conversations"
-INPUTS_SRC = "SELECT doc_id AS file_id, text AS code FROM documents WHERE doc_id % 5 <> 0 AND doc_id % 7 <> 0 AND doc_id % 11 <> 0"
 PAGES_SRC = (
     "SELECT page_id AS file_id, array_to_string(regexp_extract_all(html, '(?is)<script[^>]*>(.*?)</script>', 1), chr(10)) AS code "
     "FROM pages"
@@ -189,14 +188,10 @@ def oracle_sql() -> dict[str, str]:
         "round(token_entropy, 6) AS token_entropy, round(comment_ratio, 6) AS comment_ratio, "
         f"CAST(len(parts) AS INT) AS total_lines, CAST(NULL AS VARCHAR) AS error FROM files JOIN lk USING (file_id)"
     )
-    # A file's number in the chunk tables is doc_id; its id is shared by two.
-    errors_select = f"""SELECT CAST(floor(doc_id / 2) AS BIGINT) AS file_id, lower(language) AS language, error,
-      CASE WHEN error IS NOT NULL THEN -1 WHEN classification = 'AI-Generated Code' THEN 1 ELSE 0 END AS result,
-      CAST(CASE WHEN error IS NULL THEN total_lines ELSE -1 END AS BIGINT) AS total_lines
-    FROM (SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN 'Ruby' ELSE 'JavaScript' END AS language,
-            CASE WHEN doc_id % 11 = 0 THEN 'Malformed record' WHEN doc_id % 5 = 0 THEN 'No code provided'
-                 WHEN doc_id % 7 = 0 THEN 'Unsupported language: ruby' END AS error FROM documents) d
-    LEFT JOIN files ON files.file_id = d.doc_id"""
+    errors_select = f"""SELECT file_id, 'javascript' AS language, CAST(NULL AS VARCHAR) AS error,
+      CASE WHEN classification = 'AI-Generated Code' THEN 1 ELSE 0 END AS result, CAST(total_lines AS BIGINT) AS total_lines FROM files
+    UNION ALL SELECT doc_id, CASE doc_id % 3 WHEN 1 THEN 'ruby' ELSE 'javascript' END,
+      CASE doc_id % 3 WHEN 0 THEN 'No code provided' WHEN 1 THEN 'Unsupported language: ruby' ELSE 'Malformed record' END, -1, -1 FROM documents"""
     supported = "('python', 'javascript')"
     return {
         "chunk_code": (
@@ -231,7 +226,7 @@ def oracle_sql() -> dict[str, str]:
             f"SELECT weight_set, file_id, chunk_id, {', '.join(f'round({c}, 6) AS {c}' for c in score_cols.split(', '))}, "
             "classification, decision_basis, top_ai AS top_ai_signals, top_human AS top_human_signals FROM js_scored",
             DOC_SRC, D.weight_set_ctes(Q.weight_rows(), [c for c in D.JS_FEATURE_COLUMNS if c != "module_pattern"])),
-        "input_errors": _js(errors_select, INPUTS_SRC, D.js_score_ctes() + D.js_file_ctes()),
+        "input_errors": _js(errors_select, DOC_SRC, D.js_score_ctes() + D.js_file_ctes()),
         "page_scripts": _js(page_select, PAGES_SRC, D.js_score_ctes() + D.js_file_ctes()),
         "detect_language": (
             f"SELECT file_id, language, CASE WHEN language IS NULL THEN {D.q(K.ERR_UNDETECTED)} "

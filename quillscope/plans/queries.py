@@ -187,14 +187,13 @@ def q_js_weight_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_input_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Snippets of which some have no code, share an id, name an unsupported language or are malformed."""
+    """Every document as a JavaScript snippet, and beside it, under the same id, a bad copy: without code, of an unsupported language, or malformed."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    given = docs.select(
-        F.floor(F.col("doc_id") / 2).alias("file_id"),
-        F.when(F.col("doc_id") % 5 != 0, F.col("text")).alias("code"),
-        F.when(F.col("doc_id") % 7 == 0, "Ruby").otherwise("JavaScript").alias("language"),
-        F.when(F.col("doc_id") % 11 == 0, F.col("text")).alias("_corrupt_record"),
-    )
+    none = F.lit(None).cast("string")
+    fault = F.col("doc_id") % 3
+    bad = F.struct(F.when(fault != 0, F.col("text")).alias("code"), F.when(fault == 1, "Ruby").otherwise("JavaScript").alias("language"), F.when(fault == 2, F.col("text")).alias("_corrupt_record"))
+    good = F.struct(F.col("text").alias("code"), F.lit("JavaScript").alias("language"), none.alias("_corrupt_record"))
+    given = docs.select(F.col("doc_id").alias("file_id"), F.inline(F.array(good, bad)))
     found = detect(snippets_from(given), spread=True)
     return found.select("file_id", "language", "error", F.coalesce("result", F.lit(-1)).alias("result"), F.coalesce("total_lines", F.lit(-1)).alias("total_lines"))
 

@@ -1,26 +1,31 @@
 """Derived code corpus: ``code_files`` built from the ``documents`` table.
 
-The driver tables hold prose, not programs.  Each document becomes one
-source file: template ``k = doc_id % 12``, in which three words of the
-document become identifiers and its first line a comment, followed by the whole
-text, line by line, as comments, identifiers and strings, under the text's
-digest.  So the corpus grows with ``documents``, and any change to a text
-changes its file.  The same SQL expression text is used by Spark and by the
+The driver tables hold prose, not programs.  Every document becomes three
+files: a Python one (id 4 doc_id), a JavaScript one (4 doc_id + 1), and one of an
+unsupported language (4 doc_id + 2, the text itself, an error row).  The first
+two are a template, by the document's number, in which three words of the
+document become identifiers and its first line a comment; below it stands the
+whole text, line by line in turn as a comment (as it is, but for control
+characters), as an identifier of all its words, and as a string (without quotes
+and backslashes), under the text's digest.  So the corpus grows with
+``documents``, every document is analysed in both languages, and any change to a
+text changes its files.  The same SQL expression text is used by Spark and by the
 DuckDB oracle (``render(dialect)``), so both engines see byte-identical inputs.
 
-| k | path | content |
+| template | path | content |
 |---|------|---------|
 | 0 | .py  | tidy, documented, example names, main guard (AI-like) |
 | 1 | .py  | TODO, bare except, prints, commented code, odd numbers, trailing blanks (human-like) |
-| 2 | .js  | const / arrow / template literal, example names (AI-like) |
-| 3 | .jsx | var, jQuery, alert, nested callbacks, block comment (human-like) |
 | 4 | .py  | two lines |
 | 5 | .py  | one 275-char top-level function repeated 8 + doc_id % 5 times (multi-chunk, parseable) |
 | 6 | .py  | one long function, evenly indented (a chunk that starts in it does not parse) |
 | 7 | .py  | syntax error but tokenisable (first chunk: parseable = false) |
-| 8 | .ts  | templates 2 and 3 repeated (multi-chunk, mixed classes) |
 | 9 | .py  | later chunk starts deeper than it ends (tokenizer IndentationError → error row) |
-| 10 | NULL | template 0 or 2 by parity of doc_id div 12 (content detection) |
+| 10 | NULL | template 0 (content detection) |
+| 2 | .js  | const / arrow / template literal, example names (AI-like) |
+| 3 | .jsx | var, jQuery, alert, nested callbacks, block comment (human-like) |
+| 8 | .ts  | templates 2 and 3 repeated (multi-chunk, mixed classes) |
+| 12 | NULL | template 2 (content detection) |
 | 11 | .rb | the text itself (unsupported language → error row) |
 """
 
@@ -169,57 +174,58 @@ def _fill(template_sql: str, a: str, b: str, c: str, m: str) -> str:
     return f"replace(replace(replace(replace({template_sql}, '@A', {a}), '@B', {b}), '@C', {c}), '@M', {m})"
 
 
+PYTHON_TEMPLATES = (0, 1, 4, 5, 6, 7, 9, 10)
+JAVASCRIPT_TEMPLATES = (2, 3, 8, 12)
+
+
 def render(dialect: str = "spark", source: str = "documents") -> str:
     """``SELECT file_id, path, language, code, template FROM <source>`` for
-    ``dialect`` in {'spark', 'duckdb'}."""
-    g = ", 'g'" if dialect == "duckdb" else ""
+    ``dialect`` in {'spark', 'duckdb'}: the three files of every document."""
+    duck = dialect == "duckdb"
+    g = ", 'g'" if duck else ""
 
     def word(n: int) -> str:
         letters = f"regexp_replace(split_part(lower(text), ' ', {n}), '[^a-z]', ''{g})"
         return f"rpad(concat('v_', {letters}), {NAME_LEN}, 'x')"
 
+    # Characters that end a line somewhere become blanks; \\ is one backslash in either dialect's pattern.
+    ends = r"[\x00-\x1F\x7F\x{85}\x{2028}\x{2029}]" if duck else r"[\\x00-\\x1F\\x7F\\x{85}\\x{2028}\\x{2029}]"
+    quoted = r'["\\]' if duck else r'["\\\\]'
+    clean = lambda x: f"regexp_replace({x}, '{ends}', ' '{g})"
+    lines = f"list_transform(string_split(text, chr(10)), lambda line: {clean('line')})" if duck else f"transform(split(text, '\\n'), line -> {clean('line')})"
+
     def whole(mark: str, declare: str, end: str) -> str:
-        """The document's lines: each a comment, an identifier of all its words, and a string."""
-        clean = f"regexp_replace(line, '[^A-Za-z0-9 ]', ''{g})"
-        name = f"concat('v_', regexp_replace(lower({clean}), '[^a-z0-9]+', '_'{g}))"
-        each = f"concat('{mark} ', {clean}, chr(10), '{declare}', {name}, ' = \"', {clean}, '\"{end}', chr(10))"
-        if dialect == "duckdb":
-            lines = f"array_to_string(list_transform(string_split(text, chr(10)), lambda line: {each}), '')"
-        else:
-            lines = f"array_join(transform(split(text, '\\n'), line -> {each}), '')"
-        return f"concat(chr(10), '{mark} ', md5(text), chr(10), {lines})"
-
-    in_py, in_js = whole("#", "", ""), whole("//", "const ", ";")
-    a, b, c = word(1), word(2), word(3)
-    m = f"regexp_replace(split_part(text, chr(10), 1), '[^A-Za-z ]', ''{g})"
-    k = "(doc_id % 12)"
-    ai_py = _fill(_lit(T_AI_PY), a, b, c, m)
-    ai_js = _fill(_lit(T_AI_JS), a, b, c, m)
-    human_js = _fill(_lit(T_HUMAN_JS), a, b, c, m)
-    head = f"""CASE {k}
-      WHEN 0 THEN {ai_py}
-      WHEN 1 THEN {_fill(_lit(T_HUMAN_PY), a, b, c, m)}
-      WHEN 2 THEN {ai_js}
-      WHEN 3 THEN {human_js}
-      WHEN 4 THEN {_fill(_lit(T_TWO_LINES), a, b, c, m)}
-      WHEN 5 THEN repeat({_fill(_lit(T_BLOCK), a, b, c, m)}, CAST(8 + doc_id % 5 AS INT))
-      WHEN 6 THEN concat({_fill(_lit(T_LONG_HEAD), a, b, c, m)}, repeat({_lit(T_LONG_LINE)}, 66))
-      WHEN 7 THEN {_fill(_lit(T_SYNTAX_ERROR), a, b, c, m)}
-      WHEN 8 THEN repeat(concat({ai_js}, {human_js}), 3)
-      WHEN 9 THEN concat({_fill(_lit(T_DEEP_HEAD), a, b, c, m)}, repeat({_fill(_lit(T_DEEP_LINE), a, b, c, m)}, 60), {_fill(_lit(T_DEEP_TAIL), a, b, c, m)})
-      WHEN 10 THEN CASE WHEN CAST(FLOOR(doc_id / 12) AS BIGINT) % 2 = 0 THEN {ai_py} ELSE {ai_js} END
-      ELSE text
-    END"""
-    is_js = f"{k} IN (2, 3, 8) OR ({k} = 10 AND CAST(FLOOR(doc_id / 12) AS BIGINT) % 2 <> 0)"
-    code = f"concat({head}, CASE WHEN {k} = 11 THEN '' WHEN {is_js} THEN {in_js} ELSE {in_py} END)"
-    ext = f"""CASE {k}
-      WHEN 2 THEN '.js' WHEN 3 THEN '.jsx' WHEN 8 THEN '.ts' WHEN 10 THEN NULL WHEN 11 THEN '.rb'
-      ELSE '.py' END"""
-    path = f"CASE WHEN {k} = 10 THEN NULL ELSE concat('src/file_', CAST(doc_id AS STRING), {ext}) END"
-    return (
-        f"SELECT doc_id AS file_id, {path} AS path, CAST(NULL AS STRING) AS language, "
-        f"{code} AS code, CAST({k} AS INT) AS template FROM {source}"
-    )
+        """The document's cleaned lines: in turn a comment, an identifier of all its words, and a string."""
+        low = "translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+        name = f"concat('v_', regexp_replace({low}, '[^a-z0-9]+', '_'{g}))"
+        at = "(i - 1)" if duck else "i"
+        each = f"""CASE {at} % 3 WHEN 0 THEN concat('{mark} ', line, chr(10)) WHEN 1 THEN concat('{declare}', {name}, ' = 1{end}', chr(10))
+          ELSE concat('{declare}v_line = "', regexp_replace(line, '{quoted}', ' '{g}), '"{end}', chr(10)) END"""
+        body = f"array_to_string(list_transform(cleaned, lambda line, i: {each}), '')" if duck else f"array_join(transform(cleaned, (line, i) -> {each}), '')"
+        return f"concat(chr(10), '{mark} ', digest, chr(10), {body})"
+
+    ai_py, human_py, ai_js, human_js = (_fill(_lit(t), "a", "b", "c", "m") for t in (T_AI_PY, T_HUMAN_PY, T_AI_JS, T_HUMAN_JS))
+    python = f"""CASE template
+      WHEN 1 THEN {human_py}
+      WHEN 4 THEN {_fill(_lit(T_TWO_LINES), "a", "b", "c", "m")}
+      WHEN 5 THEN repeat({_fill(_lit(T_BLOCK), "a", "b", "c", "m")}, CAST(8 + doc_id % 5 AS INT))
+      WHEN 6 THEN concat({_fill(_lit(T_LONG_HEAD), "a", "b", "c", "m")}, repeat({_lit(T_LONG_LINE)}, 66))
+      WHEN 7 THEN {_fill(_lit(T_SYNTAX_ERROR), "a", "b", "c", "m")}
+      WHEN 9 THEN concat({_fill(_lit(T_DEEP_HEAD), "a", "b", "c", "m")}, repeat({_fill(_lit(T_DEEP_LINE), "a", "b", "c", "m")}, 60), {_fill(_lit(T_DEEP_TAIL), "a", "b", "c", "m")})
+      ELSE {ai_py} END"""
+    javascript = f"CASE template WHEN 3 THEN {human_js} WHEN 8 THEN repeat(concat({ai_js}, {human_js}), 3) ELSE {ai_js} END"
+    pick = lambda names: "CASE " + " ".join(f"WHEN doc_id % {len(names)} = {i} THEN {t}" for i, t in enumerate(names)) + " END"
+    kinds = f"CASE kind WHEN 0 THEN {pick(PYTHON_TEMPLATES)} WHEN 1 THEN {pick(JAVASCRIPT_TEMPLATES)} ELSE 11 END"
+    number = "unnest([0, 1, 2])" if duck else "explode(array(0, 1, 2))"
+    ext = "CASE template WHEN 2 THEN '.js' WHEN 3 THEN '.jsx' WHEN 8 THEN '.ts' WHEN 11 THEN '.rb' ELSE '.py' END"
+    return f"""SELECT doc_id * 4 + kind AS file_id,
+      CASE WHEN template IN (10, 12) THEN NULL ELSE concat('src/file_', CAST(doc_id AS STRING), {ext}) END AS path,
+      CAST(NULL AS STRING) AS language,
+      CASE kind WHEN 0 THEN concat({python}, {whole("#", "", "")}) WHEN 1 THEN concat({javascript}, {whole("//", "const ", ";")}) ELSE text END AS code,
+      template
+    FROM (SELECT *, CAST({kinds} AS INT) AS template FROM (SELECT *, {number} AS kind FROM (
+      SELECT doc_id, text, md5(text) AS digest, {lines} AS cleaned, {word(1)} AS a, {word(2)} AS b, {word(3)} AS c,
+        regexp_replace(split_part(text, chr(10), 1), '[^A-Za-z ]', ''{g}) AS m FROM {source})))"""
 
 
 def code_files(spark: SparkSession, sf_dir: str) -> DataFrame:
