@@ -7,10 +7,10 @@ documents' positions are generated, hashed and looked up in the broadcast hash
 table in one scan without a shuffle; a hit is verified word by word.  Only
 hits, and one header row per document, are grouped afterwards.
 
-The window table is broadcast while it has at most ``MAX_BROADCAST_WINDOWS``
-rows and names at most as many items; beyond that, positions and windows are
-joined by a shuffle of two hashes a position (128 bits, which then stand for
-the words), without the documents' words.
+The window table is broadcast while all of it is at most ``MAX_BROADCAST_BYTES``;
+beyond that, positions and windows are joined by a shuffle of the hashes, without
+the documents' words, and the hits go back to their document's words to be
+verified there in the same way.
 
 Cases: null or wordless texts have no words and are clean; equal windows of
 several items count for each of those items; repeated items count once per id;
@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 WINDOW = 10
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-MAX_BROADCAST_WINDOWS = 300_000
+MAX_BROADCAST_BYTES = 32 << 20
 
 
 def words(text: Column) -> Column:
@@ -33,13 +33,17 @@ def words(text: Column) -> Column:
     return F.coalesce(F.regexp_extract_all(F.translate(text, UPPER, LOWER), F.lit(WORD), F.lit(0)), F.array().cast("array<string>"))
 
 
+def window_hash(gram: Column) -> Column:
+    return F.xxhash64(gram)
+
+
 def windows(benchmark: DataFrame, n: int = WINDOW, item_id: str = "item_id", text: str = "text") -> DataFrame:
     """(size, hash, gram, items): each distinct window of the benchmark and the ids of its items, as strings."""
     items = benchmark.select(F.col(item_id).cast("string").alias("item"), words(F.col(text)).alias("w")).where("size(w) > 0")
     starts = F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("w") - n + 1))
     grams = items.select("item", F.explode(F.transform(starts, lambda i: F.slice("w", i, n))).alias("gram"))
     grouped = grams.groupBy("gram").agg(F.collect_set("item").alias("items"))
-    return grouped.select(F.size("gram").alias("size"), F.xxhash64("gram").alias("hash"), "gram", "items")
+    return grouped.select(F.size("gram").alias("size"), window_hash(F.col("gram")).alias("hash"), "gram", "items")
 
 
 def _hits(rows: DataFrame, table: DataFrame) -> DataFrame:
@@ -47,26 +51,35 @@ def _hits(rows: DataFrame, table: DataFrame) -> DataFrame:
 
     Every row also comes once with pos equal to its number of words and no hit.
     """
-    known = table.agg(F.array_sort(F.collect_set("size")).alias("sizes"), F.count("*").alias("n"), F.coalesce(F.sum(F.size("items")), F.lit(0)).alias("named")).first()
+    known = table.agg(F.array_sort(F.collect_set("size")).alias("sizes"), F.coalesce(F.sum(F.octet_length(F.to_json(F.struct("*")))), F.lit(0)).alias("bytes")).first()
     sizes = known["sizes"]  # at most WINDOW values
-    at = rows.select("*", F.explode(F.sequence(F.lit(0), F.size("w"))).alias("pos"))
+    none = {"size": F.lit(None).cast("int"), "items": F.lit(None).cast("array<string>")}
     if not sizes:
-        return at.where("pos = size(w)").select("*", F.lit(None).cast("int").alias("size"), F.lit(None).cast("array<string>").alias("items"))
+        return rows.withColumns({"pos": F.size("w"), **none})
     gram_size = F.explode(F.array(*map(F.lit, sizes))) if len(sizes) > 1 else F.lit(sizes[0])
-    at = at.withColumn("gram_size", gram_size)
     here = F.slice("w", F.col("pos") + 1, F.col("gram_size"))
     fits = F.col("pos") + F.col("gram_size") <= F.size("w")
-    header = (F.col("pos") == F.size("w")) & (F.col("gram_size") == sizes[0])
-    at = at.withColumn("here_hash", F.when(fits, F.xxhash64(here)))
-    if max(known["n"], known["named"]) <= MAX_BROADCAST_WINDOWS:
-        joined = at.join(F.broadcast(table), F.col("here_hash") == F.col("hash"), "left")
+
+    def positions(of: DataFrame) -> DataFrame:
+        at = of.select("*", F.explode(F.sequence(F.lit(0), F.size("w"))).alias("pos")).withColumn("gram_size", gram_size)
+        return at.withColumn("here_hash", F.when(fits, window_hash(here)))
+
+    if known["bytes"] <= MAX_BROADCAST_BYTES:
+        header = (F.col("pos") == F.size("w")) & (F.col("gram_size") == sizes[0])
+        joined = positions(rows).join(F.broadcast(table), F.col("here_hash") == F.col("hash"), "left")
         verified = F.col("items").isNotNull() & (F.col("gram_size") == F.col("size")) & (here == F.col("gram"))
-        return joined.where(verified | header).drop("here_hash", "hash", "gram", "gram_size")
-    other = lambda gram: F.xxhash64(F.lit("other"), gram)
-    narrow = at.withColumns({"here_other": F.when(fits, other(here)), "header": header}).drop("w")
-    named = table.select("size", "hash", other(F.col("gram")).alias("other"), "items")
-    joined = narrow.join(named, (F.col("here_hash") == F.col("hash")) & (F.col("here_other") == F.col("other")) & (F.col("gram_size") == F.col("size")), "left")
-    return joined.where(F.col("items").isNotNull() | F.col("header")).drop("here_hash", "here_other", "header", "hash", "other", "gram_size")
+        return _merged(joined.withColumn("items", F.when(verified, F.col("items"))).where(verified | header), rows)
+    numbered = rows.withColumn("__n", F.monotonically_increasing_id())
+    narrow = positions(numbered).where("here_hash is not null").select("__n", "pos", "gram_size", "here_hash")
+    hits = narrow.join(table, (F.col("here_hash") == F.col("hash")) & (F.col("gram_size") == F.col("size"))).select("__n", "pos", "gram_size", "size", "gram", "items")
+    verified = hits.join(numbered, "__n").where(here == F.col("gram"))
+    headers = rows.withColumns({"pos": F.size("w"), **none})
+    return verified.select(headers.columns).unionByName(headers)
+
+
+def _merged(joined: DataFrame, rows: DataFrame) -> DataFrame:
+    """A header that met another window of its hash is no hit: it keeps no size."""
+    return joined.select(*rows.columns, "pos", F.when(F.col("items").isNotNull(), F.col("size")).alias("size"), "items")
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -77,7 +77,7 @@ ITEMS = {"a": "the cat sat on the mat and the dog ran after it", "b": "The dog",
 
 @pytest.mark.parametrize(("items", "most"), [(ITEMS, 300_000), (ITEMS, 0), ({"a": ITEMS["a"]}, 300_000), ({"a": ITEMS["a"]}, 0), ({"c": None}, 0), ({}, 0)])
 def test_decontamination_edge_rows(spark, monkeypatch, items, most):
-    monkeypatch.setattr(decontaminate, "MAX_BROADCAST_WINDOWS", most)
+    monkeypatch.setattr(decontaminate, "MAX_BROADCAST_BYTES", most)
     docs = brute.edge_rows(spark).withColumn("pos", F.lit(3)).withColumn("items", F.lit("taken"))
     bench = spark.createDataFrame(list(items.items()), "item_id string, text string")
     rows = decontaminate.report(docs, bench).collect()
@@ -101,6 +101,24 @@ def test_spans_are_merged_and_removed(spark):
     assert texts == {1: "One ,  . five", 2: "nothing"}
 
 
+@pytest.mark.parametrize("most", [1 << 20, -1])
+def test_hits_of_equal_hashes_are_verified(spark, monkeypatch, most):
+    """Every window has the same hash: only equal words are hits, broadcast or shuffled, in reports and in both filters."""
+    monkeypatch.setattr(decontaminate, "MAX_BROADCAST_BYTES", most)
+    monkeypatch.setattr(decontaminate, "window_hash", lambda gram: F.when(gram.isNotNull(), F.lit(7).cast("long")))
+    items = {"a": " ".join(f"w{i}" for i in range(14)), "b": "short one", "c": " ".join(f"v{i}" for i in range(10))}
+    texts = ["x " + items["a"] + " y", "a short one here", items["c"][:-1], items["c"] + " " + items["b"], None, "", " ".join(f"w{i}" for i in range(9))]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    bench = spark.createDataFrame(list(items.items()), "item_id string, text string")
+    for r in decontaminate.contamination(docs, bench).collect():
+        n, hit, found = brute.windows_hit(texts[r["doc_id"]], items)
+        assert (r["n_words"], r["n_hit"], set(r["item_ids"])) == (n, len(hit), found)
+    kept = {r["doc_id"] for r in decontaminate.decontaminate(docs, bench).collect()}
+    assert kept == {2, 4, 5, 6}
+    spans = {r["doc_id"]: r["text"] for r in decontaminate.decontaminate(docs, bench, "spans").collect()}
+    assert spans[1].split() == ["a", "here"] and spans[0].split() == ["x", "y"] and spans[2] == texts[2]
+
+
 def plain_anchors(text):
     """(hash, position) of a text's anchors."""
     import xxhash
