@@ -20,7 +20,10 @@ every word has a segmentation.  Words of any length are counted, those over
 
 Cases: null text, or text without a letter: ``und`` with score 0; several
 equally likely languages: the first in alphabetical order; no labelled row at
-all: ``und`` for all rows.  Rows are kept as they are, repeated ones too.
+all: ``und`` for all rows.  Rows are kept as they are, repeated ones too.  A
+table of very many label values has a model for each: they are fitted and read
+in blocks of about ``LANGUAGES``, and a text's best language and posterior are
+taken over all blocks.
 """
 
 from __future__ import annotations
@@ -34,6 +37,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillscope.llm.components import checkpoint_folder
 from quillscope.llm.pieces import held, text_slices
 from quillscope.llm.sampling import held_out_bucket, per_class_sample
 
@@ -44,6 +48,11 @@ EM_ROUNDS = 3
 SMOOTHING = 0.05
 MAX_CACHED_WORDS = 400_000
 MAX_CACHED_NUMBERS = 8_000_000
+MAX_CACHED_BYTES = 32 << 20
+#: Languages of a block: a worker holds one block's probabilities at a time.
+LANGUAGES = 256
+#: White space of str.split, so that words are the same in fitting and in scoring.
+SPACE = r"[\t-\r\x1C-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+"
 SLICE = 5_000
 LONGEST_TOGETHER = 64
 LATTICE = 320_000  # words x positions of a batch in fitting
@@ -250,6 +259,7 @@ class LanguageModel:
     def __init__(self, vocabulary: str, languages: list[str], p: np.ndarray):
         self.vocabulary, self.languages, self.p = vocabulary, languages, p
         self.known: dict[str, int] = {}
+        self.held = 0
         self.rows = np.zeros((0, len(languages)))
         self.most = min(MAX_CACHED_WORDS, MAX_CACHED_NUMBERS // max(1, len(languages)))
 
@@ -259,10 +269,14 @@ class LanguageModel:
     def __setstate__(self, state):
         self.__init__(state["vocabulary"], state["languages"], state["p"].astype(float))
 
+    def full(self) -> bool:
+        return len(self.known) > self.most or self.held > MAX_CACHED_BYTES
+
     def _learn_rows(self, words: set[str]) -> None:
-        if len(self.known) > self.most:
-            self.known, self.rows = {}, self.rows[:0]
+        if self.full():
+            self.known, self.rows, self.held = {}, self.rows[:0], 0
         fresh = sorted(words)
+        self.held += sum(map(len, fresh))
         got = log_likelihoods([MARK + w.encode(errors="replace") for w in fresh], self.p, trie(self.vocabulary))
         self.known.update(zip(fresh, range(len(self.rows), len(self.rows) + len(fresh)), strict=True))
         self.rows = np.concatenate([self.rows, got])
@@ -276,7 +290,7 @@ class LanguageModel:
             rows = list(map(self.known.get, words))
             if None in rows:
                 fresh = {w for w, r in zip(words, rows, strict=True) if r is None}
-                if len(self.known) > self.most:
+                if self.full():
                     fresh = set(words)
                 self._learn_rows(fresh)
                 rows = list(map(self.known.__getitem__, words))
@@ -287,15 +301,26 @@ class LanguageModel:
                 out[a + some] = np.add.reduceat(self.rows[np.asarray(rows)], starts, axis=0)
         return out
 
-    def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
-        lettered = np.array([bool(t and LETTER.search(t)) for t in texts], bool)
-        score = np.zeros(len(texts))
-        best = np.full(len(texts), -1)
-        if self.languages and lettered.any():
-            logs = self.log_text([t if ok else None for t, ok in zip(texts, lettered, strict=True)])
-            best = np.where(lettered, logs.argmax(axis=1), -1)
-            score = np.where(lettered, 1 / np.exp(logs - logs.max(axis=1, keepdims=True)).sum(axis=1), 0.0)
-        return [self.languages[k] if k >= 0 else UNDETERMINED for k in best], score
+
+
+def predict(blocks, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
+    """Best language of each text and its posterior, over blocks of languages that are read one after the other."""
+    lettered = np.array([bool(t and LETTER.search(t)) for t in texts], bool)
+    names: list[str] = [UNDETERMINED] * len(texts)
+    best, total = np.full(len(texts), -np.inf), np.zeros(len(texts))
+    given = [t if ok else None for t, ok in zip(texts, lettered, strict=True)]
+    for model in blocks if lettered.any() else ():
+        if not model.languages:
+            continue
+        logs = model.log_text(given)
+        own = logs.max(axis=1)
+        for i, k in enumerate(logs.argmax(axis=1)):
+            if lettered[i] and (own[i] > best[i] or (own[i] == best[i] and model.languages[k] < names[i])):
+                names[i] = model.languages[k]
+        top = np.maximum(best, own)
+        total = total * np.exp(best - top) + np.exp(logs - top[:, None]).sum(axis=1)
+        best = top
+    return names, np.where(lettered & (total > 0), 1 / np.maximum(total, 1), 0.0)
 
 
 def _groups(sizes: list[int], most: int):
@@ -308,8 +333,8 @@ def _groups(sizes: list[int], most: int):
             a, held = b, 0
 
 
-def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", salt: str = "doc_id", docs_per_language: int = DOCS_PER_LANGUAGE, vocabulary: str | None = None) -> LanguageModel:
-    """A model from about ``docs_per_language`` rows of each non-null language.
+def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", salt: str = "doc_id", docs_per_language: int = DOCS_PER_LANGUAGE, vocabulary: str | None = None) -> list[LanguageModel]:
+    """Models of blocks of languages, from about ``docs_per_language`` rows of each non-null language.
 
     The sample's word counts are aggregated in Spark; expected counts are
     computed by one task per language and come back as one array each.
@@ -317,7 +342,7 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", salt: str =
     path = vocabulary or default_vocabulary()
     rows = labelled.select(F.col(lang).alias("language"), F.col(text).alias("body"), F.col(salt).alias("salt")).where("language is not null and body is not null")
     sample = per_class_sample(rows, "language", docs_per_language, F.col("salt"))
-    words = sample.select("language", F.explode(F.split("body", r"\s+")).alias("word")).where("word != ''").groupBy("language", "word").count()
+    words = sample.select("language", F.explode(F.split("body", SPACE)).alias("word")).where("word != ''").groupBy("language", "word").count()
 
     def em(key, frame):
         of = trie(path)
@@ -329,23 +354,38 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", salt: str =
             p = counts / counts.sum()
         import pandas as pd
 
-        return pd.DataFrame({"language": [key[0]], "p": [p.astype(np.float32).tolist()]})
+        return pd.DataFrame({"language": [key[0]], "p": [p.astype(np.float32).tobytes()]})
 
-    fitted = sorted(words.groupBy("language").applyInPandas(em, "language string, p array<float>").collect())
-    p = np.array([r["p"] for r in fitted], float).T if fitted else np.zeros((trie(path).pieces, 0))
-    return LanguageModel(path, [r["language"] for r in fitted], p)
+    n = words.agg(F.count_distinct("language")).first()[0]
+    blocks = max(1, -(-n // LANGUAGES))
+    if blocks > 1:
+        checkpoint_folder(labelled.sparkSession)
+        words = words.checkpoint()
+    block = F.pmod(F.xxhash64("language"), F.lit(blocks))
+    models = []
+    for i in range(blocks):  # what comes back at a time is bounded by a block's languages and the vocabulary
+        rows = sorted(words.where(block == i).groupBy("language").applyInPandas(em, "language string, p binary").collect())
+        p = np.array([np.frombuffer(r["p"], np.float32) for r in rows], np.float32).T if rows else np.zeros((trie(path).pieces, 0), np.float32)
+        models.append(LanguageModel(path, [r["language"] for r in rows], p.astype(float) if blocks == 1 else p))
+    return models
 
 
-def identify(df: DataFrame, model: LanguageModel, text: str = "text") -> DataFrame:
+def identify(df: DataFrame, models: list[LanguageModel], text: str = "text") -> DataFrame:
     """Adds lang_pred and score to every row; columns of these names in ``df`` are replaced."""
     spark: SparkSession = df.sparkSession
-    shared = spark.sparkContext.broadcast(model)
+    shared = [spark.sparkContext.broadcast(m) for m in models]
+
+    def blocks():
+        for one in shared:
+            yield one.value
+            if len(shared) > 1:  # let the block go before the next is read; its file is read again when needed
+                del one._value
 
     @F.arrow_udf("lang_pred string, score double")
     def guess(column: pa.Array) -> pa.Array:
         names, scores = [], [np.zeros(0)]
         for texts in text_slices(column):
-            found, score = shared.value.predict([t.decode() for t in texts])
+            found, score = predict(blocks(), [t.decode() for t in texts])
             names += found
             scores.append(score)
         return pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(np.concatenate(scores), pa.float64())], ["lang_pred", "score"])
@@ -358,6 +398,6 @@ def training_rows(docs: DataFrame, doc_id: str = "doc_id") -> DataFrame:
     return docs.where(F.coalesce(held_out_bucket(F.col(doc_id), 4), F.lit(0)) != 2)
 
 
-def keep_identified(docs: DataFrame, model: LanguageModel, text: str = "text", min_score: float = 0.3) -> DataFrame:
+def keep_identified(docs: DataFrame, models: list[LanguageModel], text: str = "text", min_score: float = 0.3) -> DataFrame:
     """The filter stage: rejects rows without a language, or whose best language has a posterior under ``min_score``."""
-    return identify(docs.withColumn("__text", F.col(text)), model, "__text").where((F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= min_score)).select(*docs.columns)
+    return identify(docs.withColumn("__text", F.col(text)), models, "__text").where((F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= min_score)).select(*docs.columns)

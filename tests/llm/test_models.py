@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quillscope.llm import language_id, quality_knn, queries
+from quillscope.llm import language_id, quality_knn, sampling, queries
 
 
 def test_forward_sums_all_segmentations():
@@ -63,7 +63,7 @@ def test_language_edge_rows(spark, model):
     rows = language_id.identify(brute.edge_rows(spark), model).collect()
     assert len(rows) == 10 and all(0 <= r["score"] <= 1 for r in rows)
     assert all(r["lang_pred"] == "und" and r["score"] == 0 for r in rows if r["text"] in (None, "", "..."))
-    assert all(r["lang_pred"] in model.languages for r in rows if r["text"] not in (None, "", "..."))
+    assert all(r["lang_pred"] in model[0].languages for r in rows if r["text"] not in (None, "", "..."))
     kept = language_id.keep_identified(brute.edge_rows(spark), model)
     assert kept.columns == brute.edge_rows(spark).columns and kept.count() <= 6
     assert language_id.identify(brute.edge_rows(spark).limit(0), model).count() == 0
@@ -82,7 +82,7 @@ def test_languages_of_long_words_are_learned(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     assert all(len(r[1].encode()) > language_id.LONGEST_TOGETHER and " " not in r[1] for r in rows)
     model = language_id.fit(docs.where("doc_id < 45"))
-    names, scores = model.predict([r[1] for r in rows if r[0] >= 45])
+    names, scores = language_id.predict(model, [r[1] for r in rows if r[0] >= 45])
     assert names == [r[2] for r in rows if r[0] >= 45] and scores.min() > 0.99
 
 
@@ -101,7 +101,7 @@ def test_expected_counts_of_long_words(monkeypatch):
 
 def test_language_repeated_fit_is_equal(spark, model):
     again = language_id.fit(language_id.training_rows(spark.read.parquet(f"{brute.SF_CHECK}/documents.parquet")), docs_per_language=60)
-    assert again.languages == model.languages and np.allclose(again.p, model.p)
+    assert again[0].languages == model[0].languages and np.allclose(again[0].p, model[0].p)
 
 
 def test_quality_held_out(spark):
@@ -134,3 +134,28 @@ def test_quality_votes_like_plain_cosines():
         like = np.maximum(model.known @ v, 1e-6)
         best = np.argsort(-like)[: quality_knn.NEIGHBOURS]
         assert abs(got[k] - (like[best] * labels[best]).sum() / like[best].sum()) < 0.05
+
+
+def test_many_languages_in_blocks(spark, monkeypatch):
+    """More label values than a block and than the terms of an expression: the same answers as in one block."""
+    docs = spark.read.parquet(f"{brute.SF_SMALL}/documents.parquet").select("doc_id", "text", F.concat("lang", F.lit("-"), (F.col("doc_id") % 5).cast("string")).alias("lang"))
+    one = language_id.fit(docs, docs_per_language=20)
+    assert len(one) == 1 and len(one[0].languages) == 20
+    want = language_id.identify(docs, one).select("doc_id", "lang_pred", "score").collect()
+    monkeypatch.setattr(language_id, "LANGUAGES", 6)
+    monkeypatch.setattr(sampling, "TERMS", 3)
+    some = language_id.fit(docs, docs_per_language=20)
+    assert len(some) == 4 and sorted(x for m in some for x in m.languages) == one[0].languages
+    got = language_id.identify(docs, some).select("doc_id", "lang_pred", "score").collect()
+    assert [r[:2] for r in map(tuple, got)] == [r[:2] for r in map(tuple, want)]
+    assert np.allclose([r["score"] for r in got], [r["score"] for r in want])
+
+
+def test_words_kept_are_bounded_by_their_bytes(monkeypatch, model):
+    monkeypatch.setattr(language_id, "MAX_CACHED_BYTES", 1000)
+    fresh = language_id.LanguageModel(model[0].vocabulary, model[0].languages, model[0].p)
+    texts = [f"{'x' * 600}{i} and some words" for i in range(6)]
+    whole = fresh.log_text(texts)
+    fresh = language_id.LanguageModel(model[0].vocabulary, model[0].languages, model[0].p)
+    single = np.concatenate([fresh.log_text([t]) for t in texts])
+    assert np.allclose(whole, single) and fresh.held < 2000
