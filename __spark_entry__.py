@@ -69,6 +69,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "page_scripts": Q.q_page_scripts,
         "detect_language": Q.q_detect_language,
         "py_text_features": Q.q_py_text_features,
+        "py_structure": Q.q_py_structure,
+        "py_token_stats": Q.q_py_token_stats,
         "py_file_results": Q.q_py_file_results,
         "basic": Q.q_basic,
         "detailed": Q.q_detailed,

@@ -14,9 +14,10 @@ from pyspark.sql import types as T
 from ..functions import constants as K
 from ..functions.chunking import with_chunks
 from ..operators.features import JS_BOOL, JS_DOUBLE
+from ..operators.structure import structure_features, token_features
 from ..sources.corpus import code_files
 from ..sources.files import snippets_from
-from .detect import chunk_results, detect, metrics
+from .detect import chunk_results, detect, explode_chunks, metrics, route
 from .outputs import to_basic, to_detailed, to_report
 
 JS_CHUNK_COLUMNS = [
@@ -215,7 +216,6 @@ def q_page_scripts(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- B: language routing ------------------------------------------------------
 
 def q_detect_language(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from ..plans.detect import route
     routed = route(code_files(spark, sf_dir))
     return routed.select("file_id", "language", F.col("language_error").alias("error"))
 
@@ -227,6 +227,21 @@ def q_py_text_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(metrics(code_files(spark, sf_dir), PY_TEXT_COLUMNS, "python", spread=True).drop("chunk_count"))
 
 
+def _python_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    routed = route(code_files(spark, sf_dir)).where("language = 'python' and language_error is null")
+    return explode_chunks(routed).select("file_id", F.col("chunk_id").cast("int").alias("chunk_id"), "chunk")
+
+
+def q_py_structure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """G0-G16 of every Python chunk as aggregates of the node table."""
+    return _rounded(structure_features(_python_chunks(spark, sf_dir), ["file_id", "chunk_id"]))
+
+
+def q_py_token_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """D2-D4 of every Python chunk as aggregates of the token table."""
+    return _rounded(token_features(_python_chunks(spark, sf_dir), ["file_id", "chunk_id"]))
+
+
 # --- rows-only (syntax-tree features, outputs, evaluation, streaming) ---------
 
 def q_py_file_results(spark: SparkSession, sf_dir: str) -> DataFrame:
