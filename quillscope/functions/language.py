@@ -46,3 +46,8 @@ def language_error(language: Column) -> Column:
         F.when(language.isNull(), F.lit(K.ERR_UNDETECTED))
         .when(~language.isin(*SUPPORTED), F.format_string(K.ERR_UNSUPPORTED.replace("{}", "%s"), language))
     )
+
+
+def detect_language(code: Column, path: Column | None = None) -> Column:
+    """U4: the language of ``code``, by the extension of ``path`` where it has a known one, else by content; null where neither tells."""
+    return resolve_language(F.lit(None).cast("string"), F.lit(None).cast("string") if path is None else path, code)

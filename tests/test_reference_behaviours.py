@@ -81,3 +81,12 @@ def test_basic_detailed_report(results):
     assert report[2].value.endswith("%")
     basic_report = to_report(out, detailed=False).where(F.col("file_id") == 1).collect()
     assert [r.value for r in basic_report if r.property == "Confidence"] != []
+
+
+def test_detect_language_by_path_and_content(spark):
+    from quillscope import detect_language
+
+    rows = [("x.PY", "const a = 1;"), ("a/b.tsx", "def f(): pass"), (None, AI_PYTHON), (None, AI_JAVASCRIPT), ("noext", AI_PYTHON), (None, "..."), (None, None)]
+    df = spark.createDataFrame(rows, "path string, code string")
+    assert [r[0] for r in df.select(detect_language(F.col("code"), F.col("path"))).collect()] == ["python", "javascript", "python", "javascript", "python", None, None]
+    assert [r[0] for r in df.select(detect_language(F.col("code"))).collect()][2:4] == ["python", "javascript"]
