@@ -26,6 +26,8 @@ BASIS_CHUNKS = "chunk-level aggregation"
 ERR_UNDETECTED = "Unable to detect language. Please specify the language explicitly."
 ERR_UNSUPPORTED = "Unsupported language: {}"
 ERR_NO_CODE = "No code provided"
+ERR_ENCODING = "File is not valid UTF-8"
+ERR_TOO_LARGE = "File is too large"
 ERR_MALFORMED = "Malformed record"
 ERR_TOO_DEEP = "RecursionError: maximum recursion depth exceeded"
 

@@ -8,6 +8,9 @@ from pyspark.sql import types as T
 
 from ..functions import constants as K
 
+#: A file is one row; larger ones are error rows.
+MAX_FILE_BYTES = 256 << 20
+
 SNIPPET_SCHEMA = T.StructType([
     T.StructField("file_id", T.LongType()),
     T.StructField("code", T.StringType()),
@@ -15,25 +18,28 @@ SNIPPET_SCHEMA = T.StructType([
 ])
 
 
-def read_code_files(spark: SparkSession, paths, recursive: bool = True, glob: str | None = None) -> DataFrame:
-    """A1: one row per file (UTF-8 text), ``path`` feeds language detection.
+def read_code_files(spark: SparkSession, paths, recursive: bool = True, glob: str | None = None, max_bytes: int = MAX_FILE_BYTES, modified_after: str | None = None) -> DataFrame:
+    """A1: one row per file (UTF-8 text without a byte-order mark), ``path`` feeds language detection.
 
-    ``file_id`` is the path itself: stable across runs and task retries, and
-    no two files share it."""
-    reader = spark.read
+    A file that is no valid UTF-8, or larger than ``max_bytes``, is a row
+    without code and with an error; the bytes of a file that is too large are
+    not read.  A file without a byte has no row: Spark's readers pass it over.
+    ``file_id`` is the path itself: stable across runs and task
+    retries, and no two files share it."""
+    reader = spark.read.format("binaryFile")
     if recursive:
         reader = reader.option("recursiveFileLookup", True)
     if glob:
         reader = reader.option("pathGlobFilter", glob)
-    # text()'s own wholetext argument defaults to False and wins over options
-    df = reader.text(paths, wholetext=True)
-    path = F.col("_metadata.file_path")
-    return df.select(
-        path.alias("file_id"),
-        path.alias("path"),
-        F.lit(None).cast("string").alias("language"),
-        F.col("value").alias("code"),
-    )
+    if modified_after:
+        reader = reader.option("modifiedAfter", modified_after)
+    found = reader.load(paths)
+    none = F.lit(None).cast("string")
+    text = F.col("content").cast("string")
+    read = found.where(F.col("length") <= max_bytes).select("path", text.alias("text"), F.is_valid_utf8(text).alias("valid"))
+    read = read.select("path", F.when(F.col("valid"), F.regexp_replace("text", "^\\x{FEFF}", "")).alias("code"), F.when(~F.col("valid"), F.lit(K.ERR_ENCODING)).alias("input_error"))
+    large = found.where(F.col("length") > max_bytes).select("path", none.alias("code"), F.lit(K.ERR_TOO_LARGE).alias("input_error"))
+    return read.unionByName(large).select(F.col("path").alias("file_id"), "path", none.alias("language"), "code", "input_error")
 
 
 def snippets_from(df: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ import os
 import tempfile
 
 from quillscope import detect
-from quillscope.sources.files import SNIPPET_SCHEMA, read_snippets
+from quillscope.sources.files import SNIPPET_SCHEMA, read_code_files, read_snippets
 from quillscope.streaming.stream import detect_stream
 from snippets import AI_JAVASCRIPT, AI_PYTHON, HUMAN_PYTHON, LOW_SIGNAL_PYTHON
 
@@ -36,8 +36,6 @@ def test_stream_equals_batch(spark):
 
 
 def test_read_code_files_detects_by_extension_and_content(spark):
-    from quillscope.sources.files import read_code_files
-
     base = tempfile.mkdtemp(prefix="qs-files-")
     os.makedirs(os.path.join(base, "sub"))
     files = {
@@ -84,3 +82,17 @@ def test_malformed_lines_keep_their_rows(spark):
     out = detect(read_snippets(spark, src)).collect()
     assert len(out) == 4
     assert sorted(str(r.error) for r in out) == ["Malformed record"] * 3 + ["None"]
+
+
+def test_read_code_files_on_dirty_storage(spark, tmp_path):
+    """Byte-order marks go, bad bytes and large files are error rows, filters of name and time hold."""
+    files = {"bom.py": b"\xef\xbb\xbf" + AI_PYTHON.encode(), "plain.py": AI_PYTHON.encode(), "bad.py": b"x = '\xff\xfe'\n" * 20, "utf16.py": AI_PYTHON.encode("utf-16"), "empty.py": b"", "large.py": b"a = 1\n" * 5000, "skip.txt": b"x"}
+    for name, data in files.items():
+        (tmp_path / name).write_bytes(data)
+    found = read_code_files(spark, str(tmp_path), glob="*.py", max_bytes=20_000)
+    rows = {os.path.basename(r.path): r for r in detect(found).collect()}
+    assert set(rows) == {n for n, data in files.items() if n.endswith(".py") and data}
+    assert rows["bom.py"].error is None and rows["bom.py"].ai_score == rows["plain.py"].ai_score and rows["bom.py"].parseable
+    assert rows["bad.py"].error == rows["utf16.py"].error == "File is not valid UTF-8" and rows["bad.py"].classification is None
+    assert rows["large.py"].error == "File is too large"
+    assert read_code_files(spark, str(tmp_path), modified_after="2200-01-01T00:00:00").count() == 0
