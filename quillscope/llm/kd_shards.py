@@ -36,6 +36,7 @@ COORDINATE_BITS = 20  # then 20 of the text's hash, then 20 of the row's
 TOLERANCE = 0.002  # of a shard's bytes
 SLOT_BUCKET_ROWS = 50_000
 MAX_SLOT_BUCKETS = 4096  # a shard's; their row counts are broadcast
+HOT_PARTS = 1000  # a text with more than this part of the rows is a hot one
 
 
 @dataclass
@@ -67,10 +68,7 @@ def _rows(docs: DataFrame, doc_id: str, text: str, lang: str, source: str) -> Da
         F.col(doc_id).alias("doc_id"), (F.octet_length(body) + ROW_BYTES).cast("long").alias("size"), F.crc32(body.cast("binary")).alias("text_crc32"),
         F.xxhash64(body).alias("text_hash"), F.coalesce(F.col(lang).cast("string"), F.lit("")).alias("lang"), F.coalesce(F.col(source).cast("string"), F.lit("")).alias("source"),
     )
-    copies = narrow.groupBy("text_hash").agg(F.count("*").alias("n"), F.min("lang").alias("of_lang"), F.min("source").alias("of_source")).where("n > 1").drop("n")
-    merged = narrow.join(copies, "text_hash", "left").select(
-        "doc_id", "size", "text_crc32", "text_hash", F.coalesce("of_lang", "lang").alias("lang"), F.coalesce("of_source", "source").alias("source")
-    )
+    merged = _least_names(narrow)
     top = lambda h: F.shiftrightunsigned(h, 64 - COORDINATE_BITS)
     # Sizes on a logarithmic scale (a twentieth of a percent apart), names by their first bytes.
     name = lambda c: F.conv(F.rpad(F.substring(F.hex(c.cast("binary")), 1, 5), 5, "0"), 16, 10).cast("long")
@@ -81,6 +79,25 @@ def _rows(docs: DataFrame, doc_id: str, text: str, lang: str, source: str) -> Da
     return merged.select("doc_id", "size", "text_crc32", key(log_size).alias("by_size"), key(name(F.col("lang"))).alias("by_lang"), key(source_code).alias("by_source"))
 
 
+def _least_names(narrow: DataFrame) -> DataFrame:
+    """Rows with the least language and source of their text's copies.
+
+    Of n rows, fewer than HOT_PARTS texts have more than n / HOT_PARTS copies.
+    Their names are broadcast, and their rows go through the shuffled join of
+    the others under keys of their own that meet nothing, so no text gathers
+    its copies in one task.
+    """
+    copies = narrow.groupBy("text_hash").agg(F.count("*").alias("n"), F.min("lang").alias("of_lang"), F.min("source").alias("of_source")).where("n > 1").checkpoint()
+    is_hot = F.col("n") * HOT_PARTS > narrow.count()
+    hot = copies.where(is_hot).select("text_hash", F.col("of_lang").alias("hot_lang"), F.col("of_source").alias("hot_source"))
+    cold = copies.where(~is_hot).select(F.col("text_hash").alias("key"), F.lit(False).alias("apart"), "of_lang", "of_source")
+    rows = narrow.join(F.broadcast(hot), "text_hash", "left").withColumn("apart", F.col("hot_lang").isNotNull())
+    rows = rows.withColumn("key", F.when(F.col("apart"), F.xxhash64(F.monotonically_increasing_id())).otherwise(F.col("text_hash")))
+    return rows.join(cold, ["key", "apart"], "left").select(
+        "doc_id", "size", "text_crc32", "text_hash", F.coalesce("hot_lang", "of_lang", "lang").alias("lang"), F.coalesce("hot_source", "of_source", "source").alias("source")
+    )
+
+
 def _along(rows: DataFrame, nodes: dict[int, Node], **values: str) -> DataFrame:
     """Rows with the position along their node's dimension and, by name, fields of the node; others have nulls.
 
@@ -144,7 +161,7 @@ def assign(docs: DataFrame, shards: int = SHARDS, doc_id: str = "doc_id", text:
         _search(rows, nodes, tolerance)
         # A node's number is its first shard.
         step = F.when(F.col("position") >= F.col("low"), F.col("half")).otherwise(0)
-        rows = _along(rows, nodes, low="low", half="half").withColumn("node", (F.col("node") + F.coalesce(step, F.lit(0))).cast("int")).drop("position", "low", "half")
+        rows = _along(rows, nodes, low="low", half="half").withColumn("node", (F.col("node") + F.coalesce(step, F.lit(0))).cast("int")).drop("position", "low", "half").checkpoint()
         level = {c.first: c for n in level.values() for c in ([Node(n.first, n.shards // 2), Node(n.first + n.shards // 2, n.shards - n.shards // 2)] if n.shards > 1 else [n])}
     return _with_slots(rows.withColumnRenamed("node", "shard"), min(MAX_SLOT_BUCKETS, -(-(whole["n"] or 0) // (shards * SLOT_BUCKET_ROWS))))
 

@@ -295,6 +295,21 @@ def test_a_hot_group_is_split(spark):
     assert max(sizes.values()) < 1.05 * sum(sizes.values()) / 6
 
 
+def test_copies_take_the_least_names(spark):
+    # One text has over a thousandth of the rows, others have two copies, most have one.
+    rows = [(None if i % 50 == 0 else i, "hot" if i % 3 == 0 else f"text {i // 2 if i < 900 else i}", ["en", "de", None][i % 7 % 3], f"s{(i * 37) % 11}") for i in range(3000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    narrow = docs.select("doc_id", F.lit(1).alias("size"), F.lit(1).alias("text_crc32"), F.xxhash64("text").alias("text_hash"), F.coalesce("lang", F.lit("")).alias("lang"), "source")
+    least = {}
+    plain = [tuple(r) for r in narrow.select("doc_id", "text_hash", "lang", "source").collect()]
+    for _, h, lang, source in plain:
+        least[h] = (min(least[h][0], lang), min(least[h][1], source)) if h in least else (lang, source)
+    components.checkpoint_folder(spark)
+    found = kd_shards._least_names(narrow)
+    none_first = lambda r: (r[0] is not None, *((x or 0) if i == 0 else x for i, x in enumerate(r)))
+    assert sorted((tuple(r) for r in found.select("doc_id", "text_hash", "lang", "source").collect()), key=none_first) == sorted(((d, h, *least[h]) for d, h, _, _ in plain), key=none_first)
+
+
 def test_shard_edge_rows(spark):
     docs = brute.edge_rows(spark).withColumn("node", F.lit("taken")).withColumn("shard", F.lit(1))
     check_shards(kd_shards.assign(docs).collect(), docs.collect())
