@@ -63,9 +63,13 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "js_file_features": Q.q_js_file_features,
         "js_report": Q.q_js_report,
         "js_basic": Q.q_js_basic,
+        "js_detailed": Q.q_js_detailed,
+        "js_class_metrics": Q.q_js_class_metrics,
+        "js_reliability": Q.q_js_reliability,
         "js_tuned": Q.q_js_tuned,
         "js_weight_sets": Q.q_js_weight_sets,
         "input_errors": Q.q_input_errors,
+        "stored_files": Q.q_stored_files,
         "page_scripts": Q.q_page_scripts,
         "detect_language": Q.q_detect_language,
         "py_text_features": Q.q_py_text_features,
@@ -194,6 +198,13 @@ def oracle_sql() -> dict[str, str]:
       CASE WHEN classification = 'AI-Generated Code' THEN 1 ELSE 0 END AS result, CAST(total_lines AS BIGINT) AS total_lines FROM files
     UNION ALL SELECT doc_id, CASE doc_id % 3 WHEN 1 THEN 'ruby' ELSE 'javascript' END,
       CASE doc_id % 3 WHEN 0 THEN 'No code provided' WHEN 1 THEN 'Unsupported language: ruby' ELSE 'Malformed record' END, -1, -1 FROM documents"""
+    stored = D.stored_files_sql(Q.DOCS_PER_FILE)
+    no_result = ", ".join(f"NULL AS {c}" for c in f"classification, {score_cols}, decision_basis, token_entropy".split(", ")) + "".join(
+        f", -1 AS {c}" for c in ("chunk_count", "file_total_lines", "total_lines", "token_count"))
+    stored_select = f"""SELECT file_id AS number, classification, {', '.join(f'round({c}, 6) AS {c}' for c in score_cols.split(', '))}, decision_basis, CAST(n AS INT) AS chunk_count,
+      CAST(len(parts) AS INT) AS file_total_lines, CAST(total_lines AS BIGINT) AS total_lines, CAST(token_count AS BIGINT) AS token_count, round(token_entropy, 6) AS token_entropy,
+      CAST(NULL AS VARCHAR) AS error FROM files JOIN lk USING (file_id)
+    UNION ALL BY NAME SELECT file_id AS number, {no_result}, {D.q(K.ERR_ENCODING)} AS error FROM ({stored}) WHERE bad"""
     supported = "('python', 'javascript')"
     return {
         "chunk_code": (
@@ -220,6 +231,10 @@ def oracle_sql() -> dict[str, str]:
                                 JS_CORPUS_SRC, D.js_score_ctes() + D.js_file_ctes()),
         "js_report": _js(D.js_report_sql(), JS_CORPUS_SRC, D.js_score_ctes() + D.js_file_ctes()),
         "js_basic": _js(basic_select, JS_CORPUS_SRC, D.js_score_ctes() + D.js_file_ctes()),
+        "js_detailed": _js(D.js_detailed_sql(), JS_CORPUS_SRC, D.js_score_ctes() + D.js_file_ctes()),
+        "js_class_metrics": _js(D.CLASS_METRICS_SQL, JS_CORPUS_SRC, D.js_score_ctes() + D.js_file_ctes() + D.labelled_ctes()),
+        "js_reliability": _js(D.reliability_sql(), JS_CORPUS_SRC, D.js_score_ctes() + D.js_file_ctes() + D.labelled_ctes()),
+        "stored_files": _js(stored_select, f"SELECT file_id, code FROM ({stored}) WHERE NOT bad", D.js_score_ctes() + D.js_file_ctes()),
         "benchmark_snippets_js": _js(basic_select, BENCHMARK_SRC, D.js_score_ctes() + D.js_file_ctes()),
         "conversation_stream": _js(file_select, TURNS_SRC, D.js_score_ctes() + D.js_file_ctes()),
         "js_tuned": _js("SELECT file_id, chunk_id, total_lines, token_count, classification, decision_basis FROM js_scored",

@@ -12,7 +12,7 @@ from __future__ import annotations
 
 from ..functions import constants as K
 from ..functions.regex import _is_quantifier
-from ..operators.features import JS_BOOL, JS_DOUBLE
+from ..operators.features import ALL_FEATURES, JS_BOOL, JS_DOUBLE, LONG_FEATURES
 from ..sources.corpus import render
 
 WS = r"\t\n\x0B\x0C\r\x1C-\x1F \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
@@ -401,7 +401,7 @@ fagg AS (
     max(max_ast_depth) AS max_ast_depth,
     {", ".join(f"bool_or({c}) AS {c}" for c in JS_BOOL)},
     {", ".join(f"max({c}) AS {c}_1, sum({c} * wt ORDER BY chunk_id) AS {c}_w" for c in JS_MEANS)},
-    arg_min(classification, chunk_id) AS class1, arg_min(decision_basis, chunk_id) AS basis1,
+    arg_min(module_pattern, chunk_id) AS module1, arg_min(classification, chunk_id) AS class1, arg_min(decision_basis, chunk_id) AS basis1,
     arg_min(top_ai, chunk_id) AS top_ai1, arg_min(top_human, chunk_id) AS top_human1,
     string_agg(classification, '|' ORDER BY chunk_id) AS chunk_classes
   FROM w GROUP BY file_id),
@@ -452,3 +452,56 @@ def js_report_sql() -> str:
         ("Try/Except Blocks", "CAST(try_except_count AS VARCHAR)"), ("Max AST Depth", "CAST(max_ast_depth AS VARCHAR)"),
     ]
     return " UNION ALL ".join(f"SELECT file_id, {i} AS position, {q(name)} AS property, {value} AS value FROM files" for i, (name, value) in enumerate(rows))
+
+
+def js_detailed_sql() -> str:
+    """A5: every column of the detailed output; what only Python files have is the text ``null``."""
+
+    def feature(name: str) -> str:
+        if name in LONG_FEATURES:
+            return f"CAST({name} AS BIGINT) AS {name}"
+        if name == "module_pattern":
+            return "CASE WHEN n = 1 THEN module1 ELSE 'null' END AS module_pattern"
+        if name in JS_BOOL:
+            return name
+        if name in JS_DOUBLE:
+            return f"round({name}, 6) AS {name}"
+        return f"'null' AS {name}"
+
+    scores = ", ".join(f"round({c}, 6) AS {c}" for c in JS_MEANS[:6])
+    return f"""SELECT file_id, CASE WHEN classification = {q(K.AI_LABEL)} THEN 1 ELSE 0 END AS result, classification, 'javascript' AS language, {scores},
+      decision_basis, top_ai_signals, top_human_signals, CAST(n AS INT) AS chunk_count, CAST(clear_chunk_count AS INT) AS clear_chunk_count,
+      replace(chunk_classes, '|', ', ') AS chunk_classifications, {", ".join(feature(c) for c in ALL_FEATURES)}, CAST(NULL AS VARCHAR) AS error FROM files"""
+
+
+def labelled_ctes() -> str:
+    """Files with an expected class and their results."""
+    return f""",
+labelled AS (SELECT f.classification AS predicted, CASE WHEN quality = 1 THEN {q(K.HUMAN_LABEL)} ELSE {q(K.AI_LABEL)} END AS expected,
+    substr(md5(CAST(doc_id AS VARCHAR)), 1, 1) IN ('0', '1', '2', '3') AS held_out, ai_probability
+  FROM labels l JOIN files f ON f.file_id = l.doc_id * 4 + 1 WHERE quality IS NOT NULL)"""
+
+
+CLASS_METRICS_SQL = """SELECT held_out, class, CAST(count(*) FILTER (class = expected) AS BIGINT) AS as_expected, CAST(count(*) FILTER (class = predicted) AS BIGINT) AS as_predicted,
+  CAST(count(*) FILTER (class = expected AND class = predicted) AS BIGINT) AS hits,
+  round(count(*) FILTER (class = expected AND class = predicted) / nullif(count(*) FILTER (class = predicted), 0), 6) AS precision,
+  round(count(*) FILTER (class = expected AND class = predicted) / nullif(count(*) FILTER (class = expected), 0), 6) AS recall,
+  round(2 * count(*) FILTER (class = expected AND class = predicted) / (count(*) FILTER (class = expected) + count(*) FILTER (class = predicted)), 6) AS f1
+FROM labelled JOIN (SELECT held_out, expected AS class FROM labelled UNION SELECT held_out, predicted FROM labelled) USING (held_out)
+WHERE class IN (expected, predicted) GROUP BY ALL"""
+
+
+def reliability_sql(bins: int = 10) -> str:
+    return f"""SELECT held_out, CAST(bin AS INT) AS bin, CAST(sum(n) AS BIGINT) AS files, round(min(p) / 10000, 6) AS low, round(max(p) / 10000, 6) AS high,
+  round(sum(n * p) / sum(n) / 10000, 6) AS mean_probability, round(sum(hits) / sum(n), 6) AS share
+FROM (SELECT *, (sum(n) OVER (PARTITION BY held_out ORDER BY p) - n) * {bins} // sum(n) OVER (PARTITION BY held_out) AS bin
+  FROM (SELECT held_out, CAST(round(ai_probability * 10000) AS BIGINT) AS p, count(*) AS n, count(*) FILTER (expected = {q(K.AI_LABEL)}) AS hits FROM labelled GROUP BY ALL))
+GROUP BY held_out, bin"""
+
+
+def stored_files_sql(per_file: int) -> str:
+    """The stored files as (file_id, code, bad), written out again from the documents."""
+    return f"""SELECT file_id, bad, CASE WHEN starts_with(code, chr(65279)) THEN substr(code, 2) ELSE code END AS code
+      FROM (SELECT CAST(floor(doc_id / {per_file}) AS BIGINT) AS file_id, bool_or(doc_id % {per_file} = 0 AND floor(doc_id / {per_file}) % 3 <> 1 AND floor(doc_id / {per_file}) % 5 = 2) AS bad,
+          string_agg(CASE WHEN doc_id % {per_file} = 0 AND floor(doc_id / {per_file}) % 3 = 1 THEN chr(65279) ELSE '' END || coalesce(text, '') || chr(10), '' ORDER BY doc_id, coalesce(text, '')) AS code
+        FROM documents GROUP BY 1)"""

@@ -7,16 +7,20 @@ projections only, so that results compare across engines."""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import constants as K
 from ..functions.chunking import with_chunks
-from ..operators.features import JS_BOOL, JS_DOUBLE
+from ..operators.evaluate import class_metrics, evaluate, expected_from_templates, held_out, reliability
+from ..operators.features import ALL_FEATURES, JS_BOOL, JS_DOUBLE, LONG_FEATURES
 from ..operators.structure import structure_features, token_features
 from ..sources.corpus import code_files
-from ..sources.files import snippets_from
+from ..session import ensure_checkpoint_dir
+from ..sources.files import read_code_files, snippets_from
 from .detect import chunk_results, detect, explode_chunks, metrics, route
 from .outputs import to_basic, to_detailed, to_report
 
@@ -156,6 +160,29 @@ def q_js_basic(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(to_basic(js_file_results(spark, sf_dir)))
 
 
+def q_js_detailed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A5: the detailed output's features, as columns; what only Python files have is the text ``null``."""
+    found = _rounded(to_detailed(js_file_results(spark, sf_dir)).select("file_id", "result", "classification", "language", "features.*", "error"))
+    absent = [c for c in ALL_FEATURES if c not in LONG_FEATURES + JS_BOOL + JS_DOUBLE]
+    return found.withColumns({c: F.coalesce(F.col(c).cast("string"), F.lit("null")) for c in absent})
+
+
+def _labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Expected classes that no template gives: the label table's quality marks stand for the origin of a document's
+    JavaScript file (1: a person), a quarter of the documents is held out."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where(F.col("quality").isNotNull())
+    origin = F.when(F.col("quality") == 1, K.HUMAN_LABEL).otherwise(K.AI_LABEL)
+    return labels.select((F.col("doc_id") * 4 + 1).alias("file_id"), origin.alias("expected_classification"), held_out(F.col("doc_id")).alias("held_out"))
+
+
+def q_js_class_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(class_metrics(js_file_results(spark, sf_dir), _labelled(spark, sf_dir), ("held_out",)))
+
+
+def q_js_reliability(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(reliability(js_file_results(spark, sf_dir), _labelled(spark, sf_dir), by=("held_out",)))
+
+
 def q_js_tuned(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Smaller chunks, tails and abstention thresholds."""
     chunks = chunk_results(
@@ -199,6 +226,30 @@ def q_input_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("file_id", "language", "error", F.coalesce("result", F.lit(-1)).alias("result"), F.coalesce("total_lines", F.lit(-1)).alias("total_lines"))
 
 
+#: Documents of neighbouring ids that make a stored file.
+DOCS_PER_FILE = 32
+
+
+def store_documents(docs: DataFrame, folder: str) -> None:
+    """Documents as text files below ``folder``, 32 neighbouring ids each; some begin with a byte-order mark, some hold a byte that is no UTF-8."""
+    number = F.floor(F.col("doc_id") / DOCS_PER_FILE)
+    first = F.col("doc_id") % DOCS_PER_FILE == 0
+    mark = F.when(first & (number % 3 == 1), F.lit("\ufeff")).when(first & (number % 5 == 2), F.unhex(F.lit("FF")).cast("string")).otherwise(F.lit(""))
+    rows = docs.select(number.alias("number"), "doc_id", F.coalesce("text", F.lit("")).alias("text"), mark.alias("mark"))
+    ordered = rows.repartition("number").sortWithinPartitions("number", "doc_id", "text")
+    ordered.select("number", F.concat("mark", "text").alias("value")).write.partitionBy("number").text(folder)
+
+
+def q_stored_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A1: files on the shared storage, written from the documents, read back and analysed as JavaScript."""
+    folder = f"{ensure_checkpoint_dir(spark)}/stored-files-{uuid.uuid4().hex}"
+    store_documents(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), folder)
+    files = read_code_files(spark, folder, glob="*.txt").withColumn("language", F.lit("javascript"))
+    found = detect(files, spread=True).withColumn("number", F.regexp_extract("path", r"number=(-?\d+)", 1).try_cast("long"))
+    counts = [F.coalesce(c, F.lit(-1)).alias(c) for c in ("chunk_count", "file_total_lines", "total_lines", "token_count")]
+    return _rounded(found.select("number", "classification", *SCORE_COLUMNS, "decision_basis", *counts, "token_entropy", "error"))
+
+
 def q_page_scripts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """JavaScript of every page's <script> elements, classified per page."""
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "html")
@@ -267,7 +318,6 @@ def q_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_evaluate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from ..operators.evaluate import evaluate, expected_from_templates
     files = code_files(spark, sf_dir)
     return evaluate(detect(files, spread=True), expected_from_templates(files))
 
