@@ -8,7 +8,9 @@ messages are shown as such in every perspective and are no participant.
 A conversation is rendered in blocks of at most ``BLOCK_TURNS`` messages
 (most have one block), so a conversation with very many turns is never one
 row or one task's group.  Blocks follow the turn numbers; within a block,
-messages are ordered by turn, speaker and text.
+messages are ordered by turn, speaker and text.  Turn numbers bound a block
+unless they are repeated or null; blocks of more than ``WINDOW_ROWS`` messages
+are numbered over sorted ranges instead of in one window.
 
 Cases: a null speaker is called ``unknown``; a null text is empty; a null turn
 comes after all others; repeated turns are rendered a time each; a
@@ -18,24 +20,65 @@ conversation of its own.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillscope.llm.components import checkpoint_folder, hint_small
+
 BLOCK_TURNS = 64
+WINDOW_ROWS = 4096
 SYSTEM, UNKNOWN = "system", "unknown"
 BEGIN, END = "<|im_start|>", "<|im_end|>\n"
 
 
+def _order() -> list:
+    return [F.col("turn").asc_nulls_last(), F.col("speaker"), F.col("text")]
+
+
+def _same_block() -> Column:
+    return F.col("conv_id").eqNullSafe(F.col("of_conv_id")) & F.col("block").eqNullSafe(F.col("of_block"))
+
+
+def _by_size(messages: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Messages of blocks that a window can number, and those of larger blocks (at most one in WINDOW_ROWS messages is such a block)."""
+    checkpoint_folder(messages.sparkSession)
+    large = messages.groupBy("conv_id", "block").count().where(F.col("count") > WINDOW_ROWS).select(F.col("conv_id").alias("of_conv_id"), F.col("block").alias("of_block")).checkpoint()
+    large = hint_small(large)
+    return messages.join(large, _same_block(), "left_anti"), messages.join(large, _same_block(), "left_semi")
+
+
+def _numbered_by_range(messages: DataFrame) -> DataFrame:
+    """Messages numbered from 1 in their block: in sorted ranges of all messages, after the block's messages in the ranges before.
+
+    Equal messages are told apart by the row they were read from, so ranges
+    are even whatever repeats.  A range begins inside one block at most: that
+    bounds the broadcast offsets by the number of ranges.
+    """
+    late = F.col("turn").isNull()
+    dealt = messages.withColumn("row", F.monotonically_increasing_id()).repartitionByRange("conv_id", "block", late, "turn", "speaker", "text", "row")
+    dealt = dealt.withColumn("range", F.spark_partition_id()).checkpoint()
+    before = Window.partitionBy("conv_id", "block").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = dealt.groupBy("conv_id", "block", "range").count().select(F.col("conv_id").alias("of_conv_id"), F.col("block").alias("of_block"), F.col("range").alias("of_range"), F.sum("count").over(before).alias("offset"))
+    inside = F.row_number().over(Window.partitionBy("conv_id", "block", "range").orderBy(*_order(), "row"))
+    numbered = dealt.withColumn("inside", inside).join(F.broadcast(offsets.where("offset > 0")), _same_block() & (F.col("range") == F.col("of_range")), "left")
+    return numbered.select("conv_id", "turn", "speaker", "text", "block", (F.col("inside") + F.coalesce("offset", F.lit(0))).alias("number"))
+
+
+def _parts(numbered: DataFrame) -> DataFrame:
+    parts = numbered.withColumn("part", F.floor((F.col("number") - 1) / BLOCK_TURNS))
+    message = F.struct(F.col("turn").isNull().alias("late"), "turn", "speaker", "text")
+    return parts.groupBy("conv_id", "block", "part").agg(F.array_sort(F.collect_list(message)).alias("messages"))
+
+
 def rotate(turns: DataFrame, conv_id: str = "conv_id", turn: str = "turn", speaker: str = "role", text: str = "text") -> DataFrame:
     """conv_id, block, part, perspective, n_turns, rendered and mask (array of from, to) of every block and participant."""
     messages = turns.select(
         F.col(conv_id).alias("conv_id"), F.col(turn).cast("long").alias("turn"), F.coalesce(F.col(speaker).cast("string"), F.lit(UNKNOWN)).alias("speaker"), F.coalesce(F.col(text), F.lit("")).alias("text")
     ).withColumn("block", F.floor(F.col("turn") / BLOCK_TURNS))
     who = messages.where(F.col("speaker") != SYSTEM).select(F.col("conv_id").alias("who_id"), F.col("speaker").alias("perspective")).distinct()
-    # Turn numbers bound a block unless they are repeated or null; then it is cut into parts.
-    order = Window.partitionBy("conv_id", "block").orderBy(F.col("turn").asc_nulls_last(), "speaker", "text")
-    messages = messages.withColumn("part", F.floor((F.row_number().over(order) - 1) / BLOCK_TURNS))
-    blocks = messages.groupBy("conv_id", "block", "part").agg(F.array_sort(F.collect_list(F.struct(F.col("turn").isNull().alias("late"), "turn", "speaker", "text"))).alias("messages"))
+    small, large = _by_size(messages)
+    inside = F.row_number().over(Window.partitionBy("conv_id", "block").orderBy(*_order()))
+    blocks = _parts(small.withColumn("number", inside)).unionByName(_parts(_numbered_by_range(large)))
     seen = blocks.join(who, F.col("conv_id").eqNullSafe(F.col("who_id"))).drop("who_id")
     own = lambda m: m["speaker"] == F.col("perspective")
     head = lambda m: F.concat(F.lit(BEGIN), F.when(own(m), F.lit("assistant")).when(m["speaker"] == SYSTEM, F.lit(SYSTEM)).otherwise(F.concat(F.lit("user name="), m["speaker"])), F.lit("\n"))

@@ -70,6 +70,16 @@ def test_rotation_edge_rows(spark):
     assert chat_rotation.rotate(spark.createDataFrame([], TURNS)).count() == 0
 
 
+def test_blocks_without_turns_are_numbered_over_ranges(spark, monkeypatch):
+    # One conversation without an id holds most rows, all without a turn, many of them equal.
+    rows = [(None, None, f"p{i % 3}", "same" if i % 2 else f"text {i % 500}") for i in range(2000)] + [(7, i % 5, "a", f"t{i}") for i in range(300)] + [(8, i, "b", "t") for i in range(100)]
+    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(5)
+    wide = sorted(map(str, chat_rotation.digest(chat_rotation.rotate(turns)).collect()))
+    monkeypatch.setattr(chat_rotation, "WINDOW_ROWS", 90)
+    narrow = sorted(map(str, chat_rotation.digest(chat_rotation.rotate(turns)).collect()))
+    assert narrow == wide and len(wide) == 3 * -(-2000 // 64) + -(-300 // 64) + 2
+
+
 def test_a_long_conversation_has_blocks(spark):
     rows = [(1, i if i < 200 else 7, "ab"[i % 2], f"t{i}", "") for i in range(400)]
     out = chat_rotation.rotate(spark.createDataFrame(rows, TURNS)).collect()
