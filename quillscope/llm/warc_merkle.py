@@ -10,7 +10,8 @@ Two replicas are compared from the root down: a level joins only the children
 of nodes that differ, until the differing records are found.
 
 ``RECORDS_PER_VOLUME`` slots make a volume (a WARC file); offsets are running
-sums of record lengths in it.
+sums of record lengths in it.  A volume of more than ``WINDOW_ROWS`` records,
+which only repeated numbers make, is summed over sorted ranges.
 
 Cases: several records of one slot are one leaf, whatever their order; records
 without a number get slots below zero by a hash of their address; null url or
@@ -23,11 +24,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillscope.llm.components import checkpoint_folder
+from quillscope.llm.components import checkpoint_folder, hint_small
 
 FANOUT = 10
 RECORDS_PER_VOLUME = 1000
 UNNUMBERED_SLOTS = 1_000_000
+WINDOW_ROWS = 100_000
+INDEX = ("slot", "volume", "length", "digest", "offset")
 HEADER = "WARC/1.1\r\nWARC-Type: response\r\nWARC-Target-URI: "
 
 
@@ -42,9 +45,31 @@ def index(pages: DataFrame, number: str = "page_id", url: str = "url", body: str
     text = record(F.col(url), F.col(body))
     slot = F.coalesce(F.col(number).cast("long"), -1 - F.pmod(F.xxhash64(F.coalesce(F.col(url), F.lit(""))), F.lit(UNNUMBERED_SLOTS)))
     rows = pages.select(slot.alias("slot"), F.octet_length(text).cast("long").alias("length"), F.sha2(text.cast("binary"), 256).alias("digest"))
-    rows = rows.withColumn("volume", F.floor(F.col("slot") / RECORDS_PER_VOLUME))
-    ends = F.sum("length").over(Window.partitionBy("volume").orderBy("slot", "digest").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    return rows.withColumn("offset", ends - F.col("length"))
+    checkpoint_folder(pages.sparkSession)
+    rows = rows.withColumn("volume", F.floor(F.col("slot") / RECORDS_PER_VOLUME)).checkpoint()
+    large = rows.groupBy("volume").count().where(F.col("count") > WINDOW_ROWS).select("volume").checkpoint()
+    large = hint_small(large)
+    small = _ends(rows.join(large, "volume", "left_anti"), "volume").withColumn("offset", F.col("end") - F.col("length"))
+    return small.select(*INDEX).unionByName(_offsets_by_range(rows.join(large, "volume", "left_semi")))
+
+
+def _ends(rows: DataFrame, *group: str, tie: tuple[str, ...] = ()) -> DataFrame:
+    """Running sums of lengths in a group."""
+    return rows.withColumn("end", F.sum("length").over(Window.partitionBy(*group).orderBy("slot", "digest", *tie).rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+
+
+def _offsets_by_range(rows: DataFrame) -> DataFrame:
+    """The index of volumes with very many records (repeated numbers): sums in sorted ranges of all records, after the volume's ranges before.
+
+    Equal records are told apart by the row they were read from, so ranges are
+    even.  A range begins inside one volume at most: that bounds the broadcast
+    sums by the number of ranges.
+    """
+    dealt = rows.withColumn("row", F.monotonically_increasing_id()).repartitionByRange("slot", "digest", "row").withColumn("range", F.spark_partition_id()).checkpoint()
+    before = Window.partitionBy("volume").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    earlier = dealt.groupBy("volume", "range").agg(F.sum("length").alias("bytes")).select("volume", "range", F.sum("bytes").over(before).alias("earlier")).where("earlier > 0")
+    summed = _ends(dealt, "volume", "range", tie=("row",)).join(F.broadcast(earlier), ["volume", "range"], "left")
+    return summed.withColumn("offset", F.col("end") - F.col("length") + F.coalesce("earlier", F.lit(0))).select(*INDEX)
 
 
 def tree(records: DataFrame) -> list[DataFrame]:

@@ -60,6 +60,18 @@ def test_offsets_follow_each_other(spark):
 TURNS = "conv_id long, turn long, role string, text string, part string"
 
 
+def test_a_repeated_number_is_summed_over_ranges(spark, monkeypatch):
+    rows = [(5 if i % 3 else i, "u", "same" if i % 2 else "x" * (i % 70)) for i in range(1500)] + [(None, None, f"n{i % 9}") for i in range(400)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(5)
+    wide = sorted(warc_merkle.index(pages).collect())
+    monkeypatch.setattr(warc_merkle, "WINDOW_ROWS", 90)
+    assert sorted(warc_merkle.index(pages).collect()) == wide and len(wide) == len(rows)
+    ends = {}
+    for r in sorted(wide, key=lambda r: (r["volume"], r["offset"])):
+        assert r["offset"] == ends.get(r["volume"], 0)
+        ends[r["volume"]] = r["offset"] + r["length"]
+
+
 def test_rotation_edge_rows(spark):
     rows = [(1, 0, "ann", "hi", "z"), (1, 1, "bob", None, "z"), (1, None, None, "x", "z"), (None, 0, "system", "s", "z"), (None, 1, "cy", "c", "z"), (2, 0, "a", "q", "z"), (2, 0, "a", "q", "z"), (3, 0, "system", "only", "z")]
     out = chat_rotation.rotate(spark.createDataFrame(rows, TURNS)).collect()
