@@ -4,9 +4,10 @@
 JavaScript part of the derived code corpus) on sf0.001.  ``queries()`` maps
 every registered query to a callable ``(spark, sf_dir) -> DataFrame``;
 ``oracle_sql()`` gives, where the operator is SQL-expressible, the DuckDB
-SQL computing the same rows over the driver tables.  Queries built on the
-Python syntax tree and the output projections that include Python files have
-no SQL oracle (rows-only check); their semantics are tested in ``tests/``.
+SQL computing the same rows over the driver tables.  The Python syntax features
+have one too (``oracle/pyduck``): the statements of the corpus in normal form,
+blocks by indents.  ``detailed`` (JSON) has none; ``js_detailed`` and
+``py_file_results`` hold the same features as columns.
 """
 
 from __future__ import annotations
@@ -20,7 +21,9 @@ from pyspark.sql import DataFrame, SparkSession
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from quillscope.functions import constants as K  # noqa: E402
+from quillscope.operators.evaluate import TEMPLATE_EXPECTED  # noqa: E402
 from quillscope.oracle import duck as D  # noqa: E402
+from quillscope.oracle import pyduck as PY  # noqa: E402
 from quillscope.plans import queries as Q  # noqa: E402
 
 try:  # the training-data operators and their pipeline can be left out as a whole
@@ -121,53 +124,10 @@ def _cols(cols) -> str:
     return ", ".join(_r(c) if c in JS_DOUBLES else c for c in cols)
 
 
-def _py_text_sql() -> str:
-    P = K.PY_PATTERNS
-    ws = D.WSC
-    c = "ch.chunk"
-    return f"""WITH RECURSIVE {D.chunks_ctes(PY_CORPUS_SRC)},
-pl AS (SELECT file_id, chunk_id,
-    count(*) FILTER (WHERE regexp_matches(line, {D.q(D.NONWS)})) AS non_empty_lines,
-    avg(length(regexp_replace(line, {D.q(ws + '+$')}, ''))) FILTER (WHERE regexp_matches(line, {D.q(D.NONWS)})) AS avg_len,
-    coalesce(stddev_pop(length(regexp_replace(line, {D.q(ws + '+$')}, ''))) FILTER (WHERE regexp_matches(line, {D.q(D.NONWS)})), 0.0) AS std_len,
-    count(*) FILTER (WHERE {D.strip_starts('line', '#')}) AS comments,
-    avg(length(trim(line, {D.q(K.PY_WHITESPACE)}))) FILTER (WHERE {D.strip_starts('line', '#')}) AS comment_len,
-    count(*) FILTER (WHERE regexp_matches(line, {D.q(ws + '$')})) AS trailing,
-    count(*) FILTER (WHERE length(regexp_replace(line, {D.q(ws + '+$')}, '')) > {K.LONG_LINE_CHARS}) AS long_n,
-    count(*) FILTER (WHERE regexp_matches(line, {D.q(D.NONWS)}) AND length(line) - length(ltrim(line, ' ')) > 0) AS n_ind,
-    count(*) FILTER (WHERE regexp_matches(line, {D.q(D.NONWS)}) AND length(line) - length(ltrim(line, ' ')) > 0
-                     AND (length(line) - length(ltrim(line, ' '))) % 4 = 0) AS n_ind4
-  FROM lines GROUP BY ALL),
-f AS (
-  SELECT ch.file_id, ch.chunk_id, CAST(len(cl.lines) AS BIGINT) AS total_lines,
-    CAST(coalesce(pl.non_empty_lines, 0) AS BIGINT) AS non_empty_lines,
-    {D.ratio('len(cl.lines) - coalesce(pl.non_empty_lines, 0)', 'len(cl.lines)')} AS blank_line_ratio,
-    {D.ratio('coalesce(pl.comments, 0)', 'len(cl.lines)')} AS comment_ratio,
-    coalesce(pl.avg_len, 0.0) AS avg_line_length,
-    CASE WHEN coalesce(pl.non_empty_lines, 0) < 2 THEN 0.0 ELSE pl.std_len END AS line_length_variance,
-    CASE WHEN coalesce(pl.n_ind, 0) = 0 THEN 0.0 ELSE pl.n_ind4 / pl.n_ind END AS indentation_consistency,
-    {D.count(c, *P['todo'])} AS n_todo, {D.count(c, *P['debug'])} AS n_debug,
-    {D.count(c, *P['commented_code'])} AS n_ccode, coalesce(pl.long_n, 0) AS n_long,
-    coalesce(pl.trailing, 0) AS n_trailing,
-    {D.count(c, *P['generic'])} AS n_generic, {D.count(c, *P['example_usage'])} AS n_exu,
-    {D.count(c, *P['placeholder'])} AS n_plc,
-    coalesce(pl.comments, 0) AS n_comments, coalesce(pl.comment_len, 0.0) AS comment_len
-  FROM ch JOIN cl ON cl.file_id = ch.file_id AND cl.chunk_id = ch.chunk_id
-  LEFT JOIN pl ON pl.file_id = ch.file_id AND pl.chunk_id = ch.chunk_id)
-SELECT file_id, chunk_id, total_lines, non_empty_lines, round(blank_line_ratio, 6) AS blank_line_ratio,
-  round(comment_ratio, 6) AS comment_ratio, round(avg_line_length, 6) AS avg_line_length,
-  round(line_length_variance, 6) AS line_length_variance,
-  round(1.0 - least(1.0, greatest(0.0, {D.ratio('line_length_variance', 'CASE WHEN avg_line_length = 0 THEN 1.0 ELSE avg_line_length END')})), 6) AS line_length_uniformity,
-  round(indentation_consistency, 6) AS indentation_consistency,
-  n_todo > 0 AS has_todo_comments, n_debug > 0 AS has_debug_prints, n_ccode > 0 AS has_commented_code,
-  n_long > 0 AS has_long_lines, n_trailing > 0 AS has_trailing_whitespace,
-  round({D.sat('n_todo', 2)}, 6) AS todo_comment_score, round({D.sat('n_debug', 2)}, 6) AS debug_print_score,
-  round({D.sat('n_ccode', 2)}, 6) AS commented_code_score, round({D.sat('n_long', 3)}, 6) AS long_line_score,
-  round({D.sat('n_trailing', 2)}, 6) AS trailing_whitespace_score,
-  round({D.sat('n_generic', 3)}, 6) AS generic_example_score, round({D.sat('n_exu', 4)}, 6) AS example_usage_score,
-  round({D.sat('n_plc', 3)}, 6) AS placeholder_score,
-  round({D.sat('comment_len', 70)} * {D.sat('n_comments', 4)}, 6) AS over_explanation_score
-FROM f"""
+def _all_files(select_js: str, select_py: str) -> str:
+    """Rows of both languages' files, those of failed Python files left out; ``broken`` files are named by the second."""
+    js = _js(select_js, JS_CORPUS_SRC, D.js_score_ctes() + D.js_file_ctes())
+    return f"SELECT * FROM ({js}) UNION ALL BY NAME SELECT * FROM ({PY.file_query(select_py, PY_CORPUS_SRC)})"
 
 
 def oracle_sql() -> dict[str, str]:
@@ -206,6 +166,15 @@ def oracle_sql() -> dict[str, str]:
       CAST(NULL AS VARCHAR) AS error FROM files JOIN lk USING (file_id)
     UNION ALL BY NAME SELECT file_id AS number, {no_result}, {D.q(K.ERR_ENCODING)} AS error FROM ({stored}) WHERE bad"""
     supported = "('python', 'javascript')"
+    python_basic = basic_select.replace("'javascript'", "'python'").replace("CAST(NULL AS VARCHAR) AS error", "error") + " LEFT JOIN broken USING (file_id)"
+    for name in ("classification", "round(token_entropy, 6)", "round(comment_ratio, 6)"):
+        alias = name.split("(")[-1].split(",")[0]
+        python_basic = python_basic.replace(f", {name}{'' if name == alias else f' AS {alias}'},", f", CASE WHEN error IS NULL THEN {name} END AS {alias},")
+    python_basic = python_basic.replace("CASE WHEN classification =", "CASE WHEN error IS NOT NULL THEN -1 WHEN classification =")
+    unanalysed = f"""SELECT file_id, code, language, CASE WHEN language IS NULL THEN {D.q(K.ERR_UNDETECTED)} ELSE 'Unsupported language: ' || language END AS error
+      FROM ({D.resolved_corpus_sql()}) WHERE language IS NULL OR language NOT IN {supported}"""
+    lines_of = lambda text: f"CAST(len(regexp_extract_all({text}, {D.q(D.LWE)})) AS INT)"
+    expected = " ".join(f"WHEN {t} THEN {D.q(label or 'error')}" for t, label in TEMPLATE_EXPECTED.items())
     return {
         "chunk_code": (
             f"WITH RECURSIVE {D.chunks_ctes(DOC_SRC)}\n"
@@ -250,5 +219,19 @@ def oracle_sql() -> dict[str, str]:
             f"WHEN language NOT IN {supported} THEN 'Unsupported language: ' || language END AS error "
             f"FROM ({D.resolved_corpus_sql()})"
         ),
-        "py_text_features": _py_text_sql(),
+        "py_text_features": PY.chunk_query(f"SELECT file_id, chunk_id, {PY.rounded(Q.PY_TEXT_COLUMNS)} FROM pyt", PY_CORPUS_SRC, PY.text_ctes()),
+        "py_token_stats": PY.chunk_query(
+            "SELECT ch.file_id, ch.chunk_id, CAST(coalesce(token_count, 0) AS BIGINT) AS token_count, round(coalesce(token_entropy, 0.0), 6) AS token_entropy "
+            "FROM ch LEFT JOIN pts ON pts.file_id = ch.file_id AND pts.chunk_id = ch.chunk_id", PY_CORPUS_SRC, PY.token_ctes()),
+        "py_structure": PY.chunk_query(f"SELECT file_id, chunk_id, {PY.rounded(PY.STRUCTURE_COLUMNS)} FROM pst", PY_CORPUS_SRC, PY.token_ctes() + PY.structure_ctes()),
+        "py_file_results": PY.results_sql(f"SELECT * FROM ({D.resolved_corpus_sql()}) WHERE language = 'python'"),
+        "basic": _all_files(basic_select, python_basic) + f" UNION ALL BY NAME SELECT file_id, -1 AS result, language, {lines_of('code')} AS total_lines, error FROM ({unanalysed})",
+        "report": _all_files(D.js_report_sql(), " UNION ALL ".join(f"({part} WHERE file_id NOT IN (SELECT file_id FROM broken))" for part in D.js_report_sql("python").split(" UNION ALL "))),
+        "errors": f"SELECT file_id, language, error FROM ({unanalysed}) UNION ALL SELECT file_id, 'python', error FROM ("
+        + PY.chunk_query("SELECT file_id, error FROM broken", PY_CORPUS_SRC, PY.feature_ctes()) + ")",
+        "evaluate": f"""SELECT expected_classification, predicted_classification, count(*) AS files FROM (
+          SELECT file_id, CASE template {expected} END AS expected_classification FROM ({D.corpus_sql()})) LEFT JOIN (
+          SELECT file_id, 'error' AS predicted_classification FROM ({unanalysed}) UNION ALL {_all_files('SELECT file_id, classification AS predicted_classification FROM files',
+            "SELECT file_id, CASE WHEN error IS NULL THEN classification ELSE 'error' END AS predicted_classification FROM files LEFT JOIN broken USING (file_id)")}) USING (file_id) GROUP BY ALL""",
+        "benchmark_snippets": PY.file_query(basic_select.replace("'javascript'", "'python'"), BENCHMARK_SRC),
     } | (LLM.oracle_sql() if LLM else {})

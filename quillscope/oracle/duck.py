@@ -346,12 +346,14 @@ def round4(value: str) -> str:
     return f"list_transform([CAST({value} AS DOUBLE)], lambda v: {inner})[1]"
 
 
-def js_score_ctes(lines: int = K.MINIMUM_LINES, tokens: int = K.MINIMUM_TOKENS, signal: float = K.MINIMUM_SIGNAL, margin: float = K.MINIMUM_MARGIN) -> str:
+def js_score_ctes(lines: int = K.MINIMUM_LINES, tokens: int = K.MINIMUM_TOKENS, signal: float = K.MINIMUM_SIGNAL, margin: float = K.MINIMUM_MARGIN,
+                  table: str = "js", ai: dict = K.JS_AI_WEIGHTS, human: dict = K.JS_HUMAN_WEIGHTS) -> str:
+    """K1-K8 over the chunk features of ``table``."""
     return f""",
 js_raw AS (
-  SELECT *, ({_weighted(K.JS_AI_WEIGHTS)}) AS ai, ({_weighted(K.JS_HUMAN_WEIGHTS)}) AS hu,
-         {_top(K.JS_AI_WEIGHTS, 'top_ai')}, {_top(K.JS_HUMAN_WEIGHTS, 'top_human')}
-  FROM js),
+  SELECT *, ({_weighted(ai)}) AS ai, ({_weighted(human)}) AS hu,
+         {_top(ai, 'top_ai')}, {_top(human, 'top_human')}
+  FROM {table}),
 js_scored AS (
   SELECT *,
     {round4('ai')} AS ai_score, {round4('hu')} AS human_score, {round4('ai - hu')} AS score_gap,
@@ -387,10 +389,8 @@ js_raw AS (SELECT e.*, coalesce(ai, 0.0) AS ai, coalesce(hu, 0.0) AS hu, coalesc
 JS_MEANS = ("ai_score", "human_score", "score_gap", "signal_strength", "ai_probability", "confidence", *JS_DOUBLE)
 
 
-def js_file_ctes() -> str:
+def js_file_ctes(flags=JS_BOOL, means=JS_MEANS) -> str:
     """L1-L10 over js_scored."""
-    sig_ai = ", ".join(q(n.replace("_", " ")) for n in K.JS_AI_WEIGHTS)
-    sig_hu = ", ".join(q(n.replace("_", " ")) for n in K.JS_HUMAN_WEIGHTS)
     return f""",
 w AS (SELECT *, greatest(signal_strength, 0.5) * greatest(CAST(non_empty_lines AS DOUBLE), 1.0) AS wt FROM js_scored),
 fagg AS (
@@ -399,15 +399,15 @@ fagg AS (
     sum(total_lines) AS total_lines, sum(non_empty_lines) AS non_empty_lines, sum(token_count) AS token_count,
     sum(function_count) AS function_count, sum(loop_count) AS loop_count, sum(try_except_count) AS try_except_count,
     max(max_ast_depth) AS max_ast_depth,
-    {", ".join(f"bool_or({c}) AS {c}" for c in JS_BOOL)},
-    {", ".join(f"max({c}) AS {c}_1, sum({c} * wt ORDER BY chunk_id) AS {c}_w" for c in JS_MEANS)},
+    {", ".join(f"bool_or({c}) AS {c}" for c in flags)},
+    {", ".join(f"max({c}) AS {c}_1, sum({c} * wt ORDER BY chunk_id) AS {c}_w" for c in means)},
     arg_min(module_pattern, chunk_id) AS module1, arg_min(classification, chunk_id) AS class1, arg_min(decision_basis, chunk_id) AS basis1,
     arg_min(top_ai, chunk_id) AS top_ai1, arg_min(top_human, chunk_id) AS top_human1,
     string_agg(classification, '|' ORDER BY chunk_id) AS chunk_classes
   FROM w GROUP BY file_id),
 fmean AS (
   SELECT *,
-    {", ".join(f"CASE WHEN n = 1 THEN {c}_1 ELSE {round4(c + '_w / wsum')} END AS {c}" for c in JS_MEANS)}
+    {", ".join(f"CASE WHEN n = 1 THEN {c}_1 ELSE {round4(c + '_w / wsum')} END AS {c}" for c in means)}
   FROM fagg),
 sig AS (
   SELECT file_id, side, s, count(*) AS cnt, min(chunk_id * 8 + pos) AS first_seen FROM (
@@ -444,9 +444,9 @@ def to_fixed(value: str, digits: int) -> str:
     return f"CASE WHEN {tie} THEN {up} ELSE printf('%.{digits}f', {value}) END"
 
 
-def js_report_sql() -> str:
+def js_report_sql(language: str = "javascript") -> str:
     rows = [
-        ("Classification", "classification"), ("Language", "'javascript'"), ("Confidence", to_fixed("confidence * 100", 1) + " || '%'"), ("", "''"),
+        ("Classification", "classification"), ("Language", q(language)), ("Confidence", to_fixed("confidence * 100", 1) + " || '%'"), ("", "''"),
         ("Token Entropy", to_fixed("token_entropy", 2)), ("Comment Ratio", to_fixed("comment_ratio * 100", 1) + " || '%'"),
         ("Total Lines", "CAST(total_lines AS VARCHAR)"), ("Functions", "CAST(function_count AS VARCHAR)"), ("Loops", "CAST(loop_count AS VARCHAR)"),
         ("Try/Except Blocks", "CAST(try_except_count AS VARCHAR)"), ("Max AST Depth", "CAST(max_ast_depth AS VARCHAR)"),

@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 from ..functions import constants as K
 from ..functions.chunking import with_chunks
 from ..operators.evaluate import class_metrics, evaluate, expected_from_templates, held_out, reliability
-from ..operators.features import ALL_FEATURES, JS_BOOL, JS_DOUBLE, LONG_FEATURES
+from ..operators.features import ALL_FEATURES, BOOL_FEATURES, JS_BOOL, JS_DOUBLE, JS_STRING, LONG_FEATURES
 from ..operators.structure import structure_features, token_features
 from ..sources.corpus import code_files
 from ..session import ensure_checkpoint_dir
@@ -293,15 +293,20 @@ def q_py_token_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(token_features(_python_chunks(spark, sf_dir), ["file_id", "chunk_id"]))
 
 
-# --- rows-only (syntax-tree features, outputs, evaluation, streaming) ---------
+# --- both languages: results, outputs, evaluation ------------------------------
 
 def q_py_file_results(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rounded(detect(code_files(spark, sf_dir), spread=True, languages=("python",)))
+    """K, L, A7: the wide result of every Python file; in it a failed file's counts are -1, and flags are text, ``null`` where a file has none."""
+    found = _rounded(detect(code_files(spark, sf_dir), spread=True, languages=("python",)))
+    counts = ["result", "chunk_count", "clear_chunk_count", "file_total_lines", *LONG_FEATURES]
+    return found.withColumns(
+        {c: F.coalesce(F.col(c).cast("long"), F.lit(-1)) for c in counts} | {c: F.coalesce(F.col(c).cast("string"), F.lit("null")) for c in BOOL_FEATURES + JS_STRING})
 
 
 def q_basic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A4 of every file; the result of a file that was not analysed is -1."""
     files = code_files(spark, sf_dir)
-    return _rounded(to_basic(detect(files, spread=True)))
+    return _rounded(to_basic(detect(files, spread=True))).withColumn("result", F.coalesce("result", F.lit(-1)))
 
 
 def q_detailed(spark: SparkSession, sf_dir: str) -> DataFrame:
