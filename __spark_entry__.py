@@ -73,6 +73,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "js_weight_sets": Q.q_js_weight_sets,
         "input_errors": Q.q_input_errors,
         "stored_files": Q.q_stored_files,
+        "long_file_chunks": Q.q_long_file_chunks,
         "page_scripts": Q.q_page_scripts,
         "detect_language": Q.q_detect_language,
         "py_text_features": Q.q_py_text_features,
@@ -158,7 +159,7 @@ def oracle_sql() -> dict[str, str]:
       CASE WHEN classification = 'AI-Generated Code' THEN 1 ELSE 0 END AS result, CAST(total_lines AS BIGINT) AS total_lines FROM files
     UNION ALL SELECT doc_id, CASE doc_id % 3 WHEN 1 THEN 'ruby' ELSE 'javascript' END,
       CASE doc_id % 3 WHEN 0 THEN 'No code provided' WHEN 1 THEN 'Unsupported language: ruby' ELSE 'Malformed record' END, -1, -1 FROM documents"""
-    stored = D.stored_files_sql(Q.DOCS_PER_FILE)
+    stored, long_files = D.stored_files_sql(Q.DOCS_PER_FILE), D.stored_files_sql(Q.DOCS_PER_LONG_FILE)
     no_result = ", ".join(f"NULL AS {c}" for c in f"classification, {score_cols}, decision_basis, token_entropy".split(", ")) + "".join(
         f", -1 AS {c}" for c in ("chunk_count", "file_total_lines", "total_lines", "token_count"))
     stored_select = f"""SELECT file_id AS number, classification, {', '.join(f'round({c}, 6) AS {c}' for c in score_cols.split(', '))}, decision_basis, CAST(n AS INT) AS chunk_count,
@@ -204,6 +205,9 @@ def oracle_sql() -> dict[str, str]:
         "js_class_metrics": _js(D.CLASS_METRICS_SQL, JS_CORPUS_SRC, D.js_score_ctes() + D.js_file_ctes() + D.labelled_ctes()),
         "js_reliability": _js(D.reliability_sql(), JS_CORPUS_SRC, D.js_score_ctes() + D.js_file_ctes() + D.labelled_ctes()),
         "stored_files": _js(stored_select, f"SELECT file_id, code FROM ({stored}) WHERE NOT bad", D.js_score_ctes() + D.js_file_ctes()),
+        "long_file_chunks": f"""SELECT * FROM (WITH RECURSIVE {D.chunks_ctes(f"SELECT file_id, code FROM ({long_files}) WHERE NOT bad")}
+          SELECT file_id AS number, chunk_id, chunk_count, CAST(length(chunk) AS BIGINT) AS chunk_chars, md5(chunk) AS chunk_md5, CAST(NULL AS VARCHAR) AS error FROM ch)
+          UNION ALL SELECT file_id, -1, -1, -1, NULL, {D.q(K.ERR_ENCODING)} FROM ({long_files}) WHERE bad""",
         "benchmark_snippets_js": _js(basic_select, BENCHMARK_SRC, D.js_score_ctes() + D.js_file_ctes()),
         "conversation_stream": _js(file_select, TURNS_SRC, D.js_score_ctes() + D.js_file_ctes()),
         "js_tuned": _js("SELECT file_id, chunk_id, total_lines, token_count, classification, decision_basis FROM js_scored",

@@ -21,6 +21,7 @@ from ..operators.structure import structure_features, token_features
 from ..sources.corpus import code_files
 from ..session import ensure_checkpoint_dir
 from ..sources.files import read_code_files, snippets_from
+from ..sources.long_files import long_file_chunks
 from .detect import chunk_results, detect, explode_chunks, metrics, route
 from .outputs import to_basic, to_detailed, to_report
 
@@ -230,10 +231,10 @@ def q_input_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
 DOCS_PER_FILE = 32
 
 
-def store_documents(docs: DataFrame, folder: str) -> None:
-    """Documents as text files below ``folder``, 32 neighbouring ids each; some begin with a byte-order mark, some hold a byte that is no UTF-8."""
-    number = F.floor(F.col("doc_id") / DOCS_PER_FILE)
-    first = F.col("doc_id") % DOCS_PER_FILE == 0
+def store_documents(docs: DataFrame, folder: str, per_file: int = DOCS_PER_FILE) -> None:
+    """Documents as text files below ``folder``, ``per_file`` neighbouring ids each; some begin with a byte-order mark, some hold a byte that is no UTF-8."""
+    number = F.floor(F.col("doc_id") / per_file)
+    first = F.col("doc_id") % per_file == 0
     mark = F.when(first & (number % 3 == 1), F.lit("\ufeff")).when(first & (number % 5 == 2), F.unhex(F.lit("FF")).cast("string")).otherwise(F.lit(""))
     rows = docs.select(number.alias("number"), "doc_id", F.coalesce("text", F.lit("")).alias("text"), mark.alias("mark"))
     ordered = rows.repartition("number").sortWithinPartitions("number", "doc_id", "text")
@@ -250,6 +251,19 @@ def q_stored_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(found.select("number", "classification", *SCORE_COLUMNS, "decision_basis", *counts, "token_entropy", "error"))
 
 
+#: Documents of neighbouring ids that make a long file.
+DOCS_PER_LONG_FILE = 1024
+
+
+def q_long_file_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """C2-C6 over blocks: long files on the shared storage, each read and cut by as many tasks as it has blocks."""
+    folder = f"{ensure_checkpoint_dir(spark)}/long-files-{uuid.uuid4().hex}"
+    store_documents(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), folder, DOCS_PER_LONG_FILE)
+    chunks = long_file_chunks(spark, folder, glob="*.txt").withColumn("number", F.regexp_extract("path", r"number=(-?\d+)", 1).try_cast("long"))
+    counts = [F.coalesce(c, F.lit(-1)).alias(c) for c in ("chunk_id", "chunk_count")]
+    return chunks.select("number", *counts, F.coalesce(F.length("chunk"), F.lit(-1)).cast("long").alias("chunk_chars"), F.md5("chunk").alias("chunk_md5"), "error")
+
+
 def q_page_scripts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """JavaScript of every page's <script> elements, classified per page."""
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "html")
