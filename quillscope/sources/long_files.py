@@ -23,16 +23,23 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..functions import constants as K
 from ..functions.chunking import lines_keepends
 from ..functions.regex import PY_NON_WS_CLASS
 from ..session import ensure_checkpoint_dir
 
-_MAP = "path string, block long, file_size long, lines long, chars long, bytes long, bad long, filled long, ends array<long>, carries array<long>, lasts array<long>"
-_ENTRY = "path string, block long, carry long, open_block long, open_start long, lines long, unended boolean, ending boolean, blank boolean"
+#: Entries are broadcast up to this many blocks (about 200 bytes each), else joined by a shuffle.
+MAX_BROADCAST_BLOCKS = 65_536
+
+_EFFECT = "struct<ends: array<long>, carries: array<long>, lasts: array<long>, befores: array<long>>"
+_MAP = f"path string, block long, file_size long, lines long, chars long, bytes long, bad long, filled long, effect {_EFFECT}, effect_unended {_EFFECT}"
+_ENTRY = ("path string, block long, carry long, open_block long, open_start long, lines long, unended boolean, ending boolean, blank boolean, "
+          "last_block long, last_start long, before_block long, before_start long")
 _BLANK = -1  # the block of the one chunk of a file of white space; it starts at 1 if its last line has no line feed
-_CUT = "path string, chunk_block long, chunk_start long, block long, at long, line string"
+_CUT = "path string, chunk_block long, chunk_start long, tail boolean, block long, at long, line string"
 
 
 def read_lines(spark: SparkSession, paths, recursive: bool = True, glob: str | None = None) -> DataFrame:
@@ -61,20 +68,30 @@ def starts_from(lengths: np.ndarray, first: int, target: int) -> list[int]:
     return found
 
 
-def block_map(lengths: np.ndarray, target: int) -> tuple[list[int], list[int], list[int]]:
-    """For every line a chunk can be the block's first to start at: the line's end, the size open at the block's end, the last start."""
+def block_map(lengths: np.ndarray, target: int) -> dict[str, list[int]]:
+    """For every line a chunk can be the block's first to start at: the line's end, the size open at the block's end, the last start and the one before it (-1: none)."""
     ends = np.cumsum(lengths)
     entries = min(len(lengths), int(np.searchsorted(ends, target, "right")) + 1)
-    last: dict[int, int] = {}
+    seen: dict[int, tuple[int, int]] = {}
     for entry in range(entries):
         chain, line = [], entry
-        while line < len(lengths) and line not in last:
+        while line < len(lengths) and line not in seen:
             chain.append(line)
             line = max(line + 1, int(np.searchsorted(ends, ends[line] - lengths[line] + target, "right")))
-        end = last[line] if line < len(lengths) else chain[-1]
-        last.update(dict.fromkeys(chain, end))
-    lasts = [last[e] for e in range(entries)]
-    return ends[:entries].tolist(), [int(ends[-1] - ends[k] + lengths[k]) for k in lasts], lasts
+        last, before = seen[line] if line < len(lengths) else (chain.pop(), -1)
+        if line >= len(lengths):
+            seen[last] = (last, -1)
+        for start in reversed(chain):
+            before = start if before < 0 else before
+            seen[start] = (last, before)
+    lasts = [seen[e][0] for e in range(entries)]
+    carries = [int(ends[-1] - ends[k] + lengths[k]) for k in lasts]
+    return {"ends": ends[:entries].tolist(), "carries": carries, "lasts": lasts, "befores": [seen[e][1] for e in range(entries)]}
+
+
+def without_last_feed(lengths: np.ndarray) -> np.ndarray:
+    """The lengths of a file's last lines, if the file does not end in the line feed that was added; a line of that feed alone is none."""
+    return lengths[:-1] if lengths[-1] == 1 else np.append(lengths[:-1], lengths[-1] - 1)
 
 
 def _runs(batch: pa.RecordBatch) -> Iterator[tuple[tuple[str, int], pa.RecordBatch]]:
@@ -89,32 +106,32 @@ def _runs(batch: pa.RecordBatch) -> Iterator[tuple[tuple[str, int], pa.RecordBat
 
 
 def _maps(target: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import pandas as pd
+    schema = to_arrow_schema(T.StructType.fromDDL(_MAP))
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def row(key, held):
             lengths = np.concatenate([h[0] for h in held])
-            sums = [int(sum(h[k] for h in held)) for k in (2, 3, 4)]
-            return (*key, held[0][1], len(lengths), int(lengths.sum()), *sums, *block_map(lengths, target))
+            numbers = (held[0][1], len(lengths), lengths.sum(), *(sum(h[k] for h in held) for k in (2, 3, 4)))
+            values = (*key, *map(int, numbers), block_map(lengths, target), block_map(without_last_feed(lengths), target))
+            return pa.RecordBatch.from_pylist([dict(zip(schema.names, values))], schema)
 
-        names = [part.split()[0] for part in _MAP.split(", ")]
         key, held = None, []
         for batch in batches:
             for found, rows in _runs(batch):
                 if found != key and held:
-                    yield pa.RecordBatch.from_pandas(pd.DataFrame([row(key, held)], columns=names), preserve_index=False)
+                    yield row(key, held)
                     held = []
                 key = found
                 chars, *sums = (rows.column(c).to_numpy(zero_copy_only=False) for c in ("chars", "bytes", "bad", "filled"))
                 held.append((chars, rows.column("file_size")[0].as_py(), *(x.sum() for x in sums)))
         if held:
-            yield pa.RecordBatch.from_pandas(pd.DataFrame([row(key, held)], columns=names), preserve_index=False)
+            yield row(key, held)
 
     return run
 
 
 def _compose(target: int):
-    """Along one file: the size open at the start of every block, and where the open chunk started."""
+    """Along one file: the size open at the start of every block, where the open chunk started, and the file's last two starts."""
     def run(blocks):
         import pandas as pd
 
@@ -122,41 +139,55 @@ def _compose(target: int):
         # A line feed more than the file has: its last line ends without one.  Three bytes less: its byte-order mark.
         unended = (int(blocks["file_size"].iloc[0]) - int(blocks["bytes"].sum())) in (-1, 2)
         blank = not blocks["filled"].any()
-        carry, opened, out = -1, (-1, -1), []
+        carry, opened, before, out = -1, (-1, -1), (-1, -1), []
         for i, b in enumerate(blocks.itertuples()):
-            out.append((b.path, b.block, carry, *opened, b.lines, unended, i == len(blocks) - 1, blank))
-            first = 0 if carry < 0 else int(np.searchsorted(b.ends, target - carry, "right"))
-            if first < len(b.ends):
-                carry, opened = int(b.carries[first]), (b.block, int(b.lasts[first]))
+            ending = i == len(blocks) - 1
+            out.append((b.path, b.block, carry, *opened, b.lines, unended, ending, blank))
+            effect = b.effect_unended if unended and ending else b.effect
+            first = 0 if carry < 0 else int(np.searchsorted(effect["ends"], target - carry, "right"))
+            if first < len(effect["ends"]):
+                older = int(effect["befores"][first])
+                before = (b.block, older) if older >= 0 else opened
+                carry, opened = int(effect["carries"][first]), (b.block, int(effect["lasts"][first]))
             else:  # the whole block fits into the open chunk
                 carry += b.chars
-        return pd.DataFrame(out, columns=[part.split()[0] for part in _ENTRY.split(", ")])
+        return pd.DataFrame([(*row, *opened, *before) for row in out], columns=[part.split()[0] for part in _ENTRY.split(", ")])
 
     return run
 
 
 def _cut(target: int):
+    """Every line under the place where its chunk starts; lines of a file's last chunk under the chunk before it, marked ``tail``."""
+    names = [part.split()[0] for part in _CUT.split(", ")]
+    constants = ("lines", "unended", "ending", "blank", "last_block", "last_start", "before_block", "before_start")
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, seen, carry, opened = None, 0, -1, (-1, -1)
         for batch in batches:
             for found, rows in _runs(batch):
+                count, unended, ending, blank, *ends_at = (rows.column(c)[0].as_py() for c in constants)
                 if found != key:
                     key, seen, carry = found, 0, rows.column("carry")[0].as_py()
                     opened = (rows.column("open_block")[0].as_py(), rows.column("open_start")[0].as_py())
-                lengths = rows.column("chars").to_numpy(zero_copy_only=False).copy()
-                unended, ending, blank, count = (rows.column(c)[0].as_py() for c in ("unended", "ending", "blank", "lines"))
+                lengths = rows.column("chars").to_numpy(zero_copy_only=False)
                 if unended and ending and seen + len(lengths) == count:
-                    lengths[-1] -= 1
+                    lengths = without_last_feed(lengths)
+                    rows = rows.slice(0, len(lengths))
+                if not len(lengths):
+                    continue
                 ends = np.cumsum(lengths)
                 first = 0 if carry < 0 else int(np.searchsorted(ends, target - carry, "right"))
                 starts = np.array(starts_from(lengths, first, target), np.int64)
                 which = np.searchsorted(starts, np.arange(len(lengths)), "right") - 1
-                before = which < 0
-                chunk_start = np.where(before, opened[1], (starts + seen)[which] if len(starts) else opened[1])
-                chunk_block = np.where(before, opened[0], key[1])
+                inside = which >= 0
+                chunk_start = np.where(inside, (starts + seen)[which], opened[1]) if len(starts) else np.full(len(lengths), opened[1])
+                chunk_block = np.where(inside, key[1], opened[0])
+                tail = (chunk_block == ends_at[0]) & (chunk_start == ends_at[1]) & (ends_at[3] >= 0)
                 if blank:
-                    chunk_block, chunk_start = np.full(len(lengths), _BLANK), np.full(len(lengths), int(unended))
-                yield pa.RecordBatch.from_arrays([rows.column("path"), pa.array(chunk_block, pa.int64()), pa.array(chunk_start, pa.int64()), rows.column("block"), rows.column("at"), rows.column("line")], names=[part.split()[0] for part in _CUT.split(", ")])
+                    chunk_block, chunk_start, tail = np.full(len(lengths), _BLANK), np.full(len(lengths), int(unended)), np.zeros(len(lengths), bool)
+                elif tail.any():
+                    chunk_block, chunk_start = np.where(tail, ends_at[2], chunk_block), np.where(tail, ends_at[3], chunk_start)
+                yield pa.RecordBatch.from_arrays([rows.column("path"), *(pa.array(x) for x in (chunk_block, chunk_start, tail)), rows.column("block"), rows.column("at"), rows.column("line")], names=names)
                 if len(starts):
                     carry, opened = int(ends[-1] - ends[starts[-1]] + lengths[starts[-1]]), (key[1], int(starts[-1]) + seen)
                 else:
@@ -166,47 +197,46 @@ def _cut(target: int):
     return run
 
 
+def _text(lines, tail: bool):
+    """The lines of a group of one kind, in order; null if there are none."""
+    part = F.filter(lines, lambda s: s["tail"] == F.lit(tail))
+    return F.when(F.size(part) > 0, F.array_join(F.transform(part, lambda s: s["line"]), ""))
+
+
 def long_file_chunks(spark: SparkSession, paths, recursive: bool = True, glob: str | None = None, target_chars: int = K.TARGET_CHARS, minimum_tail_chars: int = K.MINIMUM_TAIL_CHARS) -> DataFrame:
     """(path, chunk_id, chunk_count, chunk, error), a row per chunk of every file at ``paths``.
 
     The lines are kept in the shared folder of spark.checkpoint.dir while they
     are cut, so that both passes see the same blocks whatever happens to the
-    executors."""
+    executors.  Texts are shuffled once, to the block in which their chunk starts."""
     ensure_checkpoint_dir(spark)
     lines = read_lines(spark, paths, recursive, glob).checkpoint()
     blocks = lines.select("path", "block", "file_size", "chars", "bytes", "bad", "filled").mapInArrow(_maps(target_chars), _MAP).checkpoint()
+    small = blocks.count() <= MAX_BROADCAST_BLOCKS
+    hint = F.broadcast if small else (lambda df: df)
     bad = blocks.groupBy("path").agg(F.sum("bad").alias("bad")).where("bad > 0").select("path")
     entries = blocks.join(bad, "path", "left_anti").groupBy("path").applyInPandas(_compose(target_chars), _ENTRY)
-    ordered = lines.select("path", "block", "at", "line", "chars").join(entries, ["path", "block"]).sortWithinPartitions("path", "block", "at")
-    cut = ordered.mapInArrow(_cut(target_chars), _CUT)
+    given = lines.select("path", "block", "at", "line", "chars").join(hint(entries), ["path", "block"])
+    given = given if small else given.sortWithinPartitions("path", "block", "at")  # a broadcast leaves rows in order
+    cut = given.mapInArrow(_cut(target_chars), _CUT).repartition("path", "chunk_block")
     key = ["path", "chunk_block", "chunk_start"]
-    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("block", "at", "line"))), lambda s: s["line"]), "")
+    grouped = cut.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("block", "at", "tail", "line"))).alias("lines"))
+    texts = grouped.select(*key, _text(F.col("lines"), False).alias("text"), F.trim(_text(F.col("lines"), True), F.lit("\n")).alias("tail"))
     whole = F.substring("text", F.lit(1), F.length("text") - F.col("chunk_start").cast("int"))
-    raw = cut.groupBy(*key).agg(joined.alias("text")).select(*key, F.when(F.col("chunk_block") == _BLANK, whole).otherwise(F.trim("text", F.lit("\n"))).alias("chunk")).checkpoint()
-    kept = _tails_merged(raw, key, minimum_tail_chars).where(F.col("chunk").rlike(PY_NON_WS_CLASS) | (F.col("chunk_block") == _BLANK))
-    counted = kept.groupBy("path", "chunk_block").agg(F.count("*").alias("n"))
+    first = F.trim("text", F.lit("\n"))
+    two = F.when(F.col("tail").isNull(), F.array(first)).when(F.length("tail") < minimum_tail_chars, F.array(F.concat(first, F.lit("\n"), "tail"))).otherwise(F.array(first, F.col("tail")))
+    some = F.when(F.col("chunk_block") == _BLANK, F.array(whole)).otherwise(F.filter(two, lambda c: c.rlike(PY_NON_WS_CLASS)))
+    found = texts.select(*key, some.alias("chunks"))
+    n = F.size("chunks")
+    found = found.withColumn("upto", F.sum(n).over(Window.partitionBy("path", "chunk_block").orderBy("chunk_start"))).checkpoint()
+    counted = found.groupBy("path", "chunk_block").agg(F.max("upto").alias("n"))
     along = Window.partitionBy("path")
     placed = counted.select("path", "chunk_block", (F.sum("n").over(along.orderBy("chunk_block")) - F.col("n")).alias("offset"), F.sum("n").over(along).alias("chunk_count"))
-    number = F.row_number().over(Window.partitionBy("path", "chunk_block").orderBy("chunk_start")) - 1
+    numbered = found.join(hint(placed), ["path", "chunk_block"]).select("path", "chunk_count", (F.col("offset") + F.col("upto") - n).alias("before"), F.posexplode("chunks").alias("i", "chunk"))
     none = F.lit(None).cast("string")
-    found = kept.withColumn("number", number).join(placed, ["path", "chunk_block"]).select(
-        "path", (F.col("offset") + F.col("number")).cast("int").alias("chunk_id"), F.col("chunk_count").cast("int"), "chunk", none.alias("error"))
+    chunks = numbered.select("path", (F.col("before") + F.col("i")).cast("int").alias("chunk_id"), F.col("chunk_count").cast("int"), "chunk", none.alias("error"))
     failed = bad.select("path", F.lit(None).cast("int").alias("chunk_id"), F.lit(None).cast("int").alias("chunk_count"), none.alias("chunk"), F.lit(K.ERR_ENCODING).alias("error"))
-    return found.unionByName(failed)
-
-
-def _tails_merged(raw: DataFrame, key: list[str], minimum: int) -> DataFrame:
-    """C4: a short last chunk becomes part of the one before it.  Only the two ends of each file are joined, by their whole key."""
-    place = F.struct("chunk_block", "chunk_start")
-    last = raw.groupBy("path").agg(F.max(place).alias("last"), F.max_by("chunk", place).alias("tail"))
-    last = last.where(F.length("tail") < minimum)
-    # Of every block only the last two chunks can be a file's last but one.
-    late = raw.select(*key, F.row_number().over(Window.partitionBy("path", "chunk_block").orderBy(F.desc("chunk_start"))).alias("n")).where("n <= 2")
-    before = late.join(last.select("path", "last"), "path").where(place < F.col("last")).groupBy("path").agg(F.max(place).alias("before"))
-    ends = last.join(before, "path").select("path", "last.*", "before", "tail")
-    grown = ends.select("path", F.col("before.chunk_block").alias("chunk_block"), F.col("before.chunk_start").alias("chunk_start"), "tail")
-    merged = raw.join(ends.select(*key), key, "left_anti").join(grown, key, "left")
-    return merged.select(*key, F.when(F.col("tail").isNull(), F.col("chunk")).otherwise(F.concat("chunk", F.lit("\n"), "tail")).alias("chunk"))
+    return chunks.unionByName(failed)
 
 
 # Ship these helpers by value: executors need not have this package installed.

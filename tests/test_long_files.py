@@ -3,10 +3,12 @@
 import random
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from quillscope.functions.chunking import with_chunks
 from quillscope.functions.constants import ERR_ENCODING
+from quillscope.sources import long_files
 from quillscope.sources.long_files import block_map, long_file_chunks, read_lines, starts_from
 
 
@@ -15,12 +17,14 @@ def _texts():
     ends = ["\n", "\n", "\n", "\r\n", "\r", "\x0b", " ", "\n\n"]
     line = lambda most: "".join(rng.choice("ab é\t(;漢") for _ in range(rng.randint(0, most)))
     out = {f"mixed{i}": "".join(line(most) + rng.choice(ends) for _ in range(n)) for i, (most, n) in enumerate([(90, 900), (8, 3000), (400, 200), (3000, 30), (5, 4)])}
-    out |= {"no_end": out["mixed0"].rstrip("\n") + "\nlast", "one_line": "x" * 9000, "lines_alone": "\n" * 7000 + "a", "blank": " \n" * 3000, "blank_no_end": "\n \t", "short_tail": ("y" * 99 + "\n") * 23,
+    out |= {"no_end": out["mixed0"].rstrip("\n") + "\nlast", "one_line": "x" * 9000, "long_then_break": "\n" * 5 + "x" * 3000 + "\x0b", "breaks": ("x" * 2300 + "\x0b") * 3, "lines_alone": "\n" * 7000 + "a", "blank": " \n" * 3000, "blank_no_end": "\n \t", "short_tail": ("y" * 99 + "\n") * 23,
             "feeds": "\n" * 3000, "exact": ("z" * 21 + "\n") * 300, "exact_no_end": ("z" * 21 + "\n") * 199 + "z" * 22, "tail_at_limit": ("z" * 99 + "\n") * 22 + "w" * 499, "tail_over": ("z" * 99 + "\n") * 22 + "w" * 500}
     return out
 
 
-def test_blocks_give_the_chunks_of_the_whole_text(spark, tmp_path):
+@pytest.mark.parametrize("broadcast", [65_536, 0])
+def test_blocks_give_the_chunks_of_the_whole_text(spark, tmp_path, monkeypatch, broadcast):
+    monkeypatch.setattr(long_files, "MAX_BROADCAST_BLOCKS", broadcast)
     texts = _texts()
     for name, text in texts.items():
         (tmp_path / f"{name}.txt").write_bytes(text.encode())
@@ -58,11 +62,13 @@ def test_maps_of_blocks_compose_to_one_pass():
         for part in np.split(lengths, np.sort(rng.integers(0, len(lengths) + 1, 4))):
             if not len(part):
                 continue
-            ends, carries, lasts = block_map(part, target)
-            first = 0 if carry < 0 else int(np.searchsorted(ends, target - carry, "right"))
-            found += [base + s for s in starts_from(part, first, target)] if first < len(ends) else []
-            if first < len(ends):
-                carry, opened = carries[first], base + lasts[first]
+            effect = block_map(part, target)
+            first = 0 if carry < 0 else int(np.searchsorted(effect["ends"], target - carry, "right"))
+            found += [base + s for s in starts_from(part, first, target)] if first < len(effect["ends"]) else []
+            if first < len(effect["ends"]):
+                carry, opened = effect["carries"][first], base + effect["lasts"][first]
+                before = effect["befores"][first]
+                assert before < 0 or (base + before == found[-2])
             else:
                 carry += int(part.sum())
             base += len(part)
