@@ -6,8 +6,10 @@ pass sums up what each block does to that number: the first chunk that starts
 in a block starts within its first ``target_chars``, and chains of starts soon
 meet, so the map has some dozen entries.  Maps are composed along each file,
 one short row per block; a second pass cuts every block from the size that is
-open at its start.  Lines go to their chunk by one shuffle, and no task sees
-more of a file than a block's line lengths or a chunk.
+open at its start.  Chunks within a block are whole there; only those that
+cross into another block, and the last two of a file (the very last may be too
+short to stand alone), are put together by a shuffle.  No task sees more of a
+file than a block's line lengths and a chunk.
 
 The chunks are those of :func:`functions.chunking.with_chunks` on the whole
 text.  A file that is no valid UTF-8 is one row without a chunk and with an
@@ -38,8 +40,9 @@ _EFFECT = "struct<ends: array<long>, carries: array<long>, lasts: array<long>, b
 _MAP = f"path string, block long, file_size long, lines long, chars long, bytes long, bad long, filled long, effect {_EFFECT}, effect_unended {_EFFECT}"
 _ENTRY = ("path string, block long, carry long, open_block long, open_start long, lines long, unended boolean, ending boolean, blank boolean, "
           "last_block long, last_start long, before_block long, before_start long")
-_BLANK = -1  # the block of the one chunk of a file of white space; it starts at 1 if its last line has no line feed
-_CUT = "path string, chunk_block long, chunk_start long, tail boolean, block long, at long, line string"
+_BLANK = -1  # the block of the one chunk of a file of white space
+_CUT = "path string, chunk_block long, chunk_start long, block long, kind string, number int, text string"
+_WHOLE, _PART, _TAIL, _COUNT = "whole", "part", "tail", "count"  # kinds of rows of a cut
 
 
 def read_lines(spark: SparkSession, paths, recursive: bool = True, glob: str | None = None) -> DataFrame:
@@ -156,51 +159,92 @@ def _compose(target: int):
     return run
 
 
+class _Block:
+    """The cut of one block, line by batch of lines: holds the chunk that is open."""
+
+    def __init__(self, row: dict, target: int):
+        self.row, self.target = row, target
+        self.seen, self.carry, self.kept = 0, row["carry"], 0
+        self.opened, self.text = (row["open_block"], row["open_start"]), []
+        self.last, self.before = (row["last_block"], row["last_start"]), (row["before_block"], row["before_start"])
+
+    def _close(self, whole: bool) -> Iterator[tuple]:
+        """The open chunk's lines in this block.  It is whole if it started here, another starts after it, and it is none of the file's last two."""
+        text, self.text = "".join(self.text), []
+        if not text:
+            return
+        path, block = self.row["path"], self.row["block"]
+        if whole and self.opened[0] == block and self.opened not in (self.last, self.before):
+            chunk = text.strip("\n")
+            if chunk.strip():
+                yield path, block, self.opened[1], block, _WHOLE, self.kept, chunk
+                self.kept += 1
+        elif self.opened == self.last and self.before[1] >= 0:
+            yield path, *self.before, block, _TAIL, None, text
+        else:
+            yield path, *self.opened, block, _PART, None, text
+
+    def lines(self, rows: pa.RecordBatch) -> Iterator[tuple]:
+        row = self.row
+        lengths = rows.column("chars").to_numpy(zero_copy_only=False)
+        texts = rows.column("line").to_pylist()
+        if row["unended"] and row["ending"] and self.seen + len(lengths) == row["lines"]:
+            lengths = without_last_feed(lengths)
+            texts = texts[: len(lengths)]
+            if row["blank"] and len(texts):  # its text is kept as it is
+                texts[-1] = texts[-1][: lengths[-1]]
+        starts: list[int] = []
+        if row["blank"]:
+            self.opened = (_BLANK, 0)
+        elif len(lengths):
+            ends = np.cumsum(lengths)
+            first = 0 if self.carry < 0 else int(np.searchsorted(ends, self.target - self.carry, "right"))
+            starts = starts_from(lengths, first, self.target)
+            self.carry = int(ends[-1] - ends[starts[-1]] + lengths[starts[-1]]) if starts else self.carry + int(ends[-1])
+        at = 0
+        for start in starts:
+            self.text += texts[at:start]
+            yield from self._close(whole=True)
+            self.opened, at = (row["block"], self.seen + start), start
+        self.text += texts[at:]
+        self.seen += len(lengths)
+
+    def end(self) -> Iterator[tuple]:
+        yield from self._close(whole=False)
+        yield self.row["path"], self.row["block"], None, self.row["block"], _COUNT, self.kept, None
+
+
 def _cut(target: int):
-    """Every line under the place where its chunk starts; lines of a file's last chunk under the chunk before it, marked ``tail``."""
-    names = [part.split()[0] for part in _CUT.split(", ")]
-    constants = ("lines", "unended", "ending", "blank", "last_block", "last_start", "before_block", "before_start")
+    """A row per chunk that is whole in its block, per part of another chunk, and per block with the number of whole ones.
+
+    Parts of a file's last chunk stand under the chunk before it, as ``tail``."""
+    schema = to_arrow_schema(T.StructType.fromDDL(_CUT))
+    state = [part.split()[0] for part in _ENTRY.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, seen, carry, opened = None, 0, -1, (-1, -1)
+        def batch_of(out):
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), schema.types)], schema=schema)
+
+        key, block = None, None
         for batch in batches:
+            out: list[tuple] = []
             for found, rows in _runs(batch):
-                count, unended, ending, blank, *ends_at = (rows.column(c)[0].as_py() for c in constants)
                 if found != key:
-                    key, seen, carry = found, 0, rows.column("carry")[0].as_py()
-                    opened = (rows.column("open_block")[0].as_py(), rows.column("open_start")[0].as_py())
-                lengths = rows.column("chars").to_numpy(zero_copy_only=False)
-                if unended and ending and seen + len(lengths) == count:
-                    lengths = without_last_feed(lengths)
-                    rows = rows.slice(0, len(lengths))
-                if not len(lengths):
-                    continue
-                ends = np.cumsum(lengths)
-                first = 0 if carry < 0 else int(np.searchsorted(ends, target - carry, "right"))
-                starts = np.array(starts_from(lengths, first, target), np.int64)
-                which = np.searchsorted(starts, np.arange(len(lengths)), "right") - 1
-                inside = which >= 0
-                chunk_start = np.where(inside, (starts + seen)[which], opened[1]) if len(starts) else np.full(len(lengths), opened[1])
-                chunk_block = np.where(inside, key[1], opened[0])
-                tail = (chunk_block == ends_at[0]) & (chunk_start == ends_at[1]) & (ends_at[3] >= 0)
-                if blank:
-                    chunk_block, chunk_start, tail = np.full(len(lengths), _BLANK), np.full(len(lengths), int(unended)), np.zeros(len(lengths), bool)
-                elif tail.any():
-                    chunk_block, chunk_start = np.where(tail, ends_at[2], chunk_block), np.where(tail, ends_at[3], chunk_start)
-                yield pa.RecordBatch.from_arrays([rows.column("path"), *(pa.array(x) for x in (chunk_block, chunk_start, tail)), rows.column("block"), rows.column("at"), rows.column("line")], names=names)
-                if len(starts):
-                    carry, opened = int(ends[-1] - ends[starts[-1]] + lengths[starts[-1]]), (key[1], int(starts[-1]) + seen)
-                else:
-                    carry += int(ends[-1])
-                seen += len(lengths)
+                    out += block.end() if block else ()
+                    key, block = found, _Block({c: rows.column(c)[0].as_py() for c in state}, target)
+                out += block.lines(rows)
+            if out:
+                yield batch_of(out)
+        if block:
+            yield batch_of(list(block.end()))
 
     return run
 
 
-def _text(lines, tail: bool):
-    """The lines of a group of one kind, in order; null if there are none."""
-    part = F.filter(lines, lambda s: s["tail"] == F.lit(tail))
-    return F.when(F.size(part) > 0, F.array_join(F.transform(part, lambda s: s["line"]), ""))
+def _text(pieces, kind: str):
+    """The pieces of a group of one kind, in order; null if there are none."""
+    some = F.filter(pieces, lambda s: s["kind"] == F.lit(kind))
+    return F.when(F.size(some) > 0, F.array_join(F.transform(some, lambda s: s["text"]), ""))
 
 
 def long_file_chunks(spark: SparkSession, paths, recursive: bool = True, glob: str | None = None, target_chars: int = K.TARGET_CHARS, minimum_tail_chars: int = K.MINIMUM_TAIL_CHARS) -> DataFrame:
@@ -208,7 +252,7 @@ def long_file_chunks(spark: SparkSession, paths, recursive: bool = True, glob: s
 
     The lines are kept in the shared folder of spark.checkpoint.dir while they
     are cut, so that both passes see the same blocks whatever happens to the
-    executors.  Texts are shuffled once, to the block in which their chunk starts."""
+    executors."""
     ensure_checkpoint_dir(spark)
     lines = read_lines(spark, paths, recursive, glob).checkpoint()
     blocks = lines.select("path", "block", "file_size", "chars", "bytes", "bad", "filled").mapInArrow(_maps(target_chars), _MAP).checkpoint()
@@ -218,25 +262,25 @@ def long_file_chunks(spark: SparkSession, paths, recursive: bool = True, glob: s
     entries = blocks.join(bad, "path", "left_anti").groupBy("path").applyInPandas(_compose(target_chars), _ENTRY)
     given = lines.select("path", "block", "at", "line", "chars").join(hint(entries), ["path", "block"])
     given = given if small else given.sortWithinPartitions("path", "block", "at")  # a broadcast leaves rows in order
-    cut = given.mapInArrow(_cut(target_chars), _CUT).repartition("path", "chunk_block")
-    key = ["path", "chunk_block", "chunk_start"]
-    grouped = cut.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("block", "at", "tail", "line"))).alias("lines"))
-    texts = grouped.select(*key, _text(F.col("lines"), False).alias("text"), F.trim(_text(F.col("lines"), True), F.lit("\n")).alias("tail"))
-    whole = F.substring("text", F.lit(1), F.length("text") - F.col("chunk_start").cast("int"))
-    first = F.trim("text", F.lit("\n"))
-    two = F.when(F.col("tail").isNull(), F.array(first)).when(F.length("tail") < minimum_tail_chars, F.array(F.concat(first, F.lit("\n"), "tail"))).otherwise(F.array(first, F.col("tail")))
-    some = F.when(F.col("chunk_block") == _BLANK, F.array(whole)).otherwise(F.filter(two, lambda c: c.rlike(PY_NON_WS_CLASS)))
-    found = texts.select(*key, some.alias("chunks"))
-    n = F.size("chunks")
-    found = found.withColumn("upto", F.sum(n).over(Window.partitionBy("path", "chunk_block").orderBy("chunk_start"))).checkpoint()
-    counted = found.groupBy("path", "chunk_block").agg(F.max("upto").alias("n"))
-    along = Window.partitionBy("path")
-    placed = counted.select("path", "chunk_block", (F.sum("n").over(along.orderBy("chunk_block")) - F.col("n")).alias("offset"), F.sum("n").over(along).alias("chunk_count"))
-    numbered = found.join(hint(placed), ["path", "chunk_block"]).select("path", "chunk_count", (F.col("offset") + F.col("upto") - n).alias("before"), F.posexplode("chunks").alias("i", "chunk"))
+    cut = given.mapInArrow(_cut(target_chars), _CUT)
+    rest = cut.where(F.col("kind") != _WHOLE).checkpoint()  # a few rows a block
+    grouped = rest.where(F.col("kind") != _COUNT).groupBy("path", "chunk_block", "chunk_start").agg(F.array_sort(F.collect_list(F.struct("block", "kind", "text"))).alias("pieces"))
+    first, tail = F.trim(_text(F.col("pieces"), _PART), F.lit("\n")), F.trim(_text(F.col("pieces"), _TAIL), F.lit("\n"))
+    ends = grouped.select("path", "chunk_block", _text(F.col("pieces"), _PART).alias("text"), first.alias("first"), tail.alias("tail"))
+    merged = F.when(F.col("tail").isNull(), F.array("first")).when(F.length("tail") < minimum_tail_chars, F.array(F.concat("first", F.lit("\n"), "tail"))).otherwise(F.array("first", "tail"))
+    chunks = F.when(F.col("chunk_block") == _BLANK, F.array("text")).otherwise(F.filter(merged, lambda c: c.rlike(PY_NON_WS_CLASS)))
+    ends = ends.select("path", "chunk_block", chunks.alias("chunks"))
+    counts = rest.where(F.col("kind") == _COUNT).select("path", F.col("block").alias("chunk_block"), F.col("number").alias("whole"), F.lit(0).alias("more"))
+    counted = counts.unionByName(ends.select("path", "chunk_block", F.lit(0).alias("whole"), F.size("chunks").alias("more"))).groupBy("path", "chunk_block").agg(F.sum("whole").alias("whole"), F.sum(F.col("whole") + F.col("more")).alias("n"))
+    along = Window.partitionBy("path")  # a row per block
+    placed = counted.select("path", "chunk_block", "whole", (F.sum("n").over(along.orderBy("chunk_block")) - F.col("n")).alias("offset"), F.sum("n").over(along).cast("int").alias("chunk_count")).checkpoint()
     none = F.lit(None).cast("string")
-    chunks = numbered.select("path", (F.col("before") + F.col("i")).cast("int").alias("chunk_id"), F.col("chunk_count").cast("int"), "chunk", none.alias("error"))
+    inner = cut.where(F.col("kind") == _WHOLE).select("path", "chunk_block", "number", "text").join(hint(placed), ["path", "chunk_block"])
+    inner = inner.select("path", (F.col("offset") + F.col("number")).cast("int").alias("chunk_id"), "chunk_count", F.col("text").alias("chunk"), none.alias("error"))
+    outer = ends.join(hint(placed), ["path", "chunk_block"]).select("path", "chunk_count", (F.col("offset") + F.col("whole")).alias("before"), F.posexplode("chunks").alias("i", "chunk"))
+    outer = outer.select("path", (F.col("before") + F.col("i")).cast("int").alias("chunk_id"), "chunk_count", "chunk", none.alias("error"))
     failed = bad.select("path", F.lit(None).cast("int").alias("chunk_id"), F.lit(None).cast("int").alias("chunk_count"), none.alias("chunk"), F.lit(K.ERR_ENCODING).alias("error"))
-    return chunks.unionByName(failed)
+    return inner.unionByName(outer).unionByName(failed)
 
 
 # Ship these helpers by value: executors need not have this package installed.
