@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import constants as K
-from ..functions.pytables import nodes, tokens
+from ..functions.pytables import nodes, token_counts
 from ..functions.text import dominant_ratio, pattern_repetition, saturate
 from .features import SNAKE
 
@@ -71,8 +71,8 @@ def structure_features(chunks: DataFrame, by: list[str], code: str = "chunk") ->
 
 
 def token_features(chunks: DataFrame, by: list[str], code: str = "chunk") -> DataFrame:
-    """token_count and token_entropy of every chunk: two aggregates, the first of which counts each token where it is made."""
-    each = tokens(chunks, code).groupBy(*by, "token").agg(F.count("pos").alias("n"))
+    """token_count and token_entropy of every chunk: two aggregates over tokens that are counted where they are made."""
+    each = token_counts(chunks, code).groupBy(*by, "token").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"))
     total = each.groupBy(*by).agg(F.sum("n").alias("token_count"), F.sum(F.when(F.col("n") > 0, F.col("n") * F.log2(F.col("n").cast("double")))).alias("_nlogn"))
     entropy = F.when(F.col("token_count") == 0, F.lit(0.0)).otherwise(F.log2(F.col("token_count").cast("double")) - F.col("_nlogn") / F.col("token_count"))
     return total.select(*by, "token_count", entropy.alias("token_entropy"))

@@ -72,7 +72,8 @@ def explode_chunks(routed: DataFrame, **chunking) -> DataFrame:
     return files.select("*", F.size("chunks").alias("chunk_count"), F.posexplode_outer("chunks").alias("chunk_id", "chunk")).drop("chunks")
 
 
-def _routed(code_files: DataFrame, spread: bool, languages: tuple[str, ...]) -> DataFrame:
+def routed_files(code_files: DataFrame, spread: bool, languages: tuple[str, ...]) -> DataFrame:
+    """The files of these languages (of all supported ones: and error rows), dealt out by row number if ``spread``."""
     # Rows are numbered where they are read: the same number in every attempt of a task.
     deal = lambda df: df.withColumn("_row", F.monotonically_increasing_id()).repartition("_row").drop("_row") if spread else df
     if set(languages) == set(SUPPORTED):
@@ -92,7 +93,7 @@ def scored_files(
     Python worker is part of the plan.  ``weights`` is a table of weight sets
     (see :func:`operators.scoring.weight_sets`); rows then carry ``weight_set``.
     ``thresholds`` are those of :func:`operators.scoring.chunk_scores`."""
-    routed = _routed(code_files, spread, languages)
+    routed = routed_files(code_files, spread, languages)
     files = with_syntax(file_chunks(routed, target_chars, minimum_tail_chars), languages)
     featured = files.withColumn("_features", built(code_files, ("features", languages), lambda: chunk_features(languages))).drop("_syntax")
     if weights is not None:
@@ -122,7 +123,7 @@ def metrics(code_files: DataFrame, names: list[str], language: str, spread: bool
     """One row per chunk of the files of one language, with the named features and nothing else computed.
 
     Features of the Python syntax tree or tokens are those of :func:`chunk_results`."""
-    files = file_chunks(_routed(code_files, spread, (language,)), **chunking)
+    files = file_chunks(routed_files(code_files, spread, (language,)), **chunking)
     found = built(code_files, ("metrics", language, *names), lambda: chunk_metrics(language, names))
     rows = files.select("file_id", F.size("chunks").alias("chunk_count"), F.posexplode_outer(found).alias("chunk_id", "_c"))
     return rows.select("file_id", "chunk_id", "chunk_count", "_c.*")
