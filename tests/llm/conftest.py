@@ -3,3 +3,7 @@ import sys
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
+
+# Tests beside this folder import these from ``conftest``, which is this file where both folders are collected.
+SF_SMALL = "/root/testdata/sf0.001"
+SF_CHECK = "/root/testdata/sf0.01"
